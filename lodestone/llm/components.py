@@ -22,7 +22,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         if e.isEmpty():
             break
         both = e.select(F.col("a").alias("node"), F.col("b").alias("to")).unionAll(e.select(F.col("b").alias("node"), F.col("a").alias("to")))
-        up = scratch.keep(both.groupBy("node").agg(F.least(F.min("to"), F.first("node")).alias("up")), f"up{k}")
+        up = scratch.keep(both.groupBy("node").agg(F.least(F.min("to"), F.col("node")).alias("up")), f"up{k}")
         maps.append(up)
         a, b = up.toDF("a", "ua"), up.toDF("b", "ub")
         moved = e.join(a, "a").join(b, "b").where("ua <> ub")

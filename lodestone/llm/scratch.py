@@ -6,6 +6,8 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +30,22 @@ def drop(spark: SparkSession, path: str) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package's sources to the executors, once an application."""
+    if (app := spark.sparkContext.applicationId) in _shipped:
+        return
+    root = Path(__file__).resolve().parents[1]
+    to = Path(tempfile.mkdtemp(prefix="lodestone-code-")) / "lodestone_code.zip"
+    with zipfile.ZipFile(to, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, f"{root.name}/{p.relative_to(root)}")
+    spark.sparkContext.addPyFile(str(to))
+    _shipped.add(app)
+
+
 class Scratch:
     """Tables of one operator call. ``keep`` writes a DataFrame and returns it as a scan of what was written.
 
@@ -38,6 +56,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.name, self.paths = spark, name, {}
+        ship(spark)
 
     def keep(self, df: DataFrame, label: str) -> DataFrame:
         spark = self.spark
