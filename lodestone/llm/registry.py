@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import jaccard
+from lodestone.llm import jaccard, substring
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_ngram_jaccard_join": jaccard.op9_ngram_jaccard_join}
+    return {"op5_substring_dedup": substring.op5_substring_dedup, "op9_ngram_jaccard_join": jaccard.op9_ngram_jaccard_join}
 
 
 def oracle_sql() -> dict[str, str]:
