@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import jaccard, substring
+from lodestone.llm import jaccard, language, lines, mixing, packing, quality, sharding, substring, urls, vectors
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_substring_dedup": substring.op5_substring_dedup, "op9_ngram_jaccard_join": jaccard.op9_ngram_jaccard_join}
+    """opN_<name> for each operator N, over its whole table with production parameters."""
+    return {
+        f.__name__: f
+        for f in (
+            packing.op1_mixture_packing, sharding.op2_minimax_sharding, quality.op3_quality_rules, language.op4_language_id, substring.op5_substring_dedup,
+            vectors.op6_embedding_near_dedup, mixing.op7_mixing, urls.op8_url_filters, jaccard.op9_ngram_jaccard_join, lines.op10_line_dedup,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:
+    """None of these methods is expressible in SQL as a whole; their tests use brute-force versions."""
     return {}
