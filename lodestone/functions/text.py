@@ -88,13 +88,16 @@ _WIDE = [chr(c) for c in (0x2028, 0x2029, 0x200E, 0x200F, 0x061C, *range(0x202A,
 def terminal_safe(text: Column) -> Column:
     """Control, bidirectional and line-breaking characters as visible escapes; a backslash is doubled first.
 
-    Only a text that holds one of them pays for the replacements.
+    Only a text that holds one of the rare ones goes through its characters.
     """
-    table = {"\\": "\\\\", **_NAMED, **{c: f"\\x{ord(c):02x}" for c in _CONTROLS}, **{c: f"\\u{ord(c):04x}" for c in _WIDE}}
+    named = F.replace(text, F.lit("\\"), F.lit("\\\\"))
+    for ch, shown in _NAMED.items():
+        named = F.replace(named, F.lit(ch), F.lit(shown))
+    table = {**{c: f"\\x{ord(c):02x}" for c in _CONTROLS}, **{c: f"\\u{ord(c):04x}" for c in _WIDE}}
     known = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
-    escaped = F.array_join(F.transform(F.split(text, ""), lambda ch: F.coalesce(F.try_element_at(known, ch), ch)), "")
-    odd = "[\\\\\\x00-\\x1f\\x7f-\\x9f\\u2028\\u2029\\u200e\\u200f\\u061c\\u202a-\\u202e\\u2066-\\u2069]"
-    return F.when(text.rlike(odd), escaped).otherwise(text)
+    escaped = F.array_join(F.transform(F.split(named, ""), lambda ch: F.coalesce(F.try_element_at(known, ch), ch)), "")
+    odd = "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x9f\\u2028\\u2029\\u200e\\u200f\\u061c\\u202a-\\u202e\\u2066-\\u2069]"
+    return F.when(text.rlike(odd), escaped).otherwise(named)
 
 
 def render_item(entity: Column, content: Column, authority: Column, path: Column, index: Column, count: Column, provenance: Column, conflicts: Column) -> Column:

@@ -14,10 +14,15 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with value computed once a row."""
+    return F.transform(F.array(value), body)[0]
+
+
 def normalise(v: Column) -> Column:
     """Unit length; a zero vector stays as it is."""
-    norm = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: x / F.when(norm == 0, F.lit(1.0)).otherwise(norm))
+    by_norm = lambda x: _let(F.sqrt(dot(x, x)), lambda n: F.transform(x, lambda y: y / F.when(n == 0, F.lit(1.0)).otherwise(n)))
+    return _let(v, by_norm)
 
 
 def scores(queries: DataFrame, pool: DataFrame) -> DataFrame:
@@ -50,8 +55,6 @@ def group_max(scored: DataFrame) -> DataFrame:
 def encode_concepts(text: Column, concepts: tuple[str, ...]) -> Column:
     """A deterministic encoder for tests and cold starts: counts of concept words, normalised; a last axis for none."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    hits = [((F.length(low) - F.length(F.replace(low, F.lit(c), F.lit("")))) / len(c)).cast("double") for c in concepts]
-    total = hits[0]
-    for h in hits[1:]:
-        total = total + h
-    return normalise(F.array(*hits, F.when(total == 0, F.lit(1.0)).otherwise(F.lit(0.0))))
+    hits = F.array(*[((F.length(low) - F.length(F.replace(low, F.lit(c), F.lit("")))) / len(c)).cast("double") for c in concepts])
+    none = lambda h: F.concat(h, F.array(F.when(F.forall(h, lambda x: x == 0), F.lit(1.0)).otherwise(F.lit(0.0))))
+    return normalise(_let(hits, none))

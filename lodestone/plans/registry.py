@@ -1,19 +1,375 @@
-"""Registry of the engine's queries and of the SQL that each is checked against."""
+"""Registry of the engine's queries; the SQL that each is checked against is in ``oracles``."""
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lodestone.functions import text as T
+from lodestone.operators import compile as C
+from lodestone.operators import graph, retrieval, semantic, state
+from lodestone.plans import oracles
+from lodestone.plans.views import Views
+from lodestone.sources import files, ignore
+from lodestone.sources.store import KINDS
+from lodestone.streaming import watch
+
+IGNORE_TEXT = "# generated\nfr/\n*.html\n!/en/*.html\n/es/1?*\n"
+NAMES = (".env.local", "id_rsa.pub", "notes.md", "My-Token.txt", "server.pem", "README.md")
+CONCEPTS = ("the", "ing", "tion", "ment", "ung")
+BUDGET = 4000
+_found: dict[str, Callable] = {}
+
+
+def query(f: Callable) -> Callable:
+    _found[f.__name__] = lambda spark, sf_dir: f(Views(spark, sf_dir))
+    return f
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return _found["lexical_relevance"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_found)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.sql()
+
+
+def _task_tokens(v: Views) -> DataFrame:
+    return retrieval.token_rows(v.tasks(), "q", F.col("task"))
+
+
+def _pairs(v: Views) -> DataFrame:
+    return retrieval.shared_counts(_task_tokens(v), retrieval.token_rows(v.documents(), "d", F.col("text")))
+
+
+@query
+def current_state(v):
+    return state.current(v.memories()).select("memory_id", "kind", "epistemic_state", "seq")
+
+
+@query
+def state_by_kind(v):
+    return state.of_kind(state.current(v.memories()), "decision", KINDS).select("memory_id", "content", "seq")
+
+
+@query
+def timeline_with_status(v):
+    return state.with_status(v.memories()).select("seq", "memory_id", "kind", "is_current")
+
+
+@query
+def timeline_events(v):
+    m = v.memories()
+    events = m.select(F.col("seq").alias("sequence"), F.lit("memory_recorded").alias("kind"), F.col("memory_id").alias("subject_id"))
+    return state.timeline(events, m.drop("seq")).select("sequence", "memory_id", "memory_kind")
+
+
+@query
+def status_counts(v):
+    return state.with_status(v.memories()).groupBy("kind").agg(F.count("*").alias("n"), F.count_if("is_current").alias("n_current"))
+
+
+@query
+def open_conflicts(v):
+    return state.open_conflicts(v.conflicts(), v.memories())
+
+
+@query
+def conflict_upsert(v):
+    c = v.conflicts()
+    both = c.select(F.col("a").alias("x"), F.col("b").alias("y"), "recorded_at").unionByName(c.select(F.col("b").alias("x"), F.col("a").alias("y"), (F.col("recorded_at") + 5).alias("recorded_at")))
+    return state.upsert_conflicts(both, c.where("recorded_at % 3 = 0"))
+
+
+@query
+def supersession_violations(v):
+    m = v.memories().withColumn("supersedes", F.when(F.col("seq") % 11 == 0, F.col("memory_id")).when(F.col("seq") % 7 == 0, F.lit("none")).otherwise(F.col("supersedes")))
+    return state.supersession_violations(m)
+
+
+@query
+def duplicate_suppression(v):
+    return state.first_equivalents(v.memories())
+
+
+@query
+def verified_gate(v):
+    return state.verified_gate(v.links())
+
+
+@query
+def memory_evidence_arrays(v):
+    out = state.child_arrays(v.links().select("memory_id", "evidence_id", "position"), "memory_id", "evidence_id", "position")
+    return out.select("memory_id", F.array_join(F.transform("children", lambda x: x.cast("string")), ",").alias("children"))
+
+
+@query
+def latest_observation(v):
+    return state.latest(v.observations())
+
+
+@query
+def observation_changes(v):
+    return state.changes(v.observations()).select("path", "seq", "digest", "status")
+
+
+@query
+def seed_report(v):
+    o = v.observations()
+    new = o.groupBy(F.concat("path", F.when(F.col("seq") % 10 == 0, F.lit("-new")).otherwise(F.lit(""))).alias("path")).agg(F.max(F.struct("seq", "digest")).digest.alias("digest"))
+    return state.seed_report(new, o)
+
+
+@query
+def orphan_check(v):
+    return state.missing(v.links(), v.table("part").select(F.col("p_partkey").alias("evidence_id")).where("evidence_id % 10 <> 0"), "evidence_id").groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query
+def migrate_events_backfill(v):
+    return state.backfill_events(v.memories())
+
+
+@query
+def recall_topk(v):
+    return retrieval.recall(state.current(v.memories()), "th").select("memory_id", "hits", "seq")
+
+
+@query
+def token_sets(v):
+    return v.documents().select("d", F.array_join(F.sort_array(T.tokens(F.col("text"))), " ").alias("tokens"))
+
+
+@query
+def postings_build(v):
+    return retrieval.postings(v.documents(), "d", F.col("text")).groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+@query
+def lexical_relevance(v):
+    return retrieval.lexical(_pairs(v)).select("q", "d", "shared")
+
+
+@query
+def weighted_overlap(v):
+    return _pairs(v).select("q", "d", T.weighted_overlap(F.col("shared"), F.col("intent")).alias("score")).where("score > 3")
+
+
+@query
+def bm25_topk(v):
+    return retrieval.bm25(_task_tokens(v), v.documents(), F.col("text"), 20).select("q", "d", "score", "rank")
+
+
+@query
+def fts_threshold(v):
+    ranked = retrieval.bm25(_task_tokens(v), v.documents(), F.col("text"))
+    return retrieval.fts_admitted(ranked, _pairs(v)).select("q", "d", "shared")
+
+
+def _relevant_attempts(v: Views) -> DataFrame:
+    a = v.attempts()
+    found = retrieval.lexical(retrieval.shared_counts(_task_tokens(v), retrieval.token_rows(a.withColumnRenamed("attempt_id", "d"), "d", F.concat_ws(" ", "task", "approach"))))
+    return found.select("q", F.col("d").alias("attempt_id")).join(a.select("attempt_id", "outcome", "evidence_id"), "attempt_id")
+
+
+@query
+def provenance_rescue(v):
+    known = _relevant_attempts(v).where("outcome <> 'partial'").select("q", "attempt_id")
+    return retrieval.rescued(known, v.attempts().select("attempt_id", "evidence_id"), v.memory_evidence())
+
+
+@query
+def attempt_absorption(v):
+    causes = v.memories().where("kind = 'root_cause'").select("memory_id", F.col("seq").alias("pos")).join(v.memory_evidence(), "memory_id")
+    return retrieval.absorbed(causes, v.attempts().where("outcome = 'failed'").select("attempt_id", "evidence_id"))
+
+
+@query
+def cosine_topk(v):
+    return semantic.top(semantic.scores(*v.vectors()), 5).select("q", "id", "score", "rank")
+
+
+@query
+def semantic_winner_margin(v):
+    return semantic.winner(semantic.scores(*v.vectors()), 0.20, 0.08).select("q", "id", "score")
+
+
+@query
+def semantic_set_admission(v):
+    return semantic.admitted_set(semantic.scores(*v.vectors()), *semantic.SETS["lesson"]).select("q", "id", "score", "rank")
+
+
+@query
+def source_max_admission(v):
+    return semantic.admitted_set(semantic.group_max(semantic.scores(*v.vectors())), *semantic.SETS["document"]).select("q", "id", "score", "rank")
+
+
+@query
+def evidence_cluster(v):
+    m = v.memories().select(F.col("conv_id").alias("member")).distinct()
+    return graph.clusters(m.select("member", F.explode(F.array(F.col("member") % 97, F.col("member") % 13 + 1000)).alias("evidence")))
+
+
+@query
+def chunk_documents(v):
+    return v.documents().select("d", F.posexplode(T.chunks(F.col("text"))).alias("i", "chunk")).select("d", F.col("i").cast("long").alias("i"), F.length("chunk").cast("long").alias("size"), F.md5("chunk").alias("digest"))
+
+
+def _chunk_rows(v: Views) -> DataFrame:
+    docs = v.documents().join(retrieval.lexical(_pairs(v)).select("d").distinct(), "d", "left_semi")
+    return docs.select("d", "source", F.posexplode(T.chunks(F.col("text"))).alias("i", "chunk")).withColumn("c", T.chunk_id(F.col("d"), F.col("i")))
+
+
+def _ordered_evidence(v: Views) -> DataFrame:
+    """Chunks of the documents that a task admits, scored, without those of score 0, in their final order."""
+    rows = _chunk_rows(v)
+    pairs = retrieval.shared_counts(_task_tokens(v), retrieval.token_rows(rows.select("c", "chunk").withColumnRenamed("c", "d"), "d", F.col("chunk")))
+    scored = pairs.select("q", F.col("d").alias("c"), T.weighted_overlap(F.col("shared"), F.col("intent")).alias("score"))
+    admitted = retrieval.lexical(_pairs(v)).select("q", "d")
+    out = rows.join(scored, "c").join(admitted, ["q", "d"])
+    pos = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "source", "d", "i"))
+    return out.withColumn("pos", pos)
+
+
+@query
+def chunk_scores(v):
+    return _ordered_evidence(v).select("q", "c", "score")
+
+
+@query
+def project_evidence_order(v):
+    return _ordered_evidence(v).select("q", "pos", "c", "score")
+
+
+def _sufficient(v: Views) -> DataFrame:
+    ranked = _ordered_evidence(v).withColumnsRenamed({"d": "evidence_id"}).withColumn("semantic", F.lit(False))
+    covered = ranked.select("q", "pos", F.explode(T.tokens(F.col("chunk"))).alias("token")).join(_task_tokens(v).select("q", "token"), ["q", "token"])
+    return C.sufficient(ranked, covered)
+
+
+@query
+def min_sufficient_set(v):
+    return _sufficient(v).select("q", "pos", "c")
+
+
+def _items(v: Views) -> DataFrame:
+    """Open risks, history and evidence of every task as rendered items in section order."""
+    none = F.array().cast("array<string>")
+    text = lambda entity, content, path: T.render_item(entity, content, F.lit(None).cast("string"), path, F.lit(0), F.lit(1), none, none)
+    null = F.lit(None).cast("string")
+    evidence = _sufficient(v).select("q", F.lit(4).alias("s"), F.col("pos").cast("long").alias("p"), text(F.col("c"), F.col("chunk"), F.col("source")).alias("rendered"))
+    history = _relevant_attempts(v).where("outcome = 'failed'").join(v.attempts().select("attempt_id", "approach"), "attempt_id")
+    history = history.select("q", F.lit(5).alias("s"), F.col("attempt_id").alias("p"), text(F.concat(F.lit("a"), F.col("attempt_id").cast("string")), F.col("approach"), null).alias("rendered"))
+    risks = state.current(v.memories()).where("kind = 'pending'").join(provenance_rescue(v), "memory_id")
+    risks = risks.select("q", F.lit(1).alias("s"), F.col("seq").alias("p"), text(F.col("memory_id"), F.col("content"), null).alias("rendered"))
+    items = risks.unionByName(history).unionByName(evidence)
+    pos = F.row_number().over(Window.partitionBy("q").orderBy("s", "p"))
+    return items.withColumn("pos", pos).withColumn("section", F.element_at(F.array(*map(F.lit, C.SECTIONS)), F.col("s") + 1)).drop("s", "p")
+
+
+@query
+def budget_prefix(v):
+    return C.within_budget(_items(v), BUDGET).select("q", "pos", "section", "cost", "used", "selected")
+
+
+@query
+def context_sections(v):
+    out = C.within_budget(_items(v), BUDGET)
+    return out.groupBy("q", "section").agg(F.count_if("selected").alias("n_selected"), F.count("*").alias("n"))
+
+
+@query
+def context_footer(v):
+    return C.totals(C.within_budget(_items(v), BUDGET))
+
+
+@query
+def context_text(v):
+    return C.render(C.within_budget(_items(v), BUDGET), v.tasks())
+
+
+@query
+def preflight_long(v):
+    """Categories of every task; constraints hold for all tasks and stand once, under task -1."""
+    live = state.current(v.memories())
+    rescued = live.join(provenance_rescue(v), "memory_id")
+    attempts = _relevant_attempts(v)
+    lexical = retrieval.lexical(retrieval.shared_counts(_task_tokens(v), retrieval.token_rows(live.withColumnRenamed("memory_id", "d"), "d", F.col("content")))).select("q", F.col("d").alias("memory_id"))
+    related = live.join(lexical, "memory_id").unionByName(rescued).distinct()
+    category = F.when(F.col("kind") == "root_cause", "root_cause").when((F.col("kind") == "lesson") & (F.col("epistemic_state") == "verified"), "lesson").when(F.col("kind") == "pending", "pending").when(F.col("kind") == "invalidation", "invalidation")
+    parts = [
+        live.where("kind = 'invariant'").select(F.lit(-1).cast("long").alias("q"), F.lit("constraint").alias("category"), F.col("memory_id").alias("entity")),
+        related.select("q", category.alias("category"), F.col("memory_id").alias("entity")).where("category is not null"),
+        attempts.where("outcome <> 'partial'").select("q", F.when(F.col("outcome") == "failed", "known_failure").otherwise("known_success").alias("category"), F.col("attempt_id").cast("string").alias("entity")),
+        attempts.where("outcome = 'succeeded' and evidence_id % 8 in (1, 2)").select("q", F.lit("validation").alias("category"), F.col("evidence_id").cast("string").alias("entity")).distinct(),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query
+def guard_report(v):
+    """Failed attempts that a task admits and that share evidence with an admitted skill (a succeeded attempt here)."""
+    a = _relevant_attempts(v).withColumn("evidence_id", F.col("evidence_id") % 5)
+    skills = a.where("outcome = 'succeeded'").select("q", "evidence_id").distinct()
+    return a.where("outcome = 'failed'").join(skills, ["q", "evidence_id"], "left_semi").select("q", "attempt_id")
+
+
+@query
+def terminal_safe(v):
+    return v.documents().select("d", F.md5(T.terminal_safe(F.col("text"))).alias("digest"))
+
+
+@query
+def render_items(v):
+    m = state.with_status(v.memories()).join(v.conflicts().select(F.col("a").alias("memory_id"), "b").groupBy("memory_id").agg(F.array_sort(F.collect_list("b")).alias("partners")), "memory_id", "left")
+    none = F.array().cast("array<string>")
+    return m.select("memory_id", T.render_item(F.col("memory_id"), F.col("content"), F.col("epistemic_state"), F.lit(None).cast("string"), F.lit(0), F.lit(1), none, F.coalesce("partners", none)).alias("line"))
+
+
+@query
+def ignore_filter(v):
+    return v.paths().select("page_id", "path", ignore.ignored(F.col("path"), ignore.parse(IGNORE_TEXT)).alias("ignored"))
+
+
+@query
+def secret_filter(v):
+    name = F.element_at(F.array(*map(F.lit, NAMES)), (F.col("page_id") % len(NAMES) + 1).cast("int"))
+    path = v.paths().select("page_id", F.concat(F.col("path"), F.lit("/"), name).alias("path"))
+    return path.select("page_id", files.is_secret(F.col("path")).alias("secret"), files.is_sensitive(F.col("path")).alias("sensitive"), files.in_excluded_dir(F.col("path")).alias("excluded"))
+
+
+@query
+def settle_sessions(v):
+    e = v.table("events").select(F.col("user_id").alias("path"), "ts", F.col("event_id").alias("seq"))
+    return watch.settled(e, 3600.0)
+
+
+@query
+def rate_limit_buckets(v):
+    e = v.table("events").select(F.col("user_id").alias("bucket"), F.col("event_id").alias("seq"))
+    return watch.write_slots(e)
+
+
+@query
+def embed_concepts(v):
+    out = v.documents().select("d", semantic.encode_concepts(F.col("text"), CONCEPTS).alias("e"))
+    return out.select("d", *[F.round(F.col("e")[i], 9).alias(f"e{i}") for i in range(len(CONCEPTS) + 1)])
+
+
+@query
+def stream_cdc(v):
+    """The capture as a stream over one file of all observations; equals observation_changes."""
+    base = v.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-")
+    run = f"{base.rstrip('/')}/cdc-{v.spark.sparkContext.applicationId}-{abs(hash(v.dir))}-{id(v)}"
+    v.observations().select("path", "seq", "digest").coalesce(1).write.mode("overwrite").parquet(f"{run}/in")
+    return watch.capture_all(v.spark, f"{run}/in", "path string, seq long, digest string", f"{run}/out", f"{run}/checkpoint")
