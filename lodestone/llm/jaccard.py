@@ -5,8 +5,9 @@
    Two sets that are similar enough share a token of their *prefixes* (the first ``n - ceil(t n) + 1`` tokens).
 3. Documents are tied to a few centres that share a prefix token; verified ties make groups of similar documents.
 4. A group stores the union of its members' tokens. A document of another group that shares a prefix token
-   with a group is a query: its overlap with the union bounds its overlap with every member, so only groups
-   whose bound reaches the threshold are opened, and members are compared one by one until one matches.
+   with a group is a query. Twice its overlap with a union bounds that with every member: first over prefix
+   tokens, before any text moves, then over whole sets. Only groups whose bound reaches the threshold are
+   opened, and members are compared one by one until one matches.
    Pairs inside a group need no look: they are connected already.
 No step makes all pairs of a group or of a token's list of documents, and none drops a candidate.
 """
@@ -22,8 +23,8 @@ from lodestone.llm.components import components
 from lodestone.llm.hashing import LOWER, mix, windows, words
 from lodestone.llm.scratch import Scratch
 
-#: Counters of the frequency sketch, a fixed size: its broadcast has one byte for each.
-SKETCH = 1 << 20
+#: Counters of the frequency sketch, a fixed size: its broadcast has four bytes for each.
+SKETCH = 1 << 21
 CHUNK = 1 << 16
 #: Members of one part of a group.
 PART = 128
@@ -51,7 +52,7 @@ def _text(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
 
 
 def _sketch(spark: SparkSession, docs: DataFrame, k: int, scratch: Scratch) -> np.ndarray:
-    """Log2 of the number of documents by counter, over all documents; SKETCH bytes."""
+    """Occurrences in sets by counter, over all documents."""
 
     def count(batches):
         total = np.zeros(SKETCH, dtype=np.int64)
@@ -76,7 +77,7 @@ def _sketch(spark: SparkSession, docs: DataFrame, k: int, scratch: Scratch) -> n
     total = np.zeros(SKETCH, dtype=np.int64)
     for r in rows:
         total[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.counts, dtype="<i8")
-    return np.log2(total + 1).astype(np.uint8)
+    return np.minimum(total, 0xFFFFFFFF).astype(np.uint32)
 
 
 def _sets(docs: DataFrame, k: int, num: int, den: int, sketch) -> DataFrame:
@@ -144,7 +145,7 @@ def _open(rows: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataF
             yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     text = docs.select(F.col("doc_id").alias("doc"), "text")
-    full = rows.join(text, "doc").select("key", "query", "doc", "text")
+    full = rows.hint("merge").join(text, "doc").select("key", "query", "doc", "text")
     return full.repartition("key").sortWithinPartitions("key", "query").mapInArrow(run, "a long, b long")
 
 
@@ -175,10 +176,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) ->
     shared = tokens.groupBy("token").agg(F.count("*").alias("df"), F.min("doc").alias("centre")).where("df > 1")
     tokens = scratch.keep(tokens.join(shared, "token"), "tokens")  # of tokens in two prefixes or more
 
-    # A document is held against the centres of its two rarest and its two commonest shared tokens.
-    picks = tokens.groupBy("doc").agg(
-        F.array(F.min(F.struct("pos", "centre")).centre, F.max(F.struct("df", "pos", "centre")).centre, F.min(F.struct("df", F.col("pos"), "centre")).centre, F.max(F.struct("pos", "centre")).centre).alias("centres")
-    )
+    # A document whose prefix is shared in good part is held against the centres of its two rarest and its two
+    # commonest shared tokens. This only finds groups early; step 4 sees to all the rest.
+    length = F.col("n") - F.floor((num * F.col("n") + den - 1) / den) + 1
+    picks = tokens.groupBy("doc", "n").agg(
+        F.count("*").alias("in_common"),
+        F.array(F.min(F.struct("pos", "centre")).centre, F.max(F.struct("df", "pos", "centre")).centre, F.min(F.struct("df", "pos", "centre")).centre, F.max(F.struct("pos", "centre")).centre).alias("centres"),
+    ).where(10 * F.col("in_common") >= 3 * length)
     ties = picks.select("doc", F.explode(F.array_distinct("centres")).alias("centre")).where("doc <> centre")
     ties = scratch.keep(ties.select(F.col("doc"), "centre", F.pmod(F.xxhash64("doc"), F.lit(1 << 30)).alias("u")), "ties")
     spread = ties.groupBy("centre").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("salts"))
@@ -190,20 +194,32 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) ->
 
     # Groups of similar documents: what is tied so far. Their parts are of near sizes, by bands and a hash.
     grouped = tokens.join(first.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(den / num))))
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(den / num) / 5)))
     grouped = scratch.keep(grouped.select("token", "doc", "n", "component", band.alias("band")), "grouped")
     members = grouped.select("doc", "component", "band").distinct()
     sizes = members.groupBy("component", "band").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
     members = members.join(sizes, ["component", "band"]).select("doc", "component", F.xxhash64("component", "band", F.pmod(F.xxhash64("doc"), F.col("parts"))).alias("key"))
     members = scratch.keep(members, "members")
-    parts = grouped.join(members.select("doc", "key"), "doc").groupBy("token", "component", "key").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    sized = members.join(classes.select(F.col("rep").alias("doc"), "n"), "doc")
+    parts = sized.groupBy("component", "key").agg(F.min("n").alias("part_least"), F.max("n").alias("part_most"))
     heads = members.groupBy("component").agg(F.count("*").alias("heads"))
-    parts = parts.join(heads, "component")
-    asks = grouped.join(heads, "component").select("token", "doc", "n", F.col("component").alias("own"), F.col("heads").alias("own_heads"))
+    unions = grouped.groupBy("token", "component").agg(F.min("n").alias("least"), F.max("n").alias("most")).join(heads, "component")
+    multi = unions.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
+    asks = grouped.join(multi, "token").join(heads, "component").select("token", "doc", "n", F.col("component").alias("own"), F.col("heads").alias("own_heads"))
     smaller = (F.col("own_heads") < F.col("heads")) | ((F.col("own_heads") == F.col("heads")) & (F.col("own") > F.col("component")))
     near = (den * F.col("n") >= num * F.col("least")) & (den * F.col("most") >= num * F.col("n"))
-    multi = parts.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    asks = asks.join(multi, "token").join(parts, "token").where((F.col("own") != F.col("component")) & smaller & near).select("doc", "key").distinct()
+    asks = asks.join(unions, "token").where((F.col("own") != F.col("component")) & smaller & near)
+    asks = asks.groupBy("doc", "n", "component").agg(F.count("*").alias("common"), F.min("least").alias("least"), F.max("most").alias("most"))
+
+    # Two sets need num (n + m) / (num + den) common tokens. Of the set whose prefix ends first, the tokens behind the
+    # prefix are ceil(t n) - 1; so at least the rest must be in both prefixes. It is least at an end of the range of m.
+    def least_common(m):
+        return num * (F.col("n") + m) / (num + den) - (num * F.greatest("n", m) + den) / den
+
+    low, high = F.greatest(F.col("least"), F.floor(num * F.col("n") / den)), F.least(F.col("most"), F.ceil(den * F.col("n") / num))
+    asks = asks.where(F.col("common") >= F.least(least_common(low), least_common(high))).select("doc", "n", "component")
+    fits = (den * F.col("n") >= num * F.col("part_least")) & (den * F.col("part_most") >= num * F.col("n"))
+    asks = asks.join(parts, "component").where(fits).select("doc", "key")
     asks = scratch.keep(asks.withColumn("u", F.pmod(F.xxhash64("doc"), F.lit(1 << 30))), "asks")
     opened = asks.groupBy("key").agg(F.ceil(F.count("*") / (4 * SLICE)).cast("int").alias("salts"))
     queries = asks.join(opened, "key").select("doc", F.xxhash64("key", F.pmod("u", "salts")).alias("key"), F.lit(True).alias("query"))
