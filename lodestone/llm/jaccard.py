@@ -5,9 +5,9 @@
    Two sets that are similar enough share a token of their *prefixes* (the first ``n - ceil(t n) + 1`` tokens).
 3. Documents are tied to a few centres that share a prefix token; verified ties make groups of similar documents.
 4. A group stores the union of its members' tokens. A document of another group that shares a prefix token
-   with a group is a query. Twice its overlap with a union bounds that with every member: first over prefix
-   tokens, before any text moves, then over whole sets. Only groups whose bound reaches the threshold are
-   opened, and members are compared one by one until one matches.
+   with a group is a query. Two bounds keep groups shut: how many tokens stand behind the shared one in the
+   query and in the members, before any text moves; then the query's overlap with the union of whole sets. Groups
+   whose bounds reach the threshold are opened, and members are compared one by one until one matches.
    Pairs inside a group need no look: they are connected already.
 No step makes all pairs of a group or of a token's list of documents, and none drops a candidate.
 """
@@ -195,7 +195,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) ->
     # Groups of similar documents: what is tied so far. Their parts are of near sizes, by bands and a hash.
     grouped = tokens.join(first.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(den / num) / 5)))
-    grouped = scratch.keep(grouped.select("token", "doc", "n", "component", band.alias("band")), "grouped")
+    grouped = scratch.keep(grouped.select("token", "pos", "doc", "n", "component", band.alias("band")), "grouped")
     members = grouped.select("doc", "component", "band").distinct()
     sizes = members.groupBy("component", "band").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
     members = members.join(sizes, ["component", "band"]).select("doc", "component", F.xxhash64("component", "band", F.pmod(F.xxhash64("doc"), F.col("parts"))).alias("key"))
@@ -203,21 +203,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) ->
     sized = members.join(classes.select(F.col("rep").alias("doc"), "n"), "doc")
     parts = sized.groupBy("component", "key").agg(F.min("n").alias("part_least"), F.max("n").alias("part_most"))
     heads = members.groupBy("component").agg(F.count("*").alias("heads"))
-    unions = grouped.groupBy("token", "component").agg(F.min("n").alias("least"), F.max("n").alias("most")).join(heads, "component")
+    # Two sets need num (n + m) / (num + den) common tokens. Of a pair that is similar enough take the first common
+    # token in the global order: all common tokens stand there or behind it, in both sets. So n - pos reaches that
+    # number in either set, and the pair meets at this token; a row that falls short on a side is no such meeting.
+    slack = (num + den) * (F.col("n") - F.col("pos")) - num * F.col("n")
+    unions = grouped.groupBy("token", "component").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(slack).alias("most_slack")).join(heads, "component")
     multi = unions.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    asks = grouped.join(multi, "token").join(heads, "component").select("token", "doc", "n", F.col("component").alias("own"), F.col("heads").alias("own_heads"))
+    asks = grouped.join(multi, "token").join(heads, "component").select("token", "doc", "n", slack.alias("slack"), F.col("component").alias("own"), F.col("heads").alias("own_heads"))
     smaller = (F.col("own_heads") < F.col("heads")) | ((F.col("own_heads") == F.col("heads")) & (F.col("own") > F.col("component")))
     near = (den * F.col("n") >= num * F.col("least")) & (den * F.col("most") >= num * F.col("n"))
-    asks = asks.join(unions, "token").where((F.col("own") != F.col("component")) & smaller & near)
-    asks = asks.groupBy("doc", "n", "component").agg(F.count("*").alias("common"), F.min("least").alias("least"), F.max("most").alias("most"))
-
-    # Two sets need num (n + m) / (num + den) common tokens. Of the set whose prefix ends first, the tokens behind the
-    # prefix are ceil(t n) - 1; so at least the rest must be in both prefixes. It is least at an end of the range of m.
-    def least_common(m):
-        return num * (F.col("n") + m) / (num + den) - (num * F.greatest("n", m) + den) / den
-
-    low, high = F.greatest(F.col("least"), F.floor(num * F.col("n") / den)), F.least(F.col("most"), F.ceil(den * F.col("n") / num))
-    asks = asks.where(F.col("common") >= F.least(least_common(low), least_common(high))).select("doc", "n", "component")
+    first_common = (F.col("most_slack") >= num * F.col("n")) & (F.col("slack") >= num * F.col("least")) & (den * F.col("slack") >= num * num * F.col("n"))
+    asks = asks.join(unions, "token").where((F.col("own") != F.col("component")) & smaller & near & first_common)
+    asks = asks.select("doc", "n", "component").distinct()
     fits = (den * F.col("n") >= num * F.col("part_least")) & (den * F.col("part_most") >= num * F.col("n"))
     asks = asks.join(parts, "component").where(fits).select("doc", "key")
     asks = scratch.keep(asks.withColumn("u", F.pmod(F.xxhash64("doc"), F.lit(1 << 30))), "asks")
