@@ -86,9 +86,8 @@ def minimax_cuts(groups: DataFrame, shards: int) -> tuple[list[int], int]:
         for i in split:
             by_shift.setdefault(ranges.rows[i][0], []).append(ranges.rows[i][1])
         for shift, prefixes in by_shift.items():  # as many rows as ranges are in doubt, times 2 ** MORE_BITS
-            spark = groups.sparkSession
-            wanted = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in prefixes], "p long")
-            part = wide.withColumn("p", F.shiftrightunsigned("u", shift)).join(F.broadcast(wanted), "p").select("u", "size")
+            wanted = [p - (1 << 64) if p >> 63 else p for p in prefixes]
+            part = wide.where(F.shiftrightunsigned("u", shift).isin(wanted) if shift else F.col("u").isin(wanted))
             rows += sums(part, max(0, shift - MORE_BITS))
         ranges = _Ranges(rows)
     ends = ranges.cuts(high, shards, False)[:-1]
