@@ -13,7 +13,7 @@ from lodestone.operators import compile as C
 from lodestone.operators import graph, retrieval, semantic, state
 from lodestone.plans import oracles
 from lodestone.plans.views import Views
-from lodestone.sources import files, ignore
+from lodestone.sources import files, ignore, scratch
 from lodestone.sources.store import KINDS
 from lodestone.streaming import watch
 
@@ -169,8 +169,7 @@ def bm25_topk(v):
 
 @query
 def fts_threshold(v):
-    ranked = retrieval.bm25(_task_tokens(v), v.documents(), F.col("text"))
-    return retrieval.fts_admitted(ranked, _pairs(v)).select("q", "d", "shared")
+    return retrieval.fts_admitted(retrieval.bm25(_task_tokens(v), v.documents(), F.col("text"))).select("q", "d", "shared")
 
 
 def _relevant_attempts(v: Views) -> DataFrame:
@@ -179,10 +178,14 @@ def _relevant_attempts(v: Views) -> DataFrame:
     return found.select("q", F.col("d").alias("attempt_id")).join(a.select("attempt_id", "outcome", "evidence_id"), "attempt_id")
 
 
+def _rescued(v: Views, relevant: DataFrame) -> DataFrame:
+    known = relevant.where("outcome <> 'partial'").select("q", "attempt_id")
+    return retrieval.rescued(known, v.attempts().select("attempt_id", "evidence_id"), v.memory_evidence())
+
+
 @query
 def provenance_rescue(v):
-    known = _relevant_attempts(v).where("outcome <> 'partial'").select("q", "attempt_id")
-    return retrieval.rescued(known, v.attempts().select("attempt_id", "evidence_id"), v.memory_evidence())
+    return _rescued(v, _relevant_attempts(v))
 
 
 @query
@@ -222,20 +225,25 @@ def chunk_documents(v):
     return v.documents().select("d", F.posexplode(T.chunks(F.col("text"))).alias("i", "chunk")).select("d", F.col("i").cast("long").alias("i"), F.length("chunk").cast("long").alias("size"), F.md5("chunk").alias("digest"))
 
 
-def _chunk_rows(v: Views) -> DataFrame:
-    docs = v.documents().join(retrieval.lexical(_pairs(v)).select("d").distinct(), "d", "left_semi")
+def _chunk_rows(v: Views, wanted: DataFrame) -> DataFrame:
+    """Chunks of the documents of ``wanted``."""
+    docs = v.documents().join(wanted.select("d").distinct(), "d", "left_semi")
     return docs.select("d", "source", F.posexplode(T.chunks(F.col("text"))).alias("i", "chunk")).withColumn("c", T.chunk_id(F.col("d"), F.col("i")))
 
 
 def _ordered_evidence(v: Views) -> DataFrame:
-    """Chunks of the documents that a task admits, scored, without those of score 0, in their final order."""
-    rows = _chunk_rows(v)
-    pairs = retrieval.shared_counts(_task_tokens(v), retrieval.token_rows(rows.select("c", "chunk").withColumnRenamed("c", "d"), "d", F.col("chunk")))
-    scored = pairs.select("q", F.col("d").alias("c"), T.weighted_overlap(F.col("shared"), F.col("intent")).alias("score"))
-    admitted = retrieval.lexical(_pairs(v)).select("q", "d")
-    out = rows.join(scored, "c").join(admitted, ["q", "d"])
+    """Chunks of the documents that a task admits, scored, without those of score 0, in their final order.
+
+    Narrow rows, without the chunks' texts; the admitted pairs are a table, as they select documents and pairs.
+    """
+    admitted = scratch.keep(retrieval.lexical(_pairs(v)).select("q", "d"), "admitted")
+    rows = _chunk_rows(v, admitted)
+    tokens = rows.select("d", "i", "source", "c", T.tokens(F.col("chunk")).alias("t")).select("d", "i", "source", "c", F.explode("t").alias("token"))
+    hits = tokens.join(_task_tokens(v).select("q", "token"), "token").join(admitted, ["q", "d"])
+    intent = F.count_if(F.col("token").isin(*T.INTENT_TERMS))
+    found = hits.groupBy("q", "d", "i", "source", "c").agg(F.count("*").alias("shared"), intent.alias("intent"), F.collect_list("token").alias("hits"))
     pos = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "source", "d", "i"))
-    return out.withColumn("pos", pos)
+    return found.select("q", "d", "i", "source", "c", "hits", T.weighted_overlap(F.col("shared"), F.col("intent")).alias("score")).withColumn("pos", pos)
 
 
 @query
@@ -249,9 +257,8 @@ def project_evidence_order(v):
 
 
 def _sufficient(v: Views) -> DataFrame:
-    ranked = _ordered_evidence(v).withColumnsRenamed({"d": "evidence_id"}).withColumn("semantic", F.lit(False))
-    covered = ranked.select("q", "pos", F.explode(T.tokens(F.col("chunk"))).alias("token")).join(_task_tokens(v).select("q", "token"), ["q", "token"])
-    return C.sufficient(ranked, covered)
+    ranked = scratch.keep(_ordered_evidence(v), "ordered").withColumnRenamed("d", "evidence_id").withColumn("semantic", F.lit(False))
+    return C.sufficient(ranked, ranked.select("q", "pos", F.explode("hits").alias("token")))
 
 
 @query
@@ -264,10 +271,12 @@ def _items(v: Views) -> DataFrame:
     none = F.array().cast("array<string>")
     text = lambda entity, content, path: T.render_item(entity, content, F.lit(None).cast("string"), path, F.lit(0), F.lit(1), none, none)
     null = F.lit(None).cast("string")
-    evidence = _sufficient(v).select("q", F.lit(4).alias("s"), F.col("pos").cast("long").alias("p"), text(F.col("c"), F.col("chunk"), F.col("source")).alias("rendered"))
-    history = _relevant_attempts(v).where("outcome = 'failed'").join(v.attempts().select("attempt_id", "approach"), "attempt_id")
+    chosen = scratch.keep(_sufficient(v).select("q", "c", "pos", F.col("evidence_id").alias("d")), "sufficient")
+    evidence = chosen.join(_chunk_rows(v, chosen).select("c", "chunk", "source"), "c").select("q", F.lit(4).alias("s"), F.col("pos").cast("long").alias("p"), text(F.col("c"), F.col("chunk"), F.col("source")).alias("rendered"))
+    attempts = scratch.keep(_relevant_attempts(v), "attempts")
+    history = attempts.where("outcome = 'failed'").join(v.attempts().select("attempt_id", "approach"), "attempt_id")
     history = history.select("q", F.lit(5).alias("s"), F.col("attempt_id").alias("p"), text(F.concat(F.lit("a"), F.col("attempt_id").cast("string")), F.col("approach"), null).alias("rendered"))
-    risks = state.current(v.memories()).where("kind = 'pending'").join(provenance_rescue(v), "memory_id")
+    risks = state.current(v.memories()).where("kind = 'pending'").join(_rescued(v, attempts), "memory_id")
     risks = risks.select("q", F.lit(1).alias("s"), F.col("seq").alias("p"), text(F.col("memory_id"), F.col("content"), null).alias("rendered"))
     items = risks.unionByName(history).unionByName(evidence)
     pos = F.row_number().over(Window.partitionBy("q").orderBy("s", "p"))
@@ -299,8 +308,8 @@ def context_text(v):
 def preflight_long(v):
     """Categories of every task; constraints hold for all tasks and stand once, under task -1."""
     live = state.current(v.memories())
-    rescued = live.join(provenance_rescue(v), "memory_id")
-    attempts = _relevant_attempts(v)
+    attempts = scratch.keep(_relevant_attempts(v), "attempts")
+    rescued = live.join(_rescued(v, attempts), "memory_id")
     lexical = retrieval.lexical(retrieval.shared_counts(_task_tokens(v), retrieval.token_rows(live.withColumnRenamed("memory_id", "d"), "d", F.col("content")))).select("q", F.col("d").alias("memory_id"))
     related = live.join(lexical, "memory_id").unionByName(rescued).distinct()
     category = F.when(F.col("kind") == "root_cause", "root_cause").when((F.col("kind") == "lesson") & (F.col("epistemic_state") == "verified"), "lesson").when(F.col("kind") == "pending", "pending").when(F.col("kind") == "invalidation", "invalidation")
