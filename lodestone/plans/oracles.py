@@ -81,7 +81,25 @@ chosen AS (SELECT *, used <= 4000 AS selected FROM budget),
 tot AS (SELECT q, count(*) FILTER (WHERE selected) AS n_selected, count(*) FILTER (WHERE NOT selected) AS n_omitted, CAST(coalesce(max(used) FILTER (WHERE selected), 0) AS BIGINT) AS used FROM chosen GROUP BY q)
 """
 
+EXPERIENCE = """, lk AS (SELECT vec_id AS id, concat(label, '-', vec_id // 4) AS ev FROM embeddings WHERE label IS NOT NULL UNION SELECT vec_id, concat(label, '-', vec_id % 100 + 1000000) FROM embeddings WHERE label IS NOT NULL AND vec_id % 4 = 0),
+        reach AS (SELECT id, id AS r FROM lk UNION SELECT b.id, reach.r FROM reach JOIN lk a ON a.id = reach.id JOIN lk b ON a.ev = b.ev), mem_c AS (SELECT id, min(r) AS c, id % 3 = 0 AS is_lesson FROM reach GROUP BY id),
+        xs AS (SELECT q, id, score FROM sc WHERE q % 100 = 0 OR score < 0.3), xr AS (SELECT xs.*, c, is_lesson, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS r FROM xs JOIN mem_c USING (id)),
+        t AS (SELECT q, id, score, c, is_lesson FROM xr WHERE r = 1), won AS (SELECT q, c FROM t WHERE score >= 0.20 AND (NOT is_lesson OR score >= 0.30)
+          AND coalesce(score - (SELECT max(x.score) FROM xr x WHERE x.q = t.q AND x.c <> t.c), 1) >= 0.08 AND EXISTS (SELECT 1 FROM xr x WHERE x.q = t.q AND x.c = t.c AND NOT x.is_lesson)),
+        adm AS (SELECT q, id FROM xr JOIN won USING (q, c))"""
+
 SQL = {
+    "cluster_admission": EXPERIENCE + " SELECT q, id FROM adm",
+    "corroboration": EXPERIENCE + """, rl AS (SELECT DISTINCT t.q, t.id, b.id AS a FROM t JOIN lk x ON x.id = t.id JOIN lk b ON b.ev = x.ev WHERE b.id % 2 = 1 AND t.score >= 0.0),
+        won2 AS (SELECT q FROM (SELECT rl.q, score, row_number() OVER w AS r, lead(score) OVER w AS nxt FROM rl JOIN xs ON xs.q = rl.q AND xs.id = rl.a WINDOW w AS (PARTITION BY rl.q ORDER BY score DESC, rl.a)) WHERE r = 1 AND score >= 0.50 AND (nxt IS NULL OR score - nxt >= 0.08)),
+        snd AS (SELECT DISTINCT rl.q, rl.id FROM rl JOIN xs ON xs.q = rl.q AND xs.id = rl.a WHERE (rl.q + rl.a) % 3 = 0 UNION SELECT t.q, t.id FROM t JOIN won2 USING (q))
+        SELECT q, id FROM adm UNION ALL SELECT q, id FROM snd WHERE q NOT IN (SELECT q FROM adm)""",
+    "admission_channels": """, fts AS (SELECT q, d FROM ranked JOIN pairs USING (q, d) WHERE rank <= 200 AND shared >= greatest(least(qn, dn) // 2 + 1, (qn // 2 + 1) // 2)), every AS (SELECT q, d FROM lex UNION SELECT q, d FROM fts)
+        SELECT q, d AS id, EXISTS (SELECT 1 FROM lex l WHERE l.q = e.q AND l.d = e.d) AS words, EXISTS (SELECT 1 FROM fts f WHERE f.q = e.q AND f.d = e.d) AS full_text FROM every e""",
+    "skill_promotion": """SELECT concat('s', memory_id) AS skill_id, CASE WHEN kind = 'lesson' AND epistemic_state = 'verified' THEN 'verified' ELSE 'candidate' END AS verification_state, CAST(conv_id % 97 AS VARCHAR) AS cited,
+        CASE WHEN seq % 5 = 0 OR trim(substring(content, 1, 8)) = '' THEN 'blank name' WHEN seq % 7 = 0 THEN 'blank step' WHEN kind <> 'lesson' THEN 'unknown lesson' END AS reason FROM mem WHERE kind IN ('lesson', 'note')""",
+    "vector_upsert": "SELECT 'memory' AS entity_type, vec_id AS entity_id, CASE WHEN vec_id % 3 = 0 THEN vec_id + 1001 ELSE label END AS version FROM embeddings",
+    "index_status": "SELECT 'stale' AS state, CAST(NULL AS VARCHAR) AS detail, count(*) FILTER (WHERE vec_id % 10 = 0) AS missing FROM embeddings",
     "current_state": "SELECT memory_id, kind, epistemic_state, seq FROM live",
     "state_by_kind": "SELECT memory_id, content, seq FROM live WHERE kind = 'decision'",
     "timeline_with_status": "SELECT seq, memory_id, kind, is_current FROM status",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.operators import compile as C
-from lodestone.operators import graph, retrieval, semantic, state
+from lodestone.operators import experience, graph, retrieval, semantic, state
 from lodestone.plans import oracles
 from lodestone.plans.views import Views
 from lodestone.sources import files, ignore, scratch
@@ -214,6 +214,68 @@ def source_max_admission(v):
     return semantic.admitted_set(semantic.group_max(semantic.scores(*v.vectors())), *semantic.SETS["document"]).select("q", "id", "score", "rank")
 
 
+def _experiences(v: Views) -> tuple[DataFrame, DataFrame]:
+    """Evidence links (id, evidence) of vectors, within a label, and their clusters with a third of them lessons."""
+    e = v.table("embeddings").where("label is not null")
+    keys = F.array(F.floor(F.col("vec_id") / 4), F.when(F.col("vec_id") % 4 == 0, F.col("vec_id") % 100 + 1_000_000))
+    links = e.select(F.col("vec_id").alias("id"), F.explode(F.transform(F.array_compact(keys), lambda k: F.concat_ws("-", "label", k))).alias("evidence"))
+    found = graph.clusters(links.select(F.col("id").alias("member"), "evidence"))
+    return links, found.select(F.col("member").alias("id"), "cluster", (F.col("member") % 3 == 0).alias("is_lesson"))
+
+
+def _experience_scores(v: Views) -> DataFrame:
+    """Queries against the vectors of their label; those of every second query against all but the near ones."""
+    return semantic.scores(*v.vectors()).where("q % 100 = 0 or score < 0.3").select("q", "id", "score")
+
+
+@query
+def cluster_admission(v):
+    return experience.cluster_admitted(_experience_scores(v), _experiences(v)[1])
+
+
+@query
+def corroboration(v):
+    """Records admitted by cluster, or by an attempt on their evidence; attempts are the vectors of odd ids."""
+    links, members = _experiences(v)
+    scored = _experience_scores(v)
+    attempts = links.where("id % 2 = 1").select(F.col("id").alias("attempt_id"), "evidence")
+    words = scored.where("(q + id) % 3 = 0").select("q", F.col("id").alias("attempt_id"))
+    second = experience.corroborated(scored, links, attempts, words, scored.withColumnRenamed("id", "attempt_id"))
+    return experience.with_fallback(experience.cluster_admitted(scored, members), second)
+
+
+@query
+def admission_channels(v):
+    """Which of words and full text admit a document for a task."""
+    words = retrieval.lexical(_pairs(v)).select("q", F.col("d").alias("id"))
+    text = retrieval.fts_admitted(retrieval.bm25(_task_tokens(v), v.documents(), F.col("text"))).select("q", F.col("d").alias("id"))
+    return experience.channels(words=words, full_text=text)
+
+
+@query
+def skill_promotion(v):
+    m = v.memories()
+    odd = F.col("seq") % 5 == 0
+    drafts = m.where("kind in ('lesson', 'note')").select(F.concat(F.lit("s"), F.col("memory_id")).alias("skill_id"), F.when(odd, F.lit(" ")).otherwise(F.substring("content", 1, 8)).alias("name"), F.lit("use").alias("purpose"), F.array(F.lit("do"), F.when(F.col("seq") % 7 == 0, F.lit("")).otherwise(F.lit("check"))).alias("steps"), F.array().cast("array<string>").alias("conditions"), F.col("memory_id").alias("lesson_id"))
+    cites = v.memory_evidence().withColumn("position", F.lit(0))
+    out = experience.promoted(drafts, m, cites)
+    return out.select("skill_id", "verification_state", F.array_join(F.transform("evidence_ids", lambda x: x.cast("string")), ",").alias("cited"), "reason")
+
+
+@query
+def vector_upsert(v):
+    e = v.table("embeddings").select(F.lit("memory").alias("entity_type"), F.col("vec_id").alias("entity_id"), F.col("label").cast("long").alias("version"))
+    new = e.where("entity_id % 3 = 0").withColumn("version", F.col("entity_id") + 1000)
+    both = new.unionByName(new.withColumn("version", F.col("version") + 1))
+    return experience.upserted(e.where("entity_id % 6 <> 0"), both, ["entity_type", "entity_id"], "version")
+
+
+@query
+def index_status(v):
+    pool = v.table("embeddings").select(F.lit("memory").alias("entity_type"), F.col("vec_id").alias("entity_id"))
+    return experience.index_state(pool, pool.where("entity_id % 10 <> 0"), True, "m", "m", True)
+
+
 @query
 def evidence_cluster(v):
     m = v.memories().select(F.col("conv_id").alias("member")).distinct()
