@@ -10,7 +10,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import jaccard, language, lines, mixing, packing, quality, registry, sharding, substring, urls, vectors
+from lodestone.llm import components, jaccard, language, lines, mixing, packing, quality, registry, sharding, substring, urls, vectors
+from lodestone.llm.scratch import Scratch
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, spans string, __text string"
@@ -235,6 +236,20 @@ def test_url_rules_and_templates(spark):
     assert urls.judge_urls(spark.createDataFrame([], "page_id long, url string"), empty).count() == 0
 
 
+@pytest.mark.parametrize("order", ["ascending", "mixed", "stars"])
+def test_components_of_long_chains(spark, order):
+    ids = list(range(400))
+    if order == "mixed":
+        random.Random(7).shuffle(ids)
+    edges = list(zip(ids, ids[1:], strict=False)) + [(1000 + i, 1001 + i) for i in range(0, 50, 2)]
+    if order == "stars":  # hubs of the largest ids, tied to each other by their smallest leaves
+        edges = [(900 - h, h * 20 + i) for h in range(20) for i in range(21)]
+    table = spark.createDataFrame(edges, "a long, b long")
+    got = {r.node: r.component for r in components.components(table, Scratch(spark, "test")).collect()}
+    want = {n: 0 for e in edges for n in e if n < 1000} | {1000 + i: 1000 + i - i % 2 for i in range(50) if order != "stars"}
+    assert got == want
+
+
 def classes_by_force(rows, k, num, den):
     sets = {}
     for d, t in rows:
