@@ -2,6 +2,7 @@
 
 A chunk ends after a line where the rolling hash of the last lines' hashes falls on a fixed residue, so a boundary
 depends on the lines near it and not on their place: an insertion shifts text but not the chunks behind it.
+A chunk has two lines at least: no boundary falls on its first line, and a lone last line joins the chunk before.
 Chunks of two lines and more that occur before in the corpus (in a smaller doc_id, or earlier in the same document)
 are removed after their bytes are compared with the first occurrence of the same hash.
 """
@@ -13,8 +14,8 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.scratch import Scratch
 
-#: A boundary hash looks at the last ROLL lines; one line in DIVISOR ends a chunk on average; chunks end at MOST lines.
-ROLL, DIVISOR, MOST = 2, 4, 64
+#: A boundary hash looks at the last ROLL lines; one line in DIVISOR may end a chunk; chunks end at MOST lines, or one more if it would be left alone.
+ROLL, DIVISOR, MOST = 2, 2, 64
 
 
 def let(value: Column, body) -> Column:
@@ -23,18 +24,21 @@ def let(value: Column, body) -> Column:
 
 
 def chunk_bounds(lines: Column, roll: int = ROLL, divisor: int = DIVISOR, most: int = MOST) -> Column:
-    """array<struct<start, length>> of the chunks of an array of lines."""
+    """array<struct<start, length>> of the chunks of an array of lines; of two lines and more, but for an array of one."""
 
     def bounds(h: Column) -> Column:
         def ends(i: Column) -> Column:
             mixed = F.xxhash64(*[F.when(i >= k, F.get(h, i - k)) for k in range(roll)])
             return F.pmod(mixed, F.lit(divisor)) == 0
 
-        cut = F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda i: ends(i) | (i == F.size(h) - 1))
+        every, last = F.sequence(F.lit(0), F.size(h) - 1), F.size(h) - 1
+        marks = F.array_join(F.transform(every, lambda i: F.when((i > 0) & ends(i), F.lit("1")).otherwise(F.lit("0"))), "")
+        # Of marks in a row every second one counts, from the left.
+        cut = let(F.split(F.regexp_replace(marks, "11", "10"), ""), lambda m: F.filter(every, lambda i: ((F.get(m, i) == "1") & (i < last - 1)) | (i == last)))
         return let(cut, lambda c: F.transform(c, lambda e, k: F.struct(F.when(k == 0, F.lit(0)).otherwise(F.get(c, k - 1) + 1).alias("start"), e.alias("end"))))
 
     def pieces(spans: Column) -> Column:
-        return F.flatten(F.transform(spans, lambda s: F.transform(F.sequence(s.start, s.end, F.lit(most)), lambda a: F.struct(a.alias("start"), (F.least(s.end, a + (most - 1)) - a + 1).alias("length")))))
+        return F.flatten(F.transform(spans, lambda s: F.transform(F.sequence(s.start, F.greatest(s.start, s.end - 1), F.lit(most)), lambda a: F.struct(a.alias("start"), (F.when(a + most >= s.end, s.end).otherwise(a + (most - 1)) - a + 1).alias("length")))))
 
     return pieces(let(F.transform(lines, lambda x: F.xxhash64(x)), bounds))
 

@@ -311,7 +311,7 @@ def test_lines_are_whole_and_repeats_go(spark, docs, odd):
     out = lines.dedup_lines(odd)
     assert out.count() == odd.count() and out.columns[: len(odd.columns)] == odd.columns
     kept = {r.doc_id: r.text for r in out.collect()}
-    assert kept[1] is None and kept[2] == "" and len(kept[11]) < 6000 < len(kept[10])  # only chunks of one line stay
+    assert kept[1] is None and kept[2] == "" and len(kept[11]) < 2000 < len(kept[10])
     assert lines.dedup_lines(none(spark)).count() == 0
 
 
@@ -323,6 +323,18 @@ def test_chunks_survive_an_insertion(spark):
     assert got[1] == 0 and got[2] > 300
 
 
+def test_copies_of_lines_leave_nothing(spark):
+    rng = random.Random(8)
+    texts = ["\n".join(rng.choice("abcdefgh") + str(rng.randrange(k)) for _ in range(n)) for n in (*range(2, 60), 65, 66, 129, 130) for k in (1, 10**9)]
+    texts += ["\n".join(["same"] * n) for n in (64, 65, 66, 129)]
+    rows = [(i, t) for i, t in enumerate(dict.fromkeys(texts))]
+    df = spark.createDataFrame(rows + [(i + 1000, t) for i, t in rows], "doc_id long, text string")
+    chunks = df.select(F.explode(lines.chunk_bounds(F.split("text", "\n"))).alias("c")).select("c.*")
+    assert chunks.where(f"length < 2 or length > {lines.MOST + 1}").count() == 0
+    out = {r.doc_id: r for r in lines.dedup_lines(df).collect()}
+    assert [i for i, _ in rows if out[i + 1000].text != "" or out[i + 1000].n_lines_removed != out[i + 1000].n_lines] == []
+
+
 def test_pipeline_against_its_stages(spark):
     import corpus_pipeline as cp
 
