@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 from lodestone.llm.scratch import Scratch
 
 WINDOW, QUANTUM, END_ID = 2048, 256, 1
-#: More sources than this share queues, by a hash of their names; so the schedule has a fixed size.
+#: Up to this many queues the schedule is broadcast; for more, quanta are sorted in a table. Both give the same places.
 QUEUES = 1024
+#: Quanta of a queue that one row is spread to at once.
+SPREAD = 1 << 16
 #: Rows of queue offsets (some 40 bytes each) that are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 100_000
 
@@ -143,7 +145,40 @@ def _tokenise(docs: DataFrame, encoder: Encoder, end_id: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, queue string, part int, at long, n long, ids binary")
 
 
-def _pieces(rows: DataFrame, plan, number: dict[str, int]) -> DataFrame:
+def _sorted_places(placed: DataFrame, held: DataFrame, weights: dict[str, float] | None, window: int, quantum: int, scratch: Scratch) -> DataFrame:
+    """``placed`` with places, the stream positions of a document's quanta: running sums over all quanta by round, queue and number."""
+    spark = held.sparkSession
+    named = spark.createDataFrame([(f"s:{q}", float(w)) for q, w in (weights or {}).items()], "queue string, named double")
+    totals = scratch.keep(held.groupBy("queue").agg(F.sum("held").alias("total")).join(named, "queue", "left"), "totals")
+    every = totals.agg(F.sum("total")).first()[0]
+    share = F.col("total") / F.lit(every)
+    sums = totals.agg(F.sum("named").alias("named"), F.sum(F.when(F.col("named").isNull(), share)).alias("free")).first()
+    left, free = max(0.0, 1 - (sums.named or 0.0)), sums.free or 0.0
+    if sums.named is not None and free and left:
+        share = F.coalesce("named", share / F.lit(free) * F.lit(left))
+    else:
+        share = F.coalesce("named", share)
+    blocks = totals.select("queue", "total", (F.greatest(share, F.lit(1e-12)) * window).alias("credit"), F.ceil(F.col("total") / quantum).alias("quanta"))
+    blocks = blocks.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(quanta - 1) div {SPREAD}"))).alias("block")).repartition("queue", "block")
+    quanta = blocks.select("queue", "total", "credit", F.explode(F.sequence(F.col("block") * SPREAD, F.least(F.col("block") * SPREAD + SPREAD, F.col("quanta")) - 1)).alias("k"))
+    end = F.least((F.col("k") + 1) * quantum, F.col("total"))
+    quanta = quanta.select("queue", "k", F.ceil(end / F.col("credit")).alias("round"), (end - F.col("k") * quantum).alias("size"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    quanta = scratch.keep(quanta.repartitionByRange(parts, "round", "queue", "k").withColumn("range", F.spark_partition_id()), "quanta")
+    at, ahead = 0, []
+    for r in quanta.groupBy("range").agg(F.sum("size").alias("n")).orderBy("range").collect():  # at most one row a shuffle partition
+        ahead.append((r.range, at))
+        at += r.n
+    within = Window.partitionBy("range").orderBy("round", "queue", "k").rowsBetween(Window.unboundedPreceding, -1)
+    pos = F.col("ahead") + F.coalesce(F.sum("size").over(within), F.lit(0))
+    quanta = quanta.join(F.broadcast(spark.createDataFrame(ahead, "range int, ahead long")), "range").select("queue", "k", pos.alias("pos"))
+    key = ["queue", "part", "at"]  # names a row: every row has a token
+    spread = placed.select(*key, F.explode(F.sequence(F.expr(f"begin div {quantum}"), F.expr(f"(begin + n - 1) div {quantum}"))).alias("k"))
+    places = spread.join(quanta.hint("merge"), ["queue", "k"]).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("k", "pos"))).alias("places"))
+    return placed.join(places.hint("merge"), key).select("doc_id", "queue", "begin", "n", "ids", F.col("places.pos").alias("places"))
+
+
+def _pieces(rows: DataFrame, plan, number: dict[str, int] | None) -> DataFrame:
     def run(batches):
         s = plan.value
         for batch in batches:
@@ -153,9 +188,7 @@ def _pieces(rows: DataFrame, plan, number: dict[str, int]) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, source_queue string")
 
 
-def _placed(batch: pa.RecordBatch, s: Schedule, number: dict[str, int]) -> pa.RecordBatch:
-    names = batch.column(1).to_pylist()
-    queue = np.array([number[x] for x in names], dtype=np.int64)
+def _placed(batch: pa.RecordBatch, s: Schedule, number: dict[str, int] | None) -> pa.RecordBatch:
     begin, n = batch.column(2).to_numpy(zero_copy_only=False), batch.column(3).to_numpy(zero_copy_only=False)
     ids = [x.as_buffer() for x in batch.column(4)]
     first, last = begin // s.quantum, (begin + n - 1) // s.quantum
@@ -163,7 +196,11 @@ def _placed(batch: pa.RecordBatch, s: Schedule, number: dict[str, int]) -> pa.Re
     doc = np.repeat(np.arange(len(n)), count)
     k = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count) + first[doc]
     lo, hi = np.maximum(k * s.quantum, begin[doc]), np.minimum((k + 1) * s.quantum, (begin + n)[doc])
-    pos = s.place(queue[doc], k) + lo - k * s.quantum
+    if number is None:
+        pos = batch.column(5).flatten().to_numpy(zero_copy_only=False)
+    else:
+        pos = s.place(np.array([number[x] for x in batch.column(1).to_pylist()], dtype=np.int64)[doc], k)
+    pos = pos + lo - k * s.quantum
     out = []
     while len(doc):  # a piece that crosses a sequence's end is cut there
         seq, off, end = s.sequence(pos)
@@ -193,12 +230,17 @@ def pack(docs: DataFrame, encoder: Encoder | None = None, weights: dict[str, flo
     scratch = Scratch(spark, "packing")
     encoder = encoder or byte_bpe()
     queue = F.coalesce(F.concat(F.lit("s:"), F.col("source").cast("string")), F.lit("none"))
-    if docs.select("source").distinct().limit(QUEUES + 1).count() > QUEUES:
-        queue = F.concat(F.lit("h:"), F.pmod(F.xxhash64("source"), F.lit(QUEUES)).cast("string"))
-        weights = None
     rows = scratch.keep(_tokenise(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), queue.alias("queue")), encoder, end_id), "tokens")
     held = scratch.keep(rows.groupBy("queue", "part").agg(F.sum("n").alias("held")), "held")
-    totals = {r.queue: r.total for r in held.groupBy("queue").agg(F.sum("held").alias("total")).collect()}  # at most QUEUES + 1 rows
+    ahead = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = held.select("queue", "part", F.coalesce(F.sum("held").over(ahead), F.lit(0)).alias("base"))
+    base = F.broadcast(base) if held.count() <= BROADCAST_ROWS else base.hint("merge")
+    placed = rows.join(base, ["queue", "part"]).select("doc_id", "queue", "part", "at", (F.col("base") + F.col("at")).alias("begin"), "n", "ids")
+    if held.select("queue").distinct().limit(QUEUES + 1).count() > QUEUES:
+        total = held.agg(F.sum("held")).first()[0]
+        plan = spark.sparkContext.broadcast(Schedule([total], [1.0], window, quantum))
+        return _pieces(_sorted_places(placed, held, weights, window, quantum, scratch), plan, None)
+    totals = {r.queue: r.total for r in held.groupBy("queue").agg(F.sum("held").alias("total")).collect()}  # at most QUEUES rows
     names = sorted(totals)
     every = max(1, sum(totals.values()))
     share = {q: totals[q] / every for q in names}
@@ -207,11 +249,7 @@ def pack(docs: DataFrame, encoder: Encoder | None = None, weights: dict[str, flo
         left, free = max(0.0, 1 - sum(named.values())), sum(share[q] for q in names if q not in named)
         share = {q: named[q] if q in named else share[q] / free * left if free and left else share[q] for q in names}
     plan = spark.sparkContext.broadcast(Schedule([totals[q] for q in names] or [0], [share[q] for q in names] or [1.0], window, quantum))
-    ahead = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    base = held.select("queue", "part", F.coalesce(F.sum("held").over(ahead), F.lit(0)).alias("base"))
-    base = F.broadcast(base) if held.count() <= BROADCAST_ROWS else base.hint("merge")
-    placed = rows.join(base, ["queue", "part"]).select("doc_id", "queue", (F.col("base") + F.col("at")).alias("begin"), "n", "ids")
-    return _pieces(placed, plan, {q: i for i, q in enumerate(names)})
+    return _pieces(placed.select("doc_id", "queue", "begin", "n", "ids"), plan, {q: i for i, q in enumerate(names)})
 
 
 def sequences(pieces: DataFrame) -> DataFrame:

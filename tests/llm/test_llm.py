@@ -64,6 +64,18 @@ def test_packing_places_every_id_once(spark, docs, odd):
     assert packing.pack(none(spark)).count() == 0
 
 
+def test_packing_of_many_queues_is_the_same(spark, docs, odd, monkeypatch):
+    some = docs.withColumn("source", F.concat("source", F.lit("-"), F.col("doc_id") % 9)).union(docs)
+    weights = {some.first().source: 0.3, "web-3": 0.2, "absent": 0.1}
+    for df, w in ((some, None), (some, weights), (odd, {"s1": 0.5, "s2": 0.1})):
+        want = sorted(packing.pack(df, weights=w).collect(), key=str)
+        assert len({r.source_queue for r in want}) > 2
+        with monkeypatch.context() as m:
+            m.setattr(packing, "QUEUES", 2)
+            m.setattr(packing, "SPREAD", 3, raising=False)
+            assert sorted(packing.pack(df, weights=w).collect(), key=str) == want
+
+
 def test_packing_keeps_proportions():
     s = packing.Schedule([100_000, 50_000, 7_000], [100 / 157, 50 / 157, 7 / 157], 2048, 256)
     owner = np.full(157_000, -1)
