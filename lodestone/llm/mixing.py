@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from lodestone.llm.scratch import Scratch
 
 TOPICS = 8
-#: Values of a margin that are raked on their own, the largest by tokens; the others share a cell by a hash of the value.
-VALUES, SHARED = 256, 16
+#: Margins of up to this many values are raked on the driver; larger ones in tables, to the same shares.
+VALUES = 256
+#: Rows of the probability table that are broadcast at most; more are joined by a shuffle.
+BROADCAST_ROWS = 100_000
 ROUNDS, CLOSE = 200, 1e-9
 
 
@@ -93,13 +95,51 @@ def smoothed(cells: dict[tuple, float], d: int, power: float) -> dict:
     return {k: v / sum(raised.values()) for k, v in raised.items()}
 
 
-def _folded(df: DataFrame, name: str, scratch: Scratch) -> Column:
-    """The value as text; beyond the VALUES largest, a hash of the value names one of SHARED common values."""
-    value = F.coalesce(F.concat(F.lit("v:"), F.col(name).cast("string")), F.lit("none"))
-    top = [r.v for r in df.groupBy(value.alias("v")).agg(F.sum("tokens").alias("n")).orderBy(F.desc("n"), "v").limit(VALUES + 1).collect()]
-    if len(top) <= VALUES:
-        return value
-    return F.when(value.isin(top[:VALUES]), value).otherwise(F.concat(F.lit("rest:"), F.pmod(F.xxhash64(value), F.lit(SHARED)).cast("string")))
+def _value(name: str) -> Column:
+    return F.coalesce(F.concat(F.lit("v:"), F.col(name).cast("string")), F.lit("none"))
+
+
+def _raked_in_tables(cells: DataFrame, targets: list[dict], share: float, power: float, scratch: Scratch, rounds: int = ROUNDS, close: float = CLOSE) -> DataFrame:
+    """(s, l, t, probability) of cells (s, l, t, n): ``rake`` and ``inclusion`` over tables, each margin's step written."""
+    spark = cells.sparkSession
+    total = float(cells.agg(F.sum("n")).first()[0])
+    x = scratch.keep(cells.select("s", "l", "t", "n", (F.col("n") / F.lit(total)).alias("x")), "x")
+    wants = []
+    for d, given in zip("slt", targets, strict=True):
+        own = scratch.keep(x.groupBy(d).agg(F.sum("x").alias("own")), f"own-{d}")
+        if given:
+            table = spark.createDataFrame([(k, float(max(0.0, v))) for k, v in given.items()], f"{d} string, given double")
+            own = scratch.keep(own.join(table, d, "left"), f"given-{d}")
+            sums = own.agg(F.sum("given").alias("given"), F.sum(F.when(F.col("given").isNull(), F.col("own"))).alias("free")).first()
+            left = max(0.0, 1 - (sums.given or 0.0))
+            want = F.coalesce("given", F.col("own") / F.lit(sums.free or 1.0) * F.lit(left))
+        else:
+            want = F.pow("own", F.lit(power))
+        every = own.agg(F.sum(want)).first()[0]
+        if every > 0:
+            wants.append((d, scratch.keep(own.select(d, (want / F.lit(every)).alias("want")), f"want-{d}")))
+    for _ in range(rounds):
+        worst = 0.0
+        for d, want in wants:
+            now = scratch.keep(x.groupBy(d).agg(F.sum("x").alias("own")).join(want, d), f"now-{d}")
+            worst = max(worst, now.agg(F.max(F.abs(F.col("own") - F.col("want")))).first()[0])
+            factor = F.when(F.col("own") > 0, F.col("want") / F.col("own")).otherwise(F.lit(0.0))
+            moved = scratch.keep(x.join(now.select(d, factor.alias("factor")), d).select("s", "l", "t", "n", (F.col("x") * F.col("factor")).alias("x")), f"x-{d}")
+            scratch.drop(x, now)
+            x = moved
+        if worst < close:
+            break
+    some = x.where("x > 0")
+    budget = min(share * total, float(some.agg(F.sum("n")).first()[0] or 0))
+    ratio, scale = F.col("x") / F.col("n"), 0.0
+    while True:  # a cell is full, with probability 1, from some scale on; each step fills at least one more
+        full = ratio * F.lit(scale) > 1
+        sums = some.agg(F.sum(F.when(full, F.col("n"))).alias("have"), F.sum(F.when(~full, F.col("x"))).alias("want")).first()
+        further = max(0.0, budget - (sums.have or 0)) / sums.want if sums.want else 0.0
+        if further <= scale * (1 + 1e-12):
+            break
+        scale = further
+    return scratch.keep(x.select("s", "l", "t", F.least(F.lit(1.0), ratio * F.lit(scale)).alias("probability")), "probabilities")
 
 
 def mix_sources(docs: DataFrame, targets: dict[str, dict] | None = None, share: float = 0.8, power: float = 0.7, seed: int = 20240229, topics: int = TOPICS) -> DataFrame:
@@ -117,21 +157,22 @@ def mix_sources(docs: DataFrame, targets: dict[str, dict] | None = None, share:
     tokens = (F.ceil(F.coalesce(F.octet_length("text"), F.lit(0)) / 4) + 1).cast("long")
     narrow = docs.select(F.col("doc_id"), F.col("source"), F.col("lang"), tokens.alias("tokens"), topic_of(F.col("text"), topics).alias("topic"))
     sizes = scratch.keep(narrow.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens")), "sizes")
-    by = {name: _folded(sizes, name, scratch) for name in ("source", "lang")}
-    rows = sizes.groupBy(by["source"].alias("s"), by["lang"].alias("l"), F.col("topic").alias("t")).agg(F.sum("tokens").alias("n")).collect()
-    cells = {(r.s, r.l, r.t): float(r.n) for r in rows}  # at most (VALUES + SHARED)**2 * (topics + 1) rows
+    by = {name: _value(name) for name in ("source", "lang")}
+    cells = sizes.groupBy(by["source"].alias("s"), by["lang"].alias("l"), F.col("topic").alias("t")).agg(F.sum("tokens").alias("n"))
     given = targets or {}
-    wanted = []
-    for d, name in enumerate(("source", "lang", "topic")):
-        own = {(k if name == "topic" else f"v:{k}"): v for k, v in given.get(name, {}).items()}
-        wanted.append(own or smoothed(cells, d, power))
-    p = inclusion(cells, rake(cells, wanted), share * sum(cells.values()))
-    spark = docs.sparkSession
-    table = spark.createDataFrame([(*k, v) for k, v in p.items()], "__s string, __l string, __t string, probability double")
+    wanted = [{(k if name == "topic" else f"v:{k}"): v for k, v in given.get(name, {}).items()} for name in ("source", "lang", "topic")]
+    if any(cells.select(d).distinct().limit(VALUES + 1).count() > VALUES for d in "sl"):
+        table = _raked_in_tables(scratch.keep(cells, "cells"), wanted, share, power, scratch)
+    else:
+        held = {(r.s, r.l, r.t): float(r.n) for r in cells.collect()}  # at most VALUES**2 * (topics + 1) rows
+        p = inclusion(held, rake(held, [own or smoothed(held, d, power) for d, own in enumerate(wanted)]), share * sum(held.values()))
+        table = docs.sparkSession.createDataFrame([(*k, v) for k, v in p.items()], "s string, l string, t string, probability double")
+    table = table.toDF("__s", "__l", "__t", "probability")
+    table = F.broadcast(table) if table.count() <= BROADCAST_ROWS else table.hint("merge")
     uniform = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f"-{seed}"))), 1, 13), 16, 10).cast("double") / float(1 << 52)
     out = docs.select(*[docs[c] for c in keep]).withColumns({"tokens": tokens, "topic": topic_of(F.col("text"), topics)})
     cond = (by["source"] == F.col("__s")) & (by["lang"] == F.col("__l")) & (F.col("topic") == F.col("__t"))
-    out = out.join(F.broadcast(table), cond, "left").withColumn("sampled", uniform < F.col("probability"))
+    out = out.join(table, cond, "left").withColumn("sampled", uniform < F.col("probability"))
     return out.select(*keep, *names)
 
 

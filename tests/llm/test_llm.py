@@ -234,6 +234,18 @@ def test_raking_meets_margins(spark, docs, odd):
     assert mixing.mix_sources(none(spark)).count() == 0
 
 
+def test_mixing_of_many_sources_is_the_same(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(i, "x" * rng.randrange(1, 900), rng.choice("pq"), f"s{min(i, rng.randrange(300))}" if i >= 300 else f"s{i}") for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for targets in (None, {"source": {"s299": 0.01, "s7": 0.002, "absent": 0.1}, "lang": {"p": 0.4, "q": 0.6}}):
+        got = {r.doc_id: r.probability for r in mixing.mix_sources(df, targets).collect()}
+        with monkeypatch.context() as m:
+            m.setattr(mixing, "VALUES", 400)
+            want = {r.doc_id: r.probability for r in mixing.mix_sources(df, targets).collect()}
+        assert got.keys() == want.keys() and max(abs(got[i] - want[i]) for i in got) < 1e-6
+
+
 def test_url_rules_and_templates(spark):
     rows = [("http://WWW.Example.com/en/1?x", "www.example.com", "/en/1", "www.example.com/en/", "allow"), ("https://a.example.com/en/2#t", "a.example.com", "/en/2", "example.com/en/", "block"), ("http://x.com/de/", "x.com", "/de/", "com/", "allow"), ("http://q.net/es/9", "q.net", "/es/9", "net/es/", "block"), ("http://notexample.com/en/3", "notexample.com", "/en/3", "com/", "allow"), ("http://x.com", "x.com", "", None, "allow"), ("nothing", "", "", None, "allow"), (None, "", "", None, "allow"), ("", "", "", None, "allow"), ("a?b://h.org/p", "h.org", "/p", None, "allow")]
     pages = spark.createDataFrame([(i, r[0], "c") for i, r in enumerate(rows)], "page_id long, url string, host string")
