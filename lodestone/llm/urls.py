@@ -1,7 +1,7 @@
 """URL filter by host rules and, beyond these, by a path-template tree; DataFrame functions only.
 
-Paths become templates: a segment that varies (numbers, hexadecimal names, or any segment of a node with very many
-children) turns into a wildcard, level by level and host by host. A branch whose labelled purity does not differ
+Paths become templates: a segment that varies (numbers, hexadecimal names, or in a node with very many children those
+without enough labels that do not differ from the others) turns into a wildcard, level by level and host by host. A branch whose labelled purity does not differ
 significantly from that of its siblings together is merged with them. A template is rejected when its purity, smoothed
 towards its host's and all hosts', falls below a limit.
 """
@@ -51,17 +51,32 @@ def shape_of(path: Column) -> Column:
     return F.when(F.size(some) > LEVELS, F.concat(F.slice(some, 1, LEVELS), F.array(F.lit("**")))).otherwise(some)
 
 
-def _templates(pages: DataFrame, scratch: Scratch) -> DataFrame:
-    """(host, shape, template, good, labelled): pages by shape, with wildcards for what has too many children."""
+def _apart(g: Column, m: Column, pg: Column, pm: Column, prior: float) -> Column:
+    """Whether the purity of g good of m labels differs significantly from that of the siblings together."""
+    pooled = (pg + WEIGHT * prior) / (pm + WEIGHT)
+    z = F.abs(g / m - pooled) / F.sqrt(pooled * (1 - pooled) / m)
+    return F.coalesce((m > 0) & (pooled > 0) & (pooled < 1) & (z > SIMILAR), F.lit(False))
+
+
+def _templates(pages: DataFrame, prior: float, scratch: Scratch) -> DataFrame:
+    """(host, shape, template, good, labelled): pages by shape, with a wildcard for the rare and like children of a node that has too many of these.
+
+    A child with WEIGHT labels, or one whose purity differs significantly from its siblings', keeps its name at any number of children.
+    """
     sums = pages.groupBy("host", "shape").agg(F.count("*").alias("n"), F.sum("good").alias("good"), F.sum("labelled").alias("labelled"))
     tree = sums.withColumn("template", F.col("shape"))
     for level in range(1, LEVELS + 1):
         head = F.array_join(F.slice("template", 1, level - 1), "/") if level > 1 else F.lit("")
         tree = tree.withColumn("head", head)
         own = F.get("template", F.lit(level - 1))
-        wide = tree.where(own.isNotNull()).select("host", "head", own.alias("child")).distinct().groupBy("host", "head").agg((F.count("*") > FANOUT).alias("wide"))
-        tree = tree.join(wide.where("wide"), ["host", "head"], "left")
-        tree = tree.withColumn("template", F.when(F.col("wide") & (F.size("template") >= level), F.transform("template", lambda s, i: F.when(i == level - 1, F.lit("*")).otherwise(s))).otherwise(F.col("template"))).drop("head", "wide")
+        node = Window.partitionBy("host", "head")
+        child = tree.where(own.isNotNull()).groupBy("host", "head", own.alias("child")).agg(F.sum("good").alias("g"), F.sum("labelled").alias("m"))
+        child = child.withColumns({"pg": F.sum("g").over(node), "pm": F.sum("m").over(node)})
+        child = child.withColumn("kept", (F.col("m") >= WEIGHT) | _apart(F.col("g"), F.col("m"), F.col("pg"), F.col("pm"), prior))
+        child = child.withColumn("rest", F.sum((~F.col("kept")).cast("long")).over(node))
+        wide = child.where(~F.col("kept") & (F.col("rest") > FANOUT)).select("host", "head", "child", F.lit(True).alias("wide"))
+        tree = tree.withColumn("child", own).join(wide, ["host", "head", "child"], "left")
+        tree = tree.withColumn("template", F.when(F.col("wide"), F.transform("template", lambda s, i: F.when(i == level - 1, F.lit("*")).otherwise(s))).otherwise(F.col("template"))).drop("head", "child", "wide")
         tree = scratch.keep(tree, f"level{level}")
     return tree
 
@@ -78,18 +93,15 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rows = scratch.keep(rows.withColumn("shape", shape_of(F.col("path"))), "pages")
     marked = rows.join(labels, F.col("page_id") == F.col("label_id"), "left").select("host", "shape", F.coalesce("good", F.lit(0)).alias("good"), F.col("good").isNotNull().cast("long").alias("labelled"))
-    tree = _templates(marked, scratch)
-    own = tree.groupBy("host", "template").agg(F.sum("good").alias("g"), F.sum("labelled").alias("m"))
-    every = own.groupBy().agg(F.sum("g").alias("all_g"), F.sum("m").alias("all_m"))
-    good, marks = every.first() or (0, 0)
+    good, marks = marked.agg(F.sum("good"), F.sum("labelled")).first()
     prior = good / marks if marks else 1.0
+    tree = _templates(marked, prior, scratch)
+    own = tree.groupBy("host", "template").agg(F.sum("good").alias("g"), F.sum("labelled").alias("m"))
     parent = Window.partitionBy("host", "parent")
     own = own.withColumn("parent", F.array_join(F.slice("template", 1, F.greatest(F.size("template") - 1, F.lit(0))), "/"))
     own = own.withColumns({"pg": F.sum("g").over(parent), "pm": F.sum("m").over(parent)})
-    pooled = (F.col("pg") + WEIGHT * prior) / (F.col("pm") + WEIGHT)
-    z = F.abs(F.col("g") / F.col("m") - pooled) / F.sqrt(pooled * (1 - pooled) / F.col("m"))
-    apart = (F.col("m") > 0) & (pooled > 0) & (pooled < 1) & (z > SIMILAR)
-    own = own.withColumn("branch", F.when(F.coalesce(apart, F.lit(False)), F.array_join("template", "/")).otherwise(F.concat("parent", F.lit("/~"))))
+    apart = _apart(F.col("g"), F.col("m"), F.col("pg"), F.col("pm"), prior)
+    own = own.withColumn("branch", F.when(apart, F.array_join("template", "/")).otherwise(F.concat("parent", F.lit("/~"))))
     host = Window.partitionBy("host")
     own = own.withColumns({"hg": F.sum("g").over(host), "hm": F.sum("m").over(host), "bg": F.sum("g").over(Window.partitionBy("host", "branch")), "bm": F.sum("m").over(Window.partitionBy("host", "branch"))})
     of_host = (F.col("hg") + WEIGHT * prior) / (F.col("hm") + WEIGHT)

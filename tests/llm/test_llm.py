@@ -274,6 +274,16 @@ def test_components_of_long_chains(spark, order):
     assert got == want
 
 
+@pytest.mark.parametrize("children", [20, 80])
+def test_a_bad_section_is_judged_apart_at_any_fanout(spark, children):
+    names = [f"sec{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(children)]
+    rows = [(100 * i + j, f"http://h.org/{n}/{j}", i != 5) for i, n in enumerate(names) for j in range(40 if i == 5 else 4)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, good boolean")
+    out = urls.judge_urls(pages, pages.select("page_id", "good")).collect()
+    assert all((r.verdict == "block") == r.path.startswith(f"/{names[5]}/") for r in out)
+    assert children == 20 or {r.template for r in out} == {f"/{names[5]}/{{n}}", "/*/{n}"}
+
+
 def classes_by_force(rows, k, num, den):
     sets = {}
     for d, t in rows:
