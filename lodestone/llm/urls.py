@@ -8,6 +8,8 @@ towards its host's and all hosts', falls below a limit.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from lodestone.llm.scratch import Scratch
 
 #: (host, path, verdict): the rule holds for the host and its subdomains where the path starts with the rule's.
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
-LEVELS, FANOUT, WEIGHT, SIMILAR, LIMIT = 4, 32, 10.0, 1.96, 0.5
+FANOUT, WEIGHT, SIMILAR, LIMIT = 32, 10.0, 1.96, 0.5
 #: Rows of the verdict table that are broadcast at most (some 100 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 50_000
 
@@ -42,13 +44,12 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def shape_of(path: Column) -> Column:
-    """Segments of the path, those that vary by their look replaced by wildcards; behind LEVELS, one for the rest."""
+    """Segments of the path, those that vary by their look replaced by wildcards."""
     def general(s: Column) -> Column:
         ext = F.regexp_extract(s, r"(\.[a-z]{1,5})$", 1)
         return F.when(s.rlike(r"^[0-9]+(\.[a-z]{1,5})?$"), F.concat(F.lit("{n}"), ext)).when(s.rlike(r"^(?=.*[0-9])[0-9a-f-]{8,}(\.[a-z]{1,5})?$"), F.concat(F.lit("{x}"), ext)).otherwise(s)
 
-    some = F.transform(F.array_remove(F.split(path, "/"), ""), general)
-    return F.when(F.size(some) > LEVELS, F.concat(F.slice(some, 1, LEVELS), F.array(F.lit("**")))).otherwise(some)
+    return F.transform(F.array_remove(F.split(path, "/"), ""), general)
 
 
 def _apart(g: Column, m: Column, pg: Column, pm: Column, prior: float) -> Column:
@@ -64,8 +65,12 @@ def _templates(pages: DataFrame, prior: float, scratch: Scratch) -> DataFrame:
     A child with WEIGHT labels, or one whose purity differs significantly from its siblings', keeps its name at any number of children.
     """
     sums = pages.groupBy("host", "shape").agg(F.count("*").alias("n"), F.sum("good").alias("good"), F.sum("labelled").alias("labelled"))
-    tree = sums.withColumn("template", F.col("shape"))
-    for level in range(1, LEVELS + 1):
+    tree = scratch.keep(sums.withColumn("template", F.col("shape")), "shapes")
+    done, level = [], 0
+    while not tree.isEmpty():  # templates leave at their last segment, so a level reads those that go on
+        level += 1
+        done.append(tree.where(F.size("template") < level))
+        tree = tree.where(F.size("template") >= level)
         head = F.array_join(F.slice("template", 1, level - 1), "/") if level > 1 else F.lit("")
         tree = tree.withColumn("head", head)
         own = F.get("template", F.lit(level - 1))
@@ -78,7 +83,7 @@ def _templates(pages: DataFrame, prior: float, scratch: Scratch) -> DataFrame:
         tree = tree.withColumn("child", own).join(wide, ["host", "head", "child"], "left")
         tree = tree.withColumn("template", F.when(F.col("wide"), F.transform("template", lambda s, i: F.when(i == level - 1, F.lit("*")).otherwise(s))).otherwise(F.col("template"))).drop("head", "child", "wide")
         tree = scratch.keep(tree, f"level{level}")
-    return tree
+    return scratch.keep(reduce(DataFrame.unionByName, done, tree), "tree")
 
 
 def judge_urls(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:

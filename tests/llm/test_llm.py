@@ -284,6 +284,13 @@ def test_a_bad_section_is_judged_apart_at_any_fanout(spark, children):
     assert children == 20 or {r.template for r in out} == {f"/{names[5]}/{{n}}", "/*/{n}"}
 
 
+def test_deep_sections_are_judged_apart(spark):
+    rows = [(1000 * d + 100 * g + j, f"http://h.org/{'/'.join('abcdefghi'[:d])}/{'good' if g else 'bad'}/x/{j}", bool(g)) for d in (2, 4, 9) for g in (0, 1) for j in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, good boolean")
+    out = urls.judge_urls(pages, pages.select("page_id", "good")).collect()
+    assert all((r.verdict == "block") == ("/bad/" in r.path) for r in out) and len({r.template for r in out}) == 6
+
+
 def classes_by_force(rows, k, num, den):
     sets = {}
     for d, t in rows:
