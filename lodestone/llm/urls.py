@@ -1,23 +1,25 @@
 """URL filter by host rules and, beyond these, by a path-template tree; DataFrame functions only.
 
 Paths become templates: a segment that varies (numbers, hexadecimal names, or in a node with very many children those
-without enough labels that do not differ from the others) turns into a wildcard, level by level and host by host. A branch whose labelled purity does not differ
-significantly from that of its siblings together is merged with them. A template is rejected when its purity, smoothed
-towards its host's and all hosts', falls below a limit.
+without enough labels that do not differ from the others) turns into a wildcard, level by level and host by host. From
+the deepest level up, branches whose labelled purity does not differ significantly from their siblings' are merged. A
+branch is rejected when its purity, smoothed towards its host's and all hosts', falls below a part of that of all labels.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.scratch import Scratch
 
 #: (host, path, verdict): the rule holds for the host and its subdomains where the path starts with the rule's.
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
-FANOUT, WEIGHT, SIMILAR, LIMIT = 32, 10.0, 1.96, 0.5
+#: Rare children of a node that stay apart, weight of the smoothing in labels, deviations that count as significant,
+#: and the part of the share of all good labels below which a branch is rejected.
+FANOUT, WEIGHT, SIMILAR, BELOW = 32, 10.0, 1.96, 0.85
 #: Rows of the verdict table that are broadcast at most (some 100 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 50_000
 
@@ -52,46 +54,75 @@ def shape_of(path: Column) -> Column:
     return F.transform(F.array_remove(F.split(path, "/"), ""), general)
 
 
-def _apart(g: Column, m: Column, pg: Column, pm: Column, prior: float) -> Column:
-    """Whether the purity of g good of m labels differs significantly from that of the siblings together."""
-    pooled = (pg + WEIGHT * prior) / (pm + WEIGHT)
+def _apart(g: Column, m: Column, og: Column, om: Column, prior: float) -> Column:
+    """Whether the purity of g good of m labels differs significantly from that of the siblings, og of om, without it."""
+    pooled = (og + WEIGHT * prior) / (om + WEIGHT)
     z = F.abs(g / m - pooled) / F.sqrt(pooled * (1 - pooled) / m)
     return F.coalesce((m > 0) & (pooled > 0) & (pooled < 1) & (z > SIMILAR), F.lit(False))
 
 
-def _templates(pages: DataFrame, prior: float, scratch: Scratch) -> DataFrame:
-    """(host, shape, template, good, labelled): pages by shape, with a wildcard for the rare and like children of a node that has too many of these.
+def _children(tree: DataFrame, level: int, prior: float) -> DataFrame:
+    """(host, head, child, labels, apart): the children of all nodes above ``level``, with sums over their subtrees.
 
-    A child with WEIGHT labels, or one whose purity differs significantly from its siblings', keeps its name at any number of children.
+    Sums are combined before each shuffle; no node's children are gathered into a window.
+    """
+    child = tree.groupBy("host", _head(level).alias("head"), F.get("template", F.lit(level - 1)).alias("child")).agg(F.sum("good").alias("g"), F.sum("labelled").alias("m"))
+    node = child.groupBy("host", "head").agg(F.sum("g").alias("pg"), F.sum("m").alias("pm"))
+    apart = _apart(F.col("g"), F.col("m"), F.col("pg") - F.col("g"), F.col("pm") - F.col("m"), prior)
+    return child.join(node, ["host", "head"]).select("host", "head", "child", F.col("m").alias("labels"), apart.alias("apart"))
+
+
+def _head(level: int) -> Column:
+    return F.array_join(F.slice("template", 1, level - 1), "/") if level > 1 else F.lit("")
+
+
+def _renamed(tree: DataFrame, level: int, changed: DataFrame, name: str) -> DataFrame:
+    """``tree`` with ``name`` as the segment of ``level`` where (host, head, child) is in ``changed``."""
+    keyed = tree.withColumns({"head": _head(level), "child": F.get("template", F.lit(level - 1))})
+    keyed = keyed.join(changed.select("host", "head", "child", F.lit(True).alias("changed")), ["host", "head", "child"], "left")
+    new = F.transform("template", lambda s, i: F.when(i == level - 1, F.lit(name)).otherwise(s))
+    return keyed.withColumn("template", F.when(F.col("changed"), new).otherwise(F.col("template"))).select(*tree.columns)
+
+
+def _tree(pages: DataFrame, prior: float, scratch: Scratch) -> DataFrame:
+    """(host, shape, template, branch, good, labelled): shapes with their place in the tree, before and after merging.
+
+    Downwards, level by level, the rare children of a node that has more than FANOUT of them become one wildcard
+    ``*``; a child with WEIGHT labels, or one whose purity differs significantly from its siblings', keeps its name
+    at any number of children. Upwards, from the deepest level, children whose purity does not differ significantly
+    from that of their siblings together, without themselves, become one branch ``~``; so branches are compared at
+    every level, with sums over all that lies below them. Shapes leave the tree at their last segment.
     """
     sums = pages.groupBy("host", "shape").agg(F.count("*").alias("n"), F.sum("good").alias("good"), F.sum("labelled").alias("labelled"))
     tree = scratch.keep(sums.withColumn("template", F.col("shape")), "shapes")
-    done, level = [], 0
-    while not tree.isEmpty():  # templates leave at their last segment, so a level reads those that go on
+    ends, level = [], 0
+    while not tree.isEmpty():
         level += 1
-        done.append(tree.where(F.size("template") < level))
+        ends.append(tree.where(F.size("template") < level))
         tree = tree.where(F.size("template") >= level)
-        head = F.array_join(F.slice("template", 1, level - 1), "/") if level > 1 else F.lit("")
-        tree = tree.withColumn("head", head)
-        own = F.get("template", F.lit(level - 1))
-        node = Window.partitionBy("host", "head")
-        child = tree.where(own.isNotNull()).groupBy("host", "head", own.alias("child")).agg(F.sum("good").alias("g"), F.sum("labelled").alias("m"))
-        child = child.withColumns({"pg": F.sum("g").over(node), "pm": F.sum("m").over(node)})
-        child = child.withColumn("kept", (F.col("m") >= WEIGHT) | _apart(F.col("g"), F.col("m"), F.col("pg"), F.col("pm"), prior))
-        child = child.withColumn("rest", F.sum((~F.col("kept")).cast("long")).over(node))
-        wide = child.where(~F.col("kept") & (F.col("rest") > FANOUT)).select("host", "head", "child", F.lit(True).alias("wide"))
-        tree = tree.withColumn("child", own).join(wide, ["host", "head", "child"], "left")
-        tree = tree.withColumn("template", F.when(F.col("wide"), F.transform("template", lambda s, i: F.when(i == level - 1, F.lit("*")).otherwise(s))).otherwise(F.col("template"))).drop("head", "child", "wide")
-        tree = scratch.keep(tree, f"level{level}")
-    return scratch.keep(reduce(DataFrame.unionByName, done, tree), "tree")
+        child = _children(tree, level, prior).where((F.col("labels") < WEIGHT) & ~F.col("apart"))
+        wide = child.groupBy("host", "head").agg(F.count("*").alias("rest")).where(F.col("rest") > FANOUT)
+        tree = scratch.keep(_renamed(tree, level, child.join(wide, ["host", "head"], "left_semi"), "*"), f"down{level}")
+    ends = [e.withColumn("own", F.col("template")) for e in ends]
+    tree = None
+    for level in range(len(ends) - 1, 0, -1):
+        tree = ends[level] if tree is None else tree.unionByName(ends[level])
+        like = _children(tree, level, prior).where(~F.col("apart"))
+        several = like.groupBy("host", "head").agg(F.count("*").alias("n")).where("n > 1")
+        tree = scratch.keep(_renamed(tree, level, like.join(several, ["host", "head"], "left_semi"), "~"), f"up{level}")
+    every = [t for t in (tree, *ends[:1]) if t is not None]
+    if not every:
+        return sums.where("false").select("host", "shape", F.col("shape").alias("template"), F.col("shape").alias("branch"), "good", "labelled")
+    return reduce(DataFrame.unionByName, every).select("host", "shape", F.col("own").alias("template"), F.col("template").alias("branch"), "good", "labelled")
 
 
 def judge_urls(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
-    """``page_id, host, path, rule, verdict, template, purity`` for every row of ``pages`` (page_id, url).
+    """``page_id, host, path, rule, verdict, template, branch, purity`` for every row of ``pages`` (page_id, url).
 
-    labels: page_id, good (boolean); a page may have several, of which all must be good. A url that is null or has no
-    ``://`` has an empty host and path, fits no rule, and is judged with the others of that kind. Without any
-    label the purity is 1 and nothing but the rules rejects. Repeated rows are judged alike; other columns are not read.
+    labels: page_id, good (boolean); a page may have several, of which all must be good. A branch's purity is its share
+    of good labels, smoothed towards its host's, and that towards the share of all labels; a branch below BELOW of that
+    share is rejected. A url that is null or has no ``://`` has an empty host and path, fits no rule, and is judged with the others of that kind.
+    Without any label the purity is 1 and nothing but the rules rejects. Repeated rows are judged alike; other columns are not read.
     """
     scratch = Scratch(pages.sparkSession, "urls")
     labels = labels.where("page_id is not null and good is not null").groupBy(F.col("page_id").cast("long").alias("label_id")).agg(F.min(F.col("good").cast("long")).alias("good"))
@@ -100,24 +131,18 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
     marked = rows.join(labels, F.col("page_id") == F.col("label_id"), "left").select("host", "shape", F.coalesce("good", F.lit(0)).alias("good"), F.col("good").isNotNull().cast("long").alias("labelled"))
     good, marks = marked.agg(F.sum("good"), F.sum("labelled")).first()
     prior = good / marks if marks else 1.0
-    tree = _templates(marked, prior, scratch)
-    own = tree.groupBy("host", "template").agg(F.sum("good").alias("g"), F.sum("labelled").alias("m"))
-    parent = Window.partitionBy("host", "parent")
-    own = own.withColumn("parent", F.array_join(F.slice("template", 1, F.greatest(F.size("template") - 1, F.lit(0))), "/"))
-    own = own.withColumns({"pg": F.sum("g").over(parent), "pm": F.sum("m").over(parent)})
-    apart = _apart(F.col("g"), F.col("m"), F.col("pg"), F.col("pm"), prior)
-    own = own.withColumn("branch", F.when(apart, F.array_join("template", "/")).otherwise(F.concat("parent", F.lit("/~"))))
-    host = Window.partitionBy("host")
-    own = own.withColumns({"hg": F.sum("g").over(host), "hm": F.sum("m").over(host), "bg": F.sum("g").over(Window.partitionBy("host", "branch")), "bm": F.sum("m").over(Window.partitionBy("host", "branch"))})
-    of_host = (F.col("hg") + WEIGHT * prior) / (F.col("hm") + WEIGHT)
-    own = own.withColumn("purity", (F.col("bg") + WEIGHT * of_host) / (F.col("bm") + WEIGHT)).select("host", "template", "branch", "purity")
-    verdicts = tree.select("host", "shape", "template").join(own, ["host", "template"])
-    verdicts = scratch.keep(verdicts.select("host", "shape", F.concat(F.lit("/"), F.array_join("template", "/")).alias("template"), "purity"), "verdicts")
+    tree = scratch.keep(_tree(marked, prior, scratch), "tree")
+    own = tree.groupBy("host", "branch").agg(F.sum("good").alias("bg"), F.sum("labelled").alias("bm"))
+    host = tree.groupBy("host").agg(((F.sum("good") + WEIGHT * prior) / (F.sum("labelled") + WEIGHT)).alias("of_host"))
+    own = own.join(host, "host").select("host", "branch", ((F.col("bg") + WEIGHT * F.col("of_host")) / (F.col("bm") + WEIGHT)).alias("purity"))
+    shown = lambda c: F.concat(F.lit("/"), F.array_join(c, "/"))
+    verdicts = tree.select("host", "shape", "template", "branch").join(own, ["host", "branch"])
+    verdicts = scratch.keep(verdicts.select("host", "shape", shown("template").alias("template"), shown("branch").alias("branch"), "purity"), "verdicts")
     verdicts = F.broadcast(verdicts) if verdicts.count() <= BROADCAST_ROWS else verdicts.hint("merge")
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
     out = rows.join(verdicts, ["host", "shape"], "left")
-    method = F.when(F.col("purity") < LIMIT, F.lit("block")).otherwise(F.lit("allow"))
-    return out.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(said, method).alias("verdict"), "template", "purity")
+    method = F.when(F.col("purity") < BELOW * prior, F.lit("block")).otherwise(F.lit("allow"))
+    return out.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(said, method).alias("verdict"), "template", "branch", "purity")
 
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
