@@ -152,19 +152,62 @@ def test_quality_features_and_verdicts(spark, docs, odd):
     assert quality.score_quality(docs, labels.where("false")).where("kept <> (not base_failed)").count() == 0
 
 
+def bayes_by_hand(train, texts):
+    """Languages and probabilities from dictionaries of n-gram buckets, one text at a time."""
+    def grams(t):
+        t, out = t.lower(), Counter()
+        for n in (1, 2, 3):
+            for i in range(len(t) - n + 1):
+                h = 0
+                for j, c in enumerate(t[i : i + n]):
+                    h = (h * 0x01000193 + ord(c) * 0x9E3779B1 + j + 1) & 0xFFFFFFFF
+                h = ((h ^ (h >> 15)) * 0x85EBCA6B) & 0xFFFFFFFF
+                out[h >> (32 - language.BITS)] += 1
+        return out
+
+    total, rows = defaultdict(Counter), Counter()
+    for t, lang in train:
+        if t is not None and lang is not None:
+            total[lang] += grams(t)
+            rows[lang] += 1
+    out = []
+    for t in texts:
+        if not rows or t is None or not any(c.isalpha() for c in t):
+            out.append(("und", 0.0))
+            continue
+        s = {x: np.log(rows[x] / sum(rows.values())) + sum(n * np.log((total[x][g] + language.SMOOTH) / (total[x].total() + language.SMOOTH * language.COLUMNS)) for g, n in grams(t).items()) for x in sorted(rows)}
+        best = max(s, key=s.get)
+        out.append((best, 1 / sum(np.exp(v - s[best]) for v in s.values())))
+    return out
+
+
 def test_language_accuracy_and_edges(spark, docs, odd):
-    langs, matrix = language.fit(docs.where(~language.held_out()))
+    model = language.fit(docs.where(~language.held_out()))
     known = {r.doc_id: r.lang for r in docs.collect()}
-    out = language.predict(docs.where(language.held_out()), langs, matrix).collect()
+    out = language.predict(docs.where(language.held_out()), model).collect()
     assert np.mean([r.lang_pred == known[r.doc_id] for r in out]) > 0.95
-    for r in language.predict(odd, langs, matrix).collect():
-        assert 0 <= r.score <= 1
-    found = {r.doc_id: r.lang_pred for r in language.predict(odd, langs, matrix).collect()}
+    found = {r.doc_id: r.lang_pred for r in language.predict(odd, model).collect()}
     assert found[1] == found[2] == found[14] == "und" and found[6] != "und"
-    assert language.predict(docs, *language.fit(none(spark))).where("lang_pred <> 'und'").count() == 0
-    text = "abc def " * 40_000
-    whole = language.counts(text)
-    assert whole.sum() == 3 * len(text) - 3
+    assert language.predict(docs, language.fit(none(spark))).where("lang_pred <> 'und' or score <> 0").count() == 0
+    assert language.predict(none(spark), model).count() == 0
+    row, _, n = language.counts(["abc def " * 40_000, "", "hi"])
+    assert n[row == 0].sum() == 3 * 8 * 40_000 - 3 and n[row == 2].sum() == 3
+    assert not language.has_letter("\u00bd \u00b2 \u2163 12") and language.has_letter("1\u00e9")
+
+
+@pytest.mark.parametrize("at_once", [64, 3])
+def test_language_equals_a_model_by_hand_for_any_number_of_languages(spark, docs, monkeypatch, at_once):
+    monkeypatch.setattr(language, "AT_ONCE", at_once)
+    monkeypatch.setattr(language, "ENTRIES", 500)
+    rng = random.Random(11)
+    some = [r.text[:300] for r in docs.limit(60).collect()]
+    for names, rows in (("ab", 20), ([f"l{i:03}" for i in range(300)] if at_once == 64 else "abcdefgh", 320 if at_once == 64 else 40)):
+        train = [(rng.choice(some)[: rng.randrange(20, 90)], names[i % len(names)]) for i in range(rows)] + [(None, names[0]), ("text", None), ("", names[1])]
+        texts = [t[:50] for t in some[:12]] + [None, "", "12 \u00bd", "a"]
+        model = language.fit(spark.createDataFrame(train, "text string, lang string"))
+        got = language.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()
+        for r, (lang, p) in zip(got, bayes_by_hand(train, texts), strict=True):
+            assert abs(r.score - p) < 1e-6 and (r.lang_pred == lang or p < 0.5)
 
 
 def removed_by_walk(rows, window=20):
