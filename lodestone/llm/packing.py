@@ -7,8 +7,9 @@ round. The served quanta, back to back, are the training stream, and windows are
 Quantum k of a queue with T tokens and credit c a round is served in round ``ceil(min((k + 1) q, T) / c)``. So the
 deficit after any round, and with it the place of any token in the stream, follows from the queues' totals: each
 partition places its own documents, and deficits carry over windows and partitions without a sequential pass.
-Queues that run dry drop out; the others keep their proportions. Where target weights are not given, they are the
-queues' shares of all tokens, and all queues run dry together.
+Queues that run dry drop out; the others keep their proportions. Queues without a target weight share what the others
+leave, by their shares of all tokens to a power: 1 lets all of them run dry together, less lifts small queues, so that
+the early windows hold more of them than the corpus does.
 """
 
 from __future__ import annotations
@@ -24,6 +25,10 @@ from pyspark.sql import functions as F
 from lodestone.llm.scratch import Scratch
 
 WINDOW, QUANTUM, END_ID = 2048, 256, 1
+#: Of the registered query: target shares are the sources' sizes to this power, which lifts small sources.
+POWER = 0.7
+#: Share of a queue for which nothing is left: such queues follow when the others run dry.
+LEAST = 1e-7
 #: Up to this many queues the schedule is broadcast; for more, quanta are sorted in a table. Both give the same places.
 QUEUES = 1024
 #: Quanta of a queue that one row is spread to at once.
@@ -82,7 +87,7 @@ class Schedule:
 
     def __init__(self, totals: list[int], weights: list[float], window: int, quantum: int):
         self.total = np.array(totals, dtype=np.int64)
-        self.credit = np.maximum(np.array(weights, dtype=np.float64), 1e-12) * window
+        self.credit = np.maximum(np.array(weights, dtype=np.float64), LEAST) * window
         self.quantum, self.window = quantum, window
         self.quanta = -(-self.total // quantum)
         n = int(self.total.sum())
@@ -145,20 +150,26 @@ def _tokenise(docs: DataFrame, encoder: Encoder, end_id: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, queue string, part int, at long, n long, ids binary")
 
 
-def _sorted_places(placed: DataFrame, held: DataFrame, weights: dict[str, float] | None, window: int, quantum: int, scratch: Scratch) -> DataFrame:
+def shares_of(totals: dict[str, int], weights: dict[str, float] | None, power: float) -> dict[str, float]:
+    """Target shares of queues: those named as given, the others by their totals to ``power`` in what is left."""
+    every = max(1, sum(totals.values()))
+    named = {q: weights[q[2:]] for q in totals if weights and q[2:] in weights}
+    own = {q: (totals[q] / every) ** power for q in sorted(totals) if q not in named}
+    left, free = (max(0.0, 1 - sum(named.values())) if named else 1.0), sum(own.values())
+    return {q: named[q] if q in named else own[q] / free * left for q in totals}
+
+
+def _sorted_places(placed: DataFrame, held: DataFrame, weights: dict[str, float] | None, power: float, window: int, quantum: int, scratch: Scratch) -> DataFrame:
     """``placed`` with places, the stream positions of a document's quanta: running sums over all quanta by round, queue and number."""
     spark = held.sparkSession
     named = spark.createDataFrame([(f"s:{q}", float(w)) for q, w in (weights or {}).items()], "queue string, named double")
     totals = scratch.keep(held.groupBy("queue").agg(F.sum("held").alias("total")).join(named, "queue", "left"), "totals")
     every = totals.agg(F.sum("total")).first()[0]
-    share = F.col("total") / F.lit(every)
-    sums = totals.agg(F.sum("named").alias("named"), F.sum(F.when(F.col("named").isNull(), share)).alias("free")).first()
-    left, free = max(0.0, 1 - (sums.named or 0.0)), sums.free or 0.0
-    if sums.named is not None and free and left:
-        share = F.coalesce("named", share / F.lit(free) * F.lit(left))
-    else:
-        share = F.coalesce("named", share)
-    blocks = totals.select("queue", "total", (F.greatest(share, F.lit(1e-12)) * window).alias("credit"), F.ceil(F.col("total") / quantum).alias("quanta"))
+    own = F.pow(F.col("total") / F.lit(every), F.lit(float(power)))
+    sums = totals.agg(F.sum("named").alias("named"), F.sum(F.when(F.col("named").isNull(), own)).alias("free")).first()
+    left, free = (max(0.0, 1 - sums.named) if sums.named is not None else 1.0), sums.free or 0.0
+    share = F.coalesce("named", own / F.lit(free or 1.0) * F.lit(left))
+    blocks = totals.select("queue", "total", (F.greatest(share, F.lit(LEAST)) * window).alias("credit"), F.ceil(F.col("total") / quantum).alias("quanta"))
     blocks = blocks.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(quanta - 1) div {SPREAD}"))).alias("block")).repartition("queue", "block")
     quanta = blocks.select("queue", "total", "credit", F.explode(F.sequence(F.col("block") * SPREAD, F.least(F.col("block") * SPREAD + SPREAD, F.col("quanta")) - 1)).alias("k"))
     end = F.least((F.col("k") + 1) * quantum, F.col("total"))
@@ -216,13 +227,13 @@ def _placed(batch: pa.RecordBatch, s: Schedule, number: dict[str, int] | None) -
     return pa.record_batch({"doc_id": batch.column(0).take(pa.array(doc)), "start": pa.array(start, pa.int64()), "length": pa.array(size, pa.int64()), "ids": pa.array(cut, pa.binary()), "doc_tokens": pa.array(n[doc], pa.int64()), "sequence_id": pa.array(seq, pa.int64()), "offset": pa.array(off, pa.int64()), "source_queue": batch.column(1).take(pa.array(doc))})
 
 
-def pack(docs: DataFrame, encoder: Encoder | None = None, weights: dict[str, float] | None = None, window: int = WINDOW, quantum: int = QUANTUM, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, encoder: Encoder | None = None, weights: dict[str, float] | None = None, power: float = 1.0, window: int = WINDOW, quantum: int = QUANTUM, end_id: int = END_ID) -> DataFrame:
     """Pieces of documents, each with its place in a sequence of ``window`` tokens.
 
     One row a piece: doc_id, start, length, ids (little-endian unsigned 32-bit ids), doc_tokens, sequence_id, offset,
     source_queue. ``docs`` has doc_id, text and source; other columns are not read. A document's tokens are its ids
-    and ``end_id``; a null or empty text is that one token. ``weights`` are target shares by source (sources not
-    named share what is left by their sizes). A null source is a queue of its own. Repeated rows are packed as
+    and ``end_id``; a null or empty text is that one token. ``weights`` are target shares by source; sources not
+    named share what is left by their sizes to ``power``. A null source is a queue of its own. Repeated rows are packed as
     often as they occur. Sequences are filled without gaps; the rest of the stream, under one window, goes to
     sequences of falling powers of two. An empty table gives no rows.
     """
@@ -239,15 +250,9 @@ def pack(docs: DataFrame, encoder: Encoder | None = None, weights: dict[str, flo
     if held.select("queue").distinct().limit(QUEUES + 1).count() > QUEUES:
         total = held.agg(F.sum("held")).first()[0]
         plan = spark.sparkContext.broadcast(Schedule([total], [1.0], window, quantum))
-        return _pieces(_sorted_places(placed, held, weights, window, quantum, scratch), plan, None)
+        return _pieces(_sorted_places(placed, held, weights, power, window, quantum, scratch), plan, None)
     totals = {r.queue: r.total for r in held.groupBy("queue").agg(F.sum("held").alias("total")).collect()}  # at most QUEUES rows
-    names = sorted(totals)
-    every = max(1, sum(totals.values()))
-    share = {q: totals[q] / every for q in names}
-    if weights:
-        named = {q: weights[q[2:]] for q in names if q[2:] in weights}
-        left, free = max(0.0, 1 - sum(named.values())), sum(share[q] for q in names if q not in named)
-        share = {q: named[q] if q in named else share[q] / free * left if free and left else share[q] for q in names}
+    names, share = sorted(totals), shares_of(totals, weights, power)
     plan = spark.sparkContext.broadcast(Schedule([totals[q] for q in names] or [0], [share[q] for q in names] or [1.0], window, quantum))
     return _pieces(placed.select("doc_id", "queue", "begin", "n", "ids"), plan, {q: i for i, q in enumerate(names)})
 
@@ -260,6 +265,6 @@ def sequences(pieces: DataFrame) -> DataFrame:
 
 
 def op1_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents packed into sequences of 2048 tokens, in the proportions of their sources."""
-    out = pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """All documents packed into sequences of 2048 tokens; target shares of sources are their sizes to the power POWER."""
+    out = pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), power=POWER)
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
