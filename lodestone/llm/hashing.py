@@ -107,3 +107,12 @@ def windows(h: np.ndarray, k: int) -> np.ndarray:
             out += h[j : len(h) - k + 1 + j]
         out += U(k)
     return mix(out)
+
+
+def windows_at(h: np.ndarray, k: int, at: np.ndarray) -> np.ndarray:
+    """Another hash of the runs of k values that start at ``at``, independent of ``windows``."""
+    with np.errstate(over="ignore"):
+        out = h[at] ^ U(0xA5A5A5A5A5A5A5A5)
+        for j in range(1, k):
+            out = (out ^ (out >> U(29))) * U(0xBF58476D1CE4E5B9) + h[at + j]
+    return mix(out)

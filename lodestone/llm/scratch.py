@@ -15,9 +15,11 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the session names; a folder of the test machine where the session names none."""
+    """The folder that the session names; a folder of the test machine where a local session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="lodestone-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -72,6 +74,24 @@ class Scratch:
         self.paths[id(out)] = (out, path)
         return out
 
+    def keep_by(self, df: DataFrame, column: str, parts: int, label: str) -> DataFrame:
+        """``df`` written by the hash of a column, so that later groups by it read their rows without a shuffle.
+
+        At least as many parts as the session's shuffles have, else a plan would deal the rows anew.
+        """
+        spark = self.spark
+        parts = max(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        name = f"lodestone_{self.name}_{label}_{uuid.uuid4().hex[:12]}"
+        path = f"{shared_dir(spark)}/{name}"
+        before = spark.conf.get(CLEANUP, "false")
+        spark.conf.set(CLEANUP, "true")
+        try:
+            df.repartition(parts, column).write.bucketBy(parts, column).option("path", path).option("compression", "zstd").saveAsTable(name)
+        finally:
+            spark.conf.set(CLEANUP, before)
+        atexit.register(drop, spark, path)
+        return spark.table(name)
+
     def drop(self, *dfs: DataFrame) -> None:
         for df in dfs:
             if found := self.paths.pop(id(df), None):

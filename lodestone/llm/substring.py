@@ -4,15 +4,17 @@ The word positions 0, 1, 3 and 9 modulo 13 are a difference cover: for any two p
 shift below 13 that brings both onto the cover. So two equal windows of 20 words, wherever they start, share an
 8-word run that starts on the cover in both. Only those runs (4 of 13 positions) are hashed and exchanged.
 
-1. Documents are dealt into blocks by id. A block sends each of its distinct anchor hashes once.
-2. Anchors that two blocks hold go back to these blocks.
-3. A block extends: every window of 20 words around a repeated anchor is hashed, and each distinct one is sent
-   once, with the smallest document that holds it in the block.
+1. Documents are dealt into blocks by id and written once in that order; all passes read them from there.
+2. A block sends each of its distinct anchor hashes once. Those that two blocks hold go back to these blocks.
+3. A block extends: every window of 20 words around a repeated anchor is hashed to 128 bits, and each distinct one
+   is sent once, with the smallest document that holds it in the block.
 4. Of each window, all blocks but the one with the smallest document get it back as taken.
 5. A block drops the words under a window that is taken or that starts earlier in the block itself.
 
 Repeats are merged inside a block before anything is exchanged, so a passage that a third of all documents share
-costs a row a block, not a row a document, and no pairs are made.
+costs an entry a block, not a row a document, and no pairs are made. Exchanges have two levels: FAN parts of a block
+meet those of RANGE blocks, which settle what they can, and send one entry of each hash on to all ranges. So rows
+grow in proportion to the input, and of the most frequent hash one task sees RANGE entries or one a range.
 """
 
 from __future__ import annotations
@@ -26,22 +28,25 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.hashing import windows, words
+from lodestone.llm.hashing import windows, windows_at, words
 from lodestone.llm.scratch import Scratch
 
 #: A perfect difference set: fixed values.
 PERIOD, COVER = 13, (0, 1, 3, 9)
 _ON = np.isin(np.arange(PERIOD), COVER)
 BLOCK_BYTES = 6_000_000
-SEND = 1 << 19
-U = np.uint64
+#: Parts of a block, blocks that meet on the first level, and bytes of text for each bucket of the second.
+FAN, RANGE, BUCKET_BYTES = 64, 256, 1 << 23
+U, I = np.uint64, np.int64
+#: Parts of the written documents at most; more blocks share parts.
+MOST_PARTS = 50_000
 
 
 class _Block:
     """Word hashes of the documents of a block, ordered by id, and what follows from them."""
 
     def __init__(self, table: pa.Table, window: int):
-        order = pc.sort_indices(table["doc_id"]) if table.num_rows else pa.array([], pa.uint64())
+        order = pc.sort_indices(table, [("doc_id", "ascending"), ("text", "ascending")]) if table.num_rows else pa.array([], pa.uint64())
         self.table = table.take(order)
         self.window, self.span = window, window - PERIOD + 1
         hashes, first, at = [], [np.zeros(1, np.int64)], 0
@@ -91,63 +96,89 @@ def _member(a: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
     return sorted_[at] == a
 
 
-def _gathered(right: pa.Table) -> np.ndarray:
-    parts = [np.frombuffer(x.as_buffer(), "<u8") for x in right["payload"]]
-    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, U)
-
-
-def _dealt(block: int, buckets: int, h: np.ndarray, extra: np.ndarray | None = None) -> pa.Table:
-    """One row for each bucket of hashes, by their leading bits; h is sorted."""
-    bucket = ((h >> U(32)) * U(buckets)) >> U(32)
-    cut = np.flatnonzero(np.diff(bucket)) + 1
-    starts, ends = np.concatenate([[0], cut]).astype(int), np.concatenate([cut, [len(h)]]).astype(int)
-    if not len(h):
-        starts = ends = np.zeros(0, int)
-    return pa.table({
-        "bucket": pa.array(bucket[starts].astype(np.int64), pa.int64()), "block": pa.array([block] * len(starts), pa.int64()),
-        "payload": pa.array([h[s:e].tobytes() for s, e in zip(starts, ends, strict=True)], pa.binary()),
-        "ids": pa.array([b"" if extra is None else extra[s:e].tobytes() for s, e in zip(starts, ends, strict=True)], pa.binary()),
-    })
-
-
-DEALT = "bucket long, block long, payload binary, ids binary"
-BACK = "block long, payload binary"
-
-
-def _repeated(table: pa.Table) -> pa.Table:
-    """Of a bucket's anchors, those of two blocks or more, for each block that has them."""
-    parts = [np.frombuffer(x.as_buffer(), "<u8") for x in table["payload"]]
-    s = np.sort(np.concatenate(parts))
-    again = np.unique(s[1:][s[1:] == s[:-1]])
-    hits = [(b, p[_member(p, again)]) for b, p in zip(table["block"].to_pylist(), parts, strict=True)]
-    hits = [(b, p) for b, p in hits if len(p)]
-    return pa.table({"block": pa.array([b for b, _ in hits], pa.int64()), "payload": pa.array([p.tobytes() for _, p in hits], pa.binary())})
-
-
-def _taken(table: pa.Table) -> pa.Table:
-    """Of a bucket's windows, those that a smaller document of another block holds."""
-    parts = [np.frombuffer(x.as_buffer(), "<u8") for x in table["payload"]]
-    ids = np.concatenate([np.frombuffer(x.as_buffer(), "<i8") for x in table["ids"]])
-    h, who = np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-    order = np.lexsort((ids, h))
-    later = np.zeros(len(h), bool)
-    later[order[1:]] = h[order[1:]] == h[order[:-1]]
-    blocks, out = table["block"].to_pylist(), []
-    edge = np.searchsorted(who, np.arange(len(parts) + 1))
-    for i, b in enumerate(blocks):
-        if len(x := h[edge[i] : edge[i + 1]][later[edge[i] : edge[i + 1]]]):
-            out.append((b, x.tobytes()))
-    return pa.table({"block": pa.array([b for b, _ in out], pa.int64()), "payload": pa.array([p for _, p in out], pa.binary())})
-
-
-def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
+def _gathered(right: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """What a block got back: hashes and second hashes, by hash."""
+    h, g = (np.concatenate([np.frombuffer(x.as_buffer(), "<u8") for x in right[c]]) if right.num_rows else np.zeros(0, U) for c in ("h", "g"))
+    order = np.argsort(h, kind="stable")
+    return h[order], g[order]
+
+
+def _new(*sorted_: np.ndarray) -> np.ndarray:
+    """Where a run of equal entries of sorted arrays begins."""
+    out = np.ones(len(sorted_[0]), bool)
+    if len(out):
+        out[1:] = False
+        for x in sorted_:
+            out[1:] |= x[1:] != x[:-1]
+    return out
+
+
+EXCHANGE = "bucket long, range long, block long, h binary, g binary, id binary, owner binary"
+
+
+def _rows(keys: dict[str, np.ndarray], cut: np.ndarray, end: int, **columns: np.ndarray) -> pa.Table:
+    """One row of the exchange for each stretch of entries that begins at ``cut``."""
+    stop = np.append(cut, end)[1:]
+    out = {c: pa.array(keys[c], pa.int64()) if c in keys else pa.nulls(len(cut), pa.int64()) for c in ("bucket", "range", "block")}
+    return pa.table(out | {c: pa.array([columns[c][s:e].tobytes() if c in columns else b"" for s, e in zip(cut.tolist(), stop.tolist(), strict=True)], pa.binary()) for c in ("h", "g", "id", "owner")})
+
+
+def _dealt(block: int, fan: int, span: int, h: np.ndarray, **more: np.ndarray) -> pa.Table:
+    """The parts of a block by the leading bits of its hashes; h is sorted."""
+    bucket = ((h >> U(32)) * U(fan)) >> U(32)
+    cut = np.flatnonzero(_new(bucket))
+    n = len(cut)
+    return _rows({"bucket": bucket[cut].astype(I), "range": np.full(n, block // span), "block": np.full(n, block)}, cut, len(h), h=h, **more)
+
+
+def _settled(table: pa.Table, buckets: int, first_stays: bool) -> pa.Table:
+    """Entries that go back to their blocks, and, where there are buckets of a second level, one entry of each hash for it.
+
+    A hash that occurs once goes nowhere on this level. Of one that occurs more often all entries go back or, with
+    ``first_stays``, all but that of the smallest id. An entry without a block (owner -1) is known to repeat.
+    """
+    h, g, ids, owner = (np.concatenate([np.frombuffer(x.as_buffer(), t) for x in table[c]]) for c, t in (("h", "<u8"), ("g", "<u8"), ("id", "<i8"), ("owner", "<i8")))
+    if not len(owner):
+        owner = np.repeat(table["block"].to_numpy(), [len(x.as_buffer()) // 8 for x in table["h"]])
+    if not len(g):
+        g, ids = np.zeros(len(h), U), np.zeros(len(h), I)
+    order = np.lexsort((owner, ids, g, h))
+    h, g, ids, owner = h[order], g[order], ids[order], owner[order]
+    new = _new(h, g)
+    group = np.cumsum(new) - 1
+    many = np.bincount(group)[group] > 1 if len(h) else new
+    back = ~new if first_stays else many & (owner >= 0)
+    by = np.argsort(owner[back], kind="stable")
+    o, bh, bg = owner[back][by], h[back][by], g[back][by]
+    cut = np.flatnonzero(_new(o))
+    out = [_rows({"block": o[cut]}, cut, len(o), h=bh, g=bg)]
+    if buckets:
+        uh, ug, uid = h[new], g[new], ids[new]
+        uo = owner[new] if first_stays else np.where(many[new], -1, owner[new])
+        bucket = ((uh >> U(32)) * U(buckets)) >> U(32)
+        cut = np.flatnonzero(_new(bucket))
+        out.append(_rows({"bucket": bucket[cut].astype(I)}, cut, len(uh), h=uh, g=ug, id=uid, owner=uo))
+    return pa.concat_tables(out)
+
+
+def _exchange(sent: DataFrame, buckets: int, first_stays: bool, scratch: Scratch, label: str) -> DataFrame:
+    """What goes back to the blocks (block, h, g) of what they have sent; buckets of the second level, 0 where there is one range."""
+    near = scratch.keep(sent.groupBy("bucket", "range").applyInArrow(lambda table: _settled(table, buckets, first_stays), EXCHANGE), f"{label}-near")
+    back = near.where("block is not null").select("block", "h", "g")
+    if buckets:
+        far = near.where("block is null").groupBy("bucket").applyInArrow(lambda table: _settled(table, 0, first_stays), EXCHANGE)
+        back = back.unionByName(scratch.keep(far.select("block", "h", "g"), f"{label}-far"))
+    return back
+
+
+def remove_repeats(docs: DataFrame, window: int = 20, block_bytes: int = BLOCK_BYTES, fan: int = FAN, span: int = RANGE) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text, kept_sha256) for every row of ``docs`` (doc_id, text).
 
     A word goes when a window of ``window`` words covers it whose words also start earlier: in a document of a
     smaller doc_id, or earlier in the same one. Windows are judged on the input. kept_text holds the
     words that stay, joined by one space, and kept_sha256 its digest. Null and empty texts have no words.
-    Rows that repeat a doc_id count as parts of one document in the order in which they are read; rows without a
-    doc_id come before all others. An empty table gives no rows; other columns are not read.
+    Rows that repeat a doc_id count as parts of one document in the order of their texts; rows without a doc_id come
+    before all others, those of one text together, in a fixed order. An empty table gives no rows; other columns are not read.
     """
     if window < PERIOD + 2:
         raise ValueError(f"window must be {PERIOD + 2} or more")
@@ -155,27 +186,28 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     scratch = Scratch(spark, "substring")
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("doc_id").isNull().alias("no_id"))
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
-    blocks = max(1, -(-size // BLOCK_BYTES))
-    buckets = max(1, -(-size // (SEND * 16)))
+    blocks = max(1, -(-size // block_bytes))
+    buckets = max(fan, -(-size // BUCKET_BYTES)) if blocks > span else 0
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", F.when(F.col("no_id"), F.col("text"))), F.lit(blocks)))
+    dealt = scratch.keep_by(dealt, "block", min(2 * blocks, MOST_PARTS), "dealt")
 
     def first_pass(key, table):
-        return _dealt(key[0].as_py(), buckets, np.unique(_Block(table, window).anchors()[1]))
+        return _dealt(key[0].as_py(), fan, span, np.unique(_Block(table, window).anchors()[1]))
 
-    sent = dealt.select("block", "doc_id", "text").groupBy("block").applyInArrow(first_pass, DEALT)
-    back = scratch.keep(sent.groupBy("bucket").applyInArrow(lambda table: _repeated(table), BACK), "repeated")
+    sent = dealt.select("block", "doc_id", "text").groupBy("block").applyInArrow(first_pass, EXCHANGE)
+    back = _exchange(sent, buckets, False, scratch, "anchors")
 
     def second_pass(key, left, right):
         b = _Block(left, window)
-        at = b.candidates(_gathered(right))
-        w = windows(b.h, window)[at]
-        h, i = np.unique(w, return_index=True)  # the first of each: documents stand in the order of their ids
-        ids = b.table["doc_id"].to_numpy()[b.doc[at[i]]] if len(h) else np.zeros(0, np.int64)
-        return _dealt(key[0].as_py(), buckets, h, ids)
+        at = b.candidates(_gathered(right)[0])
+        h, g = windows(b.h, window)[at], windows_at(b.h, window, at)
+        order = np.lexsort((g, h))  # stable: documents stand in the order of their ids
+        order = order[_new(h[order], g[order])]
+        ids = b.table["doc_id"].to_numpy()[b.doc[at[order]]] if len(order) else np.zeros(0, I)
+        return _dealt(key[0].as_py(), fan, span, h[order], g=g[order], id=ids)
 
-    sent = dealt.select("block", "doc_id", "text").groupBy("block").cogroup(back.groupBy("block")).applyInArrow(second_pass, DEALT)
-    taken = scratch.keep(sent.groupBy("bucket").applyInArrow(lambda table: _taken(table), BACK), "taken")
-    scratch.drop(back)
+    sent = dealt.select("block", "doc_id", "text").groupBy("block").cogroup(back.groupBy("block")).applyInArrow(second_pass, EXCHANGE)
+    taken = _exchange(sent, buckets, True, scratch, "windows")
 
     def last_pass(key, left, right):
         b = _Block(left, window)
@@ -183,10 +215,20 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
         at = np.flatnonzero(b.left >= window)
         w = w[at]
         order = np.argsort(w, kind="stable")
-        later = np.zeros(len(w), bool)
+        some = np.zeros(len(w), bool)
+        same = ~_new(w[order])
+        some[order[same]] = True
         if len(w) > 1:
-            later[order[1:]] = w[order[1:]] == w[order[:-1]]
-        later |= _member(w, _gathered(right))
+            some[order[:-1][same[1:]]] = True
+        th, tg = _gathered(right)
+        some |= _member(w, th)
+        # Of windows that may repeat: those of the block and, before them, those that are taken, by both hashes.
+        i = np.flatnonzero(some)
+        h, g = np.concatenate([th, w[i]]), np.concatenate([tg, windows_at(b.h, window, at[i])])
+        order = np.lexsort((g, h))
+        again = order[~_new(h[order], g[order])]
+        later = np.zeros(len(w), bool)
+        later[i[again[again >= len(th)] - len(th)]] = True
         edge = np.zeros(len(b.h) + window + 1, np.int32)
         np.add.at(edge, at[later], 1)
         np.add.at(edge, at[later] + window, -1)
