@@ -4,12 +4,14 @@
 2. All tokens get one global order: by a frequency sketch of fixed size over the whole corpus, rare ones first.
    Two sets that are similar enough share a token of their *prefixes* (the first ``n - ceil(t n) + 1`` tokens).
 3. Documents are tied to a few centres that share a prefix token; verified ties make groups of similar documents.
-4. A group stores the union of its members' tokens. A document of another group that shares a prefix token
-   with a group is a query. Two bounds keep groups shut: how many tokens stand behind the shared one in the
-   query and in the members, before any text moves; then the query's overlap with the union of whole sets. Groups
-   whose bounds reach the threshold are opened, and members are compared one by one until one matches.
-   Pairs inside a group need no look: they are connected already.
-No step makes all pairs of a group or of a token's list of documents, and none drops a candidate.
+4. A group stores the union of its members' tokens. A document of another group that meets the group under a key is
+   a query. A key is a prefix token, or, where more than HOT prefixes hold the token, that token and a later one:
+   two similar sets share two tokens at least of prefixes that are longer by one. Keys also hold a band of set sizes,
+   and a query asks its own band and the two beside it, as similar sets differ by no more. Two bounds keep groups
+   shut: how many tokens stand behind the shared one in the query and in the members, before any text moves; then the
+   query's overlap with the union of whole sets. Groups whose bounds reach the threshold are opened, and members are
+   compared one by one until one matches. Pairs inside a group need no look: they are connected already.
+A key that many small groups of one size band share still meets as many queries as groups; no step drops a candidate.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ CHUNK = 1 << 16
 #: Members of one part of a group.
 PART = 128
 SLICE = 256
+#: Prefixes that may hold a token before it needs a second one to be a key.
+HOT = 64
 
 
 def shingle_sets(column: pa.Array, k: int):
@@ -81,7 +85,10 @@ def _sketch(spark: SparkSession, docs: DataFrame, k: int, scratch: Scratch) -> n
 
 
 def _sets(docs: DataFrame, k: int, num: int, den: int, sketch) -> DataFrame:
-    """(doc_id, n, high, low, prefix): size and 128-bit digest of the set, and its prefix tokens in the global order."""
+    """(doc_id, text_hash, n, high, low, prefix): size and 128-bit digest of the set, and its prefix tokens in the global order.
+
+    The prefix is longer by one than single tokens need, for keys of two.
+    """
 
     def run(batches):
         order = sketch.value
@@ -97,17 +104,17 @@ def _sets(docs: DataFrame, k: int, num: int, den: int, sketch) -> DataFrame:
                 if size and den * size >= num * (size + 1):
                     length = size - (num * size + den - 1) // den + 1
                     rank = order[(s & np.uint64(SKETCH - 1)).astype(np.int64)]
-                    prefix.append(s[np.lexsort((s, rank))[:length]].view(np.int64))
+                    prefix.append(s[np.lexsort((s, rank))[: length + 1]].view(np.int64))
                 else:
                     prefix.append(np.zeros(0, np.int64))
             sizes = np.cumsum([0, *map(len, prefix)])
             flat = np.concatenate(prefix) if prefix else np.zeros(0, np.int64)
-            yield pa.record_batch({"doc_id": ids.cast(pa.int64()), "n": pa.array(n, pa.int64()), "high": pa.array(high, pa.int64()), "low": pa.array(low, pa.int64()), "prefix": pa.LargeListArray.from_arrays(pa.array(sizes, pa.int64()), pa.array(flat, pa.int64())).cast(pa.list_(pa.int64()))})
+            yield pa.record_batch({"doc_id": ids.cast(pa.int64()), "text_hash": _text(batch, "text_hash"), "n": pa.array(n, pa.int64()), "high": pa.array(high, pa.int64()), "low": pa.array(low, pa.int64()), "prefix": pa.LargeListArray.from_arrays(pa.array(sizes, pa.int64()), pa.array(flat, pa.int64())).cast(pa.list_(pa.int64()))})
 
-    return docs.mapInArrow(run, "doc_id long, n long, high long, low long, prefix array<long>")
+    return docs.mapInArrow(run, "doc_id long, text_hash long, n long, high long, low long, prefix array<long>")
 
 
-def _open(rows: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def _open(rows: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Verified links (a, b). rows: (key, doc, query); each query is held against the group of its key.
 
     The rows of a key come together, members first. The union of the members' tokens bounds a query's
@@ -144,8 +151,7 @@ def _open(rows: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataF
                         break
             yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    text = docs.select(F.col("doc_id").alias("doc"), "text")
-    full = rows.hint("merge").join(text, "doc").select("key", "query", "doc", "text")
+    full = rows.hint("merge").join(texts, "doc").select("key", "query", "doc", "text")
     return full.repartition("key").sortWithinPartitions("key", "query").mapInArrow(run, "a long, b long")
 
 
@@ -156,29 +162,33 @@ def _within(s: np.ndarray, other: np.ndarray) -> np.ndarray:
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text; other columns are not read).
+    """(doc_id, text_hash, n_shingles, component_id, group) for every row of ``docs`` (doc_id, text; other columns are not read).
 
     Two documents link when ``den * |A and B| >= num * |A or B|`` over their sets of k-word shingles, lower-cased
-    in A-Z; component_id is the smallest doc_id that links reach. A null or empty text, or one without words, has
-    no shingles and links with nothing (its own id is its component). Rows that repeat a doc_id are
-    classed each by its own text. A null doc_id gives a null component and links with nothing. An empty table gives none.
+    in A-Z; component_id is the smallest doc_id that links reach, and group a number of the class in this result. A
+    null or empty text, or one without words, has no shingles and links with nothing: its own id is its component and
+    its group is null, as is that of a row without a doc_id, whose component is null. Rows that repeat a doc_id are
+    classed each by its own text, which text_hash tells apart. An empty table gives no rows.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
     sketch = spark.sparkContext.broadcast(_sketch(spark, docs, k, scratch))
     every = scratch.keep(_sets(docs, k, num, den, sketch), "sets")
-    known = every.where("doc_id is not null")
-    alone = every.select("doc_id", "n", "high", "low")
-    classes = known.where("n > 0").groupBy("high", "low", "n").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"))
-    classes = scratch.keep(classes, "classes")
-    tokens = classes.select(F.col("rep").alias("doc"), "n", F.posexplode("prefix").alias("pos", "token"))
+    known = every.where("doc_id is not null and n > 0")
+    classes = known.groupBy("high", "low", "n").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.first("prefix").alias("prefix"))
+    classes = scratch.keep(classes.select(F.monotonically_increasing_id().alias("doc"), "high", "low", "n", "rep.*", "prefix"), "classes")
+    length = F.col("n") - F.floor((num * F.col("n") + den - 1) / den) + 1
+    tokens = classes.select("doc", "n", F.posexplode("prefix").alias("pos", "token")).where(F.col("pos") < length)
     shared = tokens.groupBy("token").agg(F.count("*").alias("df"), F.min("doc").alias("centre")).where("df > 1")
     tokens = scratch.keep(tokens.join(shared, "token"), "tokens")  # of tokens in two prefixes or more
+    # The texts of classes that share a token, once each; rows that repeat one are combined where the join leaves them.
+    wanted = classes.join(tokens.select("doc"), "doc", "left_semi").select("doc", "doc_id", "text_hash")
+    texts = docs.join(wanted, ["doc_id", "text_hash"]).groupBy("doc_id", "text_hash", "doc").agg(F.first("text").alias("text"))
+    texts = scratch.keep(texts.select("doc", "text"), "texts")
 
     # A document whose prefix is shared in good part is held against the centres of its two rarest and its two
     # commonest shared tokens. This only finds groups early; step 4 sees to all the rest.
-    length = F.col("n") - F.floor((num * F.col("n") + den - 1) / den) + 1
     picks = tokens.groupBy("doc", "n").agg(
         F.count("*").alias("in_common"),
         F.array(F.min(F.struct("pos", "centre")).centre, F.max(F.struct("df", "pos", "centre")).centre, F.min(F.struct("df", "pos", "centre")).centre, F.max(F.struct("pos", "centre")).centre).alias("centres"),
@@ -189,48 +199,53 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) ->
     salts = ties.join(spread, "centre").select("doc", F.xxhash64("centre", F.pmod("u", "salts")).alias("key"), F.lit(True).alias("query"))
     centres = spread.select(F.col("centre").alias("doc"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     centres = centres.select("doc", F.xxhash64("doc", F.col("salt").cast("long")).alias("key"), F.lit(False).alias("query"))
-    links = scratch.keep(_open(salts.unionByName(centres), docs, k, num, den), "ties-verified")
-    first = components(links, scratch)
+    links = scratch.keep(_open(salts.unionByName(centres), texts, k, num, den), "ties-verified")
+    first = components(links, scratch).withColumnRenamed("node", "doc")
 
     # Groups of similar documents: what is tied so far. Their parts are of near sizes, by bands and a hash.
-    grouped = tokens.join(first.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(den / num) / 5)))
-    grouped = scratch.keep(grouped.select("token", "pos", "doc", "n", "component", band.alias("band")), "grouped")
-    members = grouped.select("doc", "component", "band").distinct()
-    sizes = members.groupBy("component", "band").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
-    members = members.join(sizes, ["component", "band"]).select("doc", "component", F.xxhash64("component", "band", F.pmod(F.xxhash64("doc"), F.col("parts"))).alias("key"))
+    wide = float(np.log(den / num)) * 1.000001  # so that rounding puts no similar sizes two bands apart
+    later = tokens.where(F.col("df") > HOT).select("doc", "pos", "token").join(classes.select("doc", "prefix"), "doc")
+    later = later.select("doc", "pos", "token", F.explode(F.slice("prefix", F.col("pos") + 2, F.size("prefix"))).alias("second"))
+    keys = tokens.where(F.col("df") <= HOT).select("doc", "pos", F.col("token").alias("meet")).unionByName(later.select("doc", "pos", F.xxhash64("token", "second").alias("meet")))
+    sized = classes.select("doc", "n").join(first, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    sized = scratch.keep(sized.join(tokens.select("doc"), "doc", "left_semi"), "sized")
+    grouped = scratch.keep(keys.join(sized, "doc").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.lit(wide))), "grouped")
+    fine = F.floor(F.log(F.col("n").cast("double")) / F.lit(wide / 5))
+    members = sized.withColumn("band", fine)
+    parts_of = members.groupBy("component", "band").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    members = members.join(parts_of, ["component", "band"]).select("doc", "n", "component", F.xxhash64("component", "band", F.pmod(F.xxhash64("doc"), F.col("parts"))).alias("key"))
     members = scratch.keep(members, "members")
-    sized = members.join(classes.select(F.col("rep").alias("doc"), "n"), "doc")
-    parts = sized.groupBy("component", "key").agg(F.min("n").alias("part_least"), F.max("n").alias("part_most"))
+    parts = members.groupBy("component", "key").agg(F.min("n").alias("part_least"), F.max("n").alias("part_most"))
     heads = members.groupBy("component").agg(F.count("*").alias("heads"))
     # Two sets need num (n + m) / (num + den) common tokens. Of a pair that is similar enough take the first common
     # token in the global order: all common tokens stand there or behind it, in both sets. So n - pos reaches that
     # number in either set, and the pair meets at this token; a row that falls short on a side is no such meeting.
     slack = (num + den) * (F.col("n") - F.col("pos")) - num * F.col("n")
-    unions = grouped.groupBy("token", "component").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(slack).alias("most_slack")).join(heads, "component")
-    multi = unions.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    asks = grouped.join(multi, "token").join(heads, "component").select("token", "doc", "n", slack.alias("slack"), F.col("component").alias("own"), F.col("heads").alias("own_heads"))
+    unions = grouped.groupBy("meet", "component", "band").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(slack).alias("most_slack")).join(heads, "component")
+    multi = unions.groupBy("meet").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("meet")
+    asks = grouped.join(multi, "meet").join(heads, "component").select("meet", "doc", "n", slack.alias("slack"), F.col("component").alias("own"), F.col("heads").alias("own_heads"), F.explode(F.array(*[F.col("band") + d for d in (-1, 0, 1)])).alias("band"))
     smaller = (F.col("own_heads") < F.col("heads")) | ((F.col("own_heads") == F.col("heads")) & (F.col("own") > F.col("component")))
     near = (den * F.col("n") >= num * F.col("least")) & (den * F.col("most") >= num * F.col("n"))
     first_common = (F.col("most_slack") >= num * F.col("n")) & (F.col("slack") >= num * F.col("least")) & (den * F.col("slack") >= num * num * F.col("n"))
-    asks = asks.join(unions, "token").where((F.col("own") != F.col("component")) & smaller & near & first_common)
+    asks = asks.join(unions, ["meet", "band"]).where((F.col("own") != F.col("component")) & smaller & near & first_common)
     asks = asks.select("doc", "n", "component").distinct()
     fits = (den * F.col("n") >= num * F.col("part_least")) & (den * F.col("part_most") >= num * F.col("n"))
     asks = asks.join(parts, "component").where(fits).select("doc", "key")
     asks = scratch.keep(asks.withColumn("u", F.pmod(F.xxhash64("doc"), F.lit(1 << 30))), "asks")
-    opened = asks.groupBy("key").agg(F.ceil(F.count("*") / (4 * SLICE)).cast("int").alias("salts"))
+    opened = asks.groupBy("key").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("salts"))
     queries = asks.join(opened, "key").select("doc", F.xxhash64("key", F.pmod("u", "salts")).alias("key"), F.lit(True).alias("query"))
     inside = members.join(opened, "key").select("doc", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "key")
     inside = inside.select("doc", F.xxhash64("key", F.col("salt").cast("long")).alias("key"), F.lit(False).alias("query"))
-    more = scratch.keep(_open(queries.unionByName(inside), docs, k, num, den), "opened")
-    label = components(links.unionByName(more), scratch)
-    of_class = classes.select("high", "low", "n", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left")
-    of_class = of_class.select("high", "low", "n", F.coalesce("component", "rep").alias("component"))
-    out = alone.join(of_class, ["high", "low", "n"], "left")
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
-    return out
+    more = scratch.keep(_open(queries.unionByName(inside), texts, k, num, den), "opened")
+    label = components(links.unionByName(more), scratch).toDF("doc", "group")
+    of_class = scratch.keep(classes.select("doc", "high", "low", "n", "doc_id").join(label, "doc", "left").withColumn("group", F.coalesce("group", "doc")), "of-class")
+    least = of_class.groupBy("group").agg(F.min("doc_id").alias("component"))
+    of_class = of_class.join(least, "group").select("high", "low", "n", "group", "component")
+    out = every.select("doc_id", "text_hash", "n", "high", "low").join(of_class, ["high", "low", "n"], "left")
+    has = F.col("doc_id").isNotNull()
+    return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(has, F.coalesce("component", "doc_id")).alias("component_id"), F.when(has & (F.col("n") > 0), F.col("group")).alias("group"))
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of all documents whose sets of 3-word shingles have a similarity of 0.9 or more."""
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=3, num=9, den=10)
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=3, num=9, den=10).select("doc_id", "n_shingles", "component_id")
