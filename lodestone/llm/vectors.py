@@ -4,12 +4,14 @@ A table hashes a normalised vector to the tuple ``floor((a_j . v + b_j) / width)
 one tuple and one label share a bucket. Tables are added until a pair at the threshold is missed less often than
 MISSED. Equal vectors go on as one. Buckets of one vector are dropped before any vector moves. Large
 buckets are cut into blocks, and tasks compare pairs of blocks as matrix products in double precision. A pair that
-several tables bring together counts in the first of them alone, so no list of pairs is built or deduplicated.
+several tables bring together counts in the first of them alone, as each vector carries its cells in all tables; so no
+list of pairs is built or deduplicated.
 """
 
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,16 +40,21 @@ def plan(n: int, threshold: float) -> tuple[int, int]:
     return k, max(1, math.ceil(math.log(MISSED) / math.log(1 - near)))
 
 
+@lru_cache(maxsize=4)
+def _projections(size: int, k: int, tables: int) -> list[tuple]:
+    """Directions, offsets and salts of every table, made once a worker."""
+    rng = np.random.default_rng((SEED, size))
+    salt = np.random.default_rng(SEED).integers(1, 1 << 63, (tables, k), dtype=np.uint64) | np.uint64(1)
+    return [(rng.standard_normal((size, k)), rng.random(k) * WIDTH, salt[t]) for t in range(tables)]
+
+
 def _signatures(v: np.ndarray, k: int, tables: int) -> np.ndarray:
     """A 64-bit bucket for each vector (row) and table (column)."""
-    rng = np.random.default_rng((SEED, v.shape[1]))
     out = np.empty((len(v), tables), dtype=np.uint64)
-    salt = np.random.default_rng(SEED).integers(1, 1 << 63, (tables, k), dtype=np.uint64) | np.uint64(1)
-    for t in range(tables):
-        a, b = rng.standard_normal((v.shape[1], k)), rng.random(k) * WIDTH
+    for t, (a, b, salt) in enumerate(_projections(v.shape[1], k, tables)):
         cell = np.floor((v @ a + b) / WIDTH).astype(np.int64).view(np.uint64)
         with np.errstate(over="ignore"):
-            h = (cell * salt[t]).sum(axis=1, dtype=np.uint64) + np.uint64(t)
+            h = (cell * salt).sum(axis=1, dtype=np.uint64) + np.uint64(t)
             h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
         out[:, t] = h ^ (h >> np.uint64(29))
     return out
@@ -62,29 +69,26 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
-def _compare(rows: DataFrame, k: int, tables: int, threshold: float) -> DataFrame:
+def _compare(rows: DataFrame, threshold: float) -> DataFrame:
     """(a, b, weight): for each vector a of a block pair the links that it has there, and a vector b that ties it to
-    its linked ones. rows: (key, table, left, right, rep, copies, embedding), where a row of both sides has both flags.
+    its linked ones. rows: (key, table, left, right, rep, copies, embedding, cells), where a row of both sides has both
+    flags, and cells holds a vector's cells in all tables.
     """
 
     def flush(parts, out):
         ids = np.concatenate([p[0] for p in parts])
         if len(ids) < 2:
             return
-        copies, left, right = (np.concatenate([p[i] for p in parts]) for i in (1, 2, 3))
-        v = np.concatenate([p[4] for p in parts])
-        table = parts[0][5]
-        early = _signatures(v, k, table) if table else None
+        copies, left, right, v, cells = (np.concatenate([p[i] for p in parts]) for i in (1, 2, 3, 4, 5))
+        table = parts[0][6]
         li, ri = np.flatnonzero(left), np.flatnonzero(right)
         link = v[li] @ v[ri].T >= threshold
         link[ids[li][:, None] == ids[ri][None, :]] = False
         x, y = np.nonzero(link)
         if not len(x):
             return
-        if early is not None:  # a pair counts in the first table that brings it together
-            fresh = np.ones(len(x), bool)
-            for t in range(table):
-                fresh &= early[li[x], t] != early[ri[y], t]
+        for t in range(table):  # a pair counts in the first table that brings it together
+            fresh = cells[li[x], t] != cells[ri[y], t]
             x, y = x[fresh], y[fresh]
             if not len(x):
                 return
@@ -111,6 +115,7 @@ def _compare(rows: DataFrame, k: int, tables: int, threshold: float) -> DataFram
             keys = batch.column(0).to_numpy()
             cut = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]])
             v = _matrix(batch.column(6)) if len(keys) and len(set(batch.column(6).value_lengths().to_pylist())) == 1 else None
+            cells = np.frombuffer(b"".join(batch.column(7).to_pylist()), "<i8").reshape(len(keys), -1)
             for s, e in zip(cut[:-1], cut[1:], strict=True):
                 if e <= s:
                     continue
@@ -119,7 +124,7 @@ def _compare(rows: DataFrame, k: int, tables: int, threshold: float) -> DataFram
                         flush(parts, out)
                     key, parts = keys[s], []
                 some = batch.slice(s, e - s)
-                parts.append((some.column(4).to_numpy(), some.column(5).to_numpy(), some.column(2).to_numpy(zero_copy_only=False), some.column(3).to_numpy(zero_copy_only=False), v[s:e] if v is not None else _matrix(some.column(6)), some.column(1)[0].as_py()))
+                parts.append((some.column(4).to_numpy(), some.column(5).to_numpy(), some.column(2).to_numpy(zero_copy_only=False), some.column(3).to_numpy(zero_copy_only=False), v[s:e] if v is not None else _matrix(some.column(6)), cells[s:e], some.column(1)[0].as_py()))
             yield _links(out)
         out = []
         if parts:
@@ -162,17 +167,18 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
                 for at in range(0, some.num_rows, 2048):
                     part = some.slice(at, 2048)
                     sig = _signatures(_matrix(part.column(2)), k, tables).view(np.int64)
-                    yield pa.record_batch({"rep": part.column(0), "label": part.column(1), "size": pa.array([int(size)] * len(sig), pa.int32()), "signature": pa.array(list(sig), pa.list_(pa.int64()))})
+                    yield pa.record_batch({"rep": part.column(0), "label": part.column(1), "embedding": part.column(2), "copies": part.column(3), "size": pa.array([int(size)] * len(sig), pa.int32()), "signature": pa.array(list(sig), pa.list_(pa.int64())), "cells": pa.array([x.tobytes() for x in sig], pa.binary())})
 
-    signed = classes.select("rep", "label", "embedding").mapInArrow(sign, "rep long, label string, size int, signature array<long>")
+    schema = "rep long, label string, embedding array<double>, copies long, size int, signature array<long>, cells binary"
+    signed = scratch.keep(classes.select("rep", "label", "embedding", "copies").mapInArrow(sign, schema), "signed")
     cells = signed.select("rep", F.posexplode("signature").alias("table", "cell"), "label", "size")
     cells = scratch.keep(cells.select("rep", "table", F.xxhash64("table", "cell", "label", "size").alias("bucket")), "cells")
     full = cells.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     members = cells.join(full, "bucket").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     members = members.select("rep", "table", F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("key"), (F.col("own") <= F.col("other")).alias("left"), (F.col("own") >= F.col("other")).alias("right"))
-    rows = members.join(classes.select("rep", "copies", "embedding"), "rep").select("key", "table", "left", "right", "rep", "copies", "embedding")
-    links = scratch.keep(_compare(rows, k, tables, threshold), "links")
+    rows = members.join(signed.select("rep", "copies", "embedding", "cells"), "rep").select("key", "table", "left", "right", "rep", "copies", "embedding", "cells")
+    links = scratch.keep(_compare(rows, threshold), "links")
     label = components(links.select("a", "b"), scratch).toDF("rep", "component")
     weight = links.groupBy(F.col("a").alias("rep")).agg(F.sum("weight").alias("weight"))
     classes = classes.join(label, "rep", "left").join(weight, "rep", "left")
