@@ -272,7 +272,7 @@ def mix_sources(docs: DataFrame, targets: dict[str, dict] | None = None, share:
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
     names = ["tokens", "topic", "probability", "sampled"]
-    own = F.struct(*[docs[c] for c in docs.columns if c.lower() not in names])  # so that no column of docs clashes with those here
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in names])  # so that no column of docs clashes with those here
     tokens = (F.ceil(F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)) / 4) + 1).cast("long")
     if isinstance(topics, str):
         topic = F.coalesce(F.col(topics).cast("string"), F.lit("-1"))
