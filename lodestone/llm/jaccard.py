@@ -4,14 +4,14 @@
 2. All tokens get one global order: by a frequency sketch of fixed size over the whole corpus, rare ones first.
    Two sets that are similar enough share a token of their *prefixes* (the first ``n - ceil(t n) + 1`` tokens).
 3. Documents are tied to a few centres that share a prefix token; verified ties make groups of similar documents.
-4. A group stores the union of its members' tokens. A document of another group that meets the group under a key is
-   a query. A key is a prefix token, or, where more than HOT prefixes hold the token, that token and a later one:
-   two similar sets share two tokens at least of prefixes that are longer by one. Keys also hold a band of set sizes,
-   and a query asks its own band and the two beside it, as similar sets differ by no more. Two bounds keep groups
-   shut: how many tokens stand behind the shared one in the query and in the members, before any text moves; then the
-   query's overlap with the union of whole sets. Groups whose bounds reach the threshold are opened, and members are
-   compared one by one until one matches. Pairs inside a group need no look: they are connected already.
-A key that many small groups of one size band share still meets as many queries as groups; no step drops a candidate.
+4. A group stores the union of its members' tokens. A document of another group that shares a prefix token
+   with a group, and a band of set sizes or one beside it, is a query. Two bounds keep groups shut: how many tokens
+   stand behind the shared one in the query and in the members, before any text moves; then the query's overlap with
+   the union of whole sets. Groups whose bounds reach the threshold are opened, and members are compared one by one
+   until one matches. Pairs inside a group need no look: they are connected already.
+No step makes all pairs of a group, and none drops a candidate. A token that many small groups of one size band hold in
+their prefixes does meet as many queries as groups; keys of two tokens were tried for such tokens and made more rows, as
+documents that share many tokens then meet under all pairs of them.
 """
 
 from __future__ import annotations
@@ -31,8 +31,6 @@ CHUNK = 1 << 16
 #: Members of one part of a group.
 PART = 128
 SLICE = 256
-#: Prefixes that may hold a token before it needs a second one to be a key.
-HOT = 64
 
 
 def shingle_sets(column: pa.Array, k: int):
@@ -85,10 +83,7 @@ def _sketch(spark: SparkSession, docs: DataFrame, k: int, scratch: Scratch) -> n
 
 
 def _sets(docs: DataFrame, k: int, num: int, den: int, sketch) -> DataFrame:
-    """(doc_id, text_hash, n, high, low, prefix): size and 128-bit digest of the set, and its prefix tokens in the global order.
-
-    The prefix is longer by one than single tokens need, for keys of two.
-    """
+    """(doc_id, text_hash, n, high, low, prefix): size and 128-bit digest of the set, and its prefix tokens in the global order."""
 
     def run(batches):
         order = sketch.value
@@ -104,7 +99,7 @@ def _sets(docs: DataFrame, k: int, num: int, den: int, sketch) -> DataFrame:
                 if size and den * size >= num * (size + 1):
                     length = size - (num * size + den - 1) // den + 1
                     rank = order[(s & np.uint64(SKETCH - 1)).astype(np.int64)]
-                    prefix.append(s[np.lexsort((s, rank))[: length + 1]].view(np.int64))
+                    prefix.append(s[np.lexsort((s, rank))[:length]].view(np.int64))
                 else:
                     prefix.append(np.zeros(0, np.int64))
             sizes = np.cumsum([0, *map(len, prefix)])
@@ -179,7 +174,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) ->
     classes = known.groupBy("high", "low", "n").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.first("prefix").alias("prefix"))
     classes = scratch.keep(classes.select(F.monotonically_increasing_id().alias("doc"), "high", "low", "n", "rep.*", "prefix"), "classes")
     length = F.col("n") - F.floor((num * F.col("n") + den - 1) / den) + 1
-    tokens = classes.select("doc", "n", F.posexplode("prefix").alias("pos", "token")).where(F.col("pos") < length)
+    tokens = classes.select("doc", "n", F.posexplode("prefix").alias("pos", "token"))
     shared = tokens.groupBy("token").agg(F.count("*").alias("df"), F.min("doc").alias("centre")).where("df > 1")
     tokens = scratch.keep(tokens.join(shared, "token"), "tokens")  # of tokens in two prefixes or more
     # The texts of classes that share a token, once each; rows that repeat one are combined where the join leaves them.
@@ -204,12 +199,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) ->
 
     # Groups of similar documents: what is tied so far. Their parts are of near sizes, by bands and a hash.
     wide = float(np.log(den / num)) * 1.000001  # so that rounding puts no similar sizes two bands apart
-    later = tokens.where(F.col("df") > HOT).select("doc", "pos", "token").join(classes.select("doc", "prefix"), "doc")
-    later = later.select("doc", "pos", "token", F.explode(F.slice("prefix", F.col("pos") + 2, F.size("prefix"))).alias("second"))
-    keys = tokens.where(F.col("df") <= HOT).select("doc", "pos", F.col("token").alias("meet")).unionByName(later.select("doc", "pos", F.xxhash64("token", "second").alias("meet")))
     sized = classes.select("doc", "n").join(first, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     sized = scratch.keep(sized.join(tokens.select("doc"), "doc", "left_semi"), "sized")
-    grouped = scratch.keep(keys.join(sized, "doc").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.lit(wide))), "grouped")
+    grouped = scratch.keep(tokens.select("doc", "pos", F.col("token").alias("meet")).join(sized, "doc").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.lit(wide))), "grouped")
     fine = F.floor(F.log(F.col("n").cast("double")) / F.lit(wide / 5))
     members = sized.withColumn("band", fine)
     parts_of = members.groupBy("component", "band").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
