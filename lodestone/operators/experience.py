@@ -17,35 +17,37 @@ BAND = 0.20
 def cluster_admitted(scored: DataFrame, members: DataFrame) -> DataFrame:
     """(q, id) of the winning cluster of every query, all its members, whatever their own scores.
 
-    scored: (q, id, score) of root causes and verified lessons. members: (id, cluster, is_lesson), the clusters that
-    shared evidence makes of them. The best record speaks for its cluster: it reaches the floor of memories, that of
-    lessons too where it is one, and leads the best record of another cluster by the margin. A cluster of lessons
-    only is left to their own channel. Ties go to the smaller id. Rows are combined by cluster before queries compare.
+    scored: (q, id, score) of root causes and verified lessons, at least those no more than the margin below a query's
+    best. members: (id, cluster, is_lesson), the clusters that shared evidence makes of them. The best record speaks for
+    its cluster: it reaches the floor of memories, that of lessons too where it is one, and leads the best record of
+    another cluster by the margin. A cluster of lessons only is left to their own channel. Ties go to the smaller id.
+    Rows are combined by cluster before queries compare.
     """
     floor, margin = semantic.WINNER["memory"]
     lesson_floor = semantic.SETS["lesson"][0]
     best = F.min(F.struct((-F.col("score")).alias("s"), "id", "is_lesson")).alias("best")
-    sums = scored.join(members, "id").groupBy("q", "cluster").agg(best, F.bool_and("is_lesson").alias("only_lessons"))
+    sums = scored.select("q", "id", "score").join(members, "id").groupBy("q", "cluster").agg(best)
     w = Window.partitionBy("q").orderBy("best")
     first = sums.withColumns({"r": F.row_number().over(w), "other": -F.lead("best.s").over(w)}).where("r = 1").withColumn("top", -F.col("best.s"))
     needed = F.when(F.col("best.is_lesson"), F.lit(max(floor, lesson_floor))).otherwise(F.lit(floor))
-    won = first.where((F.col("top") >= needed) & (F.col("other").isNull() | (F.col("top") - F.col("other") >= margin)) & ~F.col("only_lessons"))
-    return scored.select("q", "id").join(members.select("id", "cluster"), "id").join(won.select("q", "cluster"), ["q", "cluster"], "left_semi").select("q", "id")
+    won = first.where((F.col("top") >= needed) & (F.col("other").isNull() | (F.round(F.col("top") - F.col("other"), 9) >= margin)))
+    mixed = members.where("not is_lesson").select("cluster")
+    return members.select("id", "cluster").join(won.select("q", "cluster").join(mixed, "cluster", "left_semi"), "cluster").select("q", "id")
 
 
-def corroborated(scored: DataFrame, evidence: DataFrame, attempt_evidence: DataFrame, lexical: DataFrame, attempt_scores: DataFrame) -> DataFrame:
+def corroborated(scored: DataFrame, evidence: DataFrame, attempt_evidence: DataFrame, lexical: DataFrame, attempt_vectors: DataFrame, query_vectors: DataFrame) -> DataFrame:
     """(q, id): the best record of a query where an attempt that shares its evidence is relevant by itself.
 
     scored: (q, id, score); evidence: (id, evidence); attempt_evidence: (attempt_id, evidence); lexical: (q, attempt_id)
-    of the attempts that a query's words admit; attempt_scores: (q, attempt_id, score). An attempt counts when the
-    words admit it or when it wins among the attempts that share the record's evidence. Meant for the queries for
-    which ``cluster_admitted`` gives nothing.
+    of the attempts that a query's words admit; attempt_vectors: (attempt_id, v); query_vectors: (q, qv). An attempt
+    counts when the words admit it or when it wins among the attempts that share the record's evidence; only those are
+    compared. Meant for the queries for which ``cluster_admitted`` gives nothing.
     """
     top = semantic.top(scored, 1).where(F.col("score") >= semantic.WINNER["memory"][0] - BAND).select("q", "id")
     related = top.join(evidence, "id").join(attempt_evidence, "evidence").select("q", "id", "attempt_id").distinct()
     by_words = related.join(lexical.select("q", "attempt_id"), ["q", "attempt_id"], "left_semi").select("q", "id")
-    pool = related.join(attempt_scores, ["q", "attempt_id"]).select("q", "id", "attempt_id", "score")
-    won = semantic.winner(pool.select("q", F.col("attempt_id").alias("id"), "score"), *semantic.WINNER["attempt"]).select("q")
+    pool = related.join(attempt_vectors, "attempt_id").join(query_vectors, "q").select("q", F.col("attempt_id").alias("id"), semantic.cosine(F.col("v"), F.col("qv")).alias("score"))
+    won = semantic.winner(pool, *semantic.WINNER["attempt"]).select("q")
     return by_words.unionByName(top.join(won, "q", "left_semi")).distinct()
 
 
@@ -88,9 +90,9 @@ def chosen_chunks(scored: DataFrame) -> DataFrame:
 
 
 def with_validation(items: DataFrame, validation: DataFrame, cited: DataFrame, budget: int) -> DataFrame:
-    """A budget scan (q, pos, section, rendered, cost, used, selected) and its validation pass.
+    """A budget scan (q, pos, section, size, cost, used, selected) and its validation pass, with evidence_id for the latter.
 
-    validation: (q, p, evidence_id, rendered), all that a query recommends, in the order of p. cited: (q, pos,
+    validation: (q, p, evidence_id, size), all that a query recommends, in the order of p. cited: (q, pos,
     evidence_id) of the items. Where the scan took every item, what the selected ones cite follows under its own
     header while it fits; where it stopped, the whole pool counts as omitted, with null cost and used.
     """
@@ -99,13 +101,12 @@ def with_validation(items: DataFrame, validation: DataFrame, cited: DataFrame, b
     pool = validation.join(state, "q", "left").join(wanted, ["q", "evidence_id"], "left")
     pool = pool.withColumn("__all", F.coalesce("__all", F.lit(True))).where(~F.col("__all") | F.col("__cited"))
     w = Window.partitionBy("q").orderBy("p", "evidence_id")
-    place = F.row_number().over(w)
     head = F.lit("VALIDATION")
-    pool = pool.withColumn("__n", place).withColumn("cost", F.when(F.col("__all"), cost(F.col("rendered"), head, F.col("__n") == 1).cast("long")))
+    pool = pool.withColumn("__n", F.row_number().over(w)).withColumn("cost", F.when(F.col("__all"), cost(F.col("size"), head, F.col("__n") == 1).cast("long")))
     used = F.when(F.col("__all"), F.coalesce("__used", F.lit(0)) + F.sum("cost").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     pool = pool.withColumn("used", used.cast("long")).withColumn("selected", F.coalesce(F.col("used") <= budget, F.lit(False)))
-    own = pool.select("q", (F.coalesce("__pos", F.lit(0)) + F.col("__n")).alias("pos"), head.alias("section"), "rendered", "cost", "used", "selected")
-    return items.select(*own.columns).unionByName(own)
+    own = pool.select("q", (F.coalesce("__pos", F.lit(0)) + F.col("__n")).alias("pos"), head.alias("section"), "size", "cost", "used", "selected", "evidence_id")
+    return items.withColumn("evidence_id", F.lit(None).cast(dict(validation.dtypes)["evidence_id"])).select(*own.columns).unionByName(own)
 
 
 def upserted(stored: DataFrame, new: DataFrame, key: list[str], order: str) -> DataFrame:

@@ -1,30 +1,59 @@
-"""Clusters of records that share evidence."""
+"""Clusters of records that share evidence, and the components of an edge table."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.sources import scratch
+
+#: Two rounds halve the nodes, and one doubling halves the longest way: no table of 64-bit ids gets there.
+ROUNDS, DOUBLINGS = 130, 65
+
+
+def _ends(up: DataFrame) -> DataFrame:
+    """(node, up) with each pointer followed to its end, a node that points to itself."""
+    for _ in range(DOUBLINGS):
+        to = up.select(F.col("node").alias("up"), F.col("up").alias("next")).where("up <> next")
+        if up.join(to, "up", "left_semi").isEmpty():
+            return up
+        up = scratch.keep(up.join(to, "up", "left").select("node", F.coalesce("next", "up").alias("up")), "ends")
+    raise RuntimeError(f"pointers are left after {DOUBLINGS} doublings")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) of every node of ``edges`` (a, b): the smallest node that edges reach.
+
+    Every round points each node to the smallest of itself and its neighbours, follows the pointers to their ends by
+    doubling, and goes on with the edges between ends; two rounds at least halve the nodes, so the number of steps
+    grows with the logarithm of the input, not with the longest chain. All steps are written to the shared folder.
+    """
+    e = scratch.keep(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    maps = []
+    for _ in range(ROUNDS):
+        if e.isEmpty():
+            break
+        both = e.select(F.col("a").alias("node"), F.col("b").alias("to")).unionAll(e.select(F.col("b").alias("node"), F.col("a").alias("to")))
+        maps.append(_ends(scratch.keep(both.groupBy("node").agg(F.least(F.min("to"), F.col("node")).alias("up")), "up")))
+        moved = e.join(maps[-1].toDF("a", "ua"), "a").join(maps[-1].toDF("b", "ub"), "b").where("ua <> ub")
+        e = scratch.keep(moved.select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct(), "edges")
+    else:
+        raise RuntimeError(f"edges are left after {ROUNDS} rounds")
+    if not maps:
+        return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    out = maps[-1].toDF("node", "component")
+    for up in reversed(maps[:-1]):
+        out = up.join(out.toDF("up", "top"), "up", "left").select("node", F.coalesce("top", "up").alias("component"))
+    return out
+
 
-def clusters(links: DataFrame, rounds: int = 50) -> DataFrame:
+def clusters(links: DataFrame) -> DataFrame:
     """(member, cluster) of links (member, evidence): cluster is the smallest member that shared evidence reaches.
 
-    Each round passes the smallest label over the evidence, combined before the shuffle, and is written to the
-    checkpoint folder; it ends when no label changes.
+    Members of one evidence become edges to its smallest member, so an evidence that very many share costs a row each.
     """
-    spark = links.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="lodestone-"))
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-    links = links.select("member", "evidence").distinct().checkpoint()
-    label = links.select("member").distinct().withColumn("cluster", F.col("member"))
-    for _ in range(rounds):
-        least = links.join(label, "member").groupBy("evidence").agg(F.min("cluster").alias("least"))
-        new = links.join(least, "evidence").groupBy("member").agg(F.min("least").alias("least"))
-        moved = label.join(new, "member").select("member", F.least("cluster", "least").alias("cluster"), (F.col("least") < F.col("cluster")).alias("moved")).checkpoint()
-        label = moved.select("member", "cluster")
-        if moved.where("moved").isEmpty():
-            return label
-    raise RuntimeError(f"no fixed point after {rounds} rounds")
+    links = scratch.keep(links.select("member", "evidence").where("member is not null").distinct(), "links")
+    least = links.groupBy("evidence").agg(F.min("member").alias("b"))
+    found = components(links.join(least, "evidence").select(F.col("member").alias("a"), "b"))
+    members = links.select("member").distinct()
+    return members.join(found.toDF("member", "cluster"), "member", "left").select("member", F.coalesce("cluster", "member").alias("cluster"))

@@ -1,67 +1,12 @@
-"""Token postings, lexical and full-text admission, and provenance."""
+"""Provenance and recall."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 
-K1, B, FTS_CAP = 1.2, 0.75, 200
-
-
-def token_rows(df: DataFrame, key: str, text: Column) -> DataFrame:
-    """(key, n, token): one row a distinct token, with the size of the set."""
-    sized = df.select(key, T.tokens(text).alias("__t")).select(key, F.size("__t").alias("n"), "__t")  # below the generator: else every row carries the array
-    return sized.select(key, "n", F.explode("__t").alias("token"))
-
-
-def shared_counts(queries: DataFrame, records: DataFrame) -> DataFrame:
-    """(q, d, qn, dn, shared, intent, hits) of every pair that shares a token; both sides from token_rows as q and d.
-
-    hits: the shared tokens, no more than the query has.
-    """
-    q = queries.select("q", F.col("n").alias("qn"), "token")
-    d = records.select("d", F.col("n").alias("dn"), "token")
-    intent = F.count_if(F.col("token").isin(*T.INTENT_TERMS))
-    return d.join(q, "token").groupBy("q", "d", "qn", "dn").agg(F.count("*").alias("shared"), intent.alias("intent"), F.collect_list("token").alias("hits"))
-
-
-def lexical(pairs: DataFrame) -> DataFrame:
-    """Pairs that share a majority of the query's tokens."""
-    return pairs.where(F.col("shared") >= T.majority(F.col("qn")))
-
-
-def postings(df: DataFrame, key: str, text: Column) -> DataFrame:
-    """(token, key, tf, dl): term frequencies and document lengths."""
-    rows = df.select(key, T.all_tokens(text).alias("__t")).select(key, F.size("__t").alias("dl"), "__t")
-    return rows.select(key, "dl", F.explode("__t").alias("token")).groupBy("token", key, "dl").agg(F.count("*").alias("tf"))
-
-
-def bm25(queries: DataFrame, documents: DataFrame, text: Column, cap: int = FTS_CAP) -> DataFrame:
-    """(q, d, score, rank, qn, dn, shared): the best documents of every query; scores to six places, ties by id.
-
-    Only tokens that a query asks for are counted, so the first shuffle carries no other posting.
-    """
-    sized = documents.select("d", T.all_tokens(text).alias("__t"))
-    stats = sized.agg(F.count("*").alias("N"), F.avg(F.size("__t")).alias("avgdl")).first()
-    asked = queries.select("token").distinct()
-    rows = sized.select("d", F.size("__t").alias("dl"), F.size(F.array_distinct("__t")).alias("dn"), "__t").select("d", "dl", "dn", F.explode("__t").alias("token"))
-    p = rows.join(asked, "token", "left_semi").groupBy("token", "d", "dl", "dn").agg(F.count("*").alias("tf"))
-    df = p.groupBy("token").agg(F.count("*").alias("df"))
-    idf = F.greatest(F.log((F.lit(stats.N) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    wanted = queries.select("q", F.col("n").alias("qn"), "token").join(df, "token").select("q", "qn", "token", idf.alias("idf"))
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(stats.avgdl or 1.0)))
-    scored = p.join(wanted, "token").groupBy("q", "d", "qn", "dn").agg(F.round(F.sum(part), 6).alias("score"), F.count("*").alias("shared"))
-    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "d"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= cap)
-
-
-def fts_admitted(ranked: DataFrame) -> DataFrame:
-    """Of the ranked candidates, those that reach the symmetric threshold."""
-    return ranked.where(F.col("shared") >= T.symmetric_threshold(F.col("qn"), F.col("dn")))
-
-
 def rescued(relevant: DataFrame, attempt_evidence: DataFrame, memory_evidence: DataFrame) -> DataFrame:
     """(q, memory_id) that share evidence with a relevant attempt (q, attempt_id)."""
     seen = relevant.join(attempt_evidence, "attempt_id").select("q", "evidence_id").distinct()

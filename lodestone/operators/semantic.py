@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Queries that are multiplied with the pool at once.
+QUERY_BLOCK = 1024
 # Fixed values: (floor, margin) of single winners and (floor, cap) of sets.
 WINNER = {"attempt": (0.50, 0.08), "memory": (0.20, 0.08), "skill": (0.55, 0.10)}
 SETS = {"lesson": (0.30, 2), "invariant": (0.35, 2), "document": (0.30, 2)}
@@ -14,6 +20,13 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def cosine(a: Column, b: Column) -> Column:
+    """The cosine of two vectors to nine places; 0 where one is zero, an error where their lengths differ."""
+    norm = lambda v: F.sqrt(dot(v, v))
+    same = F.when(F.size(a) != F.size(b), F.raise_error(F.lit("vectors of different lengths")).cast("double"))
+    return F.coalesce(same, F.round(F.try_divide(dot(a, b), norm(a) * norm(b)), 9), F.lit(0.0))
+
+
 def _let(value: Column, body) -> Column:
     """``body(value)`` with value computed once a row."""
     return F.transform(F.array(value), body)[0]
@@ -25,9 +38,66 @@ def normalise(v: Column) -> Column:
     return _let(v, by_norm)
 
 
-def scores(queries: DataFrame, pool: DataFrame) -> DataFrame:
-    """(q, id, score) of a stated query set against all rows of its pool; eligible rows are filtered before."""
-    return queries.join(pool, F.col("pool") == F.col("query_pool")).where("q <> id").select("q", "id", "group", dot(F.col("v"), F.col("qv")).alias("score"))
+def _unit(column: pa.Array, size: int) -> np.ndarray:
+    """Unit rows in double precision; a zero vector stays as it is, one of another length raises."""
+    lengths = set(column.value_lengths().to_pylist())
+    if lengths - {size}:
+        raise ValueError(f"vectors have {size} numbers, found {sorted(lengths, key=str)}")
+    v = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), size)
+    norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
+    return v / np.where(norm == 0, 1.0, norm)
+
+
+def near(queries: DataFrame, pool: DataFrame, floor: float | None = None, k: int | None = None, within: float | None = None, itself: bool = True) -> DataFrame:
+    """(q, id, group, score): the cosines, to nine places, of a stated query set against all rows of its pool.
+
+    queries: (q, query_pool, qv); pool: (id, pool, group, v), of which eligible rows are filtered before; null vectors
+    match nothing, nor does a vector itself (q = id) without ``itself``. Queries go out in blocks of QUERY_BLOCK, each a matrix of a fixed size, and every batch
+    of the pool is one product with it. Only rows come out that reach ``floor``, are among a batch's first ``k`` of a
+    query and no more than ``within`` below its best; ``top``, ``winner`` or ``cluster_admitted`` pick among these.
+    """
+    spark = queries.sparkSession
+    ids = queries.where("qv is not null").select("q", F.col("query_pool").cast("string").alias("query_pool"), F.col("qv").cast("array<double>").alias("qv"))
+    key = dict(pool.dtypes)
+    rows = pool.where("v is not null").select("id", F.col("pool").cast("string").alias("pool"), "group", F.col("v").cast("array<double>").alias("v"))
+    schema = f"q {dict(queries.dtypes)['q']}, id {key['id']}, group {key['group']}, score double"
+    numbers = [r.b for r in ids.select(F.pmod(F.xxhash64("q"), F.lit(max(1, -(-ids.count() // QUERY_BLOCK)))).alias("b")).distinct().orderBy("b").collect()]
+    out = []
+    for b in numbers:
+        block = ids.where(F.pmod(F.xxhash64("q"), F.lit(len(numbers))) == b).orderBy("q").toArrow()  # some QUERY_BLOCK rows
+        out.append(rows.mapInArrow(_scored(spark.sparkContext.broadcast(block), floor, k, within, itself), schema))
+    return reduce(DataFrame.unionAll, out) if out else spark.createDataFrame([], schema)
+
+
+def _scored(block, floor: float | None, k: int | None, within: float | None, itself: bool):
+    def run(batches):
+        table = block.value
+        q, names = table["q"].combine_chunks(), np.array(table["query_pool"].to_pylist(), dtype=object)
+        size = len(table["qv"][0])
+        qv = _unit(table["qv"].combine_chunks(), size)
+        for batch in batches:
+            own, v = np.array(batch.column(1).to_pylist(), dtype=object), _unit(batch.column(3), size)
+            found = []
+            for name in dict.fromkeys(own.tolist()):
+                qi, vi = np.flatnonzero(names == name) if name is not None else np.zeros(0, int), np.flatnonzero(own == name)
+                if not len(qi) or not len(vi):
+                    continue
+                score = np.round(qv[qi] @ v[vi].T, 9)
+                same = batch.column(0).take(pa.array(vi))
+                if not itself:
+                    score[np.asarray(q.take(pa.array(qi)).to_pylist(), dtype=object)[:, None] == np.asarray(same.to_pylist(), dtype=object)[None, :]] = -np.inf
+                keep = score > -np.inf if floor is None else score >= floor
+                if k is not None and len(vi) > k:
+                    keep &= score >= np.partition(score, len(vi) - k, axis=1)[:, len(vi) - k, None]  # ties stay
+                if within is not None:
+                    keep &= score >= score.max(axis=1, keepdims=True) - within - 2e-9
+                x, y = np.nonzero(keep)
+                found.append((qi[x], vi[y], score[x, y]))
+            if found:
+                a, c, s = (np.concatenate(z) for z in zip(*found, strict=True))
+                yield pa.record_batch({"q": q.take(pa.array(a)), "id": batch.column(0).take(pa.array(c)), "group": batch.column(2).take(pa.array(c)), "score": pa.array(s)})
+
+    return run
 
 
 def top(scored: DataFrame, k: int) -> DataFrame:
@@ -39,7 +109,7 @@ def winner(scored: DataFrame, floor: float, margin: float) -> DataFrame:
     """The first of each query where it reaches the floor and leads by the margin; one alone needs no margin."""
     w = Window.partitionBy("q").orderBy(F.desc("score"), "id")
     out = scored.withColumns({"rank": F.row_number().over(w), "next": F.lead("score").over(w)}).where("rank = 1")
-    return out.where((F.col("score") >= floor) & (F.col("next").isNull() | (F.col("score") - F.col("next") >= margin)))
+    return out.where((F.col("score") >= floor) & (F.col("next").isNull() | (F.round(F.col("score") - F.col("next"), 9) >= margin)))
 
 
 def admitted_set(scored: DataFrame, floor: float, cap: int) -> DataFrame:

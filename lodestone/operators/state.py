@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+# Evidence that lets a memory count as verified, and evidence that a task is told to repeat.
 QUALIFYING = ("test_result", "command_output", "tool_output", "user_confirmation")
 VALIDATION = ("test_result", "command_output")
 
@@ -50,12 +51,18 @@ def supersession_violations(memories: DataFrame) -> DataFrame:
     return out.unionByName(claims.join(several, "supersedes", "left_semi").select("memory_id", F.lit("taken").alias("reason")))
 
 
-def first_equivalents(memories: DataFrame) -> DataFrame:
-    """(memory_id, canonical_id): of current equal records the oldest stands for all. Combined before the shuffle."""
-    key = ["content", "kind", "epistemic_state", "supersedes"]
-    live = current(memories)
-    first = live.groupBy(F.sha2(F.to_json(F.struct(*key)), 256).alias("key")).agg(F.min(F.struct("seq", "memory_id")).memory_id.alias("canonical_id"))
-    return live.select("memory_id", F.sha2(F.to_json(F.struct(*key)), 256).alias("key")).join(first, "key").select("memory_id", "canonical_id")
+def first_equivalents(memories: DataFrame, links: DataFrame) -> DataFrame:
+    """(memory_id, canonical_id): of current equal records the oldest stands for all. Combined before the shuffle.
+
+    Equal are content, kind, state, what they supersede, and both lists of evidence, related and supporting, in order.
+    links: (memory_id, evidence_id, position, role).
+    """
+    key = ["content", "kind", "epistemic_state", "supersedes", "cited"]
+    ordered = F.array_sort(F.collect_list(F.struct("position", "evidence_id", "role")))
+    cited = links.groupBy("memory_id").agg(F.transform(ordered, lambda x: F.struct(x.evidence_id, x.role)).alias("cited"))
+    live = current(memories).join(cited, "memory_id", "left").select("memory_id", "seq", F.sha2(F.to_json(F.struct(*key)), 256).alias("key"))
+    first = live.groupBy("key").agg(F.min(F.struct("seq", "memory_id")).memory_id.alias("canonical_id"))
+    return live.select("memory_id", "key").join(first, "key").select("memory_id", "canonical_id")
 
 
 def verified_gate(links: DataFrame) -> DataFrame:
@@ -77,12 +84,18 @@ def latest(observations: DataFrame) -> DataFrame:
 
 
 def changes(observations: DataFrame) -> DataFrame:
-    """Observations with status: added, or changed or unchanged against the one before on the same path."""
-    before = F.lag("digest").over(Window.partitionBy("path").orderBy("seq"))
-    status = F.when(before.isNull(), "added").when(before != F.col("digest"), "changed").otherwise("unchanged")
+    """Observations with status: added for the first of a path, else changed or unchanged against the one before; a null digest is a value."""
+    order = Window.partitionBy("path").orderBy("seq")
+    status = F.when(F.row_number().over(order) == 1, "added").when(~F.lag("digest").over(order).eqNullSafe(F.col("digest")), "changed").otherwise("unchanged")
     return observations.withColumn("status", status)
 
 
+def partners(open_: DataFrame) -> DataFrame:
+    """(memory_id, partners) of open conflicts (a, b): the other end, seen from both."""
+    both = open_.select(F.col("a").alias("memory_id"), F.col("b").alias("other")).unionByName(open_.select(F.col("b").alias("memory_id"), F.col("a").alias("other")))
+    return both.groupBy("memory_id").agg(F.array_sort(F.collect_set("other")).alias("partners"))
+
+
 def seed_report(candidates: DataFrame, observations: DataFrame) -> DataFrame:
     """(path, status) of candidates (path, digest) against the latest stored digest."""
     stored = latest(observations).select("path", F.col("digest").alias("__stored"))

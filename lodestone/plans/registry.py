@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.operators import compile as C
-from lodestone.operators import experience, graph, retrieval, semantic, state
+from lodestone.operators import experience, graph, index, relevance, retrieval, semantic, state
 from lodestone.plans import oracles
 from lodestone.plans.views import Views
 from lodestone.sources import files, ignore, scratch
@@ -21,6 +20,7 @@ IGNORE_TEXT = "# generated\nfr/\n*.html\n!/en/*.html\n/es/1?*\n"
 NAMES = (".env.local", "id_rsa.pub", "notes.md", "My-Token.txt", "server.pem", "README.md")
 CONCEPTS = ("the", "ing", "tion", "ment", "ung")
 BUDGET = 4000
+CDC_FILES = 4
 _found: dict[str, Callable] = {}
 
 
@@ -41,14 +41,6 @@ def oracle_sql() -> dict[str, str]:
     return oracles.sql()
 
 
-def _task_tokens(v: Views) -> DataFrame:
-    return retrieval.token_rows(v.tasks(), "q", F.col("task"))
-
-
-def _pairs(v: Views) -> DataFrame:
-    return retrieval.shared_counts(_task_tokens(v), retrieval.token_rows(v.documents(), "d", F.col("text")))
-
-
 @query
 def current_state(v):
     return state.current(v.memories()).select("memory_id", "kind", "epistemic_state", "seq")
@@ -81,6 +73,12 @@ def open_conflicts(v):
     return state.open_conflicts(v.conflicts(), v.memories())
 
 
+@query
+def conflict_partners(v):
+    out = state.partners(state.open_conflicts(v.conflicts(), v.memories()))
+    return out.select("memory_id", F.array_join("partners", ",").alias("partners"))
+
+
 @query
 def conflict_upsert(v):
     c = v.conflicts()
@@ -96,7 +94,7 @@ def supersession_violations(v):
 
 @query
 def duplicate_suppression(v):
-    return state.first_equivalents(v.memories())
+    return state.first_equivalents(v.memories(), v.memory_evidence())
 
 
 @query
@@ -149,115 +147,181 @@ def token_sets(v):
 
 @query
 def postings_build(v):
-    return retrieval.postings(v.documents(), "d", F.col("text")).groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return v.index("document").terms()
 
 
 @query
 def lexical_relevance(v):
-    return retrieval.lexical(_pairs(v)).select("q", "d", "shared")
+    return index.lexical(v.task_tokens(), v.index("document")).select("q", F.col("id").alias("d"), "shared")
 
 
 @query
 def weighted_overlap(v):
-    return _pairs(v).select("q", "d", T.weighted_overlap(F.col("shared"), F.col("intent")).alias("score")).where("score > 3")
+    out = index.shared(v.task_tokens(), v.index("document"))
+    return out.select("q", F.col("id").alias("d"), T.weighted_overlap(F.col("shared"), F.col("intent")).alias("score")).where("score > 3")
 
 
 @query
 def bm25_topk(v):
-    return retrieval.bm25(_task_tokens(v), v.documents(), F.col("text"), 20).select("q", "d", "score", "rank")
+    return index.ranked(v.task_tokens(), v.index("document"), 20).select("q", F.col("id").alias("d"), "score", "rank")
 
 
 @query
 def fts_threshold(v):
-    return retrieval.fts_admitted(retrieval.bm25(_task_tokens(v), v.documents(), F.col("text"))).select("q", "d", "shared")
+    return index.full_text(v.task_tokens(), v.index("document")).select("q", F.col("id").alias("d"), "shared")
+
+
+def _near(v: Views, kind: str):
+    """near(eligible, **limits): cosines of tasks and eligible records of a kind."""
+    asked = v.pool("task").select(F.col("id").alias("q"), F.lit("x").alias("query_pool"), F.col("v").alias("qv"))
+    pool = v.pool(kind).withColumn("pool", F.lit("x"))
+    pool = pool if "group" in pool.columns else pool.withColumn("group", F.col("id"))
+
+    def near(eligible=None, **limits):
+        return semantic.near(asked, pool if eligible is None else pool.join(eligible, "id", "left_semi"), **limits)
+
+    return near
+
+
+def _attempt_words(v: Views) -> DataFrame:
+    return index.lexical(v.task_tokens(), v.index("attempt")).select("q", F.col("id").alias("attempt_id"))
 
 
 def _relevant_attempts(v: Views) -> DataFrame:
-    a = v.attempts()
-    found = retrieval.lexical(retrieval.shared_counts(_task_tokens(v), retrieval.token_rows(a.withColumnRenamed("attempt_id", "d"), "d", F.concat_ws(" ", "task", "approach"))))
-    return found.select("q", F.col("d").alias("attempt_id")).join(a.select("attempt_id", "outcome", "evidence_id"), "attempt_id")
+    """(q, attempt_id, outcome, evidence_id) of attempts that words, full text or vectors admit."""
+    found = relevance.admitted(v.task_tokens(), v.index("attempt"), relevance.winner(_near(v, "attempt"), None, "attempt"))
+    return scratch.keep(relevance.attempts(found, v.attempts()), "attempts")
+
+
+def _relevant_memories(v: Views, attempts: DataFrame, own: DataFrame | None = None) -> DataFrame:
+    """(q, memory_id) of current memories that any channel admits; own: what vectors admit, by default a preflight's pools."""
+    live = state.current(v.memories())
+    found = relevance.admitted(v.task_tokens(), v.index("memory"), _memory_vectors(v) if own is None else own)
+    out = relevance.memories(found, attempts, v.memory_evidence().select("memory_id", "evidence_id"))
+    return scratch.keep(out.join(live.select("memory_id"), "memory_id", "left_semi").select("q", "memory_id"), "memories")
+
+
+def _pool_clusters(v: Views) -> tuple[DataFrame, DataFrame]:
+    """Evidence links (id, evidence) of current root causes and verified lessons, and their clusters (id, cluster, is_lesson)."""
+    live = state.current(v.memories()).where("kind = 'root_cause' or (kind = 'lesson' and epistemic_state = 'verified')")
+    links = live.select("memory_id", (F.col("kind") == "lesson").alias("is_lesson")).join(v.memory_evidence().select("memory_id", "evidence_id"), "memory_id")
+    links = scratch.keep(links.select(F.col("memory_id").alias("id"), F.col("evidence_id").alias("evidence"), "is_lesson"), "links")
+    found = graph.clusters(links.select(F.col("id").alias("member"), "evidence"))
+    return links.select("id", "evidence"), found.withColumnRenamed("member", "id").join(links.select("id", "is_lesson").distinct(), "id")
+
+
+def _corroborated(v: Views, links: DataFrame, members: DataFrame, scored: DataFrame) -> DataFrame:
+    own = v.attempts().select("attempt_id", F.col("evidence_id").alias("evidence"))
+    vectors = v.pool("attempt").select(F.col("id").alias("attempt_id"), "v")
+    asked = v.pool("task").select(F.col("id").alias("q"), F.col("v").alias("qv"))
+    second = experience.corroborated(scored, links, own, _attempt_words(v), vectors, asked)
+    return experience.with_fallback(experience.cluster_admitted(scored, members), second)
 
 
-def _rescued(v: Views, relevant: DataFrame) -> DataFrame:
-    known = relevant.where("outcome <> 'partial'").select("q", "attempt_id")
-    return retrieval.rescued(known, v.attempts().select("attempt_id", "evidence_id"), v.memory_evidence())
+def _memory_vectors(v: Views) -> DataFrame:
+    links, members = _pool_clusters(v)
+    own = v.attempts().select("attempt_id", F.col("evidence_id").alias("evidence"))
+    asked = v.pool("task").select(F.col("id").alias("q"), F.col("v").alias("qv"))
+    return scratch.keep(
+        relevance.memory_vectors(_near(v, "memory"), state.current(v.memories()), links, members, own, _attempt_words(v), v.pool("attempt").select(F.col("id").alias("attempt_id"), "v"), asked), "memory-vectors",
+    )
 
 
 @query
 def provenance_rescue(v):
-    return _rescued(v, _relevant_attempts(v))
+    """Memories that share evidence with an attempt that a task admits."""
+    seen = _relevant_attempts(v).where("outcome <> 'partial'").select("q", "attempt_id")
+    return retrieval.rescued(seen, v.attempts().select("attempt_id", "evidence_id"), v.memory_evidence().select("memory_id", "evidence_id"))
+
+
+@query
+def relevant_memories(v):
+    """Current memories that any of the four channels admits for a task."""
+    return _relevant_memories(v, _relevant_attempts(v))
+
+
+@query
+def relevant_attempts(v):
+    return _relevant_attempts(v).select("q", "attempt_id", "outcome")
 
 
 @query
 def attempt_absorption(v):
-    causes = v.memories().where("kind = 'root_cause'").select("memory_id", F.col("seq").alias("pos")).join(v.memory_evidence(), "memory_id")
+    causes = v.memories().where("kind = 'root_cause'").select("memory_id", F.col("seq").alias("pos")).join(v.memory_evidence().select("memory_id", "evidence_id"), "memory_id")
     return retrieval.absorbed(causes, v.attempts().where("outcome = 'failed'").select("attempt_id", "evidence_id"))
 
 
 @query
 def cosine_topk(v):
-    return semantic.top(semantic.scores(*v.vectors()), 5).select("q", "id", "score", "rank")
+    return semantic.top(semantic.near(*v.vectors(), itself=False, k=5), 5).select("q", "id", "score", "rank")
 
 
 @query
 def semantic_winner_margin(v):
-    return semantic.winner(semantic.scores(*v.vectors()), 0.20, 0.08).select("q", "id", "score")
+    return semantic.winner(semantic.near(*v.vectors(), itself=False, k=2), 0.20, 0.08).select("q", "id", "score")
 
 
 @query
 def semantic_set_admission(v):
-    return semantic.admitted_set(semantic.scores(*v.vectors()), *semantic.SETS["lesson"]).select("q", "id", "score", "rank")
+    floor, cap = semantic.SETS["lesson"]
+    return semantic.admitted_set(semantic.near(*v.vectors(), itself=False, floor=floor, k=cap), floor, cap).select("q", "id", "score", "rank")
 
 
 @query
 def source_max_admission(v):
-    return semantic.admitted_set(semantic.group_max(semantic.scores(*v.vectors())), *semantic.SETS["document"]).select("q", "id", "score", "rank")
+    """Documents by their best chunk, here vectors by number modulo 7."""
+    floor, cap = semantic.SETS["document"]
+    return semantic.admitted_set(semantic.group_max(semantic.near(*v.vectors(), itself=False, floor=floor)), floor, cap).select("q", "id", "score", "rank")
 
 
-def _experiences(v: Views) -> tuple[DataFrame, DataFrame]:
-    """Evidence links (id, evidence) of vectors, within a label, and their clusters with a third of them lessons."""
-    e = v.table("embeddings").where("label is not null")
-    keys = F.array(F.floor(F.col("vec_id") / 4), F.when(F.col("vec_id") % 4 == 0, F.col("vec_id") % 100 + 1_000_000))
-    links = e.select(F.col("vec_id").alias("id"), F.explode(F.transform(F.array_compact(keys), lambda k: F.concat_ws("-", "label", k))).alias("evidence"))
-    found = graph.clusters(links.select(F.col("id").alias("member"), "evidence"))
-    return links, found.select(F.col("member").alias("id"), "cluster", (F.col("member") % 3 == 0).alias("is_lesson"))
+@query
+def cluster_admission(v):
+    """Clusters of root causes and verified lessons that vectors admit for a task."""
+    _, members = _pool_clusters(v)
+    return experience.cluster_admitted(_near(v, "memory")(members.select("id"), within=semantic.WINNER["memory"][1]), members)
 
 
-def _experience_scores(v: Views) -> DataFrame:
-    """Queries against the vectors of their label; those of every second query against all but the near ones."""
-    return semantic.scores(*v.vectors()).where("q % 100 = 0 or score < 0.3").select("q", "id", "score")
+@query
+def corroboration(v):
+    """Records admitted by cluster, or by an attempt on their evidence."""
+    links, members = _pool_clusters(v)
+    return _corroborated(v, links, members, _near(v, "memory")(members.select("id"), within=semantic.WINNER["memory"][1]))
 
 
 @query
-def cluster_admission(v):
-    return experience.cluster_admitted(_experience_scores(v), _experiences(v)[1])
+def memory_vectors(v):
+    return _memory_vectors(v)
 
 
 @query
-def corroboration(v):
-    """Records admitted by cluster, or by an attempt on their evidence; attempts are the vectors of odd ids."""
-    links, members = _experiences(v)
-    scored = _experience_scores(v)
-    attempts = links.where("id % 2 = 1").select(F.col("id").alias("attempt_id"), "evidence")
-    words = scored.where("(q + id) % 3 = 0").select("q", F.col("id").alias("attempt_id"))
-    second = experience.corroborated(scored, links, attempts, words, scored.withColumnRenamed("id", "attempt_id"))
-    return experience.with_fallback(experience.cluster_admitted(scored, members), second)
+def invariant_set(v):
+    """Current invariants that vectors admit for a task."""
+    live = state.current(v.memories()).where("kind = 'invariant'").select(F.col("memory_id").alias("id"))
+    return relevance.lesson_set(_near(v, "memory"), live, "invariant")
+
+
+def _document_set(v: Views) -> DataFrame:
+    return relevance.document_set(_near(v, "chunk")(floor=semantic.SETS["document"][0]))
+
+
+def _admitted_documents(v: Views) -> tuple[DataFrame, DataFrame]:
+    """(q, id, words, full_text, semantic) of documents, and (q, id, score) of those that vectors admit."""
+    by_vector = scratch.keep(_document_set(v), "document-set")
+    return scratch.keep(relevance.admitted(v.task_tokens(), v.index("document"), by_vector.select("q", "id")), "admitted"), by_vector
 
 
 @query
 def admission_channels(v):
-    """Which of words and full text admit a document for a task."""
-    words = retrieval.lexical(_pairs(v)).select("q", F.col("d").alias("id"))
-    text = retrieval.fts_admitted(retrieval.bm25(_task_tokens(v), v.documents(), F.col("text"))).select("q", F.col("d").alias("id"))
-    return experience.channels(words=words, full_text=text)
+    """Which of words, full text and vectors admit a document for a task."""
+    return _admitted_documents(v)[0]
 
 
 @query
 def skill_promotion(v):
     m = v.memories()
     odd = F.col("seq") % 5 == 0
-    drafts = m.where("kind in ('lesson', 'note')").select(F.concat(F.lit("s"), F.col("memory_id")).alias("skill_id"), F.when(odd, F.lit(" ")).otherwise(F.substring("content", 1, 8)).alias("name"), F.lit("use").alias("purpose"), F.array(F.lit("do"), F.when(F.col("seq") % 7 == 0, F.lit("")).otherwise(F.lit("check"))).alias("steps"), F.array().cast("array<string>").alias("conditions"), F.col("memory_id").alias("lesson_id"))
-    cites = v.memory_evidence().withColumn("position", F.lit(0))
+    drafts = m.where("kind in ('lesson', 'note')").select(F.concat(F.lit("s"), F.col("memory_id")).alias("skill_id"), F.when(odd, F.lit(" ")).otherwise(F.concat(F.lit("lesson "), F.col("conv_id").cast("string"))).alias("name"), F.lit("use").alias("purpose"), F.array(F.lit("do"), F.when(F.col("seq") % 7 == 0, F.lit("")).otherwise(F.lit("check"))).alias("steps"), F.array().cast("array<string>").alias("conditions"), F.col("memory_id").alias("lesson_id"))
+    cites = v.memory_evidence()
     out = experience.promoted(drafts, m, cites)
     return out.select("skill_id", "verification_state", F.array_join(F.transform("evidence_ids", lambda x: x.cast("string")), ",").alias("cited"), "reason")
 
@@ -287,25 +351,11 @@ def chunk_documents(v):
     return v.documents().select("d", F.posexplode(T.chunks(F.col("text"))).alias("i", "chunk")).select("d", F.col("i").cast("long").alias("i"), F.length("chunk").cast("long").alias("size"), F.md5("chunk").alias("digest"))
 
 
-def _chunk_rows(v: Views, wanted: DataFrame) -> DataFrame:
-    """Chunks of the documents of ``wanted``."""
-    docs = v.documents().join(wanted.select("d").distinct(), "d", "left_semi")
-    return docs.select("d", "source", F.posexplode(T.chunks(F.col("text"))).alias("i", "chunk")).withColumn("c", T.chunk_id(F.col("d"), F.col("i")))
-
-
 def _ordered_evidence(v: Views) -> DataFrame:
-    """Chunks of the documents that a task admits, scored, without those of score 0, in their final order.
-
-    Narrow rows, without the chunks' texts; the admitted pairs are a table, as they select documents and pairs.
-    """
-    admitted = scratch.keep(retrieval.lexical(_pairs(v)).select("q", "d"), "admitted")
-    rows = _chunk_rows(v, admitted)
-    tokens = rows.select("d", "i", "source", "c", T.tokens(F.col("chunk")).alias("t")).select("d", "i", "source", "c", F.explode("t").alias("token"))
-    hits = tokens.join(_task_tokens(v).select("q", "token"), "token").join(admitted, ["q", "d"])
-    intent = F.count_if(F.col("token").isin(*T.INTENT_TERMS))
-    found = hits.groupBy("q", "d", "i", "source", "c").agg(F.count("*").alias("shared"), intent.alias("intent"), F.collect_list("token").alias("hits"))
-    pos = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "source", "d", "i"))
-    return found.select("q", "d", "i", "source", "c", "hits", T.weighted_overlap(F.col("shared"), F.col("intent")).alias("score")).withColumn("pos", pos)
+    """Chunks of the documents that a task admits, scored and in order; narrow rows, without the chunks' texts."""
+    documents, by_vector = _admitted_documents(v)
+    hits = relevance.chunk_hits(documents.select("q", F.col("id").alias("d")), v.chunks(), v.task_tokens())
+    return relevance.ordered_evidence(hits, by_vector)
 
 
 @query
@@ -315,11 +365,11 @@ def chunk_scores(v):
 
 @query
 def project_evidence_order(v):
-    return _ordered_evidence(v).select("q", "pos", "c", "score")
+    return _ordered_evidence(v).select("q", "pos", "c", "score", "similarity")
 
 
 def _sufficient(v: Views) -> DataFrame:
-    ranked = scratch.keep(_ordered_evidence(v), "ordered").withColumnRenamed("d", "evidence_id").withColumn("semantic", F.lit(False))
+    ranked = scratch.keep(_ordered_evidence(v), "ordered").withColumnRenamed("d", "evidence_id")
     return C.sufficient(ranked, ranked.select("q", "pos", F.explode("hits").alias("token")))
 
 
@@ -328,71 +378,183 @@ def min_sufficient_set(v):
     return _sufficient(v).select("q", "pos", "c")
 
 
-def _items(v: Views) -> DataFrame:
-    """Open risks, history and evidence of every task as rendered items in section order."""
-    none = F.array().cast("array<string>")
-    text = lambda entity, content, path: T.render_item(entity, content, F.lit(None).cast("string"), path, F.lit(0), F.lit(1), none, none)
-    null = F.lit(None).cast("string")
-    chosen = scratch.keep(_sufficient(v).select("q", "c", "pos", F.col("evidence_id").alias("d")), "sufficient")
-    evidence = chosen.join(_chunk_rows(v, chosen).select("c", "chunk", "source"), "c").select("q", F.lit(4).alias("s"), F.col("pos").cast("long").alias("p"), text(F.col("c"), F.col("chunk"), F.col("source")).alias("rendered"))
-    attempts = scratch.keep(_relevant_attempts(v), "attempts")
-    history = attempts.where("outcome = 'failed'").join(v.attempts().select("attempt_id", "approach"), "attempt_id")
-    history = history.select("q", F.lit(5).alias("s"), F.col("attempt_id").alias("p"), text(F.concat(F.lit("a"), F.col("attempt_id").cast("string")), F.col("approach"), null).alias("rendered"))
-    risks = state.current(v.memories()).where("kind = 'pending'").join(_rescued(v, attempts), "memory_id")
-    risks = risks.select("q", F.lit(1).alias("s"), F.col("seq").alias("p"), text(F.col("memory_id"), F.col("content"), null).alias("rendered"))
-    items = risks.unionByName(history).unionByName(evidence)
-    pos = F.row_number().over(Window.partitionBy("q").orderBy("s", "p"))
-    return items.withColumn("pos", pos).withColumn("section", F.element_at(F.array(*map(F.lit, C.SECTIONS)), F.col("s") + 1)).drop("s", "p")
+def _validation(v: Views, attempts: DataFrame, memories: DataFrame) -> DataFrame:
+    """(q, evidence_id, p): what a preflight recommends to check again."""
+    lessons = state.current(v.memories()).where("kind = 'lesson' and epistemic_state = 'verified'").select("memory_id", F.col("seq").alias("place"))
+    own = memories.join(lessons, "memory_id").join(v.memory_evidence().select("memory_id", "evidence_id", "position"), "memory_id").select("q", "place", "position", "evidence_id")
+    successes = attempts.where("outcome = 'succeeded'").select("q", F.col("attempt_id").alias("place"), F.lit(0).alias("position"), "evidence_id")
+    return scratch.keep(relevance.validation(own, successes, v.evidence()), "validation")
+
+
+class _Context:
+    """What a context is made of: narrow items in order with their sizes, what they cite, and their texts on demand."""
+
+    def __init__(self, v: Views):
+        self.v = v
+        live = state.current(v.memories())
+        attempts = _relevant_attempts(v)
+        memories = _relevant_memories(v, attempts)
+        own = {"invariant": relevance.lesson_set, "decision": relevance.winner}
+        found = {}
+        for kind, choose in own.items():  # kinds that a preflight does not admit by vectors have pools of their own
+            ids = live.where(F.col("kind") == kind).select(F.col("memory_id").alias("id"))
+            by_vector = choose(_near(v, "memory"), ids, "invariant") if kind == "invariant" else choose(_near(v, "memory"), ids)
+            found[kind] = by_vector.select("q", F.col("id").alias("memory_id"))
+        every = memories
+        for by_vector in found.values():
+            every = every.unionByName(by_vector)
+        place = {"invariant": 0, "pending": 1, "decision": 3, "root_cause": 5}
+        section = F.when((F.col("kind") == "lesson") & (F.col("epistemic_state") == "verified"), 2)
+        for kind, at in place.items():
+            section = section.when(F.col("kind") == kind, at)
+        self.memories = every.distinct().join(live.select("memory_id", "kind", "epistemic_state", "seq"), "memory_id").withColumn("s", section).where("s is not null")
+        self.memories = scratch.keep(self.memories, "context-memories")
+        self.excluded = v.tasks().select("q").join(self.memories.where("s = 0").groupBy("q").agg(F.count("*").alias("n")), "q", "left")
+        invariants = live.where("kind = 'invariant'").agg(F.count("*").alias("n")).scalar()
+        self.excluded = self.excluded.select("q", (invariants - F.coalesce("n", F.lit(0))).alias("n_excluded"))
+        self.partners = state.partners(state.open_conflicts(v.conflicts(), v.memories()))
+        self.evidence = v.memory_evidence().select("memory_id", "evidence_id")
+        failed = attempts.where("outcome = 'failed'")
+        causes = self.memories.where("s = 5").select("q", "memory_id", F.col("seq").alias("pos")).join(self.evidence, "memory_id")
+        absorbed = causes.join(failed.select("q", "attempt_id", "evidence_id"), ["q", "evidence_id"]).groupBy("q", "attempt_id").agg(F.min(F.struct("pos", "memory_id")).memory_id.alias("memory_id"))
+        self.absorbed = scratch.keep(absorbed, "absorbed")
+        self.cited = self.absorbed.groupBy("q", "memory_id").agg(F.transform(F.array_sort(F.collect_list("attempt_id")), lambda x: F.concat(F.lit("a"), x.cast("string"))).alias("cited"))
+        self.alone = failed.join(self.absorbed.select("q", "attempt_id"), ["q", "attempt_id"], "left_anti").select("q", "attempt_id", "evidence_id")
+        self.chunks = scratch.keep(_sufficient(v).select("q", "c", "i", "n", "source", F.col("pos").cast("long").alias("p")), "sufficient")
+        self.validation = _validation(v, attempts, memories)
+
+    def parts(self) -> DataFrame:
+        """(q, s, p, key, entity, authority, path, i, n, cited, partners) of all items, without their contents."""
+        none, null = F.array().cast("array<string>"), F.lit(None).cast("string")
+        zero = F.lit(0)
+        memories = self.memories.join(self.cited, ["q", "memory_id"], "left").join(self.partners, "memory_id", "left").select(
+            "q", "s", F.col("seq").alias("p"), F.concat(F.lit("m"), F.col("memory_id")).alias("key"), F.col("memory_id").alias("entity"), F.col("epistemic_state").alias("authority"), null.alias("path"), zero.alias("i"), F.lit(1).alias("n"),
+            F.when(F.col("s") == 5, F.coalesce("cited", none)).otherwise(none).alias("cited"), F.coalesce("partners", none).alias("partners"),
+        )
+        chunks = self.chunks.select("q", F.lit(4).alias("s"), "p", F.concat(F.lit("c"), F.col("c")).alias("key"), F.col("c").alias("entity"), F.lit("document").alias("authority"), F.col("source").alias("path"), "i", "n", none.alias("cited"), none.alias("partners"))
+        name = F.concat(F.lit("a"), F.col("attempt_id").cast("string"))
+        alone = self.alone.select("q", F.lit(6).alias("s"), F.col("attempt_id").alias("p"), name.alias("key"), name.alias("entity"), null.alias("authority"), null.alias("path"), zero.alias("i"), F.lit(1).alias("n"), none.alias("cited"), none.alias("partners"))
+        return memories.unionByName(chunks).unionByName(alone)
+
+    def contents(self, wanted: DataFrame) -> DataFrame:
+        """(key, content) of the items of ``wanted`` (key)."""
+        keys = wanted.select("key").distinct()
+        attempts = self.v.attempts().select(F.concat(F.lit("a"), F.col("attempt_id").cast("string")).alias("key"), F.concat_ws(" -- ", "task", "approach").alias("content"))
+        memories = self.v.memories().select(F.concat(F.lit("m"), F.col("memory_id")).alias("key"), "content")
+        chunks = self.v.chunks().select(F.concat(F.lit("c"), F.col("c")).alias("key"), F.col("chunk").alias("content"))
+        evidence = self.v.evidence().select(F.concat(F.lit("e"), F.col("evidence_id").cast("string")).alias("key"), "content")
+        return attempts.unionByName(memories).unionByName(chunks).unionByName(evidence).join(keys, "key", "left_semi")
+
+    def sizes(self) -> DataFrame:
+        """(key, content_size): lengths of the safe contents; those of chunks are stored."""
+        of = lambda df: df.withColumn("content_size", F.length(T.terminal_safe(F.col("content")))).select("key", "content_size")
+        memories = self.v.memories().join(self.memories.select("memory_id"), "memory_id", "left_semi").select(F.concat(F.lit("m"), F.col("memory_id")).alias("key"), "content")
+        attempts = self.v.attempts().join(self.alone.select("attempt_id"), "attempt_id", "left_semi").select(F.concat(F.lit("a"), F.col("attempt_id").cast("string")).alias("key"), F.concat_ws(" -- ", "task", "approach").alias("content"))
+        chunks = self.v.chunks().select(F.concat(F.lit("c"), F.col("c")).alias("key"), F.col("size").alias("content_size"))
+        return of(memories).unionByName(of(attempts)).unionByName(chunks)
+
+    def scan(self) -> DataFrame:
+        """The budget scan over all items and its validation pass, with evidence_id for the latter and key and parts for the others."""
+        size = C.item_size(F.col("entity"), F.col("content_size"), F.col("authority"), F.col("path"), F.col("i"), F.col("n"), F.col("cited"), F.col("partners"))
+        pos = F.row_number().over(Window.partitionBy("q").orderBy("s", "p", "entity"))
+        items = self.parts().join(self.sizes(), "key").withColumn("size", size).withColumn("pos", pos)
+        items = items.withColumn("section", F.element_at(F.array(*map(F.lit, C.SECTIONS)), F.least(F.col("s"), F.lit(5)) + 1))
+        self.items = scratch.keep(C.within_budget(items, BUDGET), "items")
+        memory = F.when(F.col("key").startswith("m"), F.col("entity"))
+        cited = self.items.where("selected").select("q", "pos", memory.alias("memory_id")).join(self.evidence, "memory_id").select("q", "pos", "evidence_id")
+        of_attempt = self.items.where("selected and key like 'a%'").select("q", "pos", F.col("p").alias("attempt_id")).join(self.alone, ["q", "attempt_id"]).select("q", "pos", "evidence_id")
+        evidence = self.v.evidence().select("evidence_id", "kind", F.length(T.terminal_safe(F.col("content"))).alias("content_size"))
+        name = F.concat(F.lit("e"), F.col("evidence_id").cast("string"))
+        none = F.array().cast("array<string>")
+        size = C.item_size(name, F.col("content_size"), F.col("kind"), F.lit(None).cast("string"), F.lit(0), F.lit(1), none, none)
+        pool = self.validation.join(evidence, "evidence_id").select("q", "p", "evidence_id", size.alias("size"))
+        return scratch.keep(experience.with_validation(self.items.select("q", "pos", "section", "size", "cost", "used", "selected"), pool, cited.unionByName(of_attempt), BUDGET), "scan")
+
+    def rendered(self, scan: DataFrame) -> DataFrame:
+        """(q, pos, section, rendered) of the selected items."""
+        chosen = self.items.where("selected").select("q", "pos", "section", "key", "entity", "authority", "path", "i", "n", "cited", "partners")
+        evidence = scan.where("selected and evidence_id is not null").join(self.v.evidence().select("evidence_id", "kind"), "evidence_id")
+        name, none = F.concat(F.lit("e"), F.col("evidence_id").cast("string")), F.array().cast("array<string>")
+        more = evidence.select("q", "pos", "section", name.alias("key"), name.alias("entity"), F.col("kind").alias("authority"), F.lit(None).cast("string").alias("path"), F.lit(0).alias("i"), F.lit(1).alias("n"), none.alias("cited"), none.alias("partners"))
+        chosen = scratch.keep(chosen.unionByName(more), "chosen")
+        text = T.render_item(F.col("entity"), F.col("content"), F.col("authority"), F.col("path"), F.col("i"), F.col("n"), F.col("cited"), F.col("partners"))
+        return chosen.join(self.contents(chosen), "key").select("q", "pos", "section", text.alias("rendered"))
 
 
 @query
 def budget_prefix(v):
-    return C.within_budget(_items(v), BUDGET).select("q", "pos", "section", "cost", "used", "selected")
+    return _Context(v).scan().select("q", "pos", "section", "cost", "used", "selected")
 
 
 @query
 def context_sections(v):
-    out = C.within_budget(_items(v), BUDGET)
-    return out.groupBy("q", "section").agg(F.count_if("selected").alias("n_selected"), F.count("*").alias("n"))
+    return _Context(v).scan().groupBy("q", "section").agg(F.count_if("selected").alias("n_selected"), F.count("*").alias("n"))
 
 
 @query
 def context_footer(v):
-    return C.totals(C.within_budget(_items(v), BUDGET))
+    c = _Context(v)
+    return C.totals(c.scan(), v.tasks(), c.excluded).select("q", "n_selected", "n_omitted", "used", "footer")
 
 
 @query
 def context_text(v):
-    return C.render(C.within_budget(_items(v), BUDGET), v.tasks())
+    c = _Context(v)
+    scan = c.scan()
+    return C.render(c.rendered(scan), C.totals(scan, v.tasks(), c.excluded), v.tasks())
+
+
+@query
+def trace_evidence(v):
+    """Every ordered chunk with the channels that admitted its document, and whether it is sufficient and selected."""
+    c = _Context(v)
+    chosen = c.scan().where("selected and section = 'PROJECT EVIDENCE'").select("q", "pos").join(c.items.select("q", "pos", "entity"), ["q", "pos"]).select("q", F.col("entity").alias("c"), F.lit(True).alias("selected"))
+    channels = _admitted_documents(v)[0].withColumnRenamed("id", "d")
+    out = _ordered_evidence(v).select("q", "d", "c", "pos", "score").join(channels, ["q", "d"])
+    out = out.join(c.chunks.select("q", "c", F.lit(True).alias("sufficient")), ["q", "c"], "left").join(chosen, ["q", "c"], "left")
+    return out.select("q", "c", "pos", "score", "words", "full_text", F.col("semantic"), *[F.coalesce(x, F.lit(False)).alias(x) for x in ("sufficient", "selected")])
 
 
 @query
 def preflight_long(v):
-    """Categories of every task; constraints hold for all tasks and stand once, under task -1."""
+    """Categories of every task, each in its order; constraints hold for all tasks and stand once, under task -1."""
     live = state.current(v.memories())
-    attempts = scratch.keep(_relevant_attempts(v), "attempts")
-    rescued = live.join(_rescued(v, attempts), "memory_id")
-    lexical = retrieval.lexical(retrieval.shared_counts(_task_tokens(v), retrieval.token_rows(live.withColumnRenamed("memory_id", "d"), "d", F.col("content")))).select("q", F.col("d").alias("memory_id"))
-    related = live.join(lexical, "memory_id").unionByName(rescued).distinct()
+    attempts = _relevant_attempts(v)
+    memories = _relevant_memories(v, attempts)
+    related = memories.join(live.select("memory_id", "kind", "epistemic_state", "seq"), "memory_id")
     category = F.when(F.col("kind") == "root_cause", "root_cause").when((F.col("kind") == "lesson") & (F.col("epistemic_state") == "verified"), "lesson").when(F.col("kind") == "pending", "pending").when(F.col("kind") == "invalidation", "invalidation")
+    pair = relevance.conflicts(state.open_conflicts(v.conflicts(), v.memories()), memories)
+    zero = F.lit(0).cast("long")
     parts = [
-        live.where("kind = 'invariant'").select(F.lit(-1).cast("long").alias("q"), F.lit("constraint").alias("category"), F.col("memory_id").alias("entity")),
-        related.select("q", category.alias("category"), F.col("memory_id").alias("entity")).where("category is not null"),
-        attempts.where("outcome <> 'partial'").select("q", F.when(F.col("outcome") == "failed", "known_failure").otherwise("known_success").alias("category"), F.col("attempt_id").cast("string").alias("entity")),
-        attempts.where("outcome = 'succeeded' and evidence_id % 8 in (1, 2)").select("q", F.lit("validation").alias("category"), F.col("evidence_id").cast("string").alias("entity")).distinct(),
-    ]
+        live.where("kind = 'invariant'").select(F.lit(-1).cast("long").alias("q"), F.lit("constraint").alias("category"), F.col("memory_id").alias("entity"), F.col("seq").alias("place")),
+        related.select("q", category.alias("category"), F.col("memory_id").alias("entity"), F.col("seq").alias("place")).where("category is not null"),
+        attempts.where("outcome <> 'partial'").select("q", F.when(F.col("outcome") == "failed", "known_failure").otherwise("known_success").alias("category"), F.col("attempt_id").cast("string").alias("entity"), F.col("attempt_id").alias("place")),
+        _validation(v, attempts, memories).select("q", F.lit("validation").alias("category"), F.col("evidence_id").cast("string").alias("entity"), F.col("p").cast("long").alias("place")),
+        pair.select("q", F.lit("conflict").alias("category"), F.concat_ws(" ", "a", "b").alias("entity"), zero.alias("place")),
+    ]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    pos = F.row_number().over(Window.partitionBy("q", "category").orderBy("place", "entity"))
+    return out.select("q", "category", "entity", pos.alias("pos"))
 
 
 @query
 def guard_report(v):
-    """Failed attempts that a task admits and that share evidence with an admitted skill (a succeeded attempt here)."""
-    a = _relevant_attempts(v).withColumn("evidence_id", F.col("evidence_id") % 5)
-    skills = a.where("outcome = 'succeeded'").select("q", "evidence_id").distinct()
-    return a.where("outcome = 'failed'").join(skills, ["q", "evidence_id"], "left_semi").select("q", "attempt_id")
+    """Skills that apply to a task, failed attempts on their evidence that the task admits, and the evidence to check again."""
+    found = relevance.admitted(v.task_tokens(), v.index("skill"), relevance.winner(_near(v, "skill"), None, "skill"))
+    skills = v.skills().select(F.col("skill_id").alias("id"), "seq", "evidence_id")
+    skills = scratch.keep(found.select("q", "id").join(skills, "id"), "skills")
+    failed = relevance.guard(skills, _relevant_attempts(v))
+    checks = relevance.first_seen(skills.select("q", F.col("seq").alias("place"), F.lit(0).alias("position"), "evidence_id"))
+    checks = checks.join(v.evidence().where(F.col("kind").isin(*state.VALIDATION)).select("evidence_id"), "evidence_id", "left_semi")
+    rows = [("skill", skills, "id", "seq"), ("known_failure", failed, "attempt_id", "attempt_id"), ("validation", checks, "evidence_id", "p")]
+    out = None
+    for name, df, entity, place in rows:
+        part = df.select("q", F.lit(name).alias("category"), F.col(entity).cast("string").alias("entity"), F.col(place).cast("long").alias("place"))
+        out = part if out is None else out.unionByName(part)
+    pos = F.row_number().over(Window.partitionBy("q", "category").orderBy("place", "entity"))
+    return out.select("q", "category", "entity", pos.alias("pos"))
 
 
 @query
@@ -402,7 +564,8 @@ def terminal_safe(v):
 
 @query
 def render_items(v):
-    m = state.with_status(v.memories()).join(v.conflicts().select(F.col("a").alias("memory_id"), "b").groupBy("memory_id").agg(F.array_sort(F.collect_list("b")).alias("partners")), "memory_id", "left")
+    """All memories as items, with the partners of their open conflicts, either way."""
+    m = state.with_status(v.memories()).join(state.partners(state.open_conflicts(v.conflicts(), v.memories())), "memory_id", "left")
     none = F.array().cast("array<string>")
     return m.select("memory_id", T.render_item(F.col("memory_id"), F.col("content"), F.col("epistemic_state"), F.lit(None).cast("string"), F.lit(0), F.lit(1), none, F.coalesce("partners", none)).alias("line"))
 
@@ -439,8 +602,9 @@ def embed_concepts(v):
 
 @query
 def stream_cdc(v):
-    """The capture as a stream over one file of all observations; equals observation_changes."""
-    base = v.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-")
-    run = f"{base.rstrip('/')}/cdc-{v.spark.sparkContext.applicationId}-{abs(hash(v.dir))}-{id(v)}"
-    v.observations().select("path", "seq", "digest").coalesce(1).write.mode("overwrite").parquet(f"{run}/in")
-    return watch.capture_all(v.spark, f"{run}/in", "path string, seq long, digest string", f"{run}/out", f"{run}/checkpoint")
+    """The capture as a stream over files in the order of seq, one a trigger; equals observation_changes."""
+    run = scratch.folder(v.spark, "cdc")
+    seen = v.observations().select("path", "seq", "digest")
+    seen.repartitionByRange(CDC_FILES, "seq").sortWithinPartitions("seq").write.parquet(f"{run}/in")
+    watch.in_order(v.spark, f"{run}/in")
+    return watch.capture_all(v.spark, f"{run}/in", "path string, seq long, digest string", f"{run}/out", f"{run}/checkpoint", files_per_trigger=1)

@@ -5,8 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions import text as T
+from lodestone.operators.index import Index, query_tokens
+from lodestone.sources import scratch
 from lodestone.sources.store import EVIDENCE_KINDS, KINDS, STATES
 
+#: Stored indexes and chunk tables of this process, by application, source files and kind.
+_stored: dict[tuple, object] = {}
+
 
 class Views:
     def __init__(self, spark: SparkSession, sf_dir: str):
@@ -30,7 +36,22 @@ class Views:
         return m.join(other, ["conv_id", "turn"]).select(F.least("memory_id", "y").alias("a"), F.greatest("memory_id", "y").alias("b"), F.col("seq").alias("recorded_at"))
 
     def memory_evidence(self) -> DataFrame:
-        return self.memories().select("memory_id", (F.col("conv_id") % 97).alias("evidence_id"))
+        """One evidence a memory, supporting where the memory is verified."""
+        role = F.when(F.col("epistemic_state") == "verified", "supporting").otherwise("related")
+        return self.memories().select("memory_id", (F.col("conv_id") % 97).alias("evidence_id"), F.lit(0).alias("position"), role.alias("role"))
+
+    def evidence(self) -> DataFrame:
+        """The evidence that memories and attempts cite: documents by number."""
+        kind = F.element_at(F.array(*map(F.lit, EVIDENCE_KINDS)), (F.col("doc_id") % 8 + 1).cast("int"))
+        return self.table("documents").where("doc_id < 97").select(F.col("doc_id").alias("evidence_id"), F.col("text").alias("content"), kind.alias("kind"))
+
+    def skills(self) -> DataFrame:
+        """One skill a lesson, with the lesson's evidence."""
+        m = self.memories().where("kind = 'lesson'")
+        return m.select(
+            F.concat(F.lit("s"), F.col("memory_id")).alias("skill_id"), F.concat(F.lit("lesson of conversation "), F.col("conv_id").cast("string")).alias("name"), F.col("content").alias("purpose"),
+            F.array(F.lit("turn"), F.col("turn").cast("string")).alias("conditions"), (F.col("conv_id") % 97).alias("evidence_id"), "seq", F.col("memory_id").alias("lesson_id"), "conv_id", "turn",
+        )
 
     def attempts(self) -> DataFrame:
         outcome = F.when(F.col("quality") == 1, "succeeded").when(F.col("toxic") == 1, "partial").otherwise("failed")
@@ -58,6 +79,54 @@ class Views:
         queries = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("label").alias("query_pool"), F.col("embedding").alias("qv"))
         return queries, e.select(F.col("vec_id").alias("id"), F.col("label").alias("pool"), (F.col("vec_id") % 7).alias("group"), F.col("embedding").alias("v"))
 
+    def pool(self, kind: str) -> DataFrame:
+        """(id, v) of records of a kind: their vectors are rows of embeddings, by number."""
+        by_turn = (F.col("conv_id") * 8 + F.col("turn")) % 500
+        ids = {
+            "task": lambda: self.tasks().select(F.col("q").alias("id"), (F.col("q") % 500).alias("vec_id")),
+            "memory": lambda: self.memories().select(F.col("memory_id").alias("id"), by_turn.alias("vec_id")),
+            "skill": lambda: self.skills().select(F.col("skill_id").alias("id"), by_turn.alias("vec_id")),
+            "attempt": lambda: self.attempts().select(F.col("attempt_id").alias("id"), (F.col("attempt_id") % 500).alias("vec_id")),
+            "chunk": lambda: self.chunks().select(F.col("c").alias("id"), F.col("d").alias("group"), ((F.col("d") + 7 * F.col("i")) % 500).alias("vec_id")),
+        }[kind]()
+        return ids.join(self.table("embeddings").where("vec_id < 500").select("vec_id", F.col("embedding").alias("v")), "vec_id").drop("vec_id")
+
+    def _key(self, *names: str) -> tuple:
+        """What a stored table was made from: the application, and names, sizes and times of the source files."""
+        found = []
+        for name in names:
+            p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.dir}/{name}.parquet")
+            for f in p.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(p):
+                found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+        return self.spark.sparkContext.applicationId, tuple(found)
+
+    def index(self, kind: str) -> Index:
+        """The search index of a kind of record, built when it is first asked for."""
+        records, tables = {
+            "document": (lambda: self.documents().select(F.col("d").alias("id"), "text"), ("documents",)),
+            "attempt": (lambda: self.attempts().select(F.col("attempt_id").alias("id"), F.concat_ws(" ", "task", "approach").alias("text")), ("documents", "labels")),
+            "memory": (lambda: self.memories().select(F.col("memory_id").alias("id"), F.col("content").alias("text")), ("conversations",)),
+            "skill": (lambda: self.skills().select(F.col("skill_id").alias("id"), F.concat_ws(" ", "name", "purpose", F.concat_ws(" ", "conditions")).alias("text")), ("conversations",)),
+        }[kind]
+        if (key := (kind, *self._key(*tables))) not in _stored:
+            _stored[key] = Index(self.spark, scratch.folder(self.spark, f"index-{kind}"), "string" if kind in ("memory", "skill") else "long").append(records())
+        return _stored[key]
+
+    def chunks(self) -> DataFrame:
+        """(d, source, i, n, c, size, tokens, chunk): chunks of all current documents, cut and tokenised once.
+
+        size: the length of the chunk's safe text.
+        """
+        if (key := ("chunks", *self._key("documents"))) not in _stored:
+            cut = self.documents().select("d", "source", T.chunks(F.col("text")).alias("chunks"))
+            rows = cut.select("d", "source", F.size("chunks").alias("n"), F.posexplode("chunks").alias("i", "chunk"))
+            rows = rows.select("d", "source", "i", "n", T.chunk_id(F.col("d"), F.col("i")).alias("c"), F.length(T.terminal_safe(F.col("chunk"))).alias("size"), T.tokens(F.col("chunk")).alias("tokens"), "chunk")
+            _stored[key] = scratch.keep(rows, "chunks")
+        return _stored[key]
+
+    def task_tokens(self) -> DataFrame:
+        return query_tokens(self.tasks(), "q", F.col("task"))
+
     def paths(self) -> DataFrame:
         path = F.regexp_extract("url", "^[a-z]+://[^/]*/([^?#]*)", 1)
         return self.table("pages").select("page_id", path.alias("path"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# The kinds and states of memories, and the kinds of evidence.
 KINDS = ("note", "decision", "lesson", "root_cause", "pending", "question", "invariant", "environment", "invalidation")
 STATES = ("user_asserted", "inferred", "verified")
 EVIDENCE_KINDS = ("file", "test_result", "command_output", "tool_output", "user_confirmation", "document", "url", "observation")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,14 +36,26 @@ def poll_interval(cost_s: float, idle: bool) -> float:
 
 
 def _track(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    last = state.get[0] if state.exists else None
-    rows = pd.concat(list(batches)).sort_values("seq")
-    out = []
-    for seq, digest in zip(rows.seq, rows.digest, strict=True):
-        out.append((key[0], seq, digest, "added" if last is None else "unchanged" if digest == last else "changed"))
-        last = digest
-    state.update((last,))
-    yield pd.DataFrame(out, columns=["path", "seq", "digest", "status"])
+    rows = pd.concat(list(batches)).sort_values("seq", kind="stable")  # what one trigger brings of one path
+    before = rows.digest.shift(1)
+    if state.exists:
+        before.iloc[0] = state.get[0]
+    same = (rows.digest == before) | (rows.digest.isna() & before.isna())
+    status = np.where(same, "unchanged", "changed")
+    if not state.exists:
+        status[0] = "added"
+    last = rows.digest.iloc[-1]
+    state.update((None if pd.isna(last) else last,))
+    yield pd.DataFrame({"path": key[0], "seq": rows.seq, "digest": rows.digest, "status": status})
+
+
+def in_order(spark: SparkSession, folder: str) -> None:
+    """Give the files of a folder times in the order of their names, the order in which a stream takes them."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = sorted((f.getPath().getName(), f.getPath(), f.getModificationTime()) for f in fs.listStatus(p) if f.getPath().getName().startswith("part-"))
+    for n, (_, path, _) in enumerate(files):
+        fs.setTimes(path, min(f[2] for f in files) - 1000 * (len(files) - n), -1)
 
 
 def capture(stream: DataFrame) -> DataFrame:

@@ -35,8 +35,9 @@ def test_corroboration(spark, score, words, attempt, want):
     ev = spark.createDataFrame([("m", 7)], "id string, evidence int")
     att = spark.createDataFrame([("t", 7), ("u", 8)], "attempt_id string, evidence int")
     lexical = spark.createDataFrame([(1, "t" if words else "u")], "q int, attempt_id string")
-    by_vector = spark.createDataFrame([(1, "t", attempt), (1, "u", 0.99)], "q int, attempt_id string, score double")
-    assert len(rows(X.corroborated(scored, ev, att, lexical, by_vector))) == want
+    vectors = spark.createDataFrame([("t", [attempt, (1 - attempt**2) ** 0.5]), ("u", [1.0, 0.0])], "attempt_id string, v array<double>")
+    asked = spark.createDataFrame([(1, [2.0, 0.0])], "q int, qv array<double>")
+    assert len(rows(X.corroborated(scored, ev, att, lexical, vectors, asked))) == want
 
 
 def test_promotion_takes_state_and_evidence_from_the_stored_lesson(spark):
@@ -54,12 +55,12 @@ def test_chunk_choice(spark):
 
 
 def test_validation_pass(spark):
-    items = C.within_budget(spark.createDataFrame([(1, 1, "HISTORY", "abc"), (2, 1, "HISTORY", "abc"), (2, 2, "HISTORY", "x" * 99)], "q int, pos int, section string, rendered string"), 40)
-    pool = spark.createDataFrame([(q, p, e, e * 4) for q in (1, 2) for p, e in enumerate("efg")], "q int, p int, evidence_id string, rendered string")
+    items = C.within_budget(spark.createDataFrame([(1, 1, "HISTORY", 3), (2, 1, "HISTORY", 3), (2, 2, "HISTORY", 99)], "q int, pos int, section string, size int"), 40)
+    pool = spark.createDataFrame([(q, p, e, 4) for q in (1, 2) for p, e in enumerate("efg")], "q int, p int, evidence_id string, size int")
     cited = spark.createDataFrame([(1, 1, "e"), (1, 1, "g"), (2, 1, "e")], "q int, pos int, evidence_id string")
     got = X.with_validation(items, pool, cited, 40).where("section = 'VALIDATION'").orderBy("q", "pos").collect()
     # used before: 3 + 1 + 8; the first validation item costs 4 + 1 + 11, the next 4 + 1
-    assert [(r.q, r.rendered, r.used, r.selected) for r in got if r.q == 1] == [(1, "eeee", 28, True), (1, "gggg", 33, True)]
+    assert [(r.q, r.evidence_id, r.used, r.selected) for r in got if r.q == 1] == [(1, "e", 28, True), (1, "g", 33, True)]
     assert [(r.used, r.selected) for r in got if r.q == 2] == [(None, False)] * 3
 
 
