@@ -19,6 +19,8 @@ from lodestone.llm.scratch import Scratch
 ROLL, DIVISOR = 2, 2
 #: Occurrences are dealt by hash; those of a hash with more than HOT of them, or one in HOT_SHARE of all, by hash and SALTS.
 HOT, HOT_SHARE, SALTS = 1000, 10_000, 64
+#: Bytes of text of a part of the dealt documents, and parts at most.
+PART_BYTES, MOST_PARTS = 1 << 25, 50_000
 
 
 def let(value: Column, body) -> Column:
@@ -67,14 +69,21 @@ def dedup_lines(docs: DataFrame, least: int = 2) -> DataFrame:
     own = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)])  # so that no column of docs clashes with those here
     text = F.col("text").cast("string")
     each = docs.select(own.alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("key"), text.alias("t"))
+    # Dealt once by a hash of (id, key): the joins below move spans to the texts, never texts to spans.
+    size = each.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    each = scratch.keep_by(each.withColumn("deal", F.xxhash64("id", "key")), "deal", min(-(-size // PART_BYTES), MOST_PARTS), "dealt")
     lines = F.split("t", "\n")
-    base = each.select("id", "key", "t").where("id is not null and t is not null and position('\n' in t) > 0")
+    base = each.select("deal", "id", "key", "t").where("id is not null and t is not null and position('\n' in t) > 0")
+
+    def mine(spans: Column) -> Column:
+        """Of spans dealt to a row, those of its own id and key: two rows may share a hash."""
+        return F.filter(spans, lambda c: (c.id == F.col("id")) & (c.key == F.col("key")))
 
     def listed(a: Column) -> Column:
         spans = F.filter(chunk_bounds(a), lambda c: c.length >= least)
         return F.filter(F.transform(spans, lambda c: let(text_of(a, c), lambda t: F.when(t.rlike(r"[^\s]"), F.struct(c.start.alias("start"), c.length.alias("length"), F.xxhash64(t).alias("hash"))))), lambda c: c.isNotNull())
 
-    narrow = scratch.keep(base.select("id", "key", F.explode(let(lines, listed)).alias("c")).select("id", "key", "c.*"), "chunks")
+    narrow = scratch.keep(base.select("deal", "id", "key", F.explode(let(lines, listed)).alias("c")).select("deal", "id", "key", "c.*"), "chunks")
     repeated = scratch.keep(narrow.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1"), "repeated")
     total = repeated.agg(F.sum("n")).first()[0] or 0
     # At most HOT_SHARE hashes, so their broadcast has a fixed bound.
@@ -91,16 +100,17 @@ def dedup_lines(docs: DataFrame, least: int = 2) -> DataFrame:
         return df.join(hot, "hash", "left").withColumn("salt", F.explode(salts)).drop("hot")
 
     wanted = salted(narrow).join(spread(repeated.select("hash")), ["hash", "salt"], "left_semi")
-    spans = wanted.groupBy("id", "key").agg(F.collect_set(F.struct("start", "length", "hash")).alias("spans"))
+    spans = wanted.groupBy("deal").agg(F.collect_set(F.struct("id", "key", "start", "length", "hash")).alias("spans"))
     # Texts move only of documents that hold a repeated hash, and of these only the chunks in question.
-    held = base.join(spans, ["id", "key"]).select("id", "key", F.struct(lines.alias("lines"), "spans").alias("s"))
+    held = base.join(spans, "deal").select("deal", "id", "key", F.struct(lines.alias("lines"), mine(F.col("spans")).alias("spans")).alias("s"))
     texts = let(F.col("s"), lambda s: F.transform(s.spans, lambda c: F.struct(c.start.alias("start"), c.length.alias("length"), c.hash.alias("hash"), text_of(s.lines, c).alias("chunk"))))
-    some = scratch.keep(held.select("id", "key", F.explode(texts).alias("c")).select("id", "key", "c.*"), "texts")
+    some = scratch.keep(held.select("deal", "id", "key", F.explode(texts).alias("c")).select("deal", "id", "key", "c.*"), "texts")
     first = some.groupBy("hash", "chunk").agg(F.min(F.struct("id", "key", "start")).alias("first"))  # equal bytes, not only equal hashes
     drop = salted(some).join(spread(first), ["hash", "salt", "chunk"]).where(F.struct("id", "key", "start") != F.col("first"))
-    drop = scratch.keep(drop.groupBy("id", "key").agg(F.collect_set(F.struct("start", "length")).alias("spans")), "drop")
+    drop = scratch.keep(drop.groupBy("deal").agg(F.collect_set(F.struct("id", "key", "start", "length")).alias("all")), "drop")
     scratch.drop(narrow, some)
-    out = each.join(drop, ["id", "key"], "left")
+    own_spans = F.transform(mine(F.col("all")), lambda c: F.struct(c.start.alias("start"), c.length.alias("length")))
+    out = each.join(drop, "deal", "left").withColumn("spans", own_spans).drop("all")
 
     def gaps(s: Column) -> Column:
         """The lines between the spans."""
