@@ -20,6 +20,33 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+WORDS = r"[^\x20\x09-\x0D]+"
+
+#: A window is the text of 20 words; the first start of each in the order of documents stays.
+SUBSTRING = f"""WITH ws AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORDS}') AS w FROM documents),
+word AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM ws),
+win AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 19), ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM ws WHERE len(w) >= 20)),
+later AS (SELECT doc_id, i FROM win QUALIFY row_number() OVER (PARTITION BY x ORDER BY doc_id, i) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS pos FROM later),
+kept AS (SELECT word.doc_id, count(*) AS n_words, count(gone.pos) AS n_removed, string_agg(word, ' ' ORDER BY word.pos) FILTER (WHERE gone.pos IS NULL) AS kept FROM word LEFT JOIN gone USING (doc_id, pos) GROUP BY word.doc_id)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM ws LEFT JOIN kept USING (doc_id)"""
+
+_DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE)))"
+
+VECTORS = f"""WITH RECURSIVE v AS (SELECT vec_id, label, embedding AS e, sqrt({_DOT.format(a="embedding", b="embedding")}) AS n FROM embeddings
+  WHERE embedding IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+link AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND x.vec_id <> y.vec_id WHERE x.n > 0 AND y.n > 0 AND {_DOT.format(a="x.e", b="y.e")} >= 0.98 * x.n * y.n),
+reach AS (SELECT vec_id, vec_id AS r FROM embeddings UNION SELECT link.a, reach.r FROM reach JOIN link ON link.b = reach.vec_id)
+SELECT vec_id, (SELECT count(*) FROM link WHERE a = vec_id) AS n_links, min(r) AS component_id, vec_id = min(r) AS kept FROM reach GROUP BY vec_id"""
+
+JACCARD = f"""WITH RECURSIVE ws AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORDS}') AS w FROM documents),
+shingles AS (SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: concat(w[i], ' ', w[i + 1], ' ', w[i + 2]))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM ws),
+each AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM shingles),
+link AS (SELECT a.doc_id AS a, b.doc_id AS b FROM each a JOIN each b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+reach AS (SELECT doc_id, doc_id AS r FROM ws UNION SELECT link.a, reach.r FROM reach JOIN link ON link.b = reach.doc_id)
+SELECT doc_id, len(s) AS n_shingles, component_id FROM shingles JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id) USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """None of these methods is expressible in SQL as a whole; their tests use brute-force versions."""
-    return {}
+    """SQL of the queries whose result is exact whatever the method. The others follow from hashes, raking, trees or tokenizers, and are tested against brute force."""
+    return {"op5_substring_dedup": SUBSTRING, "op6_embedding_near_dedup": VECTORS, "op9_ngram_jaccard_join": JACCARD}
