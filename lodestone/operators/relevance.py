@@ -18,8 +18,8 @@ def admitted(tokens: DataFrame, records: Index, by_vector: DataFrame) -> DataFra
 
 
 def attempts(found: DataFrame, table: DataFrame) -> DataFrame:
-    """(q, attempt_id, outcome, evidence_id) of admitted attempts."""
-    return found.select("q", F.col("id").alias("attempt_id")).join(table.select("attempt_id", "outcome", "evidence_id"), "attempt_id").select("q", "attempt_id", "outcome", "evidence_id")
+    """(q, attempt_id, seq, outcome, evidence_id) of admitted attempts, a row for each evidence of one, or one with null."""
+    return found.select("q", F.col("id").alias("attempt_id")).join(table.select("attempt_id", "seq", "outcome", "evidence_id"), "attempt_id").select("q", "attempt_id", "seq", "outcome", "evidence_id")
 
 
 def memories(found: DataFrame, relevant_attempts: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -87,8 +87,8 @@ def conflicts(open_: DataFrame, relevant: DataFrame) -> DataFrame:
 
 
 def guard(skills: DataFrame, relevant_attempts: DataFrame) -> DataFrame:
-    """(q, attempt_id) of relevant failed attempts that share evidence with an applicable skill (q, evidence_id)."""
-    return relevant_attempts.where("outcome = 'failed'").join(skills.select("q", "evidence_id"), ["q", "evidence_id"], "left_semi").select("q", "attempt_id")
+    """(q, attempt_id, seq) of relevant failed attempts that share evidence with an applicable skill (q, evidence_id)."""
+    return relevant_attempts.where("outcome = 'failed'").join(skills.select("q", "evidence_id"), ["q", "evidence_id"], "left_semi").select("q", "attempt_id", "seq").distinct()
 
 
 def chunk_hits(admitted_: DataFrame, chunks: DataFrame, tokens: DataFrame) -> DataFrame:

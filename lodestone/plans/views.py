@@ -15,6 +15,9 @@ _stored: dict[tuple, object] = {}
 
 
 class Views:
+    #: What texts put before the numbers that name attempts and evidence here.
+    prefix = {"attempt": "a", "evidence": "e"}
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir.rstrip("/")
 
@@ -56,7 +59,7 @@ class Views:
     def attempts(self) -> DataFrame:
         outcome = F.when(F.col("quality") == 1, "succeeded").when(F.col("toxic") == 1, "partial").otherwise("failed")
         docs = self.table("documents").join(self.table("labels"), "doc_id")
-        return docs.select(F.col("doc_id").alias("attempt_id"), F.col("text").alias("task"), F.col("source").alias("approach"), outcome.alias("outcome"), (F.col("doc_id") % 97).alias("evidence_id"))
+        return docs.select(F.col("doc_id").alias("attempt_id"), F.col("text").alias("task"), F.col("source").alias("approach"), outcome.alias("outcome"), (F.col("doc_id") % 97).alias("evidence_id"), F.col("doc_id").alias("seq"))
 
     def observations(self) -> DataFrame:
         return self.table("documents").select(F.col("source").alias("path"), F.col("doc_id").alias("seq"), F.sha2("text", 256).alias("digest"), F.octet_length("text").cast("long").alias("size_bytes"))

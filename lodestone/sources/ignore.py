@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import re
 from dataclasses import dataclass
+from pathlib import Path
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -76,3 +79,28 @@ def ignored(path: Column, rules: list[Rule], is_dir: bool = False) -> Column:
         return out.otherwise(F.lit(False))
 
     return F.exists(prefixes, verdict)
+
+
+def matches(path: str, rules: list[Rule], is_dir: bool = False) -> bool:
+    """``ignored`` for one path on the driver, where a walk decides whether to enter a directory."""
+    parts = path.split("/")
+    for n in range(1, len(parts) + 1):
+        prefix, folder = "/".join(parts[:n]), is_dir or n < len(parts)
+        hit = next((r for r in reversed(rules) if (folder or not r.dir_only) and re.search(r.regex, prefix)), None)
+        if hit is not None and not hit.negated:
+            return True
+    return False
+
+
+def load(root: str | Path) -> list[Rule]:
+    """Rules of the user's global ignore file, of the repository's own exclude file and of the root's ignore file, in
+    this order, so that later ones win. What can't be read gives none."""
+    base = Path(root)
+    home = Path(os.environ.get("XDG_CONFIG_HOME") or Path.home() / ".config")
+    found = []
+    for file, wanted in ((home / "git" / "ignore", True), (base / ".git" / "info" / "exclude", (base / ".git").is_dir()), (base / ".gitignore", True)):
+        try:
+            found += parse(file.read_text(encoding="utf-8", errors="replace")) if wanted else []
+        except OSError:
+            continue
+    return found

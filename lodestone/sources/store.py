@@ -1,33 +1,47 @@
-"""Tables of the record store: fixed schemas, reads of missing tables, appends that may be repeated, old versions."""
+"""The record store: append-only tables of committed batches, writes of whole batches, reads that fail on malformed rows.
+
+A batch writes its rows to ``<table>/batch=<n>`` of every table it touches, and counts from the moment that the file
+``commits/<n>`` is there. A writer claims its number by creating ``claims/<n>`` and what a broken writer left is never
+read, so a batch is seen whole or not at all, and one that is run again adds nothing.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# The kinds and states of memories, and the kinds of evidence.
+from lodestone.operators import experience, state
+from lodestone.operators.index import Index
+from lodestone.sources import scratch
+
+# The kinds and states of memories, the kinds of evidence, outcomes, and the kinds of events.
 KINDS = ("note", "decision", "lesson", "root_cause", "pending", "question", "invariant", "environment", "invalidation")
 STATES = ("user_asserted", "inferred", "verified")
 EVIDENCE_KINDS = ("file", "test_result", "command_output", "tool_output", "user_confirmation", "document", "url", "observation")
+OUTCOMES = ("succeeded", "failed", "partial")
+EVENT_KINDS = ("memory_recorded", "memory_superseded", "attempt_recorded", "skill_recorded")
+VERSION = 3
 SCHEMAS = {
     "memories": "memory_id string, content string, kind string, epistemic_state string, recorded_at timestamp, supersedes string",
     "evidence": "evidence_id string, content string, kind string, recorded_at timestamp",
     "memory_evidence": "memory_id string, evidence_id string, position int, role string",
     "attempts": "attempt_id string, task string, approach string, outcome string, recorded_at timestamp",
+    "attempt_evidence": "attempt_id string, evidence_id string, position int",
+    "skills": "skill_id string, name string, purpose string, steps array<string>, conditions array<string>, lesson_id string, verification_state string, evidence_ids array<string>, recorded_at timestamp",
     "events": "sequence long, event_id string, kind string, subject_id string, occurred_at timestamp",
     "conflicts": "a string, b string, recorded_at timestamp",
     "observations": "seq long, path string, evidence_id string, digest string, size_bytes long, observed_at timestamp",
 }
 #: Values of columns that older versions did not have.
 DEFAULTS = {"memory_evidence": {"role": "related"}}
+_ID = "^[0-9a-f]{32}$"
 
 
 def read(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """A table of the store; one that is not there yet is empty. Columns that an old version lacks get their defaults."""
+    """A table of a plain folder; one that is not there yet is empty. Columns that an old version lacks get their defaults."""
     want = spark.createDataFrame([], SCHEMAS[table])
     path = f"{root.rstrip('/')}/{table}"
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+    if not _exists(spark, path):
         return want
     out = want.unionByName(spark.read.option("mergeSchema", "true").parquet(path), allowMissingColumns=True).select(want.columns)
     return out.fillna(DEFAULTS.get(table, {}))
@@ -41,10 +55,290 @@ def append(rows: DataFrame, root: str, table: str, key: list[str]) -> DataFrame:
     return new
 
 
+def _path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _path(spark, path)
+    return fs.exists(p)
+
+
+def _names(spark: SparkSession, path: str) -> list[str]:
+    p, fs = _path(spark, path)
+    return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def _blank(c: str) -> Column:
+    return F.coalesce(F.trim(c), F.lit("")) == ""
+
+
+def _outside(c: str, values: tuple[str, ...]) -> Column:
+    return ~F.coalesce(F.col(c).isin(*values), F.lit(False))
+
+
 def rejects(memories: DataFrame) -> DataFrame:
     """Rows with the first reason that refuses them, null where none does."""
     reason = F.coalesce(
-        F.when(F.coalesce(F.trim("content"), F.lit("")) == "", F.lit("blank content")), F.when(~F.coalesce(F.col("kind").isin(*KINDS), F.lit(False)), F.lit("unknown kind")),
-        F.when(~F.coalesce(F.col("epistemic_state").isin(*STATES), F.lit(False)), F.lit("unknown state")), F.when(~F.coalesce(F.col("memory_id").rlike("^[0-9a-f]{32}$"), F.lit(False)), F.lit("malformed id")),
-    )
+        F.when(_blank("content"), F.lit("blank content")), F.when(_outside("kind", KINDS), F.lit("unknown kind")), F.when(_outside("epistemic_state", STATES), F.lit("unknown state")),
+        F.when(~F.coalesce(F.col("memory_id").rlike(_ID), F.lit(False)), F.lit("malformed id")),
+    )
     return memories.withColumn("reason", reason)
+
+
+def _malformed(table: str) -> list[tuple[str, Column]]:
+    """What makes a stored row malformed: columns and conditions."""
+    bad_id = lambda c: ~F.coalesce(F.col(c).rlike(_ID), F.lit(False))
+    none = lambda c: F.col(c).isNull()
+    return {
+        "memories": [("memory_id", bad_id("memory_id")), ("content", _blank("content")), ("kind", _outside("kind", KINDS)), ("epistemic_state", _outside("epistemic_state", STATES)), ("recorded_at", none("recorded_at")), ("supersedes", F.col("supersedes").isNotNull() & bad_id("supersedes"))],
+        "evidence": [("evidence_id", bad_id("evidence_id")), ("kind", _outside("kind", EVIDENCE_KINDS)), ("content", none("content"))],
+        "memory_evidence": [("memory_id", bad_id("memory_id")), ("evidence_id", bad_id("evidence_id")), ("position", F.coalesce(F.col("position") < 0, F.lit(True))), ("role", _outside("role", ("related", "supporting")))],
+        "attempts": [("attempt_id", bad_id("attempt_id")), ("outcome", _outside("outcome", OUTCOMES)), ("recorded_at", none("recorded_at"))],
+        "attempt_evidence": [("attempt_id", bad_id("attempt_id")), ("evidence_id", bad_id("evidence_id"))],
+        "skills": [("skill_id", bad_id("skill_id")), ("steps", F.coalesce(F.size("steps") < 1, F.lit(True))), ("verification_state", _outside("verification_state", ("candidate", "verified")))],
+        "events": [("sequence", none("sequence")), ("kind", _outside("kind", EVENT_KINDS)), ("subject_id", none("subject_id"))],
+        "conflicts": [("a", bad_id("a")), ("b", bad_id("b")), ("order", ~F.coalesce(F.col("a") < F.col("b"), F.lit(False)))],
+        "observations": [("evidence_id", bad_id("evidence_id")), ("digest", ~F.coalesce(F.col("digest").rlike("^[0-9a-f]{64}$"), F.lit(False))), ("size_bytes", F.coalesce(F.col("size_bytes") < 0, F.lit(True))), ("path", _blank("path"))],
+    }[table]
+
+
+def checked(df: DataFrame, table: str) -> DataFrame:
+    """``df``, whose read fails at the first malformed row and names the column at fault; no row is skipped."""
+    first = df.columns[0]
+    fault = F.coalesce(*[F.when(bad, F.lit(name)) for name, bad in _malformed(table)])
+    error = F.raise_error(F.concat(F.lit(f"malformed row of {table}: "), fault)).cast(dict(df.dtypes)[first])
+    return df.withColumn(first, F.when(fault.isNotNull(), error).otherwise(F.col(first)))
+
+
+def numbered(rows: DataFrame, order: list[str], start: int, name: str) -> DataFrame:
+    """``rows`` with numbers from ``start`` without gaps in an order, without a sort in one task: ranges count their rows first."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.repartitionByRange(parts, *order).withColumn("__range", F.spark_partition_id())
+    ranged = scratch.keep(ranged.withColumn("__n", F.row_number().over(Window.partitionBy("__range").orderBy(*order))), "numbered")
+    at, ahead = start, []
+    for r in ranged.groupBy("__range").agg(F.count("*").alias("n")).orderBy("__range").collect():  # at most a row a shuffle partition
+        ahead.append((r["__range"], at))
+        at += r.n
+    base = rows.sparkSession.createDataFrame(ahead, "__range int, __base long")
+    return ranged.join(F.broadcast(base), "__range").withColumn(name, F.col("__base") + F.col("__n") - 1).drop("__range", "__base", "__n")
+
+
+class Store:
+    """The tables of a workspace. All writes take a batch of drafts, each with a ``draft_id`` that names it for good."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def batches(self) -> list[int]:
+        return sorted(int(x) for x in _names(self.spark, f"{self.root}/commits") if x.isdigit())
+
+    def table(self, name: str) -> DataFrame:
+        """All committed rows of a table, with the defaults of columns that an old version lacks."""
+        want = self.spark.createDataFrame([], SCHEMAS[name])
+        there = {int(x.removeprefix("batch=")) for x in _names(self.spark, f"{self.root}/{name}") if x.startswith("batch=")}
+        paths = [f"{self.root}/{name}/batch={n}" for n in self.batches() if n in there]
+        if not paths:
+            return want
+        out = want.unionByName(self.spark.read.option("mergeSchema", "true").parquet(*paths), allowMissingColumns=True).select(want.columns)
+        return checked(out.fillna(DEFAULTS.get(name, {})), name)
+
+    def commit(self, **tables: DataFrame) -> int:
+        """Write rows of several tables as one batch, and return its number."""
+        spark = self.spark
+        at = max([-1, *self.batches(), *(int(x) for x in _names(spark, f"{self.root}/claims"))]) + 1
+        while True:  # another writer may claim a number first
+            p, fs = _path(spark, f"{self.root}/claims/{at}")
+            if fs.createNewFile(p):
+                break
+            at += 1
+        for name, df in tables.items():
+            df.select(*self.spark.createDataFrame([], SCHEMAS[name]).columns).write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{name}/batch={at}")
+        p, fs = _path(spark, f"{self.root}/commits/{at}")
+        fs.createNewFile(p)
+        return at
+
+    def index(self, kind: str) -> Index:
+        return Index(self.spark, f"{self.root}/index/{kind}", "string")
+
+    def version(self) -> int:
+        names = [int(x) for x in _names(self.spark, f"{self.root}/versions")]
+        return max(names, default=VERSION if not self.batches() else 1)
+
+    def _at_version(self, n: int) -> None:
+        p, fs = _path(self.spark, f"{self.root}/versions/{n}")
+        fs.createNewFile(p)
+
+    def migrate(self) -> int:
+        """Bring an older store to VERSION, a step a version, each as a batch of its own; a newer one is refused.
+
+        2: events of memories that never had one, in the order of their times and ids. 3: the role of evidence links, as
+        a default on reading.
+        """
+        at = self.version()
+        if at > VERSION:
+            raise ValueError(f"the store has version {at}, this engine knows {VERSION}")
+        if at < 2:
+            known = self.table("events").where("kind in ('memory_recorded', 'memory_superseded')").select("subject_id", "kind")
+            memories = self.table("memories").withColumn("seq", F.col("recorded_at"))
+            missing = state.backfill_events(memories).join(known, ["subject_id", "kind"], "left_anti")
+            self.commit(events=self._events(missing, ["recorded_at", "subject_id", "kind"]))
+            self._at_version(2)
+        if at < 3:
+            self._at_version(3)
+        return self.version()
+
+    def _next(self, table: str, column: str) -> int:
+        last = self.table(table).agg(F.max(column)).first()[0]
+        return 0 if last is None else last + 1
+
+    def _events(self, rows: DataFrame, order: list[str]) -> DataFrame:
+        """Events of (subject_id, kind, recorded_at) in an order, behind all others."""
+        out = numbered(rows, order, self._next("events", "sequence"), "sequence")
+        return out.select("sequence", F.md5(F.concat_ws("|", F.col("sequence").cast("string"), "kind", "subject_id")).alias("event_id"), "kind", "subject_id", F.col("recorded_at").alias("occurred_at"))
+
+    def _identified(self, drafts: DataFrame, kind: str) -> DataFrame:
+        return drafts.withColumn("id", F.md5(F.concat_ws("|", F.lit(kind), F.col("draft_id").cast("string"))))
+
+    def add_evidence(self, drafts: DataFrame) -> DataFrame:
+        """(draft_id, id, reason) of drafts (draft_id, content, kind, recorded_at)."""
+        rows = scratch.keep(self._identified(drafts, "evidence").withColumn("reason", F.coalesce(F.when(_blank("content"), F.lit("blank content")), F.when(_outside("kind", EVIDENCE_KINDS), F.lit("unknown kind")))), "drafts")
+        new = rows.where("reason is null").dropDuplicates(["id"]).withColumnRenamed("id", "evidence_id").join(self.table("evidence").select("evidence_id"), "evidence_id", "left_anti")
+        self.commit(evidence=new)
+        return rows.select("draft_id", "id", "reason")
+
+    def remember(self, drafts: DataFrame) -> DataFrame:
+        """(draft_id, id, status, reason): added, existing (an equal current memory stands for it) or refused.
+
+        drafts: draft_id, content, kind, epistemic_state, supersedes, evidence_ids, supporting_evidence_ids, recorded_at.
+        All checks come before the search for an equal memory, but that for a second superseder; drafts count in the
+        order of recorded_at and draft_id. Memories, links, events and index entries are one batch.
+        """
+        d = self._identified(drafts, "memory").withColumns({c: F.coalesce(F.array_distinct(c), F.array().cast("array<string>")) for c in ("evidence_ids", "supporting_evidence_ids")})
+        cited = d.select("draft_id", F.explode("evidence_ids").alias("evidence_id"), "supporting_evidence_ids").join(self.table("evidence").select("evidence_id", F.col("kind").alias("e_kind")), "evidence_id", "left")
+        supports = F.array_contains("supporting_evidence_ids", F.col("evidence_id"))
+        sums = cited.groupBy("draft_id").agg(F.bool_or(F.col("e_kind").isNull()).alias("unknown"), F.bool_or(supports & F.col("e_kind").isin(*state.QUALIFYING)).alias("good"))
+        known = self.table("memories").select(F.col("memory_id").alias("supersedes"), F.lit(True).alias("target"))
+        d = d.join(sums, "draft_id", "left").join(known, "supersedes", "left")
+        verified = F.col("epistemic_state") == "verified"
+        reason = F.coalesce(
+            F.when(_blank("content"), F.lit("blank content")), F.when(_outside("kind", KINDS), F.lit("unknown kind")), F.when(_outside("epistemic_state", STATES), F.lit("unknown state")),
+            F.when(F.coalesce("unknown", F.lit(False)), F.lit("unknown evidence")), F.when(F.size(F.array_except("supporting_evidence_ids", "evidence_ids")) > 0, F.lit("supporting evidence outside the evidence")),
+            F.when(verified & (F.size("supporting_evidence_ids") == 0), F.lit("verified without supporting evidence")), F.when(verified & ~F.coalesce("good", F.lit(False)), F.lit("no supporting evidence of a qualifying kind")),
+            F.when(F.col("supersedes").isNotNull() & F.col("target").isNull(), F.lit("unknown superseded memory")),
+        )
+        meaning = F.sha2(F.to_json(F.struct("content", "kind", "epistemic_state", "supersedes", "evidence_ids", "supporting_evidence_ids")), 256)
+        d = d.withColumns({"reason": reason, "meaning": meaning})
+        parts = F.array_sort(F.collect_list(F.struct("position", "evidence_id", "role")))
+        links = self.table("memory_evidence").groupBy("memory_id").agg(parts.alias("p"))
+        links = links.select("memory_id", F.transform("p", lambda x: x.evidence_id).alias("evidence_ids"), F.transform(F.filter("p", lambda x: x.role == "supporting"), lambda x: x.evidence_id).alias("supporting_evidence_ids"))
+        empty = F.array().cast("array<string>")
+        live = state.current(self.table("memories")).join(links, "memory_id", "left").withColumns({c: F.coalesce(c, empty) for c in ("evidence_ids", "supporting_evidence_ids")})
+        stored = live.select(meaning.alias("meaning"), "memory_id", "recorded_at").groupBy("meaning").agg(F.min(F.struct("recorded_at", "memory_id")).memory_id.alias("stored"))
+        order = ["recorded_at", "draft_id"]
+        fine = F.col("reason").isNull()
+        same = F.first("id").over(Window.partitionBy("meaning", fine).orderBy(*order))
+        d = scratch.keep(d.join(stored, "meaning", "left").withColumn("same", F.coalesce("stored", F.when(fine, same))), "drafts")
+        taken = self.table("memories").where("supersedes is not null").select("supersedes", F.lit(True).alias("taken")).distinct()
+        new = d.where(fine & (F.col("same") == F.col("id")) & F.col("stored").isNull()).dropDuplicates(["id"])
+        new = new.join(self.table("memories").select(F.col("memory_id").alias("id")), "id", "left_anti").join(taken, "supersedes", "left")  # a draft that was run before adds nothing
+        second = F.col("supersedes").isNotNull() & (F.coalesce("taken", F.lit(False)) | (F.row_number().over(Window.partitionBy("supersedes").orderBy(*order)) > 1))
+        new = scratch.keep(new.withColumn("late", F.when(second, F.lit("already superseded"))), "new")
+        rows = new.where("late is null").withColumnRenamed("id", "memory_id")
+        spread = rows.select("memory_id", "supporting_evidence_ids", F.posexplode("evidence_ids").alias("position", "evidence_id"))
+        role = F.when(F.array_contains("supporting_evidence_ids", F.col("evidence_id")), "supporting").otherwise("related")
+        events = state.backfill_events(rows.withColumn("seq", F.col("recorded_at")))
+        self.commit(memories=rows, memory_evidence=spread.withColumn("role", role), events=self._events(events, ["recorded_at", "subject_id", "kind"]))
+        self.index("memory").append(rows.select(F.col("memory_id").alias("id"), F.col("content").alias("text")))
+        out = d.join(new.select(F.col("id").alias("same"), "late"), "same", "left").withColumn("reason", F.coalesce("reason", "late"))
+        status = F.when(F.col("reason").isNotNull(), "refused").when(F.col("same") == F.col("id"), F.when(F.col("stored").isNull(), "added").otherwise("existing")).otherwise("existing")
+        found = out.select(F.col("draft_id").cast("string").alias("draft_id"), F.when(F.col("reason").isNull(), F.col("same")).alias("id"), status.alias("status"), "reason")
+        return scratch.keep(found, "result")
+
+    def learn(self, drafts: DataFrame) -> DataFrame:
+        """``remember`` of lessons: verified ones are so, others asserted. drafts have ``verified`` in place of kind and state."""
+        said = F.when(F.coalesce("verified", F.lit(False)), "verified").otherwise("user_asserted")
+        return self.remember(drafts.withColumns({"kind": F.lit("lesson"), "epistemic_state": said}))
+
+    def record_attempts(self, drafts: DataFrame) -> DataFrame:
+        """(draft_id, id, reason) of drafts (draft_id, task, approach, outcome, evidence_ids, recorded_at)."""
+        d = self._identified(drafts, "attempt").withColumn("evidence_ids", F.coalesce(F.array_distinct("evidence_ids"), F.array().cast("array<string>")))
+        unknown = d.select("draft_id", F.explode("evidence_ids").alias("evidence_id")).join(self.table("evidence").select("evidence_id"), "evidence_id", "left_anti").select("draft_id", F.lit(True).alias("unknown")).distinct()
+        reason = F.coalesce(F.when(_blank("task"), F.lit("blank task")), F.when(_blank("approach"), F.lit("blank approach")), F.when(_outside("outcome", OUTCOMES), F.lit("unknown outcome")), F.when(F.coalesce("unknown", F.lit(False)), F.lit("unknown evidence")))
+        d = scratch.keep(d.join(unknown, "draft_id", "left").withColumn("reason", reason), "drafts")
+        new = d.where("reason is null").dropDuplicates(["id"]).withColumnRenamed("id", "attempt_id").join(self.table("attempts").select("attempt_id"), "attempt_id", "left_anti")
+        new = scratch.keep(new, "new")
+        events = new.select(F.col("attempt_id").alias("subject_id"), F.lit("attempt_recorded").alias("kind"), "recorded_at")
+        self.commit(attempts=new, attempt_evidence=new.select("attempt_id", F.posexplode("evidence_ids").alias("position", "evidence_id")), events=self._events(events, ["recorded_at", "subject_id"]))
+        self.index("attempt").append(new.select(F.col("attempt_id").alias("id"), F.concat_ws(" ", "task", "approach").alias("text")))
+        return d.select("draft_id", "id", "reason")
+
+    def promote(self, drafts: DataFrame) -> DataFrame:
+        """(draft_id, id, reason) of skills drafted from lessons (draft_id, name, purpose, steps, conditions, lesson_id, recorded_at)."""
+        made = experience.promoted(self._identified(drafts, "skill").withColumnRenamed("id", "skill_id"), self.table("memories"), self.table("memory_evidence"))
+        d = scratch.keep(made.join(self._identified(drafts, "skill").select("draft_id", F.col("id").alias("skill_id"), "recorded_at"), "skill_id"), "drafts")
+        new = scratch.keep(d.where("reason is null").dropDuplicates(["skill_id"]).join(self.table("skills").select("skill_id"), "skill_id", "left_anti"), "new")
+        events = new.select(F.col("skill_id").alias("subject_id"), F.lit("skill_recorded").alias("kind"), "recorded_at")
+        self.commit(skills=new, events=self._events(events, ["recorded_at", "subject_id"]))
+        self.index("skill").append(new.select(F.col("skill_id").alias("id"), F.concat_ws(" ", "name", "purpose", F.concat_ws(" ", "conditions")).alias("text")))
+        return d.select("draft_id", F.col("skill_id").alias("id"), "reason")
+
+    def record_conflicts(self, pairs: DataFrame) -> DataFrame:
+        """New conflicts of (x, y, recorded_at) between known memories; unknown ones raise. Returns (a, b, recorded_at)."""
+        known = self.table("memories").select("memory_id")
+        ends = pairs.select(F.explode(F.array("x", "y")).alias("memory_id")).distinct()
+        if found := ends.join(known, "memory_id", "left_anti").take(1):
+            raise ValueError(f"unknown memory: {found[0].memory_id}")
+        new = scratch.keep(state.upsert_conflicts(pairs, self.table("conflicts")), "conflicts")
+        self.commit(conflicts=new)
+        return new
+
+    def observe(self, files: DataFrame) -> DataFrame:
+        """(path, status, evidence_id): added, changed or unchanged files (path, digest, size_bytes, text, observed_at), one a path.
+
+        What is unchanged against the last observation of its path writes nothing.
+        """
+        last = state.latest(self.table("observations")).select("path", F.col("digest").alias("stored"))
+        rows = files.dropDuplicates(["path"]).join(last, "path", "left")
+        status = F.when(F.col("stored").isNull(), "added").when(F.col("stored") == F.col("digest"), "unchanged").otherwise("changed")
+        evidence = F.md5(F.concat_ws("|", F.lit("observation"), "path", "digest", F.col("observed_at").cast("string")))
+        rows = scratch.keep(rows.withColumns({"status": status, "evidence_id": evidence}), "observed")
+        new = rows.where("status <> 'unchanged'")
+        seen = numbered(new, ["observed_at", "path"], self._next("observations", "seq"), "seq")
+        self.commit(evidence=new.select("evidence_id", F.col("text").alias("content"), F.lit("document").alias("kind"), F.col("observed_at").alias("recorded_at")), observations=seen)
+        self.index("document").append(new.select(F.col("evidence_id").alias("id"), "text"))
+        return rows.select("path", "status", F.when(F.col("status") != "unchanged", F.col("evidence_id")).alias("evidence_id"))
+
+    def rebuild_indexes(self) -> None:
+        """All search indexes anew from the tables."""
+        own = {
+            "memory": self.table("memories").select(F.col("memory_id").alias("id"), F.col("content").alias("text")),
+            "attempt": self.table("attempts").select(F.col("attempt_id").alias("id"), F.concat_ws(" ", "task", "approach").alias("text")),
+            "skill": self.table("skills").select(F.col("skill_id").alias("id"), F.concat_ws(" ", "name", "purpose", F.concat_ws(" ", "conditions")).alias("text")),
+            "document": self.table("evidence").where("kind = 'document'").select(F.col("evidence_id").alias("id"), F.col("content").alias("text")),
+        }
+        for kind, records in own.items():
+            self.index(kind).rebuild(records)
+
+    def ordered(self, kind: str) -> DataFrame:
+        """Memories, attempts or skills in the order of their events, with ``seq``; an event whose record is missing stops the read."""
+        table, key = {"memory": ("memories", "memory_id"), "attempt": ("attempts", "attempt_id"), "skill": ("skills", "skill_id")}[kind]
+        events = self.table("events").where(F.col("kind") == f"{kind}_recorded").select(F.col("sequence").alias("seq"), "subject_id")
+        out = events.join(self.table(table), F.col("subject_id") == F.col(key), "left")
+        missing = F.raise_error(F.concat(F.lit(f"missing {kind} "), F.col("subject_id"))).cast("string")
+        return out.withColumn(key, F.coalesce(F.col(key), missing)).drop("subject_id").orderBy("seq")
+
+    def get(self, table: str, key: str, value: str):
+        """The row of an id, or None."""
+        found = self.table(table).where(F.col(key) == value).take(1)
+        return found[0] if found else None
+
+    def sources(self) -> DataFrame:
+        """(path, seq, digest, size_bytes, observed_at, evidence_id, content): the last observation of every path and its evidence, by path."""
+        o = self.table("observations")
+        last = state.latest(o).select("path", "seq")
+        out = o.join(last, ["path", "seq"]).join(self.table("evidence").select("evidence_id", "content"), "evidence_id", "left")
+        gone = F.raise_error(F.concat(F.lit("missing evidence "), F.col("evidence_id"))).cast("string")
+        return out.withColumn("content", F.coalesce("content", gone)).select("path", "seq", "digest", "size_bytes", "observed_at", "evidence_id", "content").orderBy("path")
+

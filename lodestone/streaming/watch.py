@@ -72,3 +72,31 @@ def capture_all(spark: SparkSession, source: str, schema: str, out: str, checkpo
     query = capture(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.parquet(out)
+
+
+def _quiet(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, gap_ms: int) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        last, n = state.get
+        state.remove()
+        yield pd.DataFrame({"path": [key[0]], "ts": [pd.Timestamp(last, unit="us")], "n": [n]})
+        return
+    last, n = state.get if state.exists else (None, 0)
+    out = []
+    for us in sorted(int(t.value // 1000) for b in batches for t in b.ts):
+        if last is not None and us - last >= gap_ms * 1000:
+            out.append((key[0], pd.Timestamp(last, unit="us"), n))
+            n = 0
+        last, n = max(us, last or us), n + 1
+    state.update((last, n))
+    state.setTimeoutTimestamp(max(last // 1000 + gap_ms, state.getCurrentWatermarkMs() + 1))
+    yield pd.DataFrame(out, columns=["path", "ts", "n"])
+
+
+def settle_stream(changes: DataFrame, gap_s: float = SETTLE_S, late: str = "0 seconds") -> DataFrame:
+    """(path, ts, n) as ``settled`` gives it, of a stream of changes (path, ts): a run goes out when the watermark has
+    passed its last change by the gap. The state of a path is the last change and the run's length."""
+    def run(key, batches, state):
+        return _quiet(key, batches, state, int(gap_s * 1000))
+
+    marked = changes.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    return marked.groupBy("path").applyInPandasWithState(run, "path string, ts timestamp, n long", "last long, n long", "append", GroupStateTimeout.EventTimeTimeout)
