@@ -1,61 +1,13 @@
-"""Connected components of an edge table by repeated contraction."""
+"""Connected components of an edge table by repeated contraction, over the scratch tables of an operator."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from lodestone.llm.scratch import Scratch
+from lodestone.operators import graph
 
 
-#: Two rounds halve the nodes, and one doubling halves the longest way: no table of 64-bit ids gets there.
-ROUNDS, DOUBLINGS = 130, 65
-
-
-def _ends(up: DataFrame, scratch: Scratch, label: str) -> DataFrame:
-    """(node, up) with each pointer followed to its end, a node that points to itself."""
-    for j in range(DOUBLINGS):
-        to = up.select(F.col("node").alias("up"), F.col("up").alias("next")).where("up <> next")
-        if up.join(to, "up", "left_semi").isEmpty():
-            return up
-        further = scratch.keep(up.join(to, "up", "left").select("node", F.coalesce("next", "up").alias("up")), f"{label}-{j}")
-        scratch.drop(up)
-        up = further
-    raise RuntimeError(f"pointers are left after {DOUBLINGS} doublings")
-
-
-def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, component) for every node of ``edges`` (a, b): component is its smallest reachable node.
-
-    Every round points each node to the smallest of itself and its neighbours, follows the pointers to their ends
-    by doubling, replaces the nodes of all edges by these ends, and drops loops and repeats. A node that is an end
-    in two rounds running is the end of all its neighbours of the first, and each of those has one end only; so
-    two rounds at least halve the nodes with an edge, whatever the order of ids, and a round has a logarithm of
-    doublings. The loop runs until no edge is left. The minimum is combined before the shuffle, so a node
-    with very many links costs one row a task. All edges and maps stay in tables.
-    """
-    e = scratch.keep(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    maps = []
-    for k in range(ROUNDS + 1):
-        if e.isEmpty():
-            break
-        if k == ROUNDS:
-            raise RuntimeError(f"edges are left after {ROUNDS} rounds of contraction")
-        both = e.select(F.col("a").alias("node"), F.col("b").alias("to")).unionAll(e.select(F.col("b").alias("node"), F.col("a").alias("to")))
-        up = scratch.keep(both.groupBy("node").agg(F.least(F.min("to"), F.col("node")).alias("up")), f"up{k}")
-        up = _ends(up, scratch, f"up{k}")
-        maps.append(up)
-        a, b = up.toDF("a", "ua"), up.toDF("b", "ub")
-        moved = e.join(a, "a").join(b, "b").where("ua <> ub")
-        nxt = scratch.keep(moved.select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct(), f"edges{k}")
-        scratch.drop(e)
-        e = nxt
-    if not maps:
-        return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    out = maps[-1].toDF("node", "component")
-    for up in reversed(maps[:-1]):
-        top = out.toDF("up", "top")
-        out = up.join(top, "up", "left").select("node", F.coalesce("top", "up").alias("component"))
-    out = scratch.keep(out, "components")
-    scratch.drop(*maps)
-    return out
+def components(edges: DataFrame, scratch: Scratch, parts: int | None = None) -> DataFrame:
+    """(node, component) for every node of ``edges`` (a, b), as ``operators.graph`` finds them; tables of at most ``parts`` files."""
+    return graph.components(edges, lambda df, label: scratch.keep(df, label, parts), scratch.drop)

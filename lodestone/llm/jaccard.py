@@ -31,6 +31,8 @@ CHUNK = 1 << 16
 #: Members of one part of a group.
 PART = 128
 SLICE = 256
+#: Shingles for each file of a table, and files that a table may have at least.
+PART_SHINGLES, LEAST_PARTS = 1 << 20, 48
 
 
 def shingle_sets(column: pa.Array, k: int):
@@ -168,19 +170,25 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) ->
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    sketch = spark.sparkContext.broadcast(_sketch(spark, docs, k, scratch))
-    every = scratch.keep(_sets(docs, k, num, den, sketch), "sets")
-    known = every.where("doc_id is not null and n > 0")
-    classes = known.groupBy("high", "low", "n").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.first("prefix").alias("prefix"))
-    classes = scratch.keep(classes.select(F.monotonically_increasing_id().alias("doc"), "high", "low", "n", "rep.*", "prefix"), "classes")
+    counts = _sketch(spark, docs, k, scratch)
+    sketch, files = spark.sparkContext.broadcast(counts), max(LEAST_PARTS, int(counts.sum(dtype=np.int64)) // PART_SHINGLES)
+    keep = lambda df, label: scratch.keep(df, label, files)
+    sets = scratch.keep(_sets(docs, k, num, den, sketch), "sets")
+    known = sets.where("doc_id is not null and n > 0")
+    whole = known.groupBy("high", "low", "n").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.first("prefix").alias("prefix"))
+    whole = keep(whole.select(F.monotonically_increasing_id().alias("doc"), "high", "low", "n", "rep.*", "prefix"), "whole")
+    every = keep(sets.select("doc_id", "text_hash", "n", "high", "low"), "every")
+    scratch.drop(sets)  # tables go as soon as a narrower one has what later steps read
     length = F.col("n") - F.floor((num * F.col("n") + den - 1) / den) + 1
-    tokens = classes.select("doc", "n", F.posexplode("prefix").alias("pos", "token"))
+    tokens = whole.select("doc", "n", F.posexplode("prefix").alias("pos", "token"))
     shared = tokens.groupBy("token").agg(F.count("*").alias("df"), F.min("doc").alias("centre")).where("df > 1")
-    tokens = scratch.keep(tokens.join(shared, "token"), "tokens")  # of tokens in two prefixes or more
+    tokens = keep(tokens.join(shared, "token"), "tokens")  # of tokens in two prefixes or more
+    classes = keep(whole.drop("prefix"), "classes")
+    scratch.drop(whole)
     # The texts of classes that share a token, once each; rows that repeat one are combined where the join leaves them.
     wanted = classes.join(tokens.select("doc"), "doc", "left_semi").select("doc", "doc_id", "text_hash")
     texts = docs.join(wanted, ["doc_id", "text_hash"]).groupBy("doc_id", "text_hash", "doc").agg(F.first("text").alias("text"))
-    texts = scratch.keep(texts.select("doc", "text"), "texts")
+    texts = keep(texts.select("doc", "text"), "texts")
 
     # A document whose prefix is shared in good part is held against the centres of its two rarest and its two
     # commonest shared tokens. This only finds groups early; step 4 sees to all the rest.
@@ -189,24 +197,25 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) ->
         F.array(F.min(F.struct("pos", "centre")).centre, F.max(F.struct("df", "pos", "centre")).centre, F.min(F.struct("df", "pos", "centre")).centre, F.max(F.struct("pos", "centre")).centre).alias("centres"),
     ).where(10 * F.col("in_common") >= 3 * length)
     ties = picks.select("doc", F.explode(F.array_distinct("centres")).alias("centre")).where("doc <> centre")
-    ties = scratch.keep(ties.select(F.col("doc"), "centre", F.pmod(F.xxhash64("doc"), F.lit(1 << 30)).alias("u")), "ties")
+    ties = keep(ties.select(F.col("doc"), "centre", F.pmod(F.xxhash64("doc"), F.lit(1 << 30)).alias("u")), "ties")
     spread = ties.groupBy("centre").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("salts"))
     salts = ties.join(spread, "centre").select("doc", F.xxhash64("centre", F.pmod("u", "salts")).alias("key"), F.lit(True).alias("query"))
     centres = spread.select(F.col("centre").alias("doc"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     centres = centres.select("doc", F.xxhash64("doc", F.col("salt").cast("long")).alias("key"), F.lit(False).alias("query"))
-    links = scratch.keep(_open(salts.unionByName(centres), texts, k, num, den), "ties-verified")
-    first = components(links, scratch).withColumnRenamed("node", "doc")
+    links = keep(_open(salts.unionByName(centres), texts, k, num, den), "ties-verified")
+    first = components(links, scratch, files).withColumnRenamed("node", "doc")
 
     # Groups of similar documents: what is tied so far. Their parts are of near sizes, by bands and a hash.
     wide = float(np.log(den / num)) * 1.000001  # so that rounding puts no similar sizes two bands apart
     sized = classes.select("doc", "n").join(first, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    sized = scratch.keep(sized.join(tokens.select("doc"), "doc", "left_semi"), "sized")
-    grouped = scratch.keep(tokens.select("doc", "pos", F.col("token").alias("meet")).join(sized, "doc").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.lit(wide))), "grouped")
+    sized = keep(sized.join(tokens.select("doc"), "doc", "left_semi"), "sized")
+    grouped = keep(tokens.select("doc", "pos", F.col("token").alias("meet")).join(sized, "doc").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.lit(wide))), "grouped")
+    scratch.drop(tokens, ties)
     fine = F.floor(F.log(F.col("n").cast("double")) / F.lit(wide / 5))
     members = sized.withColumn("band", fine)
     parts_of = members.groupBy("component", "band").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
     members = members.join(parts_of, ["component", "band"]).select("doc", "n", "component", F.xxhash64("component", "band", F.pmod(F.xxhash64("doc"), F.col("parts"))).alias("key"))
-    members = scratch.keep(members, "members")
+    members = keep(members, "members")
     parts = members.groupBy("component", "key").agg(F.min("n").alias("part_least"), F.max("n").alias("part_most"))
     heads = members.groupBy("component").agg(F.count("*").alias("heads"))
     # Two sets need num (n + m) / (num + den) common tokens. Of a pair that is similar enough take the first common
@@ -223,17 +232,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) ->
     asks = asks.select("doc", "n", "component").distinct()
     fits = (den * F.col("n") >= num * F.col("part_least")) & (den * F.col("part_most") >= num * F.col("n"))
     asks = asks.join(parts, "component").where(fits).select("doc", "key")
-    asks = scratch.keep(asks.withColumn("u", F.pmod(F.xxhash64("doc"), F.lit(1 << 30))), "asks")
+    asks = keep(asks.withColumn("u", F.pmod(F.xxhash64("doc"), F.lit(1 << 30))), "asks")
+    scratch.drop(grouped)
     opened = asks.groupBy("key").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("salts"))
     queries = asks.join(opened, "key").select("doc", F.xxhash64("key", F.pmod("u", "salts")).alias("key"), F.lit(True).alias("query"))
     inside = members.join(opened, "key").select("doc", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "key")
     inside = inside.select("doc", F.xxhash64("key", F.col("salt").cast("long")).alias("key"), F.lit(False).alias("query"))
-    more = scratch.keep(_open(queries.unionByName(inside), texts, k, num, den), "opened")
-    label = components(links.unionByName(more), scratch).toDF("doc", "group")
-    of_class = scratch.keep(classes.select("doc", "high", "low", "n", "doc_id").join(label, "doc", "left").withColumn("group", F.coalesce("group", "doc")), "of-class")
+    more = keep(_open(queries.unionByName(inside), texts, k, num, den), "opened")
+    scratch.drop(texts, asks, members, sized)
+    label = components(links.unionByName(more), scratch, files).toDF("doc", "group")
+    of_class = keep(classes.select("doc", "high", "low", "n", "doc_id").join(label, "doc", "left").withColumn("group", F.coalesce("group", "doc")), "of-class")
     least = of_class.groupBy("group").agg(F.min("doc_id").alias("component"))
     of_class = of_class.join(least, "group").select("high", "low", "n", "group", "component")
-    out = every.select("doc_id", "text_hash", "n", "high", "low").join(of_class, ["high", "low", "n"], "left")
+    out = every.join(of_class, ["high", "low", "n"], "left")
     has = F.col("doc_id").isNotNull()
     return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(has, F.coalesce("component", "doc_id")).alias("component_id"), F.when(has & (F.col("n") > 0), F.col("group")).alias("group"))
 

@@ -60,8 +60,10 @@ class Scratch:
         self.spark, self.name, self.paths = spark, name, {}
         ship(spark)
 
-    def keep(self, df: DataFrame, label: str) -> DataFrame:
+    def keep(self, df: DataFrame, label: str, parts: int | None = None) -> DataFrame:
+        """``df`` as a table, in at most so many files where ``parts`` is given: a small table in many files costs more than its rows."""
         spark = self.spark
+        df = df.coalesce(parts) if parts else df
         path = f"{shared_dir(spark)}/lodestone-{self.name}-{label}-{uuid.uuid4().hex[:12]}"
         before = spark.conf.get(CLEANUP, "false")
         spark.conf.set(CLEANUP, "true")

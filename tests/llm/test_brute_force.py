@@ -1,5 +1,6 @@
 """Corpus operators against simulations and loops, their SQL, hot groups, and odd tables through all stages."""
 
+import hashlib
 import math
 import random
 from collections import Counter, defaultdict
@@ -82,11 +83,9 @@ def number(a: int, n: int) -> int:
     return xx(n.to_bytes(4, "little"), xx(a.to_bytes(8, "little", signed=True)) % (1 << 64))
 
 
-def test_ratio_and_verdict_equal_loops(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    labels = spark.read.parquet(f"{SF}/labels.parquet")
-    rows = {r.doc_id: r.text for r in docs.collect()}
-    good = {r.doc_id for r in labels.collect() if r.quality == 1} - {r.doc_id for r in labels.collect() if r.quality != 1}
+def ratios_by_hand(rows, labels):
+    """Ratio and verdict of (doc_id, text) rows by dictionaries."""
+    good = {r.doc_id for r in labels if r.quality == 1} - {r.doc_id for r in labels if r.quality != 1}
     fits = {d for d in good if number(d, 11) % 2 == 0}
     grams, raw, target = {}, Counter(), Counter()
     for d, text in rows.items():
@@ -99,14 +98,33 @@ def test_ratio_and_verdict_equal_loops(spark):
     llr = {d: sum(float(ratio(b)) for b in g) / max(1, len(g)) for d, g in grams.items()}
     failed = {d: base_features(text)[-1] for d, text in rows.items()}
     floor = np.percentile([llr[d] for d in good - fits if d in rows and not failed[d]], 100 * quality.MISSED) - quality.MARGIN
+    return llr, {d: not failed[d] and llr[d] >= floor for d in rows}
+
+
+def test_ratio_and_verdict_equal_loops(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    llr, kept = ratios_by_hand({r.doc_id: r.text for r in docs.collect()}, labels.collect())
     seen = Counter()
     for x in quality.score_quality(docs, labels).collect():
         assert abs(x.llr - llr[x.doc_id]) < 1e-5
-        assert x.kept == (not failed[x.doc_id] and llr[x.doc_id] >= floor)
+        assert x.kept == kept[x.doc_id]
         seen[x.kept, x.base_failed] += 1
     assert seen[True, False] and seen[False, True]
 
 
+def test_filtering_stages_equal_loops(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = docs.collect()
+    _, kept = ratios_by_hand({r.doc_id: r.text for r in rows}, spark.read.parquet(f"{SF}/labels.parquet").collect())
+    assert {r.doc_id for r in cp.quality_rules(spark, docs, SF).collect()} == {d for d, k in kept.items() if k}
+    p, _ = mixed_by_hand([(r.doc_id, r.text, r.lang, r.source) for r in rows])
+    uniform = lambda d: int(hashlib.md5(f"{d}-20240229".encode()).hexdigest()[:13], 16) / 2**52
+    close = {r.doc_id for r, x in zip(rows, p, strict=True) if abs(uniform(r.doc_id) - x) < 1e-4}
+    got = {r.doc_id for r in cp.mix(spark, docs, SF).collect()}
+    assert got - close == {r.doc_id for r, x in zip(rows, p, strict=True) if uniform(r.doc_id) < x} - close and len(close) < 3
+
+
 def mixed_by_hand(rows, share=0.8, power=0.7, topics=mixing.TOPICS):
     """Probabilities of (doc_id, text, lang, source) rows: topics, raking and inclusion in loops over dictionaries."""
     buckets = {}
