@@ -42,6 +42,17 @@ def tokens(text: Column) -> Column:
     return F.array_except(found, F.array(*map(F.lit, STOPWORDS)))
 
 
+def counted(found: Column) -> Column:
+    """array<struct<token, tf>> of an array of tokens: its runs once it is sorted, without a shuffle."""
+    def runs(s: Column) -> Column:
+        every = F.sequence(F.lit(0), F.size(s) - 1)
+        first = F.filter(every, lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        ends = lambda f: F.transform(f, lambda a, k: F.struct(F.get(s, a).alias("token"), (F.coalesce(F.get(f, k + 1), F.size(s)) - a).cast("long").alias("tf")))
+        return F.when(F.size(s) > 0, F.transform(F.array(first), ends)[0]).otherwise(F.array().cast("array<struct<token:string,tf:bigint>>"))
+
+    return F.transform(F.array(F.sort_array(found)), runs)[0]
+
+
 def majority(query_size: Column) -> Column:
     """Shared tokens that a query of this many tokens needs."""
     return F.floor(query_size / 2) + 1
@@ -71,6 +82,19 @@ def chunks(text: Column, limit: int = CHUNK_CHARS) -> Column:
     return F.when(F.length(text) <= limit, F.array(text)).otherwise(cut)
 
 
+def chunk_spans(text: Column, limit: int = CHUNK_CHARS) -> Column:
+    """array<struct<i, n, start, stop>>: index, number and offsets, in characters from 0, of the chunks of a text."""
+    def spans(c: Column) -> Column:
+        # A chunk starts with no blank unless it is the first, so it is found at its own place behind the one before.
+        empty = F.array().cast("array<struct<start:bigint,stop:bigint>>")
+        place = lambda done, x: F.call_function("locate", x, text, (F.coalesce(F.try_element_at(done, F.lit(-1)).stop, F.lit(0)) + 1).cast("int")).cast("long") - 1
+        step = lambda done, x: F.concat(done, F.transform(F.array(place(done, x)), lambda a: F.struct(a.alias("start"), (a + F.length(x)).cast("long").alias("stop"))))
+        found = F.aggregate(c, empty, step)
+        return F.transform(F.array(found), lambda f: F.transform(f, lambda x, i: F.struct(i.cast("long").alias("i"), F.size(f).cast("long").alias("n"), x.start.alias("start"), x.stop.alias("stop"))))[0]
+
+    return F.transform(F.array(chunks(text, limit)), spans)[0]
+
+
 def chunk_id(evidence: Column, index: Column) -> Column:
     return F.concat_ws("#", evidence.cast("string"), index.cast("string"))
 

@@ -14,15 +14,15 @@ class Index:
     """An index of records (id, text) below a folder; each batch that was appended is a partition of its tables.
 
     ``postings`` (token, id, tf, dl, dn) stand in the order of their tokens, so that a read for a few tokens skips
-    most row groups, and a token of very many records still spreads over files. ``terms`` (token, df, cf) and
-    ``lengths`` (id, dl, dn) hold what ranking needs besides, so that no query counts the corpus again.
+    most row groups, and a token of very many records still spreads over files. ``forward`` (id, dl, dn, tfs) holds the
+    same by record, and ``terms`` (token, df, cf) by token, so that no query counts the corpus again.
     """
 
     def __init__(self, spark: SparkSession, root: str, id_type: str = "long"):
         self.spark, self.root = spark, root.rstrip("/")
         self.schemas = {
             "postings": f"token string, id {id_type}, tf long, dl int, dn int, batch int",
-            "lengths": f"id {id_type}, dl int, dn int, batch int", "terms": "token string, df long, cf long, batch int",
+            "forward": f"id {id_type}, dl int, dn int, tfs array<struct<token string, tf long>>, batch int", "terms": "token string, df long, cf long, batch int",
         }
 
     def _path(self, table: str):
@@ -37,7 +37,7 @@ class Index:
         return self.spark.read.schema(self.schemas[table]).parquet(f"{self.root}/{table}").drop("batch")
 
     def batches(self) -> list[int]:
-        p, fs = self._path("lengths")
+        p, fs = self._path("forward")
         found = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
         return sorted(int(x.removeprefix("batch=")) for x in found if x.startswith("batch="))
 
@@ -45,17 +45,20 @@ class Index:
         """Index the records (id, text) whose id no batch holds, as a batch of their own; repeated ids count once."""
         own = records.dropDuplicates(["id"]).select("id", "text")
         if done := self.batches():
-            own = own.join(self.table("lengths").select("id"), "id", "left_anti")
+            own = own.join(self.table("forward").select("id"), "id", "left_anti")
         at = done[-1] + 1 if done else 0
-        rows = own.select("id", T.all_tokens(F.col("text")).alias("t")).select("id", F.size("t").alias("dl"), F.size(F.array_distinct("t")).alias("dn"), "t")
-        posted = rows.select("id", "dl", "dn", F.explode("t").alias("token")).groupBy("token", "id", "dl", "dn").agg(F.count("*").alias("tf"))
         write = lambda df, table: df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{table}/batch={at}")
-        write(posted.select("token", "id", "tf", "dl", "dn").repartitionByRange("token", "id").sortWithinPartitions("token", "id"), "postings")
-        stored = self.spark.read.parquet(f"{self.root}/postings/batch={at}")
-        write(stored.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")), "terms")
-        held = stored.groupBy("id").agg(F.first("dl").alias("dl"), F.first("dn").alias("dn"))
-        empty = own.select("id").join(held.select("id"), "id", "left_anti").select("id", F.lit(0).alias("dl"), F.lit(0).alias("dn"))
-        write(held.unionByName(empty), "lengths")  # the last one: a batch counts from here
+        part = f"{self.root}/part/batch={at}"
+        tfs = own.select("id", T.counted(T.all_tokens(F.col("text"))).alias("tfs"))
+        tfs.select("id", F.aggregate("tfs", F.lit(0), lambda n, x: n + x.tf.cast("int")).alias("dl"), F.size("tfs").alias("dn"), "tfs").write.mode("overwrite").option("compression", "zstd").parquet(part)
+        stored = self.spark.read.parquet(part)  # texts are tokenised once, whatever reads their tokens next
+        posted = stored.select("id", "dl", "dn", F.explode("tfs").alias("x")).select("x.token", "id", "x.tf", "dl", "dn")
+        write(posted.repartitionByRange("token", "id").sortWithinPartitions("token", "id"), "postings")
+        write(posted.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")), "terms")
+        p, fs = self._path("part")
+        to, _ = self._path("forward")
+        fs.mkdirs(to)
+        fs.rename(self._path(f"part/batch={at}")[0], self._path(f"forward/batch={at}")[0])  # the last one: a batch counts from here
         return self
 
     def rebuild(self, records: DataFrame) -> Index:
@@ -72,7 +75,7 @@ class Index:
     def totals(self) -> Column:
         """The struct (n, avgdl), a scalar of any plan."""
         mean = F.coalesce(F.avg("dl"), F.lit(0.0))
-        return self.table("lengths").agg(F.struct(F.count("*").alias("n"), F.when(mean > 0, mean).otherwise(1.0).alias("avgdl")).alias("t")).scalar()
+        return self.table("forward").agg(F.struct(F.count("*").alias("n"), F.when(mean > 0, mean).otherwise(1.0).alias("avgdl")).alias("t")).scalar()
 
 
 def query_tokens(df: DataFrame, key: str, text: Column) -> DataFrame:

@@ -95,14 +95,15 @@ def chunk_hits(admitted_: DataFrame, chunks: DataFrame, tokens: DataFrame) -> Da
     """(q, d, i, source, c, n, shared, intent, hits): chunks of admitted documents (q, d) that share a token with the task.
 
     A document whose chunks share none gives its first chunk with nothing shared. chunks: (d, source, i, n, c, tokens).
+    A row a chunk and task, whose token sets are intersected where they meet; no token is a row of its own.
     """
-    some = chunks.select("d", "i", "source", "c", "n", "tokens")
-    rows = some.select("d", "i", "source", "c", "n", F.explode("tokens").alias("token")).join(tokens.select("q", "token"), "token").join(admitted_.select("q", "d"), ["q", "d"])
-    intent = F.count_if(F.col("token").isin(*T.INTENT_TERMS))
-    found = rows.groupBy("q", "d", "i", "source", "c", "n").agg(F.count("*").alias("shared"), intent.alias("intent"), F.collect_list("token").alias("hits"))
-    none = admitted_.select("q", "d").join(found.select("q", "d"), ["q", "d"], "left_anti").join(some.where("i = 0").drop("tokens"), "d")
-    none = none.select(*[c for c in found.columns if c not in ("shared", "intent", "hits")], F.lit(0).cast("long").alias("shared"), F.lit(0).cast("long").alias("intent"), F.array().cast("array<string>").alias("hits"))
-    return found.unionByName(none)
+    asked = tokens.groupBy("q").agg(F.collect_set("token").alias("asked"))
+    rows = admitted_.select("q", "d").join(chunks.select("d", "i", "source", "c", "n", "tokens"), "d").join(asked, "q", "left")
+    rows = rows.withColumn("hits", F.coalesce(F.array_intersect("tokens", "asked"), F.array().cast("array<string>"))).drop("tokens", "asked")
+    intent = F.size(F.array_intersect("hits", F.array(*map(F.lit, T.INTENT_TERMS))))
+    rows = rows.withColumns({"shared": F.size("hits").cast("long"), "intent": intent.cast("long")})
+    most = F.max("shared").over(Window.partitionBy("q", "d"))
+    return rows.withColumn("most", most).where((F.col("shared") > 0) | ((F.col("most") == 0) & (F.col("i") == 0))).select("q", "d", "i", "source", "c", "n", "shared", "intent", "hits")
 
 
 def ordered_evidence(hits: DataFrame, by_vector: DataFrame) -> DataFrame:

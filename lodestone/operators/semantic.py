@@ -48,25 +48,35 @@ def _unit(column: pa.Array, size: int) -> np.ndarray:
     return v / np.where(norm == 0, 1.0, norm)
 
 
-def near(queries: DataFrame, pool: DataFrame, floor: float | None = None, k: int | None = None, within: float | None = None, itself: bool = True) -> DataFrame:
+class Queries:
+    """A stated query set (q, query_pool, qv), read once and sent out in blocks of some QUERY_BLOCK rows, each a matrix of a fixed size."""
+
+    def __init__(self, queries: DataFrame):
+        spark = queries.sparkSession
+        self.type = dict(queries.dtypes)["q"]
+        ids = queries.where("qv is not null").select("q", F.col("query_pool").cast("string").alias("query_pool"), F.col("qv").cast("array<double>").alias("qv"))
+        n = max(1, -(-ids.count() // QUERY_BLOCK))
+        self.blocks = []
+        for b in range(n):
+            block = ids.where(F.pmod(F.xxhash64("q"), F.lit(n)) == b).orderBy("q").toArrow()
+            if block.num_rows:
+                self.blocks.append(spark.sparkContext.broadcast(block))
+
+
+def near(queries: DataFrame | Queries, pool: DataFrame, floor: float | None = None, k: int | None = None, within: float | None = None, itself: bool = True) -> DataFrame:
     """(q, id, group, score): the cosines, to nine places, of a stated query set against all rows of its pool.
 
-    queries: (q, query_pool, qv); pool: (id, pool, group, v), of which eligible rows are filtered before; null vectors
-    match nothing, nor does a vector itself (q = id) without ``itself``. Queries go out in blocks of QUERY_BLOCK, each a matrix of a fixed size, and every batch
-    of the pool is one product with it. Only rows come out that reach ``floor``, are among a batch's first ``k`` of a
-    query and no more than ``within`` below its best; ``top``, ``winner`` or ``cluster_admitted`` pick among these.
+    pool: (id, pool, group, v), of which eligible rows are filtered before; null vectors match nothing, nor does a
+    vector itself (q = id) without ``itself``. Every batch of the pool is one product with a block of queries. Only rows
+    come out that reach ``floor``, are among a batch's first ``k`` of a query and no more than ``within`` below its
+    best; ``top``, ``winner`` or ``cluster_admitted`` pick among these.
     """
-    spark = queries.sparkSession
-    ids = queries.where("qv is not null").select("q", F.col("query_pool").cast("string").alias("query_pool"), F.col("qv").cast("array<double>").alias("qv"))
+    asked = queries if isinstance(queries, Queries) else Queries(queries)
     key = dict(pool.dtypes)
     rows = pool.where("v is not null").select("id", F.col("pool").cast("string").alias("pool"), "group", F.col("v").cast("array<double>").alias("v"))
-    schema = f"q {dict(queries.dtypes)['q']}, id {key['id']}, group {key['group']}, score double"
-    numbers = [r.b for r in ids.select(F.pmod(F.xxhash64("q"), F.lit(max(1, -(-ids.count() // QUERY_BLOCK)))).alias("b")).distinct().orderBy("b").collect()]
-    out = []
-    for b in numbers:
-        block = ids.where(F.pmod(F.xxhash64("q"), F.lit(len(numbers))) == b).orderBy("q").toArrow()  # some QUERY_BLOCK rows
-        out.append(rows.mapInArrow(_scored(spark.sparkContext.broadcast(block), floor, k, within, itself), schema))
-    return reduce(DataFrame.unionAll, out) if out else spark.createDataFrame([], schema)
+    schema = f"q {asked.type}, id {key['id']}, group {key['group']}, score double"
+    out = [rows.mapInArrow(_scored(block, floor, k, within, itself), schema) for block in asked.blocks]
+    return reduce(DataFrame.unionAll, out) if out else pool.sparkSession.createDataFrame([], schema)
 
 
 def _scored(block, floor: float | None, k: int | None, within: float | None, itself: bool):

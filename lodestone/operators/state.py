@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators.ordered import Ranges
+
 # Evidence that lets a memory count as verified, and evidence that a task is told to repeat.
 QUALIFYING = ("test_result", "command_output", "tool_output", "user_confirmation")
 VALIDATION = ("test_result", "command_output")
@@ -84,10 +86,14 @@ def latest(observations: DataFrame) -> DataFrame:
 
 
 def changes(observations: DataFrame) -> DataFrame:
-    """Observations with status: added for the first of a path, else changed or unchanged against the one before; a null digest is a value."""
-    order = Window.partitionBy("path").orderBy("seq")
-    status = F.when(F.row_number().over(order) == 1, "added").when(~F.lag("digest").over(order).eqNullSafe(F.col("digest")), "changed").otherwise("unchanged")
-    return observations.withColumn("status", status)
+    """Observations with status: added for the first of a path, else changed or unchanged against the one before; a null digest is a value.
+
+    A path with very many observations spreads over ranges of seq.
+    """
+    out = Ranges(observations, ["path", "seq"]).previous(["path", "digest"], "__before_it").table()
+    first = F.col("__before_it").isNull() | ~F.col("__before_it.path").eqNullSafe(F.col("path"))
+    status = F.when(first, "added").when(~F.col("__before_it.digest").eqNullSafe(F.col("digest")), "changed").otherwise("unchanged")
+    return out.withColumn("status", status).drop("__before_it")
 
 
 def partners(open_: DataFrame) -> DataFrame:

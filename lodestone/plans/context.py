@@ -20,7 +20,9 @@ BUDGET = 4000
 
 def near(v, kind: str):
     """A function of eligible records and limits: cosines of tasks and eligible records of a kind."""
-    asked = v.pool("task").select(F.col("id").alias("q"), F.lit("x").alias("query_pool"), F.col("v").alias("qv"))
+    if getattr(v, "asked", None) is None:  # the tasks' vectors are read once
+        v.asked = semantic.Queries(v.pool("task").select(F.col("id").alias("q"), F.lit("x").alias("query_pool"), F.col("v").alias("qv")))
+    asked = v.asked
     pool = v.pool(kind).withColumn("pool", F.lit("x"))
     pool = pool if "group" in pool.columns else pool.withColumn("group", F.col("id"))
 

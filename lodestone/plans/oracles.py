@@ -87,14 +87,14 @@ asc_ AS (SELECT q, attempt_id AS id, score FROM att JOIN vs ON vec_id = attempt_
 ssc AS (SELECT q, skill_id AS id, score FROM skill JOIN vs ON vec_id = (conv_id * 8 + turn) % 500),
 paths AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]*/([^?#]*)', 1) AS path FROM pages),
 cut AS (
-  SELECT doc_id AS d, CAST(0 AS BIGINT) AS i, text AS rest, CAST(NULL AS VARCHAR) AS chunk FROM documents WHERE length(text) <= 1200 OR regexp_matches(text, '\\S')
+  SELECT doc_id AS d, CAST(0 AS BIGINT) AS i, text AS rest, CAST(NULL AS VARCHAR) AS chunk, CAST(length(text) AS BIGINT) AS total, CAST(0 AS BIGINT) AS start FROM documents WHERE length(text) <= 1200 OR regexp_matches(text, '\\S')
   UNION ALL
-  SELECT d, i + 1, regexp_replace(substring(rest, length(piece) + 1), '^[ \\n]*', ''), piece FROM (
-    SELECT d, i, rest, CASE WHEN length(rest) <= 1200 THEN rest
+  SELECT d, i + 1, regexp_replace(substring(rest, length(piece) + 1), '^[ \\n]*', ''), piece, total, total - length(rest) FROM (
+    SELECT d, i, rest, total, CASE WHEN length(rest) <= 1200 THEN rest
       WHEN regexp_matches(rest, '(?s)^.{{1,1000}}.{{0,199}} ') THEN regexp_extract(rest, '(?s)^(.{{1,1000}}.{{0,199}}) ', 1)
       WHEN regexp_matches(rest, '(?s)^.{{1,1000}}.{{0,199}}\\n') THEN regexp_extract(rest, '(?s)^(.{{1,1000}}.{{0,199}})\\n', 1)
       ELSE substring(rest, 1, 1200) END AS piece FROM cut WHERE rest <> '')),
-chunk AS (SELECT d, i - 1 AS i, chunk, count(*) OVER (PARTITION BY d) AS n FROM cut WHERE i > 0),
+chunk AS (SELECT d, i - 1 AS i, chunk, count(*) OVER (PARTITION BY d) AS n, start FROM cut WHERE i > 0),
 rel AS (SELECT q, attempt_id, outcome, evidence_id FROM (SELECT q, id FROM a_lex UNION SELECT q, id FROM a_fts UNION SELECT q, id FROM {_winner('asc_', 0.50, 0.08)}) JOIN att ON id = attempt_id),
 rescue AS (SELECT DISTINCT r.q, m.memory_id FROM rel r JOIN mem_ev m USING (evidence_id) WHERE r.outcome <> 'partial'),
 rl AS (SELECT q, id, score, conv_id % 97 AS c, kind = 'lesson' AS is_lesson FROM msc JOIN live ON id = memory_id WHERE kind = 'root_cause' OR (kind = 'lesson' AND epistemic_state = 'verified')),
@@ -156,6 +156,18 @@ tot AS (SELECT q, n_selected, n_omitted, used, concat('-- ', n_selected, ' of ',
 """
 
 SQL = {
+    "point_lookups": """SELECT 'memory' AS entity, memory_id AS id, md5(content) AS digest FROM mem WHERE memory_id = md5('m0-0') UNION ALL SELECT 'evidence', CAST(evidence_id AS VARCHAR), md5(content) FROM evid WHERE evidence_id = 7
+        UNION ALL SELECT 'attempt', CAST(attempt_id AS VARCHAR), md5(task) FROM att WHERE attempt_id = 11 UNION ALL SELECT concat('skill'), skill_id, md5(content) FROM skill JOIN mem USING (seq) WHERE memory_id = md5('m2-0')""",
+    "attempt_order": "SELECT attempt_id AS sequence, attempt_id, outcome, CAST(length(task) AS BIGINT) AS size FROM att ORDER BY attempt_id",
+    "skill_order": "SELECT seq AS sequence, skill_id, concat('lesson of conversation ', conv_id) AS name, concat('turn ', turn) AS conditions FROM skill ORDER BY seq",
+    "sources_by_path": "SELECT path, seq, digest, size_bytes, CAST(length(text) AS BIGINT) AS n_chars FROM obs JOIN documents ON doc_id = seq QUALIFY row_number() OVER (PARTITION BY path ORDER BY seq DESC) = 1 ORDER BY path",
+    "conflicts_by_time": "SELECT a, b, recorded_at FROM conf ORDER BY recorded_at, a, b",
+    "scope_union": "SELECT source AS path FROM documents UNION SELECT string_split(path, '/')[1] FROM paths",
+    "evidence_documents": "SELECT q, count(*) AS n_chunks, count(DISTINCT d) AS n_documents FROM ev GROUP BY q",
+    "chunk_spans": "SELECT d, i, n, start, start + length(chunk) AS stop FROM chunk",
+    "embed_concepts": """, h AS (SELECT doc_id AS d, list_transform(['the', 'ing', 'tion', 'ment', 'ung'], lambda c: CAST((length(lower(text)) - length(replace(lower(text), c, ''))) // length(c) AS DOUBLE)) AS h FROM documents),
+        e AS (SELECT d, list_append(h, CASE WHEN list_sum(h) = 0 THEN 1.0 ELSE 0.0 END) AS e FROM h), n AS (SELECT d, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM e)
+        SELECT d, round(e[1] / n, 9) AS e0, round(e[2] / n, 9) AS e1, round(e[3] / n, 9) AS e2, round(e[4] / n, 9) AS e3, round(e[5] / n, 9) AS e4, round(e[6] / n, 9) AS e5 FROM n""",
     "memory_vectors": "SELECT q, id FROM mem_vec",
     "invariant_set": "SELECT q, id FROM inv_set",
     "relevant_memories": "SELECT q, memory_id FROM mem_ok",
@@ -229,7 +241,7 @@ SQL = {
     "terminal_safe": "SELECT doc_id AS d, md5(replace(replace(replace(replace(text, chr(92), repeat(chr(92), 2)), chr(10), chr(92) || 'n'), chr(9), chr(92) || 't'), chr(13), chr(92) || 'r')) AS digest FROM documents",
     "render_items": f"""SELECT m.memory_id, concat('- [', m.memory_id, '] (', epistemic_state, ') ', {_safe('content')}, CASE WHEN others IS NULL THEN '' ELSE concat(chr(10), '  CONFLICTS WITH ', list_aggregate(list_transform(others, lambda o: concat('[', o, ']')), 'string_agg', ', ')) END) AS line FROM mem m LEFT JOIN partner USING (memory_id)""",
     "ignore_filter": r"SELECT page_id, path, CASE WHEN path LIKE 'fr/%' THEN true WHEN regexp_full_match(path, 'es/1[^/]+(/.*)?') THEN true WHEN regexp_full_match(path, 'en/[^/]*\.html') THEN false ELSE regexp_full_match(path, '.*\.html(/.*)?') END AS ignored FROM paths",
-    "secret_filter": "SELECT page_id, page_id % 6 IN (0, 1, 4) AS secret, page_id % 6 = 3 AS sensitive, false AS excluded FROM paths",
+    "secret_filter": "SELECT page_id, page_id % 6 IN (0, 1, 4) AS secret, page_id % 6 = 3 AS sensitive, page_id % 5 IN (1, 3, 4) AS excluded FROM paths",
     "settle_sessions": """, g AS (SELECT user_id AS path, ts, event_id, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) >= 3600000000 THEN 1 ELSE 0 END AS far FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
         r AS (SELECT path, ts, sum(far) OVER (PARTITION BY path ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM g) SELECT path, max(ts) AS ts, count(*) AS n FROM r GROUP BY path, run""",
     "rate_limit_buckets": "SELECT user_id AS bucket, event_id AS seq, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 5 AS delay_s FROM events",

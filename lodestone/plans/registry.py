@@ -18,6 +18,7 @@ from lodestone.streaming import watch
 
 IGNORE_TEXT = "# generated\nfr/\n*.html\n!/en/*.html\n/es/1?*\n"
 NAMES = (".env.local", "id_rsa.pub", "notes.md", "My-Token.txt", "server.pem", "README.md")
+FOLDERS = ("src", "node_modules", "docs", "x.egg-info", "build")
 CONCEPTS = ("the", "ing", "tion", "ment", "ung")
 CDC_FILES = 4
 _found: dict[str, Callable] = {}
@@ -67,6 +68,46 @@ def status_counts(v):
     return state.with_status(v.memories()).groupBy("kind").agg(F.count("*").alias("n"), F.count_if("is_current").alias("n_current"))
 
 
+@query
+def point_lookups(v):
+    """One record of each kind by its id."""
+    memory = F.md5(F.lit("m0-0"))
+    found = v.memories().where(F.col("memory_id") == memory).select(F.lit("memory").alias("entity"), F.col("memory_id").alias("id"), F.md5("content").alias("digest"))
+    found = found.unionByName(v.evidence().where("evidence_id = 7").select(F.lit("evidence").alias("entity"), F.col("evidence_id").cast("string").alias("id"), F.md5("content").alias("digest")))
+    found = found.unionByName(v.attempts().where("attempt_id = 11").select(F.lit("attempt").alias("entity"), F.col("attempt_id").cast("string").alias("id"), F.md5("task").alias("digest")))
+    return found.unionByName(v.skills().where(F.col("lesson_id") == F.md5(F.lit("m2-0"))).select(F.lit("skill").alias("entity"), F.col("skill_id").alias("id"), F.md5("purpose").alias("digest")))
+
+
+@query
+def attempt_order(v):
+    return v.attempts().select(F.col("seq").alias("sequence"), "attempt_id", "outcome", F.length("task").cast("long").alias("size")).orderBy("sequence")
+
+
+@query
+def skill_order(v):
+    return v.skills().select(F.col("seq").alias("sequence"), "skill_id", "name", F.array_join("conditions", " ").alias("conditions")).orderBy("sequence")
+
+
+@query
+def sources_by_path(v):
+    """The current observation of every path and its evidence's length."""
+    last = state.latest(v.observations()).select("path", "seq", "digest", "size_bytes")
+    text = v.table("documents").select(F.col("doc_id").alias("seq"), F.length("text").cast("long").alias("n_chars"))
+    return last.join(text, "seq").select("path", "seq", "digest", "size_bytes", "n_chars").orderBy("path")
+
+
+@query
+def conflicts_by_time(v):
+    return v.conflicts().orderBy("recorded_at", "a", "b")
+
+
+@query
+def scope_union(v):
+    """Sources of documents and first segments of pages' paths, once each."""
+    tracked = v.table("documents").select(F.col("source").alias("path"))
+    return files.scope(tracked, v.paths().select(F.split("path", "/")[0].alias("path")))
+
+
 @query
 def open_conflicts(v):
     return state.open_conflicts(v.conflicts(), v.memories())
@@ -294,6 +335,19 @@ def project_evidence_order(v):
     return context.ordered_evidence(v).select("q", "pos", "c", "score", "similarity")
 
 
+@query
+def evidence_documents(v):
+    """How many chunks and how many documents a task's ordered evidence has, the documents by the chunks' ids."""
+    d, _ = T.parse_chunk_id(F.col("c"))
+    return context.ordered_evidence(v).groupBy("q").agg(F.count("*").alias("n_chunks"), F.count_distinct(d).alias("n_documents"))
+
+
+@query
+def chunk_spans(v):
+    """Where each chunk stands in its document, and how many there are."""
+    return v.documents().select("d", F.explode(T.chunk_spans(F.col("text"))).alias("s")).select("d", "s.i", "s.n", "s.start", "s.stop")
+
+
 @query
 def min_sufficient_set(v):
     return context.sufficient(v).select("q", "pos", "c")
@@ -362,7 +416,8 @@ def ignore_filter(v):
 @query
 def secret_filter(v):
     name = F.element_at(F.array(*map(F.lit, NAMES)), (F.col("page_id") % len(NAMES) + 1).cast("int"))
-    path = v.paths().select("page_id", F.concat(F.col("path"), F.lit("/"), name).alias("path"))
+    folder = F.element_at(F.array(*map(F.lit, FOLDERS)), (F.col("page_id") % len(FOLDERS) + 1).cast("int"))
+    path = v.paths().select("page_id", F.concat_ws("/", folder, F.col("path"), name).alias("path"))
     return path.select("page_id", files.is_secret(F.col("path")).alias("secret"), files.is_sensitive(F.col("path")).alias("sensitive"), files.in_excluded_dir(F.col("path")).alias("excluded"))
 
 

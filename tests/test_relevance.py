@@ -33,10 +33,10 @@ def test_index_equals_counts_and_survives_batches(spark, tmp_path, corpus):
     for cond in ("id < 30", "id < 55", "true", "true"):
         parts.append(df.where(cond))
     assert parts.batches() == [0, 1, 2, 3]
-    for table in ("postings", "lengths"):
+    for table in ("postings", "forward"):
         assert rows(whole.table(table)) == rows(parts.table(table))
     assert rows(whole.terms()) == rows(parts.terms())
-    assert rows(parts.rebuild(df.where("id < 5")).table("lengths").select("id")) == [(i,) for i in range(5)]
+    assert rows(parts.rebuild(df.where("id < 5")).table("forward").select("id")) == [(i,) for i in range(5)]
     tokens = {i: [t for t in text.split() if t != "the"] for i, text in corpus}
     df_ = Counter(t for ts in tokens.values() for t in set(ts))
     assert {r.token: (r.df, r.cf) for r in whole.terms().collect()} == {t: (n, sum(ts.count(t) for ts in tokens.values())) for t, n in df_.items()}
@@ -155,3 +155,38 @@ def test_texts_of_tasks_without_items(spark):
     assert got[1] == "Task: a\n\nHISTORY\nabc\n\n-- 1 of 1 selected; 0 omitted for budget; 2 project invariant(s) not relevant to this task (see: preflight)"
     assert got[2].splitlines()[2:] == ["No compiled items fit within the budget.", "", "-- 0 of 1 selected; 1 omitted for budget"]
     assert got[3].splitlines()[2] == "No compiled context for this task."
+
+
+@pytest.mark.parametrize("parts", ["1", "7"])
+def test_ranges_equal_loops_for_hot_keys(spark, parts):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        rng = random.Random(1)
+        rows = [(rng.choice("aaaaaaaab"), i, rng.choice("xy")) for i in range(400)] + [(None, 1000, "x"), (None, 1001, None)]
+        df = spark.createDataFrame(rows, "path string, seq int, digest string").repartition(3)
+        want, last = {}, {}
+        for p, i, d in sorted(rows, key=lambda r: r[1]):
+            want[i] = "added" if p not in last else "unchanged" if last[p] == d else "changed"
+            last[p] = d
+        assert {r.seq: r.status for r in state.changes(df).collect()} == want
+        slots, seen = {}, Counter()
+        for p, i, _ in sorted(rows, key=lambda r: r[1]):
+            slots[i] = seen[p] // 5
+            seen[p] += 1
+        assert {r.seq: r.delay_s for r in watch.write_slots(df.select(F.col("path").alias("bucket"), "seq")).collect()} == slots
+        times = spark.createDataFrame([(p, i * 7 % 61, i) for p, i, _ in rows], "path string, s int, seq int").select("path", F.timestamp_seconds("s").alias("ts"), "seq")
+        got = Counter((r.path, r.ts.timestamp(), r.n) for r in watch.settled(times, 3.0).collect())
+        runs = Counter()
+        for p in {p for p, *_ in rows}:
+            t = sorted(i * 7 % 61 for q, i, _ in rows if q == p)
+            n = 0
+            for k, x in enumerate(t):
+                n += 1
+                if k + 1 == len(t) or t[k + 1] - x >= 3:
+                    runs[p, float(x), n] += 1
+                    n = 0
+        assert got == runs
+        assert watch.settled(times.where("false")).count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

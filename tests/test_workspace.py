@@ -56,7 +56,7 @@ def test_remember_in_one_batch(spark, tmp_path):
     assert {r.draft_id: r.status for r in store.remember(memories(spark, ("n", "one", "note", "inferred", None, [doc], None))).collect()} == {"n": "added"}  # the old one is no longer current
     assert [r.kind for r in store.table("events").orderBy("sequence").collect()] == ["memory_recorded"] * 3 + ["memory_superseded", "memory_recorded"]
     assert [r.sequence for r in store.table("events").orderBy("sequence").collect()] == list(range(5))
-    assert store.index("memory").table("lengths").count() == 4
+    assert store.index("memory").table("forward").count() == 4
     assert [r.content for r in store.ordered("memory").collect()] == ["one", "x", "new", "one"]
     assert store.get("memories", "memory_id", one).content == "one" and store.get("memories", "memory_id", "no") is None
 
@@ -116,7 +116,7 @@ def test_attempts_skills_conflicts_and_documents(spark, tmp_path):
     assert [store.observe(docs(t, n)).first().status for n, t in enumerate("AABA")] == ["added", "unchanged", "changed", "changed"]
     assert store.table("observations").count() == 3 and store.sources().first().content == "A"
     store.rebuild_indexes()
-    assert store.index("document").table("lengths").count() == 3
+    assert store.index("document").table("forward").count() == 3
 
 
 @pytest.fixture
