@@ -5,13 +5,13 @@
    Two sets that are similar enough share a token of their *prefixes* (the first ``n - ceil(t n) + 1`` tokens).
 3. Documents are tied to a few centres that share a prefix token; verified ties make groups of similar documents.
 4. A group stores the union of its members' tokens. A document of another group that shares a prefix token
-   with a group, and a band of set sizes or one beside it, is a query. Two bounds keep groups shut: how many tokens
+   with a group is a query. Two bounds keep groups shut: how many tokens
    stand behind the shared one in the query and in the members, before any text moves; then the query's overlap with
    the union of whole sets. Groups whose bounds reach the threshold are opened, and members are compared one by one
    until one matches. Pairs inside a group need no look: they are connected already.
-No step makes all pairs of a group, and none drops a candidate. A token that many small groups of one size band hold in
-their prefixes does meet as many queries as groups; keys of two tokens were tried for such tokens and made more rows, as
-documents that share many tokens then meet under all pairs of them.
+No step makes all pairs of a group, and none drops a candidate. A token that many small groups hold in their prefixes does
+meet as many queries as groups. Keys of two tokens for such tokens made more rows, as documents that share many tokens
+then meet under all pairs of them; bands of set sizes in the key cost more than they saved.
 """
 
 from __future__ import annotations
@@ -206,12 +206,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) ->
     first = components(links, scratch, files).withColumnRenamed("node", "doc")
 
     # Groups of similar documents: what is tied so far. Their parts are of near sizes, by bands and a hash.
-    wide = float(np.log(den / num)) * 1.000001  # so that rounding puts no similar sizes two bands apart
     sized = classes.select("doc", "n").join(first, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     sized = keep(sized.join(tokens.select("doc"), "doc", "left_semi"), "sized")
-    grouped = keep(tokens.select("doc", "pos", F.col("token").alias("meet")).join(sized, "doc").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.lit(wide))), "grouped")
+    grouped = keep(tokens.select("doc", "pos", F.col("token").alias("meet")).join(sized, "doc"), "grouped")
     scratch.drop(tokens, ties)
-    fine = F.floor(F.log(F.col("n").cast("double")) / F.lit(wide / 5))
+    fine = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(den / num) / 5)))
     members = sized.withColumn("band", fine)
     parts_of = members.groupBy("component", "band").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
     members = members.join(parts_of, ["component", "band"]).select("doc", "n", "component", F.xxhash64("component", "band", F.pmod(F.xxhash64("doc"), F.col("parts"))).alias("key"))
@@ -222,13 +221,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) ->
     # token in the global order: all common tokens stand there or behind it, in both sets. So n - pos reaches that
     # number in either set, and the pair meets at this token; a row that falls short on a side is no such meeting.
     slack = (num + den) * (F.col("n") - F.col("pos")) - num * F.col("n")
-    unions = grouped.groupBy("meet", "component", "band").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(slack).alias("most_slack")).join(heads, "component")
+    unions = grouped.groupBy("meet", "component").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(slack).alias("most_slack")).join(heads, "component")
     multi = unions.groupBy("meet").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("meet")
-    asks = grouped.join(multi, "meet").join(heads, "component").select("meet", "doc", "n", slack.alias("slack"), F.col("component").alias("own"), F.col("heads").alias("own_heads"), F.explode(F.array(*[F.col("band") + d for d in (-1, 0, 1)])).alias("band"))
+    asks = grouped.join(multi, "meet").join(heads, "component").select("meet", "doc", "n", slack.alias("slack"), F.col("component").alias("own"), F.col("heads").alias("own_heads"))
     smaller = (F.col("own_heads") < F.col("heads")) | ((F.col("own_heads") == F.col("heads")) & (F.col("own") > F.col("component")))
     near = (den * F.col("n") >= num * F.col("least")) & (den * F.col("most") >= num * F.col("n"))
     first_common = (F.col("most_slack") >= num * F.col("n")) & (F.col("slack") >= num * F.col("least")) & (den * F.col("slack") >= num * num * F.col("n"))
-    asks = asks.join(unions, ["meet", "band"]).where((F.col("own") != F.col("component")) & smaller & near & first_common)
+    asks = asks.join(unions, "meet").where((F.col("own") != F.col("component")) & smaller & near & first_common)
     asks = asks.select("doc", "n", "component").distinct()
     fits = (den * F.col("n") >= num * F.col("part_least")) & (den * F.col("part_most") >= num * F.col("n"))
     asks = asks.join(parts, "component").where(fits).select("doc", "key")
