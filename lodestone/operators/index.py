@@ -110,17 +110,39 @@ def lexical(queries: DataFrame, index: Index) -> DataFrame:
     return both.where(F.col("shared") >= T.majority(F.col("qn")))
 
 
-def ranked(queries: DataFrame, index: Index, cap: int = FTS_CAP) -> DataFrame:
-    """(q, id, qn, dn, shared, score, rank): the best records of every query by BM25; scores to six places, ties by id."""
+def scored(queries: DataFrame, index: Index) -> DataFrame:
+    """(q, id, qn, dn, score, shared) by BM25 of every pair that shares a token; scores to six places."""
     wanted = queries.join(index.terms().select("token", "df"), "token").withColumn("t", index.totals())
     idf = F.greatest(F.log((F.col("t.n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     wanted = wanted.select("q", "qn", "token", idf.alias("idf"), F.col("t.avgdl").alias("avgdl"))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = index.table("postings").join(wanted, "token").groupBy("q", "id", "qn", "dn").agg(F.round(F.sum(part), 6).alias("score"), F.count("*").alias("shared"))
+    return index.table("postings").join(wanted, "token").groupBy("q", "id", "qn", "dn").agg(F.round(F.sum(part), 6).alias("score"), F.count("*").alias("shared"))
+
+
+def first(pairs: DataFrame, cap: int = FTS_CAP) -> DataFrame:
+    """``scored`` pairs with rank, the best of every query; ties by id."""
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= cap)
+    return pairs.withColumn("rank", rank).where(F.col("rank") <= cap)
+
+
+def ranked(queries: DataFrame, index: Index, cap: int = FTS_CAP) -> DataFrame:
+    """(q, id, qn, dn, score, shared, rank): the best records of every query by BM25."""
+    return first(scored(queries, index), cap)
+
+
+def reached(best: DataFrame) -> DataFrame:
+    """(q, id, shared): of the best pairs, those that reach the symmetric threshold."""
+    return best.where(F.col("shared") >= T.symmetric_threshold(F.col("qn"), F.col("dn"))).select("q", "id", "shared")
 
 
 def full_text(queries: DataFrame, index: Index) -> DataFrame:
     """(q, id, shared): of the FTS_CAP best, those that reach the symmetric threshold."""
-    return ranked(queries, index).where(F.col("shared") >= T.symmetric_threshold(F.col("qn"), F.col("dn"))).select("q", "id", "shared")
+    return reached(ranked(queries, index))
+
+
+def words_and_full_text(queries: DataFrame, index: Index) -> tuple[DataFrame, DataFrame]:
+    """(q, id) of the words channel and of the full-text channel, from one pass over the postings: both branches name all
+    columns of ``scored``, so that they share its shuffle."""
+    pairs = scored(queries, index)
+    words = pairs.where((F.col("shared") >= T.majority(F.col("qn"))) & F.col("score").isNotNull() & (F.col("dn") > 0))
+    return words.select("q", "id"), reached(first(pairs)).select("q", "id")

@@ -13,8 +13,8 @@ from lodestone.operators.state import VALIDATION
 
 def admitted(tokens: DataFrame, records: Index, by_vector: DataFrame) -> DataFrame:
     """(q, id, words, full_text, semantic): records that a channel admits; by_vector has (q, id)."""
-    words = index.lexical(tokens, records).select("q", "id")
-    return experience.channels(words=words, full_text=index.full_text(tokens, records), semantic=by_vector)
+    words, full_text = index.words_and_full_text(tokens, records)
+    return experience.channels(words=words, full_text=full_text, semantic=by_vector)
 
 
 def attempts(found: DataFrame, table: DataFrame) -> DataFrame:

@@ -65,6 +65,8 @@ def test_words_and_full_text_equal_loops(spark, tmp_path, corpus):
                 fts.add((k, i, c))
     assert set(rows(index.lexical(q, idx).select("q", "id", "shared"))) == lexical
     assert set(rows(index.full_text(q, idx))) == fts
+    words, full = index.words_and_full_text(q, idx)
+    assert set(rows(words)) == {x[:2] for x in lexical} and set(rows(full)) == {x[:2] for x in fts}
 
 
 @pytest.mark.parametrize("block", [1024, 2])
