@@ -32,6 +32,12 @@ def drop(spark: SparkSession, path: str) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def _forget(spark: SparkSession, name: str) -> None:
+    """Take a table's name out of the catalog."""
+    with contextlib.suppress(Exception):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 _shipped: set[str] = set()
 
 
@@ -92,6 +98,7 @@ class Scratch:
         finally:
             spark.conf.set(CLEANUP, before)
         atexit.register(drop, spark, path)
+        atexit.register(_forget, spark, name)
         return spark.table(name)
 
     def drop(self, *dfs: DataFrame) -> None:
