@@ -1,37 +1,32 @@
 """Vectorised word and window hashes over Arrow string columns.
 
-Words are the maximal runs of bytes outside ``\\x20\\x09-\\x0D``. A word's hash is a polynomial of its
-bytes modulo 2**64 with a random table of byte values, finished by a mixing step. All functions work
-on whole texts; long ones are taken in segments, so scratch memory stays at a few MB.
+Words are the maximal runs of bytes outside ``\\x20\\x09-\\x0D``. A word of up to LONG bytes is hashed eight bytes at a
+time: its length and each lane of bytes go through a mixing step that spreads every bit, so words of at most eight
+bytes never collide with others of their length. Longer words are hashed by keyed BLAKE2b. A word has two hashes of
+64 bits, with keys of their own; the second is made where asked for. All functions work on whole texts; long ones are taken
+in segments, so scratch memory stays at a few MB.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
 U = np.uint64
 SEGMENT = 1 << 19
-_BASE = U(0x9E3779B97F4A7C15 | 1)
-_rng = np.random.default_rng(20240229)
-BYTES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
+#: Bytes of the longest word that is hashed by lanes.
+LONG = 64
+KEYS = np.random.default_rng(20240229).integers(1, 1 << 63, (2, LONG // 8), dtype=np.uint64) * U(2) + U(1)
+#: Bytes as they are, and with A-Z in lower case.
+BYTES = np.arange(256, dtype=np.uint8)
 LOWER = BYTES.copy()
 LOWER[65:91] = LOWER[97:123]
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
-_powers: dict[str, np.ndarray] = {}
-
-
-def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("up", ())) < n:
-        size = max(n, SEGMENT + 4096)
-        inverse = U(pow(int(_BASE), -1, 1 << 64))
-        with np.errstate(over="ignore"):
-            for k, b in (("up", _BASE), ("down", inverse)):
-                x = np.full(size, b, dtype=np.uint64)
-                x[0] = 1
-                _powers[k] = np.cumprod(x, dtype=np.uint64)
-    return _powers["up"], _powers["down"]
+_IN_WORD = (~SPACE).astype(np.uint8).tobytes()
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -58,8 +53,39 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]], off - off[0]
 
 
+def _hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray, second: bool) -> np.ndarray:
+    """One or two rows of hashes of the words from ``s`` to ``e``."""
+    keys = KEYS[: 1 + second]
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    lanes = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    n = e - s
+    with np.errstate(over="ignore"):
+        lane = lanes[s] & _MASK[np.minimum(n, 8)]
+        out = np.stack([mix(lane ^ (n.astype(U) * k[0])) for k in keys])
+        on = np.flatnonzero((n > 8) & (n <= LONG))
+        for j in range(1, LONG // 8):
+            if not len(on):
+                break
+            left = n[on] - 8 * j
+            lane = lanes[s[on] + 8 * j] & _MASK[np.minimum(left, 8)]
+            for row, k in zip(out, keys, strict=True):
+                row[on] = mix((row[on] + k[j]) ^ lane)
+            on = on[left > 8]
+    for i in np.flatnonzero(n > LONG):
+        digest = hashlib.blake2b(data[s[i] : e[i]].tobytes(), digest_size=16, key=KEYS.tobytes()[:64]).digest()
+        out[:, i] = np.frombuffer(digest, "<u8")[: 1 + second]
+    return out
+
+
 def words(column: pa.Array, table: np.ndarray = BYTES) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of all rows, in order, and each row's first word (one more than rows)."""
+    both, first = two_words(column, table, False)
+    return both[0], first
+
+
+def two_words(column: pa.Array, table: np.ndarray = BYTES, second: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """As ``words``, with both hashes of each word, a row for each; ``table`` says what a byte counts as."""
     data, off = buffers(column)
     n = len(data)
     hashes, starts = [], []
@@ -74,7 +100,8 @@ def words(column: pa.Array, table: np.ndarray = BYTES) -> tuple[np.ndarray, np.n
                 break
             end = min(n, end + 4096)
         seg = data[at:end]
-        word = ~SPACE[seg]
+        raw = seg.tobytes()
+        word = np.frombuffer(raw.translate(_IN_WORD), bool)
         before, after = np.empty(len(seg), bool), np.empty(len(seg), bool)
         before[0], after[-1] = True, True
         before[1:], after[:-1] = ~word[:-1], ~word[1:]
@@ -83,17 +110,13 @@ def words(column: pa.Array, table: np.ndarray = BYTES) -> tuple[np.ndarray, np.n
         before[cut[cut < len(seg)]] = True
         after[cut[cut > 0] - 1] = True
         s, e = np.flatnonzero(word & before), np.flatnonzero(word & after) + 1
-        up, down = _pow(len(seg) + 1)
-        with np.errstate(over="ignore"):
-            total = np.zeros(len(seg) + 1, dtype=np.uint64)
-            np.cumsum(table[seg] * up[: len(seg)], out=total[1:])
-            hashes.append(mix((total[e] - total[s]) * down[s]))
+        hashes.append(_hashes(seg if table is BYTES else np.frombuffer(raw.translate(table.tobytes()), np.uint8), s, e, second))
         starts.append(s + at)
         at = end
     if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
+        return np.zeros((1 + second, 0), np.uint64), np.zeros(len(off), np.int64)
     start = np.concatenate(starts)
-    return np.concatenate(hashes), np.searchsorted(start, off, "left")
+    return np.concatenate(hashes, axis=1), np.searchsorted(start, off, "left")
 
 
 def windows(h: np.ndarray, k: int) -> np.ndarray:
@@ -110,7 +133,7 @@ def windows(h: np.ndarray, k: int) -> np.ndarray:
 
 
 def windows_at(h: np.ndarray, k: int, at: np.ndarray) -> np.ndarray:
-    """Another hash of the runs of k values that start at ``at``, independent of ``windows``."""
+    """Another hash of the runs of k values that start at ``at``; over the words' second hashes it is independent of ``windows``."""
     with np.errstate(over="ignore"):
         out = h[at] ^ U(0xA5A5A5A5A5A5A5A5)
         for j in range(1, k):

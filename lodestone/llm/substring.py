@@ -6,8 +6,8 @@ shift below 13 that brings both onto the cover. So two equal windows of 20 words
 
 1. Documents are dealt into blocks by id and written once in that order; all passes read them from there.
 2. A block sends each of its distinct anchor hashes once. Those that two blocks hold go back to these blocks.
-3. A block extends: every window of 20 words around a repeated anchor is hashed to 128 bits, and each distinct one
-   is sent once, with the smallest document that holds it in the block.
+3. A block extends: every window of 20 words around a repeated anchor is hashed to 128 bits, half of them over each of
+   the two independent hashes of its words, and each distinct one is sent once, with the smallest document that holds it in the block.
 4. Of each window, all blocks but the one with the smallest document get it back as taken.
 5. A block drops the words under a window that is taken or that starts earlier in the block itself.
 
@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.hashing import windows, windows_at, words
+from lodestone.llm.hashing import two_words, windows, windows_at
 from lodestone.llm.scratch import Scratch
 
 #: A perfect difference set: fixed values.
@@ -45,18 +45,19 @@ MOST_PARTS = 50_000
 class _Block:
     """Word hashes of the documents of a block, ordered by id, and what follows from them."""
 
-    def __init__(self, table: pa.Table, window: int):
+    def __init__(self, table: pa.Table, window: int, second: bool = True):
         order = pc.sort_indices(table, [("doc_id", "ascending"), ("text", "ascending")]) if table.num_rows else pa.array([], pa.uint64())
         self.table = table.take(order)
         self.window, self.span = window, window - PERIOD + 1
         hashes, first, at = [], [np.zeros(1, np.int64)], 0
         for i in range(0, self.table.num_rows, 256):
-            h, f = words(self.table["text"].slice(i, 256).combine_chunks())
+            h, f = two_words(self.table["text"].slice(i, 256).combine_chunks(), second=second)
             hashes.append(h)
             first.append(f[1:] + at)
-            at += len(h)
+            at += h.shape[1]
         self.first = np.concatenate(first)
-        self.h = np.concatenate(hashes) if hashes else np.zeros(0, U)
+        both = np.concatenate(hashes, axis=1) if hashes else np.zeros((1 + second, 0), U)
+        self.h, self.g = both[0], both[-1]
         self.n = np.diff(self.first)
         self.doc = np.repeat(np.arange(len(self.n)), self.n)
         self.left = self.first[1:][self.doc] - np.arange(len(self.h))  # words from here to the end of the document
@@ -192,7 +193,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, block_bytes: int = BLOCK_B
     dealt = scratch.keep_by(dealt, "block", min(2 * blocks, MOST_PARTS), "dealt")
 
     def first_pass(key, table):
-        return _dealt(key[0].as_py(), fan, span, np.unique(_Block(table, window).anchors()[1]))
+        return _dealt(key[0].as_py(), fan, span, np.unique(_Block(table, window, second=False).anchors()[1]))
 
     sent = dealt.select("block", "doc_id", "text").groupBy("block").applyInArrow(first_pass, EXCHANGE)
     back = _exchange(sent, buckets, False, scratch, "anchors")
@@ -200,7 +201,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, block_bytes: int = BLOCK_B
     def second_pass(key, left, right):
         b = _Block(left, window)
         at = b.candidates(_gathered(right)[0])
-        h, g = windows(b.h, window)[at], windows_at(b.h, window, at)
+        h, g = windows(b.h, window)[at], windows_at(b.g, window, at)
         order = np.lexsort((g, h))  # stable: documents stand in the order of their ids
         order = order[_new(h[order], g[order])]
         ids = b.table["doc_id"].to_numpy()[b.doc[at[order]]] if len(order) else np.zeros(0, I)
@@ -224,7 +225,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, block_bytes: int = BLOCK_B
         some |= _member(w, th)
         # Of windows that may repeat: those of the block and, before them, those that are taken, by both hashes.
         i = np.flatnonzero(some)
-        h, g = np.concatenate([th, w[i]]), np.concatenate([tg, windows_at(b.h, window, at[i])])
+        h, g = np.concatenate([th, w[i]]), np.concatenate([tg, windows_at(b.g, window, at[i])])
         order = np.lexsort((g, h))
         again = order[~_new(h[order], g[order])]
         later = np.zeros(len(w), bool)
