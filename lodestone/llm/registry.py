@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import jaccard, language, lines, mixing, packing, quality, sharding, substring, urls, vectors
+from lodestone.llm import conversations, jaccard, language, lines, mixing, packing, quality, sharding, substring, urls, vectors
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         for f in (
             packing.op1_mixture_packing, sharding.op2_minimax_sharding, quality.op3_quality_rules, language.op4_language_id, substring.op5_substring_dedup,
             vectors.op6_embedding_near_dedup, mixing.op7_mixing, urls.op8_url_filters, jaccard.op9_ngram_jaccard_join, lines.op10_line_dedup,
+            conversations.op11_prefix_trie,
         )
     }
 
@@ -46,7 +47,23 @@ link AS (SELECT a.doc_id AS a, b.doc_id AS b FROM each a JOIN each b ON a.x = b.
 reach AS (SELECT doc_id, doc_id AS r FROM ws UNION SELECT link.a, reach.r FROM reach JOIN link ON link.b = reach.doc_id)
 SELECT doc_id, len(s) AS n_shingles, component_id FROM shingles JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id) USING (doc_id)"""
 
+#: The unsigned CRC-32 of a string, bit by bit.
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split({s}, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda a, v: CASE WHEN v >= 0 THEN xor(a, v) ELSE xor(a >> 1, (a & 1) * 3988292384) END), 4294967295::BIGINT)"""
+
+#: All prefixes as lists of turns; what lies below a node is found from the prefixes of every node.
+TRIE = f"""WITH turns AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS i FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list({{'r': role, 't': text}} ORDER BY i) AS w FROM turns GROUP BY conv_id),
+heads AS (SELECT conv_id, w, conv_id - conv_id % 5 AS base, CAST({_CRC.format(s="CAST(conv_id AS VARCHAR)")} % 9 AS BIGINT) AS h FROM own),
+conv AS (SELECT a.conv_id, list_concat(coalesce(b.w[1:a.h], []), a.w[a.h + 1:]) AS w FROM heads a LEFT JOIN own b ON b.conv_id = a.base),
+prefix AS (SELECT conv_id, d, w[1:d] AS p, len(w) AS n FROM (SELECT conv_id, w, unnest(range(0, len(w) + 1)) AS d FROM conv)),
+node AS (SELECT p, d, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * coalesce(strlen(any_value(p)[d].t), 0) AS saved, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE n = d), '') AS ends FROM prefix GROUP BY p, d),
+kids AS (SELECT p[1:d - 1] AS p, d - 1 AS d, count(*) AS n FROM node WHERE d > 0 GROUP BY 1, 2),
+below AS (SELECT p[1:e] AS p, e AS d, sum(saved) AS saved_tokens, count(*) FILTER (WHERE childless) AS n_leaves FROM (SELECT node.p, node.d, saved, kids.n IS NULL AS childless, unnest(range(0, node.d + 1)) AS e FROM node LEFT JOIN kids ON kids.p = node.p AND kids.d = node.d) GROUP BY 1, 2)
+SELECT node.conv_id, node.d AS depth, up.conv_id AS parent_conv_id, node.n_convs, coalesce(kids.n, 0) AS n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(node.ends) AS ends_sha256
+FROM node JOIN below ON below.p = node.p AND below.d = node.d LEFT JOIN kids ON kids.p = node.p AND kids.d = node.d LEFT JOIN node up ON node.d > 0 AND up.d = node.d - 1 AND up.p = node.p[1:node.d - 1]"""
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries whose result is exact whatever the method. The others follow from hashes, raking, trees or tokenizers, and are tested against brute force."""
-    return {"op5_substring_dedup": SUBSTRING, "op6_embedding_near_dedup": VECTORS, "op9_ngram_jaccard_join": JACCARD}
+    return {"op5_substring_dedup": SUBSTRING, "op6_embedding_near_dedup": VECTORS, "op9_ngram_jaccard_join": JACCARD, "op11_prefix_trie": TRIE}
