@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import conversations, jaccard, language, lines, mixing, packing, quality, sharding, substring, urls, vectors
+from lodestone.llm import conversations, jaccard, language, lines, mixing, packing, quality, secrets, sharding, substring, urls, vectors
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,7 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         for f in (
             packing.op1_mixture_packing, sharding.op2_minimax_sharding, quality.op3_quality_rules, language.op4_language_id, substring.op5_substring_dedup,
             vectors.op6_embedding_near_dedup, mixing.op7_mixing, urls.op8_url_filters, jaccard.op9_ngram_jaccard_join, lines.op10_line_dedup,
-            conversations.op11_prefix_trie,
+            conversations.op11_prefix_trie, secrets.op12_secret_scan,
         )
     }
 
@@ -63,7 +63,33 @@ below AS (SELECT p[1:e] AS p, e AS d, sum(saved) AS saved_tokens, count(*) FILTE
 SELECT node.conv_id, node.d AS depth, up.conv_id AS parent_conv_id, node.n_convs, coalesce(kids.n, 0) AS n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(node.ends) AS ends_sha256
 FROM node JOIN below ON below.p = node.p AND below.d = node.d LEFT JOIN kids ON kids.p = node.p AND kids.d = node.d LEFT JOIN node up ON node.d > 0 AND up.d = node.d - 1 AND up.p = node.p[1:node.d - 1]"""
 
+#: Spans are found again from the lengths of the matches and of the texts between them; a base-62 digit is a place of its alphabet.
+_BASE62 = "'0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz'"
+_DIGITS = "concat(" + ", ".join(f"substr({_BASE62}, CAST(crc // {62**k} % 62 AS INTEGER) + 1, 1)" for k in range(5, -1, -1)) + ")"
+_WORDS = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+_KINDS = (
+    ("assign", f"({_WORDS})[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)"),
+    ("access", "AKIA[A-Z0-9]+"),
+    ("hex", "[0-9a-f]{24,}"),
+    ("github", r"\bgh[pousr]_[0-9A-Za-z]{36}\b"),
+    ("npm", r"\bnpm_[0-9A-Za-z]{36}\b"),
+)
+_CUTS = " UNION ALL ".join(
+    f"SELECT r, {i} AS k, string_split_regex(text, '{p}') AS between, regexp_extract_all(text, '{p}') AS found, {f"regexp_extract_all(text, '{p}', 2)" if k == "assign" else "NULL"} AS value FROM docs WHERE regexp_matches(text, '{p}')"
+    for i, (k, p) in enumerate(_KINDS)
+)
+SECRETS = f"""WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+kind AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{k}')" for i,(k,_) in enumerate(_KINDS))}) AS k(k, kind)),
+cut AS ({_CUTS}),
+each AS (SELECT r, k, found[i] AS found, value[i] AS value, CAST(list_sum(list_transform(between[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start FROM (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM cut)),
+checked AS (SELECT *, CASE WHEN k >= 3 THEN {_CRC.format(s="substr(found, 5, 30)")} END AS crc FROM each),
+span AS (SELECT r, k, kind, concat(kind, ':', start, ':', start + length(found)) AS shown, start FROM checked JOIN kind USING (k)
+  WHERE CASE k WHEN 0 THEN length(value) >= 6 WHEN 1 THEN length(found) >= 20 WHEN 2 THEN length(found) >= 24 ELSE right(found, 6) = {_DIGITS} END),
+row AS (SELECT r, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER (WHERE k = 1) AS n_access, count(*) FILTER (WHERE k = 2) AS n_hex, count(*) FILTER (WHERE k = 3) AS n_github, count(*) FILTER (WHERE k = 4) AS n_npm,
+  string_agg(shown, ',' ORDER BY start, k) FILTER (WHERE k < 3) AS base, string_agg(shown, ',' ORDER BY start, k) AS spans FROM span GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_github, 0) AS n_github, coalesce(n_npm, 0) AS n_npm FROM docs LEFT JOIN row USING (r)"""
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries whose result is exact whatever the method. The others follow from hashes, raking, trees or tokenizers, and are tested against brute force."""
-    return {"op5_substring_dedup": SUBSTRING, "op6_embedding_near_dedup": VECTORS, "op9_ngram_jaccard_join": JACCARD, "op11_prefix_trie": TRIE}
+    return {"op5_substring_dedup": SUBSTRING, "op6_embedding_near_dedup": VECTORS, "op9_ngram_jaccard_join": JACCARD, "op11_prefix_trie": TRIE, "op12_secret_scan": SECRETS}
