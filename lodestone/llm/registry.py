@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import conversations, jaccard, language, lines, mixing, packing, quality, secrets, sharding, substring, urls, vectors
+from lodestone.llm import codebooks, conversations, jaccard, language, lines, mixing, packing, quality, secrets, sharding, substring, urls, vectors
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,7 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         for f in (
             packing.op1_mixture_packing, sharding.op2_minimax_sharding, quality.op3_quality_rules, language.op4_language_id, substring.op5_substring_dedup,
             vectors.op6_embedding_near_dedup, mixing.op7_mixing, urls.op8_url_filters, jaccard.op9_ngram_jaccard_join, lines.op10_line_dedup,
-            conversations.op11_prefix_trie, secrets.op12_secret_scan,
+            conversations.op11_prefix_trie, secrets.op12_secret_scan, codebooks.op13_vector_codes,
         )
     }
 
@@ -89,7 +89,24 @@ row AS (SELECT r, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER (WH
   string_agg(shown, ',' ORDER BY start, k) FILTER (WHERE k < 3) AS base, string_agg(shown, ',' ORDER BY start, k) AS spans FROM span GROUP BY r)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_github, 0) AS n_github, coalesce(n_npm, 0) AS n_npm FROM docs LEFT JOIN row USING (r)"""
 
+#: Assignments to the codebooks after k rounds, and the codebooks that follow.
+_ASSIGN = """at{k} AS MATERIALIZED (SELECT r, p, e, d FROM (SELECT piece.r, piece.p, book{k}.e, list_sum(list_transform(list_zip(piece.v, book{k}.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM piece JOIN book{k} USING (p)) QUALIFY row_number() OVER (PARTITION BY r, p ORDER BY d, e) = 1)"""
+_MOVE = """mean{n} AS (SELECT p, e, list(m ORDER BY i) AS v FROM (SELECT p, e, i, CAST(floor(CAST(sum(x) AS DOUBLE) / count(*)) AS BIGINT) AS m FROM (SELECT p, e, unnest(v) AS x, unnest(range(1, len(v) + 1)) AS i FROM piece JOIN at{k} USING (r, p)) GROUP BY p, e, i) GROUP BY p, e),
+book{n} AS MATERIALIZED (SELECT p, e, coalesce(mean{n}.v, book{k}.v) AS v FROM book{k} LEFT JOIN mean{n} USING (p, e))"""
+CODES = (
+    """WITH kept AS (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+piece AS MATERIALIZED (SELECT r, p, v[p * (len(v) // 8) + 1:(p + 1) * (len(v) // 8)] AS v FROM (SELECT r, v, unnest(range(0, 8)) AS p FROM kept)),
+book0 AS MATERIALIZED (SELECT p, r - 1 AS e, v FROM piece WHERE r <= 16),
+"""
+    + ",\n".join(_ASSIGN.format(k=k)+(",\n"+_MOVE.format(k=k,n=k+1) if k<6 else "") for k in range(7))
+    + """,
+code AS (SELECT r, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM at6 GROUP BY r),
+sha AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS s FROM book6)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, s AS codebooks_sha256 FROM kept JOIN code USING (r), sha"""
+)
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries whose result is exact whatever the method. The others follow from hashes, raking, trees or tokenizers, and are tested against brute force."""
-    return {"op5_substring_dedup": SUBSTRING, "op6_embedding_near_dedup": VECTORS, "op9_ngram_jaccard_join": JACCARD, "op11_prefix_trie": TRIE, "op12_secret_scan": SECRETS}
+    return {"op5_substring_dedup": SUBSTRING, "op6_embedding_near_dedup": VECTORS, "op9_ngram_jaccard_join": JACCARD, "op11_prefix_trie": TRIE, "op12_secret_scan": SECRETS, "op13_vector_codes": CODES}
