@@ -38,8 +38,8 @@ BLOCK_BYTES = 6_000_000
 #: Parts of a block, blocks that meet on the first level, and bytes of text for each bucket of the second.
 FAN, RANGE, BUCKET_BYTES = 64, 256, 1 << 23
 U, I = np.uint64, np.int64
-#: Parts of the written documents at most; more blocks share parts.
-MOST_PARTS = 50_000
+#: Blocks of a part of the written documents, and such parts at most; each is a file.
+PART_BLOCKS, MOST_PARTS = 4, 50_000
 
 
 class _Block:
@@ -190,7 +190,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, block_bytes: int = BLOCK_B
     blocks = max(1, -(-size // block_bytes))
     buckets = max(fan, -(-size // BUCKET_BYTES)) if blocks > span else 0
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", F.when(F.col("no_id"), F.col("text"))), F.lit(blocks)))
-    dealt = scratch.keep_by(dealt, "block", min(2 * blocks, MOST_PARTS), "dealt")
+    dealt = scratch.keep_by(dealt, "block", min(-(-blocks // PART_BLOCKS), MOST_PARTS), "dealt")
 
     def first_pass(key, table):
         return _dealt(key[0].as_py(), fan, span, np.unique(_Block(table, window, second=False).anchors()[1]))
