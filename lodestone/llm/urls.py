@@ -1,15 +1,13 @@
 """URL filter by host rules and, beyond these, by a path-template tree; DataFrame functions only.
 
 Paths become templates: a segment that varies (numbers, hexadecimal names, or in a node with very many children those
-without enough labels that do not differ from the others) turns into a wildcard, level by level and host by host. From
-the deepest level up, branches whose labelled purity does not differ significantly from their siblings' are merged. A
-branch is rejected when its purity, smoothed towards its host's and all hosts', falls below a part of that of all labels.
+without enough labels that do not differ from the others) turns into a wildcard, from the top and host by host. Branches
+whose labelled purity does not differ significantly from their siblings' are merged, at all levels. A branch is rejected when
+its purity, smoothed towards its host's and all hosts', falls below a part of that of all labels.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +18,8 @@ RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.
 #: Rare children of a node that stay apart, weight of the smoothing in labels, deviations that count as significant,
 #: and the part of the share of all good labels below which a branch is rejected.
 FANOUT, WEIGHT, SIMILAR, BELOW = 32, 10.0, 1.96, 0.85
+#: Rounds that wildcards may take; each needs another node with more than FANOUT children on one path.
+ROUNDS = 10_000
 #: Rows of the verdict table that are broadcast at most (some 100 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 50_000
 
@@ -61,59 +61,62 @@ def _apart(g: Column, m: Column, og: Column, om: Column, prior: float) -> Column
     return F.coalesce((m > 0) & (pooled > 0) & (pooled < 1) & (z > SIMILAR), F.lit(False))
 
 
-def _children(tree: DataFrame, level: int, prior: float) -> DataFrame:
-    """(host, head, child, labels, apart): the children of all nodes above ``level``, with sums over their subtrees.
+def _places(tree: DataFrame) -> DataFrame:
+    """(id, host, level, head, child, good, labelled): every shape at each of its levels; head is a digest of the template above.
 
-    Sums are combined before each shuffle; no node's children are gathered into a window.
+    A row a segment, with digests in place of paths, so that a path of very many segments costs its length, and no level a pass of its own.
     """
-    child = tree.groupBy("host", _head(level).alias("head"), F.get("template", F.lit(level - 1)).alias("child")).agg(F.sum("good").alias("g"), F.sum("labelled").alias("m"))
-    node = child.groupBy("host", "head").agg(F.sum("g").alias("pg"), F.sum("m").alias("pm"))
-    apart = _apart(F.col("g"), F.col("m"), F.col("pg") - F.col("g"), F.col("pm") - F.col("m"), prior)
-    return child.join(node, ["host", "head"]).select("host", "head", "child", F.col("m").alias("labels"), apart.alias("apart"))
+    digests = F.aggregate("template", F.array(F.md5("host")), lambda d, s: F.concat(d, F.array(F.md5(F.concat(F.element_at(d, -1), F.lit("/"), s)))))
+    each = tree.select("id", "host", "good", "labelled", digests.alias("heads"), "template").select("id", "host", "good", "labelled", F.posexplode(F.arrays_zip("heads", "template")).alias("at", "x"))
+    return each.where(F.col("x.template").isNotNull()).select("id", "host", (F.col("at") + 1).alias("level"), F.col("x.heads").alias("head"), F.col("x.template").alias("child"), "good", "labelled")
+
 
+def _children(places: DataFrame, prior: float) -> DataFrame:
+    """(level, head, child, labels, apart): the children of all nodes, with sums over their subtrees.
 
-def _head(level: int) -> Column:
-    return F.array_join(F.slice("template", 1, level - 1), "/") if level > 1 else F.lit("")
+    Sums are combined before each shuffle; no node's children are gathered into a window.
+    """
+    child = places.groupBy("level", "head", "child").agg(F.sum("good").alias("g"), F.sum("labelled").alias("m"))
+    node = child.groupBy("level", "head").agg(F.sum("g").alias("pg"), F.sum("m").alias("pm"))
+    apart = _apart(F.col("g"), F.col("m"), F.col("pg") - F.col("g"), F.col("pm") - F.col("m"), prior)
+    return child.join(node, ["level", "head"]).select("level", "head", "child", F.col("m").alias("labels"), apart.alias("apart"))
 
 
-def _renamed(tree: DataFrame, level: int, changed: DataFrame, name: str) -> DataFrame:
-    """``tree`` with ``name`` as the segment of ``level`` where (host, head, child) is in ``changed``."""
-    keyed = tree.withColumns({"head": _head(level), "child": F.get("template", F.lit(level - 1))})
-    keyed = keyed.join(changed.select("host", "head", "child", F.lit(True).alias("changed")), ["host", "head", "child"], "left")
-    new = F.transform("template", lambda s, i: F.when(i == level - 1, F.lit(name)).otherwise(s))
-    return keyed.withColumn("template", F.when(F.col("changed"), new).otherwise(F.col("template"))).select(*tree.columns)
+def _renamed(tree: DataFrame, levels: DataFrame, name: str) -> DataFrame:
+    """``tree`` with ``name`` as the segments of ``levels`` (id, levels)."""
+    new = F.transform("template", lambda s, i: F.when(F.array_contains(F.coalesce("levels", F.array().cast("array<int>")), i + 1), F.lit(name)).otherwise(s))
+    return tree.join(levels, "id", "left").withColumn("template", new).select(*tree.columns)
 
 
 def _tree(pages: DataFrame, prior: float, scratch: Scratch) -> DataFrame:
     """(host, shape, template, branch, good, labelled): shapes with their place in the tree, before and after merging.
 
-    Downwards, level by level, the rare children of a node that has more than FANOUT of them become one wildcard
-    ``*``; a child with WEIGHT labels, or one whose purity differs significantly from its siblings', keeps its name
-    at any number of children. Upwards, from the deepest level, children whose purity does not differ significantly
-    from that of their siblings together, without themselves, become one branch ``~``; so branches are compared at
-    every level, with sums over all that lies below them. Shapes leave the tree at their last segment.
+    Downwards, the rare children of a node that has more than FANOUT of them become one wildcard ``*``; a child with
+    WEIGHT labels, or one whose purity differs significantly from its siblings', keeps its name at any number of
+    children. A node can only be judged when those above it are: each round takes, in all paths at once, the first
+    node with too many, so there are as many rounds as a path has such nodes, however deep it is. Upwards, children whose purity
+    does not differ significantly from that of their siblings together, without themselves, become one branch ``~``, with
+    sums over all that lies below them; what is merged below a node does not change its sums, so all levels are compared in one pass.
     """
-    sums = pages.groupBy("host", "shape").agg(F.count("*").alias("n"), F.sum("good").alias("good"), F.sum("labelled").alias("labelled"))
-    tree = scratch.keep(sums.withColumn("template", F.col("shape")), "shapes")
-    ends, level = [], 0
-    while not tree.isEmpty():
-        level += 1
-        ends.append(tree.where(F.size("template") < level))
-        tree = tree.where(F.size("template") >= level)
-        child = _children(tree, level, prior).where((F.col("labels") < WEIGHT) & ~F.col("apart"))
-        wide = child.groupBy("host", "head").agg(F.count("*").alias("rest")).where(F.col("rest") > FANOUT)
-        tree = scratch.keep(_renamed(tree, level, child.join(wide, ["host", "head"], "left_semi"), "*"), f"down{level}")
-    ends = [e.withColumn("own", F.col("template")) for e in ends]
-    tree = None
-    for level in range(len(ends) - 1, 0, -1):
-        tree = ends[level] if tree is None else tree.unionByName(ends[level])
-        like = _children(tree, level, prior).where(~F.col("apart"))
-        several = like.groupBy("host", "head").agg(F.count("*").alias("n")).where("n > 1")
-        tree = scratch.keep(_renamed(tree, level, like.join(several, ["host", "head"], "left_semi"), "~"), f"up{level}")
-    every = [t for t in (tree, *ends[:1]) if t is not None]
-    if not every:
-        return sums.where("false").select("host", "shape", F.col("shape").alias("template"), F.col("shape").alias("branch"), "good", "labelled")
-    return reduce(DataFrame.unionByName, every).select("host", "shape", F.col("own").alias("template"), F.col("template").alias("branch"), "good", "labelled")
+    sums = pages.groupBy("host", "shape").agg(F.sum("good").alias("good"), F.sum("labelled").alias("labelled"))
+    tree = scratch.keep(sums.withColumns({"template": F.col("shape"), "id": F.monotonically_increasing_id()}), "shapes")
+    for k in range(ROUNDS):
+        places = scratch.keep(_places(tree), f"places{k}")
+        rare = scratch.keep(_children(places, prior).where((F.col("labels") < WEIGHT) & ~F.col("apart")).select("level", "head", "child"), f"rare{k}")
+        wide = scratch.keep(rare.groupBy("level", "head").agg(F.count("*").alias("n")).where(F.col("n") > FANOUT).select("level", "head"), f"wide{k}")
+        if wide.isEmpty():
+            break
+        first = places.join(wide, ["level", "head"]).groupBy("id").agg(F.min("level").alias("level"))
+        levels = places.join(first, ["id", "level"]).join(rare, ["level", "head", "child"], "left_semi").select("id", F.array("level").alias("levels"))
+        tree = scratch.keep(_renamed(tree, levels, "*"), f"tree{k}")
+    else:
+        raise RuntimeError(f"nodes with too many children are left after {ROUNDS} rounds")
+    like = scratch.keep(_children(places, prior).where(~F.col("apart")).select("level", "head", "child"), "like")
+    several = like.groupBy("level", "head").agg(F.count("*").alias("n")).where("n > 1").select("level", "head")
+    alike = like.join(several, ["level", "head"], "left_semi")
+    levels = places.join(alike, ["level", "head", "child"], "left_semi").groupBy("id").agg(F.collect_set("level").alias("levels"))
+    own = tree.select("id", F.col("template").alias("own"))
+    return _renamed(tree, levels, "~").join(own, "id").select("host", "shape", F.col("own").alias("template"), F.col("template").alias("branch"), "good", "labelled")
 
 
 def judge_urls(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
