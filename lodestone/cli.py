@@ -121,7 +121,7 @@ def _status(spark, workspace, store, args) -> list[str]:
     n = {r.kind: r["count"] for r in live.groupBy("kind").count().collect()}
     _, said = _records(spark, workspace, store, "", refresh=False)
     rows = [f"Workspace: {workspace.root}", f"Profile: {workspace.profile}", f"Memories: {store.table('memories').count()}"]
-    return rows + [f"{label}: {n.get(kind, 0)}" for label, kind in (("Invariants", "invariant"), ("Pending", "pending"), ("Open questions", "question"), ("Environment facts", "environment"))] + [f"Semantic: {said.describe()}", *watcher.status(workspace)]
+    return rows + [f"{label}: {n.get(kind, 0)}" for label, kind in (("Invariants", "invariant"), ("Pending", "pending"), ("Open questions", "question"), ("Environment facts", "environment"))] + [f"Semantic: {said.described}", *watcher.status(workspace)]
 
 
 def _remember(spark, workspace, store, args) -> list[str]:
@@ -146,12 +146,12 @@ def _timeline(spark, workspace, store, args) -> list[str]:
 
 def _preflight(spark, workspace, store, args) -> list[str]:
     source, said = _records(spark, workspace, store, args.task)
-    return [f"Retrieval: {said.retrieval_mode()}", *_listed(context.preflight(source), store)]
+    return [f"Retrieval: {said.retrieval}", *_listed(context.preflight(source), store)]
 
 
 def _guard(spark, workspace, store, args) -> list[str]:
     source, said = _records(spark, workspace, store, args.action)
-    return [f"Retrieval: {said.retrieval_mode()}", *_listed(context.guard(source), store)]
+    return [f"Retrieval: {said.retrieval}", *_listed(context.guard(source), store)]
 
 
 def _listed(rows, store) -> list[str]:
@@ -173,7 +173,7 @@ def _context(spark, workspace, store, args) -> list[str]:
     text = context.compiled(source, args.budget).first().text
     if args.command == "export":
         return [text]
-    return [f"Retrieval: {said.retrieval_mode()}", *text.split("\n")[1:]]
+    return [f"Retrieval: {said.retrieval}", *text.split("\n")[1:]]
 
 
 def _seed(spark, workspace, store, args) -> list[str]:
@@ -191,7 +191,7 @@ def _sources(spark, workspace, store, args) -> list[str]:
 def _semantic(spark, workspace, store, args) -> list[str]:
     pool = records.pool(store)
     vectors = encoder.VectorIndex(spark, str(workspace.folder / "vectors"), encoder.concepts(CONCEPTS)).setup(pool)
-    return [f"Semantic: {vectors.state(pool).describe()}"]
+    return [f"Semantic: {vectors.state(pool).described}"]
 
 
 COMMANDS = {

@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators.experience import upserted
+from lodestone.operators.experience import index_lines, upserted
+from lodestone.sources import log
 
 BATCH = 32
+# What keeps an index from being used, or from being whole.
 NOT_SET_UP, INCOMPLETE, OTHER_MODEL = "not set up", "the last index build did not finish", "the index was built with a different model"
 UNREADABLE, NOT_REFRESHED = "the index is unreadable", "the automatic refresh could not run"
-SETUP = "run: lodestone semantic-setup"
 
 
 class Encoder:
@@ -60,33 +62,36 @@ def concepts(words: tuple[str, ...]) -> Encoder:
 
 
 class VectorIndex:
-    """Vectors (entity_type, entity_id, v) below a folder, and a note of the model and of whether a build has ended."""
+    """Vectors (entity_type, entity_id, v) below a folder, in generations.
+
+    ``generations/<n>`` says of which model and folders generation n is, and whether its build has ended; it appears whole, and
+    one of several writers makes it. Readers have the last one, whatever is written meanwhile. A fault in reading or refreshing
+    never ends a search: the index is then empty or as it was, and its state says why.
+    """
 
     def __init__(self, spark: SparkSession, root: str, encoder: Encoder):
         self.spark, self.root, self.encoder = spark, root.rstrip("/"), encoder
+        self.fault: str | None = None  # what an attempt to refresh or read met
 
-    def _fs(self, name: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def _note(self, **data) -> None:
-        p, fs = self._fs("meta.json")
-        out = fs.create(p, True)
-        out.write(bytearray(json.dumps(data).encode()))
-        out.close()
+    def _last(self) -> int:
+        return max((int(n) for n in log.names(self.spark, f"{self.root}/generations") if n.isdigit()), default=-1)
 
     def meta(self) -> dict | None:
-        p, fs = self._fs("meta.json")
-        if not fs.exists(p):
-            return None
-        return json.loads("".join(r.value for r in self.spark.read.text(f"{self.root}/meta.json").collect()))  # one line
+        n = self._last()
+        return None if n < 0 else json.loads(log.text_of(self.spark, f"{self.root}/generations/{n}"))
+
+    def _publish(self, after: int, **data) -> bool:
+        return log.publish(self.spark, f"{self.root}/generations/{after + 1}", json.dumps(data))
 
     def setup(self, pool: DataFrame) -> VectorIndex:
         """Build the index of all records of the pool anew; a build that breaks off leaves it unavailable, never half read."""
-        build = (self.meta() or {}).get("build", -1) + 1
-        self._note(model=self.encoder.name, size=self.encoder.size, build=build, ready=False)
-        self.encoder.vectors(pool).write.mode("overwrite").parquet(f"{self.root}/build={build}/part=0")
-        self._note(model=self.encoder.name, size=self.encoder.size, build=build, ready=True, parts=1)
+        own = {"model": self.encoder.name, "size": self.encoder.size}
+        self._publish(self._last(), **own, ready=False, parts=[])
+        part = f"part={uuid.uuid4().hex}"
+        self.encoder.vectors(pool).write.parquet(f"{self.root}/{part}")
+        while not self._publish(self._last(), **own, ready=True, parts=[part]):
+            pass  # a refresh or another build came first; this one is whole and later
+        self.fault = None
         return self
 
     def _broken(self, meta: dict | None) -> str | None:
@@ -96,61 +101,59 @@ class VectorIndex:
             return INCOMPLETE
         return OTHER_MODEL if meta["model"] != self.encoder.name or meta["size"] != self.encoder.size else None
 
+    def _read(self, meta: dict) -> DataFrame:
+        return self.spark.read.schema("entity_type string, entity_id string, v array<float>").parquet(*[f"{self.root}/{p}" for p in meta["parts"]])
+
     def stored(self) -> DataFrame:
-        """The vectors of a whole build by the present model; empty where there is none."""
+        """The vectors of a whole build by the present model; empty where there is none or it can't be read."""
         meta = self.meta()
-        if self._broken(meta):
+        if self._broken(meta) or self.fault == UNREADABLE:
             return self.spark.createDataFrame([], "entity_type string, entity_id string, v array<float>")
-        return self.spark.read.parquet(*[f"{self.root}/build={meta['build']}/part={n}" for n in range(meta["parts"])])
+        try:
+            return self._read(meta)
+        except Exception:  # a folder that is gone
+            self.fault = UNREADABLE
+            return self.stored()
 
     def refresh(self, pool: DataFrame) -> int:
-        """Encode the records that have no vector yet; returns how many."""
-        meta = self.meta()
+        """Encode the records that have no vector yet; returns how many. A fault leaves the index as it was."""
+        n, meta = self._last(), self.meta()
         if self._broken(meta):
             return 0
-        missing = pool.join(self.stored().select("entity_type", "entity_id"), ["entity_type", "entity_id"], "left_anti")
-        path = f"{self.root}/build={meta['build']}/part={meta['parts']}"
-        self.encoder.vectors(missing).write.mode("overwrite").parquet(path)
-        added = self.spark.read.parquet(path).count()
-        if added:
-            self._note(**{**meta, "parts": meta["parts"] + 1})
-        return added
+        part = f"part={uuid.uuid4().hex}"
+        try:
+            self._read(meta).agg(F.sum(F.size("v"))).first()
+        except Exception:
+            self.fault = UNREADABLE
+            return 0
+        try:
+            missing = pool.join(self._read(meta).select("entity_type", "entity_id"), ["entity_type", "entity_id"], "left_anti")
+            self.encoder.vectors(missing).write.parquet(f"{self.root}/{part}")
+            added = self.spark.read.parquet(f"{self.root}/{part}").count()
+        except Exception:
+            self.fault = NOT_REFRESHED
+            log.delete(self.spark, f"{self.root}/{part}")
+            return 0
+        if added and self._publish(n, **{**meta, "parts": [*meta["parts"], part]}):
+            return added
+        log.delete(self.spark, f"{self.root}/{part}")  # nothing is missing, or another refresh came first
+        return 0
 
     def upsert(self, vectors: DataFrame, order: str) -> DataFrame:
         """Stored vectors with new ones (entity_type, entity_id, v, order) in their place."""
         return upserted(self.stored().withColumn(order, F.lit(None).cast(dict(vectors.dtypes)[order])), vectors, ["entity_type", "entity_id"], order).drop(order)
 
-    def state(self, pool: DataFrame, refreshed: int = 0) -> State:
+    def state(self, pool: DataFrame, refreshed: int = 0) -> Row:
+        """The row (status, detail, missing, indexed, refreshed, described, retrieval): what the index can do now, with a line for a
+        status and one for a result."""
         meta = self.meta()
-        broken = self._broken(meta)
-        if broken:
-            return State("disabled" if meta is None else "unavailable", broken, 0, 0, refreshed)
+        broken = self._broken(meta) or (UNREADABLE if self.fault == UNREADABLE else None)
         have = self.stored().select("entity_type", "entity_id").distinct()
-        missing = pool.join(have, ["entity_type", "entity_id"], "left_anti").count()
-        return State("stale" if missing else "ready", NOT_REFRESHED if missing else None, missing, have.count(), refreshed)
-
-
-class State:
-    """What a vector index can do now, in one line for a status and one for a result."""
-
-    def __init__(self, status: str, detail: str | None, missing: int, indexed: int, refreshed: int = 0):
-        self.status, self.detail, self.missing, self.indexed, self.refreshed = status, detail, missing, indexed, refreshed
-
-    def remedy(self) -> str:
-        return f"delete the index, then {SETUP}" if self.detail == UNREADABLE else SETUP
-
-    def describe(self) -> str:
-        if self.status == "ready":
-            return f"ready ({self.indexed} indexed)"
-        if self.status == "stale":
-            return f"stale ({self.missing} of {self.indexed + self.missing} not indexed; refreshed automatically on next preflight)"
-        return f"{self.status} ({self.detail}; {self.remedy()})"
-
-    def retrieval_mode(self) -> str:
-        if self.status == "disabled":
-            return f"lexical only -- semantic retrieval is {self.detail} ({self.remedy()})"
-        if self.status == "unavailable":
-            return f"lexical only -- semantic retrieval is unavailable: {self.detail} ({self.remedy()})"
-        if self.status == "stale":
-            return f"semantic + lexical -- DEGRADED: {self.missing} record(s) not indexed ({self.detail}; {self.remedy()})"
-        return f"semantic + lexical (refreshed {self.refreshed})" if self.refreshed else "semantic + lexical"
+        missing = pool.join(have, ["entity_type", "entity_id"], "left_anti")
+        rows = missing.agg(F.count("*").alias("missing")).withColumn("indexed", have.agg(F.count("*").alias("n")).scalar())
+        if broken:
+            rows = rows.select(F.lit("disabled" if meta is None else "unavailable").alias("status"), F.lit(broken).alias("detail"), F.lit(0).cast("long").alias("missing"), F.lit(0).cast("long").alias("indexed"))
+        else:
+            short = F.col("missing") > 0
+            rows = rows.select(F.when(short, "stale").otherwise("ready").alias("status"), F.when(short, NOT_REFRESHED).alias("detail"), "missing", "indexed")
+        return index_lines(rows.withColumn("refreshed", F.lit(refreshed).cast("long"))).first()

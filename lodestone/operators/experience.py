@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators import semantic
@@ -116,6 +116,33 @@ def upserted(stored: DataFrame, new: DataFrame, key: list[str], order: str) -> D
     return stored.join(last.select(*key), key, "left_anti").unionByName(last.select(*stored.columns))
 
 
+# What a status and a result say of an index, by its state; and what helps.
+INDEX_LINES = {
+    "ready": ("ready ({indexed} indexed)", "semantic + lexical{fresh}"),
+    "stale": ("stale ({missing} of {total} not indexed; refreshed automatically on next preflight)", "semantic + lexical -- DEGRADED: {missing} record(s) not indexed ({detail}; {remedy})"),
+    "disabled": ("disabled ({detail}; {remedy})", "lexical only -- semantic retrieval is {detail} ({remedy})"),
+    "unavailable": ("unavailable ({detail}; {remedy})", "lexical only -- semantic retrieval is unavailable: {detail} ({remedy})"),
+}
+REMEDY, REMEDIES = "run: lodestone semantic-setup", {"the index is unreadable": "delete the index, then run: lodestone semantic-setup"}
+FRESH = " (refreshed {refreshed})"
+
+
+def index_lines(states: DataFrame) -> DataFrame:
+    """``states`` (status, detail, missing, indexed, refreshed) with described and retrieval, their lines for a status and a result."""
+    pick = lambda table, key, default=None: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key), *([F.lit(default)] if default else []))
+    values = {
+        "fresh": F.when(F.col("refreshed") > 0, F.lit(FRESH)).otherwise(F.lit("")), "detail": F.coalesce("detail", F.lit("")), "remedy": pick(REMEDIES, F.coalesce("detail", F.lit("")), REMEDY),
+        "total": (F.col("indexed") + F.col("missing")).cast("string"), **{c: F.col(c).cast("string") for c in ("missing", "indexed", "refreshed")},
+    }
+
+    def filled(template: Column) -> Column:
+        for name, value in values.items():
+            template = F.replace(template, F.lit(f"{{{name}}}"), value)
+        return template
+
+    return states.withColumns({name: filled(pick({k: v[i] for k, v in INDEX_LINES.items()}, F.col("status"))) for i, name in enumerate(("described", "retrieval"))})
+
+
 def index_state(pool: DataFrame, vectors: DataFrame, enabled: bool, model: str, built_with: str | None, complete: bool) -> DataFrame:
     """One row (state, detail, missing): disabled, unavailable, stale or ready, and how many records have no vector yet."""
     missing = pool.join(vectors.select("entity_type", "entity_id"), ["entity_type", "entity_id"], "left_anti").agg(F.count("*").alias("missing"))

@@ -1,76 +1,114 @@
-"""The stored search index: postings in token order, document lengths and term totals, by batch of records."""
+"""The stored search index: postings in token order, document lengths and block bounds, by batch of records.
+
+Ranking reads what can matter. A block is what a token has in a band of document lengths; of each the index knows how
+many postings it has and what the largest of their scores can be. The full scores of a query's most promising records, found by
+its rarest tokens, give a threshold; in every band the blocks that together stay below it are not read, as a record
+that has only these can't be among the best.
+"""
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.sources import log, scratch
 
 K1, B, FTS_CAP = 1.2, 0.75, 200
+#: Postings that a query's rarest tokens may have, in multiples of the records asked for, and records scored for the threshold.
+SEED_POSTINGS, SEED_RECORDS = 10, 2
+#: Pairs of postings and query tokens up to which all are joined: below it, bounds cost more than they save.
+DIRECT_PAIRS = 1 << 25
+#: Scores are rounded to six places: a record this far below a threshold may still tie with it.
+ROUNDED = 1e-6
 
 
 class Index:
-    """An index of records (id, text) below a folder; each batch that was appended is a partition of its tables.
+    """An index of records (id, text) below a folder, in batches.
 
-    ``postings`` (token, id, tf, dl, dn) stand in the order of their tokens, so that a read for a few tokens skips
-    most row groups, and a token of very many records still spreads over files. ``forward`` (id, dl, dn, tfs) holds the
-    same by record, and ``terms`` (token, df, cf) by token, so that no query counts the corpus again.
+    ``postings`` (token, band, id, tf, dl, dn) stand in the order of their tokens and bands, so that a read for a few
+    blocks skips most row groups, and a token of very many records still spreads over files. ``forward`` (id, dl, dn, tokens, tfs)
+    holds the same by record. ``terms`` (token, band, n, cf, tf, dl) has a row a block: its postings, their occurrences,
+    the largest tf and the smallest dl. A batch's rows lie in a folder of their own and count once ``applied/<first>``
+    names it, which only one of several writers can make: it says that the batches or commits from ``first`` to the one it names are in.
     """
 
     def __init__(self, spark: SparkSession, root: str, id_type: str = "long"):
         self.spark, self.root = spark, root.rstrip("/")
         self.schemas = {
-            "postings": f"token string, id {id_type}, tf long, dl int, dn int, batch int",
-            "forward": f"id {id_type}, dl int, dn int, tfs array<struct<token string, tf long>>, batch int", "terms": "token string, df long, cf long, batch int",
+            "postings": f"token string, band int, id {id_type}, tf long, dl int, dn int",
+            "forward": f"id {id_type}, dl int, dn int, tokens array<string>, tfs array<long>",
+            "terms": "token string, band int, n long, cf long, tf long, dl int",
         }
 
-    def _path(self, table: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}")
-        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+    def _applied(self) -> list[tuple[int, str | None]]:
+        """(last number, folder, None where it has no rows) of the batches, in order."""
+        there, out, at = set(log.names(self.spark, f"{self.root}/applied")), [], 0
+        while str(at) in there:
+            entry = json.loads(log.text_of(self.spark, f"{self.root}/applied/{at}"))
+            out.append((entry["to"], entry["folder"]))
+            at = entry["to"] + 1
+        return out
+
+    def batches(self) -> list[int]:
+        return [to for to, _ in self._applied()]
+
+    def watermark(self) -> int:
+        """The last number that is in, -1 where none is."""
+        return self.batches()[-1] if self.batches() else -1
 
     def table(self, table: str) -> DataFrame:
         """All batches of a table; one that was never written is empty."""
-        p, fs = self._path(table)
-        if not fs.exists(p):
-            return self.spark.createDataFrame([], self.schemas[table]).drop("batch")
-        return self.spark.read.schema(self.schemas[table]).parquet(f"{self.root}/{table}").drop("batch")
-
-    def batches(self) -> list[int]:
-        p, fs = self._path("forward")
-        found = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
-        return sorted(int(x.removeprefix("batch=")) for x in found if x.startswith("batch="))
+        paths = [f"{self.root}/{table}/{folder}" for _, folder in self._applied() if folder]
+        if not paths:
+            return self.spark.createDataFrame([], self.schemas[table])
+        return self.spark.read.schema(self.schemas[table]).parquet(*paths)
 
     def append(self, records: DataFrame) -> Index:
         """Index the records (id, text) whose id no batch holds, as a batch of their own; repeated ids count once."""
         own = records.dropDuplicates(["id"]).select("id", "text")
-        if done := self.batches():
+        if self.batches():
             own = own.join(self.table("forward").select("id"), "id", "left_anti")
-        at = done[-1] + 1 if done else 0
-        write = lambda df, table: df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{table}/batch={at}")
-        part = f"{self.root}/part/batch={at}"
-        tfs = own.select("id", T.counted(T.all_tokens(F.col("text"))).alias("tfs"))
-        tfs.select("id", F.aggregate("tfs", F.lit(0), lambda n, x: n + x.tf.cast("int")).alias("dl"), F.size("tfs").alias("dn"), "tfs").write.mode("overwrite").option("compression", "zstd").parquet(part)
-        stored = self.spark.read.parquet(part)  # texts are tokenised once, whatever reads their tokens next
-        posted = stored.select("id", "dl", "dn", F.explode("tfs").alias("x")).select("x.token", "id", "x.tf", "dl", "dn")
-        write(posted.repartitionByRange("token", "id").sortWithinPartitions("token", "id"), "postings")
-        write(posted.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")), "terms")
-        p, fs = self._path("part")
-        to, _ = self._path("forward")
-        fs.mkdirs(to)
-        fs.rename(self._path(f"part/batch={at}")[0], self._path(f"forward/batch={at}")[0])  # the last one: a batch counts from here
+        at = self.watermark() + 1
+        if not self.apply(own, at, at):
+            raise RuntimeError(f"another writer has added batch {at}")
         return self
 
-    def rebuild(self, records: DataFrame) -> Index:
-        """The index of these records and no others."""
+    def apply(self, records: DataFrame, first: int, last: int) -> bool:
+        """Index records (id, text) of the numbers ``first`` to ``last``, each id once; False where another writer was faster."""
+        folder = f"part={uuid.uuid4().hex}"
+        write = lambda df, table: df.select(*self.spark.createDataFrame([], self.schemas[table]).columns).write.option("compression", "zstd").parquet(f"{self.root}/{table}/{folder}")
+        tfs = records.select("id", T.counted(T.all_tokens(F.col("text"))).alias("x"))
+        size = F.aggregate("x", F.lit(0), lambda n, x: n + x.tf.cast("int"))
+        write(tfs.select("id", size.alias("dl"), F.size("x").alias("dn"), F.transform("x", lambda x: x.token).alias("tokens"), F.transform("x", lambda x: x.tf).alias("tfs")), "forward")
+        stored = self.spark.read.schema(self.schemas["forward"]).parquet(f"{self.root}/forward/{folder}")  # texts are tokenised once, whatever reads their tokens next
+        posted = stored.select("id", "dl", "dn", band(F.col("dl")).alias("band"), F.explode(F.arrays_zip("tokens", "tfs")).alias("x")).select(F.col("x.tokens").alias("token"), "band", "id", F.col("x.tfs").alias("tf"), "dl", "dn")
+        by = ["token", "band", "id"]
+        write(posted.repartitionByRange(*by).sortWithinPartitions(*by), "postings")
+        write(posted.groupBy("token", "band").agg(F.count("*").alias("n"), F.sum("tf").alias("cf"), F.max("tf").alias("tf"), F.min("dl").alias("dl")), "terms")
+        if log.publish(self.spark, f"{self.root}/applied/{first}", json.dumps({"to": last, "folder": folder})):
+            return True
         for table in self.schemas:
-            p, fs = self._path(table)
-            fs.delete(p, True)
-        return self.append(records)
+            log.delete(self.spark, f"{self.root}/{table}/{folder}")
+        return False
+
+    def skip(self, first: int, last: int) -> bool:
+        """Note that the numbers ``first`` to ``last`` have no records for this index."""
+        return log.publish(self.spark, f"{self.root}/applied/{first}", json.dumps({"to": last, "folder": None}))
+
+    def rebuild(self, records: DataFrame, last: int = 0) -> Index:
+        """The index of these records and no others, up to the number ``last``."""
+        for table in ("applied", *self.schemas):
+            log.delete(self.spark, f"{self.root}/{table}")
+        self.apply(records.dropDuplicates(["id"]).select("id", "text"), 0, last)
+        return self
 
     def terms(self) -> DataFrame:
         """(token, df, cf) over all batches."""
-        return self.table("terms").groupBy("token").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+        return self.table("terms").groupBy("token").agg(F.sum("n").alias("df"), F.sum("cf").alias("cf"))
 
     def totals(self) -> Column:
         """The struct (n, avgdl), a scalar of any plan."""
@@ -78,6 +116,11 @@ class Index:
         return self.table("forward").agg(F.struct(F.count("*").alias("n"), F.when(mean > 0, mean).otherwise(1.0).alias("avgdl")).alias("t")).scalar()
 
 
+def band(dl: Column) -> Column:
+    """Bands of document lengths; a band's lengths differ by a factor of 1.4 at most."""
+    return F.floor(2 * F.log2(dl + F.lit(1.0))).cast("int")
+
+
 def query_tokens(df: DataFrame, key: str, text: Column) -> DataFrame:
     """(q, qn, token): one row a distinct token, with the size of the set."""
     sized = df.select(F.col(key).alias("q"), T.tokens(text).alias("__t")).select("q", F.size("__t").alias("qn"), "__t")  # below the generator: else every row carries the array
@@ -110,39 +153,89 @@ def lexical(queries: DataFrame, index: Index) -> DataFrame:
     return both.where(F.col("shared") >= T.majority(F.col("qn")))
 
 
-def scored(queries: DataFrame, index: Index) -> DataFrame:
-    """(q, id, qn, dn, score, shared) by BM25 of every pair that shares a token; scores to six places."""
+def _weights(queries: DataFrame, index: Index) -> DataFrame:
+    """(q, qn, token, df, idf, avgdl) of the query tokens that the index has."""
     wanted = queries.join(index.terms().select("token", "df"), "token").withColumn("t", index.totals())
     idf = F.greatest(F.log((F.col("t.n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    wanted = wanted.select("q", "qn", "token", idf.alias("idf"), F.col("t.avgdl").alias("avgdl"))
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return index.table("postings").join(wanted, "token").groupBy("q", "id", "qn", "dn").agg(F.round(F.sum(part), 6).alias("score"), F.count("*").alias("shared"))
+    return wanted.select("q", "qn", "token", "df", idf.alias("idf"), F.col("t.avgdl").alias("avgdl"))
 
 
-def first(pairs: DataFrame, cap: int = FTS_CAP) -> DataFrame:
-    """``scored`` pairs with rank, the best of every query; ties by id."""
-    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= cap)
+def _part(idf: Column, tf: Column, dl: Column, avgdl: Column) -> Column:
+    """What a token adds to the score of a record."""
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
-def ranked(queries: DataFrame, index: Index, cap: int = FTS_CAP) -> DataFrame:
-    """(q, id, qn, dn, score, shared, rank): the best records of every query by BM25."""
-    return first(scored(queries, index), cap)
+def _own() -> Column:
+    return _part(F.col("idf"), F.col("tf"), F.col("dl"), F.col("avgdl"))
 
 
-def reached(best: DataFrame) -> DataFrame:
-    """(q, id, shared): of the best pairs, those that reach the symmetric threshold."""
-    return best.where(F.col("shared") >= T.symmetric_threshold(F.col("qn"), F.col("dn"))).select("q", "id", "shared")
+def scored(queries: DataFrame, index: Index) -> DataFrame:
+    """(q, id, qn, dn, score, shared) by BM25 of every pair that shares a token; scores to six places. ``ranked`` gives the best without making all pairs."""
+    return _all(_weights(queries, index), index)
+
+
+def _all(weights: DataFrame, index: Index) -> DataFrame:
+    pairs = index.table("postings").join(weights, "token")
+    return pairs.groupBy("q", "id", "qn", "dn").agg(F.round(F.sum(_own()), 6).alias("score"), F.count("*").alias("shared"))
+
+
+def _whole(pairs: DataFrame, weights: DataFrame, index: Index) -> DataFrame:
+    """(q, id, qn, dn, score, shared) of pairs (q, id), from the records' own tokens: a row a pair, none a token."""
+    asked = weights.groupBy("q", "qn", "avgdl").agg(F.collect_list(F.struct("token", "idf")).alias("w"))
+    asked = asked.select("q", "qn", "avgdl", F.transform("w", lambda x: x.token).alias("words"), F.transform("w", lambda x: x.idf).alias("idfs"))
+    rows = pairs.select("q", "id").join(asked, "q").join(index.table("forward"), "id").withColumn("hits", F.array_intersect("tokens", "words"))
+    value = lambda of, names, h: F.element_at(F.col(of), F.array_position(F.col(names), h).cast("int"))
+    score = F.aggregate("hits", F.lit(0.0), lambda s, h: s + _part(value("idfs", "words", h), value("tfs", "tokens", h), F.col("dl"), F.col("avgdl")))
+    return rows.select("q", "id", "qn", "dn", F.round(score, 6).alias("score"), F.size("hits").cast("long").alias("shared"))
+
+
+def _threshold(weights: DataFrame, index: Index, cap: int) -> DataFrame:
+    """(q, least): a score that the last of a query's ``cap`` best records reaches, for queries where one is known.
+
+    The records of a query's rarest tokens are scored by these alone, the first of them in full; the best can only be better.
+    """
+    so_far = F.sum("df").over(Window.partitionBy("q").orderBy("df", "token").rowsBetween(Window.unboundedPreceding, 0))
+    rare = weights.withColumn("so_far", so_far).where(F.col("so_far") <= SEED_POSTINGS * cap)
+    seeds = index.table("postings").select("token", "id", "tf", "dl").join(rare, "token").groupBy("q", "id").agg(F.sum(_own()).alias("part"))
+    some = seeds.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("part"), "id"))).where(F.col("r") <= SEED_RECORDS * cap)
+    whole = _whole(some, weights, index)
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))
+    return whole.withColumn("place", place).where(F.col("place") == cap).select("q", F.col("score").alias("least"))
+
+
+def _open(weights: DataFrame, index: Index, least: DataFrame) -> DataFrame:
+    """(q, token, band, idf, avgdl, shut, least): the blocks that a query must read, and the most that a record of that band can have in others.
+
+    In each band blocks are shut, those of the most postings for what they may add first, while they stay below the threshold together.
+    """
+    blocks = index.table("terms").groupBy("token", "band").agg(F.sum("n").alias("n"), F.max("tf").alias("tf"), F.min("dl").alias("dl"))
+    bounds = blocks.join(weights, "token").join(least, "q", "left").withColumn("most", _own())
+    order = Window.partitionBy("q", "band").orderBy(F.col("most") / F.col("n"), "token")
+    bounds = bounds.withColumn("sum", F.sum("most").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    bounds = bounds.withColumn("is_shut", F.coalesce(F.col("sum") < F.col("least") - 2 * ROUNDED, F.lit(False)))
+    shut = F.max(F.when(F.col("is_shut"), F.col("sum"))).over(Window.partitionBy("q", "band"))
+    return bounds.withColumn("shut", F.coalesce(shut, F.lit(0.0))).where("not is_shut").select("q", "token", "band", "idf", "avgdl", "shut", "least")
+
+
+def ranked(queries: DataFrame, index: Index, cap: int = FTS_CAP) -> DataFrame:
+    """(q, id, qn, dn, score, shared, rank): the best records of every query by BM25, ties by id; the same rows as all of ``scored`` give."""
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))
+    weights = scratch.keep(_weights(queries, index), "weights")
+    if (weights.agg(F.sum("df")).first()[0] or 0) <= DIRECT_PAIRS:
+        return _all(weights, index).withColumn("rank", rank).where(F.col("rank") <= cap)
+    least = scratch.keep(_threshold(weights, index, cap), "least")
+    found = index.table("postings").select("token", "band", "id", "tf", "dl").join(_open(weights, index, least), ["token", "band"])
+    found = found.groupBy("q", "id").agg(F.sum(_own()).alias("part"), F.max("shut").alias("shut"), F.max("least").alias("least"))
+    found = found.where(F.col("least").isNull() | (F.col("part") + F.col("shut") >= F.col("least") - 2 * ROUNDED))
+    return _whole(found, weights, index).withColumn("rank", rank).where(F.col("rank") <= cap)
 
 
 def full_text(queries: DataFrame, index: Index) -> DataFrame:
     """(q, id, shared): of the FTS_CAP best, those that reach the symmetric threshold."""
-    return reached(ranked(queries, index))
+    best = ranked(queries, index)
+    return best.where(F.col("shared") >= T.symmetric_threshold(F.col("qn"), F.col("dn"))).select("q", "id", "shared")
 
 
 def words_and_full_text(queries: DataFrame, index: Index) -> tuple[DataFrame, DataFrame]:
-    """(q, id) of the words channel and of the full-text channel, from one pass over the postings: both branches name all
-    columns of ``scored``, so that they share its shuffle."""
-    pairs = scored(queries, index)
-    words = pairs.where((F.col("shared") >= T.majority(F.col("qn"))) & F.col("score").isNotNull() & (F.col("dn") > 0))
-    return words.select("q", "id"), reached(first(pairs)).select("q", "id")
+    """(q, id) of the words channel, from the rarest tokens of each query, and of the full-text channel."""
+    return lexical(queries, index).select("q", "id"), full_text(queries, index).select("q", "id")

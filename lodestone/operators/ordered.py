@@ -12,6 +12,15 @@ from pyspark.sql import functions as F
 from lodestone.sources import scratch
 
 
+#: Rows of a key up to which one task takes them all.
+ORDINARY = 1 << 20
+
+
+def ordinary(df: DataFrame, key: str) -> bool:
+    """Whether every value of ``key`` has few enough rows for a window of its own; counts are combined before the shuffle."""
+    return df.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > ORDINARY).isEmpty()
+
+
 class Ranges:
     """The rows of a DataFrame in the order of ``by``, dealt into ranges of near size whatever their keys."""
 

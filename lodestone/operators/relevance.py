@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as T
 from lodestone.operators import experience, index, semantic
 from lodestone.operators.index import Index
+from lodestone.operators.ordered import Ranges, ordinary
 from lodestone.operators.state import VALIDATION
+from lodestone.sources import scratch
 
 
 def admitted(tokens: DataFrame, records: Index, by_vector: DataFrame) -> DataFrame:
@@ -76,8 +78,14 @@ def first_seen(*sources: DataFrame) -> DataFrame:
 
 def validation(verified_lessons: DataFrame, successes: DataFrame, evidence: DataFrame) -> DataFrame:
     """(q, evidence_id, p): evidence that validates, of verified lessons and then of successes, each (q, place, position, evidence_id)."""
-    good = evidence.where(F.col("kind").isin(*VALIDATION)).select("evidence_id")
-    return first_seen(verified_lessons, successes).join(good, "evidence_id", "left_semi")
+    return validating(first_seen(verified_lessons, successes), evidence)
+
+
+def validating(cited: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Rows of ``cited`` (q, evidence_id, p) whose evidence validates; one whose evidence is missing stops the read."""
+    kinds = cited.join(evidence.select("evidence_id", F.col("kind").alias("__kind")), "evidence_id", "left")
+    missing = F.raise_error(F.concat(F.lit("missing evidence "), F.col("evidence_id").cast("string"))).cast("string")
+    return kinds.where(F.coalesce("__kind", missing).isin(*VALIDATION)).select("q", "evidence_id", "p")
 
 
 def conflicts(open_: DataFrame, relevant: DataFrame) -> DataFrame:
@@ -110,6 +118,18 @@ def ordered_evidence(hits: DataFrame, by_vector: DataFrame) -> DataFrame:
     """``hits`` with score, similarity and pos, their order for each task; by_vector: (q, id, score) of admitted documents."""
     scored = hits.withColumn("score", T.weighted_overlap(F.col("shared"), F.col("intent"))).join(by_vector.select("q", F.col("id").alias("d"), F.col("score").alias("similarity")), ["q", "d"], "left")
     scored = scored.withColumn("semantic", F.col("similarity").isNotNull()).withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
-    order = Window.partitionBy("q").orderBy(F.desc("score"), F.desc("similarity"), "source", "d", "i")
-    return scored.withColumn("pos", F.row_number().over(order))
+    return placed(scratch.keep(scored, "scored"))
+
 
+def placed(scored: DataFrame) -> DataFrame:
+    """``scored`` (q, score, similarity, source, d, i) with pos, the place among a query's rows.
+
+    A query with very many rows spreads over ranges of the order, so no task ranks all chunks of one.
+    """
+    if ordinary(scored, "q"):
+        return scored.withColumn("pos", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), F.desc("similarity"), "source", "d", "i")))
+    rows = scored.withColumns({"__score": -F.col("score"), "__similarity": -F.col("similarity")})
+    ranges = Ranges(rows, ["q", "__score", "__similarity", "source", "d", "i"]).previous(["q"], "__before").running(F.lit(1), "sum", "__row")
+    first = F.col("__before").isNull() | (F.col("__before.q") != F.col("q"))
+    out = ranges.running(F.when(first, F.col("__row")), "max", "__start").table()
+    return out.withColumn("pos", (F.col("__row") - F.col("__start") + 1).cast("int")).select(*scored.columns, "pos")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.operators.ordered import Ranges
+from lodestone.operators.ordered import Ranges, ordinary
 
 # Evidence that lets a memory count as verified, and evidence that a task is told to repeat.
 QUALIFYING = ("test_result", "command_output", "tool_output", "user_confirmation")
@@ -31,10 +31,12 @@ def of_kind(memories: DataFrame, kind: str, kinds: tuple[str, ...]) -> DataFrame
 
 
 def open_conflicts(conflicts: DataFrame, memories: DataFrame) -> DataFrame:
-    """Conflicts of which both memories are current."""
-    live = current(memories).select("memory_id")
-    out = conflicts.join(live, F.col("a") == F.col("memory_id"), "left_semi")
-    return out.join(live, F.col("b") == F.col("memory_id"), "left_semi")
+    """Conflicts of which both memories are current; one whose memory is missing stops the read."""
+    known, out = with_status(memories).select("memory_id", "is_current"), conflicts
+    for side in ("a", "b"):
+        missing = F.raise_error(F.concat(F.lit("missing memory "), F.col(side))).cast("boolean")
+        out = out.join(known.toDF(side, "__current"), side, "left").where(F.coalesce("__current", missing)).select(*conflicts.columns)
+    return out
 
 
 def upsert_conflicts(declared: DataFrame, stored: DataFrame) -> DataFrame:
@@ -90,7 +92,13 @@ def changes(observations: DataFrame) -> DataFrame:
 
     A path with very many observations spreads over ranges of seq.
     """
-    out = Ranges(observations, ["path", "seq"]).previous(["path", "digest"], "__before_it").table()
+    if ordinary(observations, "path"):
+        before = F.lag(F.struct("path", "digest")).over(Window.partitionBy("path").orderBy("seq"))
+        return _changed(observations.withColumn("__before_it", before))
+    return _changed(Ranges(observations, ["path", "seq"]).previous(["path", "digest"], "__before_it").table())
+
+
+def _changed(out: DataFrame) -> DataFrame:
     first = F.col("__before_it").isNull() | ~F.col("__before_it.path").eqNullSafe(F.col("path"))
     status = F.when(first, "added").when(~F.col("__before_it.digest").eqNullSafe(F.col("digest")), "changed").otherwise("unchanged")
     return out.withColumn("status", status).drop("__before_it")

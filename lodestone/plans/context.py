@@ -143,7 +143,7 @@ class Context:
         listed = F.transform(F.array_sort(F.collect_list(F.struct("seq", "attempt_id"))), lambda x: self.name("attempt", x.attempt_id))
         self.cited = self.absorbed.groupBy("q", "memory_id").agg(listed.alias("cited"))
         self.alone = failed.join(self.absorbed.select("q", "attempt_id"), ["q", "attempt_id"], "left_anti").select("q", "attempt_id", "seq", "evidence_id")
-        self.chunks = scratch.keep(sufficient(v).select("q", "c", "i", "n", "source", F.col("pos").cast("long").alias("p")), "sufficient")
+        self.chunks = scratch.keep(sufficient(v).select("q", F.col("evidence_id").alias("d"), "c", "i", "n", "source", F.col("pos").cast("long").alias("p")), "sufficient")
         self.validation = validation(v, attempts, memories)
 
     def name(self, kind: str, value):
@@ -158,7 +158,7 @@ class Context:
             "q", "s", F.col("seq").alias("p"), F.concat(F.lit("m"), F.col("memory_id")).alias("key"), F.col("memory_id").alias("entity"), F.col("epistemic_state").alias("authority"), null.alias("path"), zero.alias("i"), F.lit(1).alias("n"),
             F.when(F.col("s") == 5, F.coalesce("cited", none)).otherwise(none).alias("cited"), F.coalesce("partners", none).alias("partners"),
         )
-        chunks = self.chunks.select("q", F.lit(4).alias("s"), "p", F.concat(F.lit("c"), F.col("c")).alias("key"), F.col("c").alias("entity"), F.lit("document").alias("authority"), F.col("source").alias("path"), "i", "n", none.alias("cited"), none.alias("partners"))
+        chunks = self.chunks.select("q", F.lit(4).alias("s"), "p", F.concat(F.lit("c"), F.col("c")).alias("key"), self.name("evidence", F.col("d")).alias("entity"), F.lit("document_observation").alias("authority"), F.col("source").alias("path"), "i", "n", none.alias("cited"), none.alias("partners"))
         alone = self.alone.select("q", "attempt_id", "seq").distinct().select("q", F.lit(6).alias("s"), F.col("seq").alias("p"), F.concat(F.lit("a"), F.col("attempt_id").cast("string")).alias("key"), self.name("attempt", F.col("attempt_id")).alias("entity"), null.alias("authority"), null.alias("path"), zero.alias("i"), F.lit(1).alias("n"), none.alias("cited"), none.alias("partners"))
         return memories.unionByName(chunks).unionByName(alone)
 
@@ -245,7 +245,7 @@ def guard(v) -> DataFrame:
     applied = skills.select("q", "id", "seq").distinct()
     failed = relevance.guard(skills, relevant_attempts(v))
     checks = relevance.first_seen(skills.where("evidence_id is not null").select("q", F.col("seq").alias("place"), F.lit(0).alias("position"), "evidence_id"))
-    checks = checks.join(v.evidence().where(F.col("kind").isin(*state.VALIDATION)).select("evidence_id"), "evidence_id", "left_semi")
+    checks = relevance.validating(checks, v.evidence())
     rows = [("skill", applied, "id", "seq"), ("known_failure", failed, "attempt_id", "seq"), ("validation", checks, "evidence_id", "p")]
     out = None
     for name, df, entity, place in rows:

@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
-from lodestone.functions.text import INTENT_TERMS, STOPWORDS
-from lodestone.sources.store import EVIDENCE_KINDS, KINDS, STATES
+# Fixed values, written out here so that a fault in the engine's own lists shows: kinds, states, stop words and words of intent.
+KINDS = "note decision lesson root_cause pending question invariant environment invalidation".split()
+STATES = "user_asserted inferred verified".split()
+EVIDENCE_KINDS = "user_statement user_confirmation command_output test_result file_reference document_observation tool_output error_observation".split()
+STOPWORDS = "a an the to of for on in and or is are was were be been with this that it its as by at from into during not do does did".split()
+INTENT_TERMS = (
+    "conclude concludes concluded concluding conclusion conclusions decide decides decided deciding decision decisions "
+    "evaluate evaluates evaluated evaluating evaluation evaluations result results finding findings found "
+    "current currently latest recent recently definition definitions define defines defined defining"
+).split()
 
 
 def _list(values) -> str:
@@ -68,10 +76,10 @@ conf AS (SELECT least(x.memory_id, y.memory_id) AS a, greatest(x.memory_id, y.me
   FROM mem x JOIN mem y ON x.conv_id = y.conv_id AND y.turn = x.turn + 2),
 open_conf AS (SELECT a, b, recorded_at FROM conf WHERE a IN (SELECT memory_id FROM live) AND b IN (SELECT memory_id FROM live)),
 partner AS (SELECT memory_id, list_sort(list_distinct(list(other))) AS others FROM (SELECT a AS memory_id, b AS other FROM open_conf UNION ALL SELECT b, a FROM open_conf) GROUP BY memory_id),
-mem_ev AS (SELECT memory_id, conv_id % 97 AS evidence_id FROM mem),
-evid AS (SELECT doc_id AS evidence_id, text AS content, ({_list(EVIDENCE_KINDS)})[doc_id % 8 + 1] AS kind FROM documents WHERE doc_id < 97),
-skill AS (SELECT concat('s', memory_id) AS skill_id, concat('lesson of conversation ', conv_id, ' ', content, ' turn ', turn) AS text, conv_id % 97 AS evidence_id, seq, conv_id, turn FROM mem WHERE kind = 'lesson'),
-att AS (SELECT doc_id AS attempt_id, text AS task, source AS approach, doc_id % 97 AS evidence_id,
+mem_ev AS (SELECT memory_id, conv_id % @CITED AS evidence_id FROM mem),
+evid AS (SELECT doc_id AS evidence_id, text AS content, ({_list(EVIDENCE_KINDS)})[doc_id % 8 + 1] AS kind FROM documents),
+skill AS (SELECT concat('s', memory_id) AS skill_id, concat('lesson of conversation ', conv_id, ' ', content, ' turn ', turn) AS text, conv_id % @CITED AS evidence_id, seq, conv_id, turn FROM mem WHERE kind = 'lesson'),
+att AS (SELECT doc_id AS attempt_id, text AS task, source AS approach, doc_id % @CITED AS evidence_id,
   CASE WHEN quality = 1 THEN 'succeeded' WHEN toxic = 1 THEN 'partial' ELSE 'failed' END AS outcome FROM documents JOIN labels USING (doc_id)),
 obs AS (SELECT source AS path, doc_id AS seq, sha256(text) AS digest, CAST(strlen(text) AS BIGINT) AS size_bytes FROM documents),
 links AS (SELECT l_orderkey AS memory_id, l_partkey AS evidence_id, l_linenumber AS position,
@@ -81,10 +89,10 @@ q_tok AS (SELECT q, len(ts) AS qn, unnest(ts) AS token FROM q_set),
 {_fts('d', 'SELECT doc_id AS id, text FROM documents')}{_fts('a', "SELECT attempt_id AS id, concat_ws(' ', task, approach) AS text FROM att")}{_fts('m', 'SELECT memory_id AS id, content AS text FROM mem')}{_fts('s', 'SELECT skill_id AS id, text FROM skill')}
 sc AS (SELECT a.vec_id AS q, b.vec_id AS id, b.vec_id % 7 AS grp, {_cos('b.embedding', 'a.embedding')} AS score
   FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
-vs AS (SELECT item_id AS q, e.vec_id, {_cos('e.embedding', 'x.embedding')} AS score FROM benchmark JOIN embeddings x ON x.vec_id = item_id % 500, embeddings e WHERE e.vec_id < 500),
-msc AS (SELECT q, memory_id AS id, score FROM mem JOIN vs ON vec_id = (conv_id * 8 + turn) % 500),
-asc_ AS (SELECT q, attempt_id AS id, score FROM att JOIN vs ON vec_id = attempt_id % 500),
-ssc AS (SELECT q, skill_id AS id, score FROM skill JOIN vs ON vec_id = (conv_id * 8 + turn) % 500),
+vs AS (SELECT item_id AS q, e.vec_id, {_cos('e.embedding', 'x.embedding')} AS score FROM benchmark JOIN embeddings x ON x.vec_id = item_id % @VECTORS, embeddings e),
+msc AS (SELECT q, memory_id AS id, score FROM mem JOIN vs ON vec_id = (conv_id * 8 + turn) % @VECTORS),
+asc_ AS (SELECT q, attempt_id AS id, score FROM att JOIN vs ON vec_id = attempt_id % @VECTORS),
+ssc AS (SELECT q, skill_id AS id, score FROM skill JOIN vs ON vec_id = (conv_id * 8 + turn) % @VECTORS),
 paths AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]*/([^?#]*)', 1) AS path FROM pages),
 cut AS (
   SELECT doc_id AS d, CAST(0 AS BIGINT) AS i, text AS rest, CAST(NULL AS VARCHAR) AS chunk, CAST(length(text) AS BIGINT) AS total, CAST(0 AS BIGINT) AS start FROM documents WHERE length(text) <= 1200 OR regexp_matches(text, '\\S')
@@ -97,7 +105,7 @@ cut AS (
 chunk AS (SELECT d, i - 1 AS i, chunk, count(*) OVER (PARTITION BY d) AS n, start FROM cut WHERE i > 0),
 rel AS (SELECT q, attempt_id, outcome, evidence_id FROM (SELECT q, id FROM a_lex UNION SELECT q, id FROM a_fts UNION SELECT q, id FROM {_winner('asc_', 0.50, 0.08)}) JOIN att ON id = attempt_id),
 rescue AS (SELECT DISTINCT r.q, m.memory_id FROM rel r JOIN mem_ev m USING (evidence_id) WHERE r.outcome <> 'partial'),
-rl AS (SELECT q, id, score, conv_id % 97 AS c, kind = 'lesson' AS is_lesson FROM msc JOIN live ON id = memory_id WHERE kind = 'root_cause' OR (kind = 'lesson' AND epistemic_state = 'verified')),
+rl AS (SELECT q, id, score, conv_id % @CITED AS c, kind = 'lesson' AS is_lesson FROM msc JOIN live ON id = memory_id WHERE kind = 'root_cause' OR (kind = 'lesson' AND epistemic_state = 'verified')),
 top1 AS (SELECT * FROM rl QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, id) = 1),
 c_won AS (SELECT q, c FROM top1 t WHERE score >= 0.20 AND (NOT is_lesson OR score >= 0.30)
   AND coalesce(round(score - (SELECT max(x.score) FROM rl x WHERE x.q = t.q AND x.c <> t.c), 9), 1) >= 0.08 AND EXISTS (SELECT 1 FROM rl x WHERE x.q = t.q AND x.c = t.c AND NOT x.is_lesson)),
@@ -110,7 +118,7 @@ mem_vec AS (SELECT q, id FROM corro UNION SELECT q, id FROM {_set(_of("kind = 'l
   UNION SELECT q, id FROM {_winner(_of("kind = 'invalidation'"), 0.20, 0.08)} UNION SELECT q, id FROM {_winner(_of("kind = 'pending'"), 0.20, 0.08)}),
 inv_set AS (SELECT q, id FROM {_set(_of("kind = 'invariant'"), 0.35, 2)}),
 mem_ok AS (SELECT q, memory_id FROM (SELECT q, id AS memory_id FROM m_lex UNION SELECT q, id FROM m_fts UNION SELECT q, id FROM mem_vec UNION SELECT q, memory_id FROM rescue) SEMI JOIN live USING (memory_id)),
-d_set AS {_set("(SELECT q, d AS id, max(score) AS score FROM chunk JOIN vs ON vec_id = (d + 7 * i) % 500 GROUP BY ALL)", 0.30, 2)},
+d_set AS {_set("(SELECT q, d AS id, max(score) AS score FROM chunk JOIN vs ON vec_id = (d + 7 * i) % @VECTORS GROUP BY ALL)", 0.30, 2)},
 doc_ok AS (SELECT q, id AS d FROM d_lex UNION SELECT q, id FROM d_fts UNION SELECT q, id FROM d_set),
 c_tok AS (SELECT d, i, unnest({_tokens('chunk')}) AS token, chunk FROM chunk SEMI JOIN doc_ok USING (d)),
 c_hit AS (SELECT q, d, i, token FROM c_tok JOIN q_tok USING (token) JOIN doc_ok USING (q, d)),
@@ -123,17 +131,17 @@ first_hit AS (SELECT q, token, min(pos) AS pos FROM c_hit JOIN ev USING (q, d, i
 suff AS (SELECT * FROM ev WHERE pos = 1 OR EXISTS (SELECT 1 FROM first_hit f WHERE f.q = ev.q AND f.pos = ev.pos)
   OR ((q, d) IN (SELECT (q, id) FROM d_set) AND pos = (SELECT min(o.pos) FROM ev o WHERE o.q = ev.q AND o.d = ev.d))),
 val AS (SELECT q, evidence_id, row_number() OVER (PARTITION BY q ORDER BY src, place, evidence_id) AS p FROM (
-  SELECT q, evidence_id, src, place FROM (SELECT q, conv_id % 97 AS evidence_id, 0 AS src, seq AS place FROM mem_ok JOIN live USING (memory_id) WHERE kind = 'lesson' AND epistemic_state = 'verified'
-    UNION ALL SELECT q, evidence_id, 1, attempt_id FROM rel WHERE outcome = 'succeeded') QUALIFY row_number() OVER (PARTITION BY q, evidence_id ORDER BY src, place) = 1) WHERE evidence_id % 8 IN (1, 2)),
+  SELECT q, evidence_id, src, place FROM (SELECT q, conv_id % @CITED AS evidence_id, 0 AS src, seq AS place FROM mem_ok JOIN live USING (memory_id) WHERE kind = 'lesson' AND epistemic_state = 'verified'
+    UNION ALL SELECT q, evidence_id, 1, attempt_id FROM rel WHERE outcome = 'succeeded') QUALIFY row_number() OVER (PARTITION BY q, evidence_id ORDER BY src, place) = 1) WHERE evidence_id IN (SELECT evidence_id FROM evid WHERE kind IN ('test_result', 'command_output'))),
 cm AS (SELECT q, m.*, CASE kind WHEN 'invariant' THEN 0 WHEN 'pending' THEN 1 WHEN 'lesson' THEN 2 WHEN 'decision' THEN 3 ELSE 5 END AS s
   FROM (SELECT q, memory_id FROM mem_ok UNION SELECT q, id FROM inv_set UNION SELECT q, id FROM {_winner(_of("kind = 'decision'"), 0.20, 0.08)}) JOIN live m USING (memory_id)
   WHERE kind IN ('invariant', 'pending', 'decision', 'root_cause') OR (kind = 'lesson' AND epistemic_state = 'verified')),
-absorb AS (SELECT r.q, r.attempt_id, m.memory_id FROM rel r JOIN cm m ON m.q = r.q AND m.conv_id % 97 = r.evidence_id WHERE r.outcome = 'failed' AND m.s = 5
+absorb AS (SELECT r.q, r.attempt_id, m.memory_id FROM rel r JOIN cm m ON m.q = r.q AND m.conv_id % @CITED = r.evidence_id WHERE r.outcome = 'failed' AND m.s = 5
   QUALIFY row_number() OVER (PARTITION BY r.q, r.attempt_id ORDER BY m.seq, m.memory_id) = 1),
 cite AS (SELECT q, memory_id, string_agg(concat('[a', attempt_id, ']'), ', ' ORDER BY attempt_id) AS w FROM absorb GROUP BY ALL),
-esc AS (SELECT cm.q, s, seq AS p, cm.memory_id AS entity, conv_id % 97 AS evidence_id, concat('- [', cm.memory_id, '] (', epistemic_state, ') ', {_safe('content')}, CASE WHEN s = 5 AND w IS NOT NULL THEN concat(chr(10), '  from attempt ', w) ELSE '' END,
+esc AS (SELECT cm.q, s, seq AS p, cm.memory_id AS entity, conv_id % @CITED AS evidence_id, concat('- [', cm.memory_id, '] (', epistemic_state, ') ', {_safe('content')}, CASE WHEN s = 5 AND w IS NOT NULL THEN concat(chr(10), '  from attempt ', w) ELSE '' END,
     CASE WHEN others IS NULL THEN '' ELSE concat(chr(10), '  CONFLICTS WITH ', list_aggregate(list_transform(others, lambda o: concat('[', o, ']')), 'string_agg', ', ')) END) AS rendered FROM cm LEFT JOIN cite USING (q, memory_id) LEFT JOIN partner USING (memory_id)
-  UNION ALL SELECT q, 4, CAST(pos AS BIGINT), c, NULL, concat('- [', c, '] (document) ', {_safe('chunk.chunk')}, chr(10), '  source: ', {_safe('source')}, CASE WHEN n > 1 THEN concat(' (chunk ', i + 1, ' of ', n, ')') ELSE '' END) FROM suff JOIN chunk USING (d, i)
+  UNION ALL SELECT q, 4, CAST(pos AS BIGINT), c, NULL, concat('- [e', d, '] (document_observation) ', {_safe('chunk.chunk')}, chr(10), '  source: ', {_safe('source')}, CASE WHEN n > 1 THEN concat(' (chunk ', i + 1, ' of ', n, ')') ELSE '' END) FROM suff JOIN chunk USING (d, i)
   UNION ALL SELECT r.q, 6, r.attempt_id, concat('a', r.attempt_id), r.evidence_id, concat('- [a', r.attempt_id, '] ', {_safe("concat(task, ' -- ', approach)")}) FROM rel r JOIN att USING (attempt_id) ANTI JOIN absorb x ON x.q = r.q AND x.attempt_id = r.attempt_id WHERE r.outcome = 'failed'),
 items AS (SELECT q, (['CONSTRAINTS', 'OPEN RISKS', 'LESSONS', 'DECISIONS', 'PROJECT EVIDENCE', 'HISTORY'])[least(s, 5) + 1] AS section, entity, evidence_id, rendered,
   row_number() OVER (PARTITION BY q ORDER BY s, p, entity) AS pos FROM esc),
@@ -178,7 +186,7 @@ SQL = {
     "cluster_admission": "SELECT q, id FROM c_adm",
     "corroboration": "SELECT q, id FROM corro",
     "admission_channels": "SELECT q, d AS id, EXISTS (SELECT 1 FROM d_lex l WHERE l.q = e.q AND l.id = e.d) AS words, EXISTS (SELECT 1 FROM d_fts f WHERE f.q = e.q AND f.id = e.d) AS full_text, EXISTS (SELECT 1 FROM d_set f WHERE f.q = e.q AND f.id = e.d) AS semantic FROM doc_ok e",
-    "skill_promotion": """SELECT concat('s', memory_id) AS skill_id, CASE WHEN kind = 'lesson' AND epistemic_state = 'verified' THEN 'verified' ELSE 'candidate' END AS verification_state, CAST(conv_id % 97 AS VARCHAR) AS cited,
+    "skill_promotion": """SELECT concat('s', memory_id) AS skill_id, CASE WHEN kind = 'lesson' AND epistemic_state = 'verified' THEN 'verified' ELSE 'candidate' END AS verification_state, CAST(conv_id % @CITED AS VARCHAR) AS cited,
         CASE WHEN seq % 5 = 0 THEN 'blank name' WHEN seq % 7 = 0 THEN 'blank step' WHEN kind <> 'lesson' THEN 'unknown lesson' END AS reason FROM mem WHERE kind IN ('lesson', 'note')""",
     "vector_upsert": "SELECT 'memory' AS entity_type, vec_id AS entity_id, CASE WHEN vec_id % 3 = 0 THEN vec_id + 1001 ELSE label END AS version FROM embeddings",
     "index_status": "SELECT 'stale' AS state, CAST(NULL AS VARCHAR) AS detail, count(*) FILTER (WHERE vec_id % 10 = 0) AS missing FROM embeddings",
@@ -192,7 +200,7 @@ SQL = {
     "supersession_violations": """, bad AS (SELECT memory_id, CASE WHEN seq % 11 = 0 THEN memory_id WHEN seq % 7 = 0 THEN 'none' ELSE supersedes END AS supersedes FROM mem)
         SELECT memory_id, 'self' AS reason FROM bad WHERE memory_id = supersedes UNION ALL SELECT memory_id, 'missing' FROM bad WHERE supersedes IS NOT NULL AND supersedes NOT IN (SELECT memory_id FROM bad)
         UNION ALL SELECT memory_id, 'taken' FROM bad WHERE supersedes IN (SELECT supersedes FROM bad WHERE supersedes IS NOT NULL GROUP BY supersedes HAVING count(*) > 1)""",
-    "duplicate_suppression": "SELECT memory_id, first_value(memory_id) OVER (PARTITION BY content, kind, epistemic_state, supersedes, conv_id % 97, epistemic_state = 'verified' ORDER BY seq, memory_id) AS canonical_id FROM live",
+    "duplicate_suppression": "SELECT memory_id, first_value(memory_id) OVER (PARTITION BY content, kind, epistemic_state, supersedes, conv_id % @CITED, epistemic_state = 'verified' ORDER BY seq, memory_id) AS canonical_id FROM live",
     "verified_gate": "SELECT memory_id, count(*) FILTER (WHERE role = 'supporting') AS n_supporting, coalesce(bool_or(role = 'supporting' AND kind IN ('test_result', 'command_output', 'tool_output', 'user_confirmation')), false) AS qualifies FROM links GROUP BY memory_id",
     "memory_evidence_arrays": "SELECT memory_id, string_agg(CAST(evidence_id AS VARCHAR), ',' ORDER BY position, evidence_id) AS children FROM links GROUP BY memory_id",
     "latest_observation": "SELECT path, seq, digest, size_bytes FROM obs QUALIFY row_number() OVER (PARTITION BY path ORDER BY seq DESC) = 1",
@@ -236,7 +244,7 @@ SQL = {
     "guard_report": f""", sk AS (SELECT q, id, seq, evidence_id FROM (SELECT q, id FROM s_lex UNION SELECT q, id FROM s_fts UNION SELECT q, id FROM {_winner('ssc', 0.55, 0.10)}) JOIN skill ON id = skill_id),
         cats AS (SELECT q, 'skill' AS category, id AS entity, seq AS place FROM sk
         UNION ALL SELECT q, 'known_failure', CAST(attempt_id AS VARCHAR), attempt_id FROM rel WHERE outcome = 'failed' AND EXISTS (SELECT 1 FROM sk WHERE sk.q = rel.q AND sk.evidence_id = rel.evidence_id)
-        UNION ALL SELECT q, 'validation', CAST(evidence_id AS VARCHAR), min(seq) FROM sk WHERE evidence_id % 8 IN (1, 2) GROUP BY q, evidence_id)
+        UNION ALL SELECT q, 'validation', CAST(evidence_id AS VARCHAR), min(seq) FROM sk WHERE evidence_id IN (SELECT evidence_id FROM evid WHERE kind IN ('test_result', 'command_output')) GROUP BY q, evidence_id)
         SELECT q, category, entity, CAST(row_number() OVER (PARTITION BY q, category ORDER BY place, entity) AS INTEGER) AS pos FROM cats""",
     "terminal_safe": "SELECT doc_id AS d, md5(replace(replace(replace(replace(text, chr(92), repeat(chr(92), 2)), chr(10), chr(92) || 'n'), chr(9), chr(92) || 't'), chr(13), chr(92) || 'r')) AS digest FROM documents",
     "render_items": f"""SELECT m.memory_id, concat('- [', m.memory_id, '] (', epistemic_state, ') ', {_safe('content')}, CASE WHEN others IS NULL THEN '' ELSE concat(chr(10), '  CONFLICTS WITH ', list_aggregate(list_transform(others, lambda o: concat('[', o, ']')), 'string_agg', ', ')) END) AS line FROM mem m LEFT JOIN partner USING (memory_id)""",
@@ -250,4 +258,6 @@ SQL = {
 
 
 def sql() -> dict[str, str]:
-    return {k: BASE + v for k, v in SQL.items()}
+    """The moduli grow with the tables, as those of ``views`` do."""
+    moduli = {"@CITED": "(SELECT greatest(1, least(count(*), greatest(97, count(*) // 16))) FROM documents)", "@VECTORS": "(SELECT count(*) FROM embeddings)"}
+    return {k: (BASE + v).replace("@CITED", moduli["@CITED"]).replace("@VECTORS", moduli["@VECTORS"]) for k, v in SQL.items()}

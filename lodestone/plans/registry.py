@@ -378,7 +378,7 @@ def context_text(v):
 def trace_evidence(v):
     """Every ordered chunk with the channels that admitted its document, and whether it is sufficient and selected."""
     c = context.Context(v)
-    chosen = c.scan().where("selected and section = 'PROJECT EVIDENCE'").select("q", "pos").join(c.items.select("q", "pos", "entity"), ["q", "pos"]).select("q", F.col("entity").alias("c"), F.lit(True).alias("selected"))
+    chosen = c.scan().where("selected and section = 'PROJECT EVIDENCE'").select("q", "pos").join(c.items.select("q", "pos", "key"), ["q", "pos"]).select("q", F.substring("key", 2, 1 << 30).alias("c"), F.lit(True).alias("selected"))
     channels = context.admitted_documents(v)[0].withColumnRenamed("id", "d")
     out = context.ordered_evidence(v).select("q", "d", "c", "pos", "score").join(channels, ["q", "d"])
     out = out.join(c.chunks.select("q", "c", F.lit(True).alias("sufficient")), ["q", "c"], "left").join(chosen, ["q", "c"], "left")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
@@ -24,6 +24,17 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def count(self, name: str) -> int:
+        """Rows of a table, counted once."""
+        if (key := ("rows", name, *self._key(name))) not in _stored:
+            _stored[key] = self.table(name).count()
+        return _stored[key]
+
+    def cited(self, number: Column) -> Column:
+        """The evidence that a record of this number cites: it grows with the documents, and so do those that cite it."""
+        n = self.count("documents")
+        return number % max(1, min(n, max(97, n // 16)))
+
     def memories(self) -> DataFrame:
         ident = lambda turn: F.md5(F.concat(F.lit("m"), F.col("conv_id").cast("string"), F.lit("-"), turn.cast("string")))
         pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (F.pmod(F.col("conv_id") + F.col("turn"), F.lit(n)) + 1).cast("int"))
@@ -41,25 +52,25 @@ class Views:
     def memory_evidence(self) -> DataFrame:
         """One evidence a memory, supporting where the memory is verified."""
         role = F.when(F.col("epistemic_state") == "verified", "supporting").otherwise("related")
-        return self.memories().select("memory_id", (F.col("conv_id") % 97).alias("evidence_id"), F.lit(0).alias("position"), role.alias("role"))
+        return self.memories().select("memory_id", self.cited(F.col("conv_id")).alias("evidence_id"), F.lit(0).alias("position"), role.alias("role"))
 
     def evidence(self) -> DataFrame:
         """The evidence that memories and attempts cite: documents by number."""
         kind = F.element_at(F.array(*map(F.lit, EVIDENCE_KINDS)), (F.col("doc_id") % 8 + 1).cast("int"))
-        return self.table("documents").where("doc_id < 97").select(F.col("doc_id").alias("evidence_id"), F.col("text").alias("content"), kind.alias("kind"))
+        return self.table("documents").select(F.col("doc_id").alias("evidence_id"), F.col("text").alias("content"), kind.alias("kind"))
 
     def skills(self) -> DataFrame:
         """One skill a lesson, with the lesson's evidence."""
         m = self.memories().where("kind = 'lesson'")
         return m.select(
             F.concat(F.lit("s"), F.col("memory_id")).alias("skill_id"), F.concat(F.lit("lesson of conversation "), F.col("conv_id").cast("string")).alias("name"), F.col("content").alias("purpose"),
-            F.array(F.lit("turn"), F.col("turn").cast("string")).alias("conditions"), (F.col("conv_id") % 97).alias("evidence_id"), "seq", F.col("memory_id").alias("lesson_id"), "conv_id", "turn",
+            F.array(F.lit("turn"), F.col("turn").cast("string")).alias("conditions"), self.cited(F.col("conv_id")).alias("evidence_id"), "seq", F.col("memory_id").alias("lesson_id"), "conv_id", "turn",
         )
 
     def attempts(self) -> DataFrame:
         outcome = F.when(F.col("quality") == 1, "succeeded").when(F.col("toxic") == 1, "partial").otherwise("failed")
         docs = self.table("documents").join(self.table("labels"), "doc_id")
-        return docs.select(F.col("doc_id").alias("attempt_id"), F.col("text").alias("task"), F.col("source").alias("approach"), outcome.alias("outcome"), (F.col("doc_id") % 97).alias("evidence_id"), F.col("doc_id").alias("seq"))
+        return docs.select(F.col("doc_id").alias("attempt_id"), F.col("text").alias("task"), F.col("source").alias("approach"), outcome.alias("outcome"), self.cited(F.col("doc_id")).alias("evidence_id"), F.col("doc_id").alias("seq"))
 
     def observations(self) -> DataFrame:
         return self.table("documents").select(F.col("source").alias("path"), F.col("doc_id").alias("seq"), F.sha2("text", 256).alias("digest"), F.octet_length("text").cast("long").alias("size_bytes"))
@@ -84,15 +95,16 @@ class Views:
 
     def pool(self, kind: str) -> DataFrame:
         """(id, v) of records of a kind: their vectors are rows of embeddings, by number."""
-        by_turn = (F.col("conv_id") * 8 + F.col("turn")) % 500
+        n = max(1, self.count("embeddings"))
+        by_turn = (F.col("conv_id") * 8 + F.col("turn")) % n
         ids = {
-            "task": lambda: self.tasks().select(F.col("q").alias("id"), (F.col("q") % 500).alias("vec_id")),
+            "task": lambda: self.tasks().select(F.col("q").alias("id"), (F.col("q") % n).alias("vec_id")),
             "memory": lambda: self.memories().select(F.col("memory_id").alias("id"), by_turn.alias("vec_id")),
             "skill": lambda: self.skills().select(F.col("skill_id").alias("id"), by_turn.alias("vec_id")),
-            "attempt": lambda: self.attempts().select(F.col("attempt_id").alias("id"), (F.col("attempt_id") % 500).alias("vec_id")),
-            "chunk": lambda: self.chunks().select(F.col("c").alias("id"), F.col("d").alias("group"), ((F.col("d") + 7 * F.col("i")) % 500).alias("vec_id")),
+            "attempt": lambda: self.attempts().select(F.col("attempt_id").alias("id"), (F.col("attempt_id") % n).alias("vec_id")),
+            "chunk": lambda: self.chunks().select(F.col("c").alias("id"), F.col("d").alias("group"), ((F.col("d") + 7 * F.col("i")) % n).alias("vec_id")),
         }[kind]()
-        return ids.join(self.table("embeddings").where("vec_id < 500").select("vec_id", F.col("embedding").alias("v")), "vec_id").drop("vec_id")
+        return ids.join(self.table("embeddings").select("vec_id", F.col("embedding").alias("v")), "vec_id").drop("vec_id")
 
     def _key(self, *names: str) -> tuple:
         """What a stored table was made from: the application, and names, sizes and times of the source files."""

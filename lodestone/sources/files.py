@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import fnmatch
 import os
 import stat
 from pathlib import Path
@@ -37,6 +38,15 @@ def matches(name: Column, patterns: tuple[str, ...]) -> Column:
     return out
 
 
+# Names of files that editors and downloads leave for a while.
+TEMPORARY = ("*.swp", "*.swo", "*.swx", "*~", ".#*", "#*#", "*.tmp", ".*.tmp", "*.orig", "*.rej", "4913", "*.part", "*.crdownload")
+
+
+def is_temporary(path: str) -> bool:
+    """Whether a file's name is one of TEMPORARY."""
+    return any(fnmatch.fnmatchcase(path.rsplit("/", 1)[-1], pattern) for pattern in TEMPORARY)
+
+
 def base_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
@@ -111,19 +121,18 @@ def resolved(root: str | Path, raw: str | Path) -> str:
 def listing(root: str | Path, most: int = MOST_VISITS) -> list[tuple[str, int, int]]:
     """(path, mtime in ns, size) of regular files below the root, by path, without excluded and ignored directories.
 
-    Links to directories are entered only inside the root and each directory once; after ``most`` entries the walk
-    stops. An entry that can't be read is passed over.
+    Links to directories are entered only inside the root and never within themselves, so a directory with several
+    names is listed under each; after ``most`` entries the walk stops. An entry that can't be read is passed over.
     """
     base = Path(root).resolve()
     rules = ignore.load(base)
-    seen, out, visits, todo = set(), [], 0, [base]
+    out, visits, todo = [], 0, [(base, frozenset())]
     while todo:
-        folder = todo.pop()
+        folder, above = todo.pop()
         try:
             info = folder.stat()
-            if (info.st_dev, info.st_ino) in seen:
+            if (own := (info.st_dev, info.st_ino)) in above:
                 continue
-            seen.add((info.st_dev, info.st_ino))
             entries = sorted(os.scandir(folder), key=lambda e: e.name)
         except OSError:
             continue
@@ -136,7 +145,7 @@ def listing(root: str | Path, most: int = MOST_VISITS) -> list[tuple[str, int, i
                 if e.is_dir():
                     inside = not e.is_symlink() or Path(e.path).resolve().is_relative_to(base)
                     if inside and e.name not in EXCLUDED_DIRS and e.name != OWN and not e.name.endswith(".egg-info") and not ignore.matches(rel, rules, True):
-                        todo.append(Path(e.path))
+                        todo.append((Path(e.path), above | {own}))
                 elif e.is_file() and not ignore.matches(rel, rules) and Path(e.path).resolve().is_relative_to(base):
                     info = e.stat()
                     out.append((rel, info.st_mtime_ns, info.st_size))

@@ -6,37 +6,46 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lodestone.operators.ordered import Ranges
+from lodestone.operators.ordered import Ranges, ordinary
 
-# Seconds without a change before a file is read, writes a second, and poll seconds.
-SETTLE_S, WRITES_PER_S, POLL_S, COST_FACTOR = 1.0, 5, (2, 10, 60), 50
+# Seconds without a change before a file is read, writes a second, poll seconds, and the seconds without a change after which each next one holds.
+SETTLE_S, WRITES_PER_S, POLL_S, QUIET_S, COST_FACTOR = 1.0, 5, (2, 10, 60), (120, 1800), 50
 
 
 def settled(changes: DataFrame, gap_s: float = SETTLE_S) -> DataFrame:
     """(path, ts, n): the last of every run of changes whose gaps are shorter than gap_s, and the run's length."""
-    ranges = Ranges(changes.select("path", "ts", "seq"), ["path", "ts", "seq"]).previous(["path", "ts"], "before")
     us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     far = F.col("before").isNull() | ~F.col("before.path").eqNullSafe(F.col("path")) | (us("ts") - us("before.ts") >= int(gap_s * 1e6))
-    runs = ranges.running(far.cast("long"), "sum", "run").table()
+    rows = changes.select("path", "ts", "seq")
+    if ordinary(rows, "path"):
+        order = Window.partitionBy("path").orderBy("ts", "seq")
+        marked = rows.withColumn("before", F.lag(F.struct("path", "ts")).over(order)).withColumn("far", far.cast("long"))
+        runs = marked.withColumn("run", F.sum("far").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        ranges = Ranges(rows, ["path", "ts", "seq"]).previous(["path", "ts"], "before")
+        runs = ranges.running(far.cast("long"), "sum", "run").table()
     return runs.groupBy("path", "run").agg(F.max("ts").alias("ts"), F.count("*").alias("n")).select("path", "ts", "n")
 
 
 def write_slots(writes: DataFrame, per_second: int = WRITES_PER_S) -> DataFrame:
     """Writes (bucket, seq) with the second, from the bucket's start, at which the limit lets each go; none is dropped."""
+    if ordinary(writes, "bucket"):
+        place = F.row_number().over(Window.partitionBy("bucket").orderBy("seq"))
+        return writes.withColumn("delay_s", F.floor((place - 1) / per_second).cast("long"))
     ranges = Ranges(writes, ["bucket", "seq"]).previous(["bucket"], "before").running(F.lit(1), "sum", "row")
     first = F.col("before").isNull() | ~F.col("before.bucket").eqNullSafe(F.col("bucket"))
     out = ranges.running(F.when(first, F.col("row")), "max", "start").table()
     return out.withColumn("delay_s", F.floor((F.col("row") - F.col("start")) / per_second).cast("long")).drop("before", "row", "start")
 
 
-def poll_interval(cost_s: float, idle: bool) -> float:
-    """Seconds to the next poll: quick while files change, and never above 1 / COST_FACTOR of a core."""
-    quick, calm, most = POLL_S
-    return float(min(most, max(calm if idle else quick, cost_s * COST_FACTOR)))
+def poll_interval(cost_s: float, quiet_s: float) -> float:
+    """Seconds to the next poll: longer the longer nothing has changed, and never above 1 / COST_FACTOR of a core."""
+    base = POLL_S[sum(quiet_s >= s for s in QUIET_S)]
+    return float(min(POLL_S[-1], max(base, cost_s * COST_FACTOR)))
 
 
 def _track(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

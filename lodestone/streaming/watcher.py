@@ -6,6 +6,8 @@ visits; documents that have settled are read and written by Spark, a batch a tic
 
 from __future__ import annotations
 
+import contextlib
+import fcntl
 import json
 import os
 import signal
@@ -13,6 +15,7 @@ import subprocess
 import sys
 import time
 from pathlib import Path
+from typing import TextIO
 
 from pyspark.sql import SparkSession
 
@@ -39,7 +42,7 @@ class Watcher:
     def scope(self) -> dict[str, tuple[int, int]]:
         """Fingerprints of tracked and discovered paths; discovery itself runs every DISCOVER_S seconds at most."""
         if self.clock() - self.looked >= DISCOVER_S:
-            self.found = {r.path for r in files.discovered(self.spark, self.workspace.root).collect()}
+            self.found = {r.path for r in files.discovered(self.spark, self.workspace.root).collect() if not files.is_temporary(r.path)}
             self.looked = self.clock()
         out = {}
         for p in sorted(self.found | self.tracked):
@@ -118,7 +121,7 @@ class Watcher:
             if self.tick() or self.pending:
                 last = began
             write_status(self.workspace, self)
-            sleep(poll_interval(self.clock() - began, began - last > 30))
+            sleep(poll_interval(self.clock() - began, began - last))
 
 
 def _file(workspace: Workspace, name: str) -> Path:
@@ -131,42 +134,60 @@ def write_status(workspace: Workspace, watcher: Watcher) -> None:
     os.replace(part, _file(workspace, "watch.json"))
 
 
-def _alive(pid: int) -> bool:
+#: Locks of this process, by file, held while they are open.
+_held: dict[str, TextIO] = {}
+
+
+def _started(pid: int) -> int | None:
+    """When a process was started, in the system's ticks; None where that can't be known."""
     try:
-        os.kill(pid, 0)
-    except ProcessLookupError:
-        return False
-    except PermissionError:
-        return True
-    return True
+        return int(Path(f"/proc/{pid}/stat").read_text().rpartition(")")[2].split()[19])
+    except (OSError, ValueError, IndexError):
+        return None
 
 
-def holder(workspace: Workspace) -> int | None:
-    """The process that holds the lock; one that is gone holds nothing."""
+def _record(workspace: Workspace) -> dict | None:
+    """What the holder of the lock wrote; None where no process holds it. The system lets go of a lock when its process ends."""
     try:
-        pid = int(_file(workspace, "watch.lock").read_text() or 0)
+        with open(_file(workspace, "watch.lock")) as f:
+            try:
+                fcntl.flock(f, fcntl.LOCK_SH | fcntl.LOCK_NB)
+            except OSError:
+                return json.loads(f.read() or "{}")
     except (OSError, ValueError):
-        return None
-    return pid if pid and _alive(pid) else None
+        pass
+    return None
+
+
+def holder(workspace: Workspace) -> int | None:
+    """The process that holds the lock."""
+    return (_record(workspace) or {}).get("pid")
 
 
 def acquire(workspace: Workspace) -> bool:
     """Take the lock for this process; a second watcher of the workspace gets none."""
-    lock = _file(workspace, "watch.lock")
-    if holder(workspace) not in (None, os.getpid()):
-        return False
-    lock.unlink(missing_ok=True)
-    try:
-        with open(lock, "x") as f:
-            f.write(str(os.getpid()))
-    except FileExistsError:
-        return False
-    return True
+    path = str(_file(workspace, "watch.lock"))
+    if path in _held:
+        return True
+    f = open(path, "a+")  # noqa: SIM115
+    for _ in range(5):  # one that only looks holds it for a moment
+        try:
+            fcntl.flock(f, fcntl.LOCK_EX | fcntl.LOCK_NB)
+        except OSError:
+            time.sleep(0.02)
+            continue
+        f.truncate(0)
+        f.write(json.dumps({"pid": os.getpid(), "started": _started(os.getpid())}))
+        f.flush()
+        _held[path] = f
+        return True
+    f.close()
+    return False
 
 
 def release(workspace: Workspace) -> None:
-    if holder(workspace) in (None, os.getpid()):
-        _file(workspace, "watch.lock").unlink(missing_ok=True)
+    if f := _held.pop(str(_file(workspace, "watch.lock")), None):
+        f.close()
 
 
 def set_enabled(workspace: Workspace, on: bool) -> bool:
@@ -210,10 +231,13 @@ def supervise(workspace: Workspace) -> str | None:
 
 def stop(workspace: Workspace, wait_s: float = 10.0, sleep=time.sleep) -> str:
     set_enabled(workspace, False)
-    pid = holder(workspace)
-    if pid is None:
+    record = _record(workspace)
+    if not record or "pid" not in record:
         return "not watching"
-    os.kill(pid, signal.SIGTERM)
+    pid = record["pid"]
+    if _started(pid) == record.get("started"):  # else the number belongs to another process by now
+        with contextlib.suppress(ProcessLookupError):
+            os.kill(pid, signal.SIGTERM)
     until = time.monotonic() + wait_s
     while holder(workspace) == pid and time.monotonic() < until:
         sleep(0.1)

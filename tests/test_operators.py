@@ -103,7 +103,7 @@ def test_read_files(spark, tmp_path):
 
 
 def test_store_append_is_idempotent(spark, tmp_path):
-    rows = spark.createDataFrame([("e1", "c", "file", None)], store.SCHEMAS["evidence"])
+    rows = spark.createDataFrame([("e1", "c", "file_reference", None)], store.SCHEMAS["evidence"])
     assert store.read(spark, str(tmp_path), "evidence").count() == 0
     for _ in range(2):
         store.append(rows, str(tmp_path), "evidence", ["evidence_id"])
@@ -132,7 +132,7 @@ def test_missing_timeline_target_raises(spark):
 
 
 def test_poll_interval():
-    assert watch.poll_interval(0.01, False) == 2 and watch.poll_interval(0.5, False) == 25 and watch.poll_interval(9, True) == 60
+    assert [watch.poll_interval(0.01, s) for s in (0, 119, 120, 1799, 1800)] == [2, 2, 10, 10, 60] and watch.poll_interval(0.5, 0) == 25 and watch.poll_interval(9, 200) == 60
 
 
 def test_capture_goes_on_from_its_checkpoint(spark, tmp_path):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.operators import compile as C
-from lodestone.operators import graph, index, relevance, semantic, state
+from lodestone.operators import graph, index, ordered, relevance, semantic, state
 from lodestone.streaming import watch
 
 
@@ -69,6 +69,26 @@ def test_words_and_full_text_equal_loops(spark, tmp_path, corpus):
     assert set(rows(words)) == {x[:2] for x in lexical} and set(rows(full)) == {x[:2] for x in fts}
 
 
+def test_bounds_give_the_same_best_records(spark, tmp_path, monkeypatch):
+    rng = random.Random(9)
+    common, rare = [f"c{i}" for i in range(12)], [f"r{i}" for i in range(300)]
+    docs = [(i, " ".join([*(rng.choice(common) for _ in range(rng.randrange(5, 120))), *(rng.choice(rare) for _ in range(rng.randrange(4)))])) for i in range(1500)]
+    docs += [(2000 + i, "c0 c1 r5 r6") for i in range(8)] + [(3000, ""), (3001, "nothing of this")]  # ties, and records without a token asked for
+    idx = index.Index(spark, str(tmp_path / "i")).append(spark.createDataFrame(docs[:700], "id long, text string")).append(spark.createDataFrame(docs[700:], "id long, text string"))
+    tasks = [(0, "c0 c1 r5 r6 r7"), (1, "r1 c2 c3 c4 c5"), (2, "c0"), (3, "absent"), (4, "r10 r11 r12 r13"), (5, " ".join(common))]
+    q = index.query_tokens(spark.createDataFrame(tasks, "q int, t string"), "q", F.col("t"))
+    every = {}
+    for r in index.scored(q, idx).collect():
+        every.setdefault(r.q, []).append((-r.score, r.id, r.shared))
+    monkeypatch.setattr(index, "DIRECT_PAIRS", 0)
+    weights = index._weights(q, idx)
+    for cap in (1, 5, 20, 2000):
+        want = {(k, i, -s, n, at + 1) for k, rows_ in every.items() for at, (s, i, n) in enumerate(sorted(rows_)[:cap])}
+        assert {(r.q, r.id, r.score, r.shared, r["rank"]) for r in index.ranked(q, idx, cap).collect()} == want
+        opened = idx.table("postings").join(index._open(weights, idx, index._threshold(weights, idx, cap)), ["token", "band"]).where("q in (0, 1)").count()
+        assert opened < (0.2 if cap <= 5 else 1.01) * sum(r.df for r in weights.where("q in (0, 1)").collect())
+
+
 @pytest.mark.parametrize("block", [1024, 2])
 def test_vectors_in_blocks_equal_all_pairs(spark, monkeypatch, block):
     monkeypatch.setattr(semantic, "QUERY_BLOCK", block)
@@ -91,6 +111,23 @@ def test_vectors_in_blocks_equal_all_pairs(spark, monkeypatch, block):
     assert semantic.near(queries.where("false"), pool).count() == 0
 
 
+def test_many_queries_meet_the_pool_once_and_never_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(semantic, "QUERY_BLOCK", 64)
+    vector = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda k: F.sin(F.col("id") * 7 + k * F.col("id") % 13 + k))
+    pool = spark.range(400).select("id", F.lit("p").alias("pool"), F.lit(0).alias("group"), vector.alias("v"))
+    asked = semantic.Queries(spark.range(300).select(F.col("id").alias("q"), F.lit("p").alias("query_pool"), vector.alias("qv")))
+    assert asked.block is None and asked.n == 5
+    out = semantic.top(semantic.near(asked, pool, k=3), 3)
+    v = np.array([r.v for r in pool.orderBy("id").collect()])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    score = np.round(v[:300] @ v.T, 9)
+    want = {(a, b) for a in range(300) for b in sorted(range(400), key=lambda b: (-score[a, b], b))[:3]}
+    got = {(r.q, r.id) for r in out.collect()}
+    assert len(got) == 900 and all(score[a, b] >= min(score[a, c] for x, c in want if x == a) for a, b in got)
+    plan = semantic.near(asked, pool, k=3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Range (0, 400") == 1 and "Broadcast" not in plan
+
+
 def test_clusters_of_a_long_chain(spark):
     n = 10_000
     links = [(i, e) for i in range(n) for e in (i, i + 1)] + [(20_000 + i, 50_000) for i in range(300)] + [(30_000, None)]
@@ -98,6 +135,29 @@ def test_clusters_of_a_long_chain(spark):
     assert got == {i: 0 for i in range(n)} | {20_000 + i: 20_000 for i in range(300)} | {30_000: 30_000}
 
 
+def test_places_over_ranges_equal_windows(spark, monkeypatch):
+    rng = random.Random(4)
+    rows_ = [(rng.choice((0, 0, 0, 1)), rng.randrange(4), rng.random() if rng.random() < 0.3 else 0.0, rng.choice("ab"), rng.randrange(9), i) for i in range(500)]
+    df = spark.createDataFrame(rows_, "q int, score long, similarity double, source string, d long, i int").repartition(4)
+    want = rows(relevance.placed(df))
+    monkeypatch.setattr(ordered, "ORDINARY", 0)
+    assert rows(relevance.placed(df)) == want and len(want) == 500
+
+
+def test_missing_records_stop_a_read(spark):
+    links = spark.createDataFrame([(0, 1, 0, "e1"), (0, 2, 0, "gone")], "q int, place int, position int, evidence_id string")
+    known = spark.createDataFrame([("e1", "test_result"), ("e2", "tool_output")], "evidence_id string, kind string")
+    none = links.where("false")
+    assert [r.evidence_id for r in relevance.validation(links.where("place = 1"), none, known).collect()] == ["e1"]
+    with pytest.raises(Exception, match="missing evidence gone"):
+        relevance.validation(links, none, known).collect()
+    memories = spark.createDataFrame([("a", None), ("b", None), ("c", "b")], "memory_id string, supersedes string")
+    pairs = spark.createDataFrame([("a", "c"), ("a", "b")], "a string, b string")
+    assert [tuple(r) for r in state.open_conflicts(pairs, memories).collect()] == [("a", "c")]
+    with pytest.raises(Exception, match="missing memory z"):
+        state.open_conflicts(pairs.unionByName(spark.createDataFrame([("a", "z")], "a string, b string")), memories).collect()
+
+
 def test_null_digests_are_values(spark):
     df = spark.createDataFrame([("p", 1, "A"), ("p", 2, None), ("p", 3, None), ("p", 4, "B"), ("q", 5, None)], "path string, seq int, digest string")
     assert [r.status for r in state.changes(df).orderBy("seq").collect()] == ["added", "changed", "unchanged", "changed", "added"]
@@ -159,8 +219,9 @@ def test_texts_of_tasks_without_items(spark):
     assert got[3].splitlines()[2] == "No compiled context for this task."
 
 
-@pytest.mark.parametrize("parts", ["1", "7"])
-def test_ranges_equal_loops_for_hot_keys(spark, parts):
+@pytest.mark.parametrize("parts, ordinary", [("1", 0), ("7", 0), ("7", 1 << 20)])
+def test_ranges_and_windows_equal_loops(spark, monkeypatch, parts, ordinary):
+    monkeypatch.setattr(ordered, "ORDINARY", ordinary)
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", parts)
     try:

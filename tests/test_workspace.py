@@ -3,6 +3,7 @@
 import json
 import os
 import subprocess
+import sys
 from datetime import datetime
 
 import numpy as np
@@ -36,7 +37,7 @@ def evidence(spark, store, *kinds):
 
 def test_remember_in_one_batch(spark, tmp_path):
     store = Store(spark, str(tmp_path / "s"))
-    test, doc = evidence(spark, store, "test_result", "document")
+    test, doc = evidence(spark, store, "test_result", "error_observation")
     rows = [
         ("a", "one", "note", "inferred", None, [doc], None), ("b", "one", "note", "inferred", None, [doc], []), ("c", " ", "note", "inferred", None, None, None), ("d", "x", "wish", "inferred", None, None, None),
         ("e", "x", "lesson", "verified", None, [doc], [doc]), ("f", "x", "lesson", "verified", None, [test], None), ("g", "x", "lesson", "verified", None, [doc], [test]), ("h", "x", "lesson", "verified", None, [doc, test], [test]),
@@ -63,12 +64,12 @@ def test_remember_in_one_batch(spark, tmp_path):
 
 def test_a_broken_batch_is_never_read(spark, tmp_path):
     store = Store(spark, str(tmp_path / "s"))
-    evidence(spark, store, "file")
+    evidence(spark, store, "file_reference")
     n = store.batches()[-1]
     os.remove(tmp_path / "s" / "commits" / str(n))
     assert store.table("evidence").count() == 0
-    ids = evidence(spark, store, "file", "url")
-    assert store.batches() == [n + 1] and {r.evidence_id for r in store.table("evidence").collect()} == set(ids)
+    ids = evidence(spark, store, "file_reference", "user_statement")
+    assert store.batches() == [n] and {r.evidence_id for r in store.table("evidence").collect()} == set(ids)
 
 
 def test_malformed_rows_stop_a_read(spark, tmp_path):
@@ -80,10 +81,17 @@ def test_malformed_rows_stop_a_read(spark, tmp_path):
 def test_old_stores_are_brought_up_to_date(spark, tmp_path):
     store = Store(spark, str(tmp_path / "s"))
     rows = [("a" * 32, "x", "note", "inferred", at(2), None), ("b" * 32, "y", "note", "inferred", at(1), None), ("c" * 32, "z", "note", "inferred", at(3), "b" * 32)]
-    store.commit(memories=spark.createDataFrame(rows, "memory_id string, content string, kind string, epistemic_state string, recorded_at timestamp, supersedes string"), events=spark.createDataFrame([], "sequence long, event_id string, kind string, subject_id string, occurred_at timestamp"))
+    old = tmp_path / "s"
+    spark.createDataFrame(rows, "memory_id string, content string, kind string, epistemic_state string, recorded_at timestamp, supersedes string").write.parquet(f"{old}/memories/batch=0")
+    spark.createDataFrame([("e" * 32, "proof", "document", at(0))], "evidence_id string, content string, kind string, recorded_at timestamp").write.parquet(f"{old}/evidence/batch=0")
+    spark.createDataFrame([("a" * 32, "e" * 32, 0)], "memory_id string, evidence_id string, position int").write.parquet(f"{old}/memory_evidence/batch=0")
+    (old / "commits").mkdir()
+    (old / "commits" / "0").touch()
     assert store.version() == 1 and store.migrate() == VERSION == store.migrate()
     assert [(r.kind, r.subject_id[0]) for r in store.table("events").orderBy("sequence").collect()] == [("memory_recorded", "b"), ("memory_recorded", "a"), ("memory_superseded", "b"), ("memory_recorded", "c")]
     assert [r.content for r in store.ordered("memory").collect()] == ["y", "x", "z"]
+    assert [r.kind for r in store.table("evidence").collect()] == ["document_observation"] and [r.role for r in store.table("memory_evidence").collect()] == ["related"]
+    assert {r.draft_id: (r.status, r.id) for r in store.remember(memories(spark, ("d", "x", "note", "inferred", None, ["e" * 32], None))).collect()} == {"d": ("existing", "a" * 32)}
     (tmp_path / "s" / "versions" / "9").touch()
     with pytest.raises(ValueError, match="version 9"):
         store.migrate()
@@ -96,7 +104,7 @@ def test_numbers_without_gaps(spark):
 
 def test_attempts_skills_conflicts_and_documents(spark, tmp_path):
     store = Store(spark, str(tmp_path / "s"))
-    test, doc = evidence(spark, store, "test_result", "file")
+    test, doc = evidence(spark, store, "test_result", "file_reference")
     lesson, other = (r.id for r in store.learn(spark.createDataFrame([("a", "retry fixes the pool", True, None, [test], [test], at(0)), ("b", "pools are slow", False, None, [], [], at(1))], "draft_id string, content string, verified boolean, supersedes string, evidence_ids array<string>, supporting_evidence_ids array<string>, recorded_at timestamp")).orderBy("draft_id").collect())
     assert [(r.kind, r.epistemic_state) for r in store.ordered("memory").collect()] == [("lesson", "verified"), ("lesson", "user_asserted")]
     attempt = "draft_id string, task string, approach string, outcome string, evidence_ids array<string>, recorded_at timestamp"
@@ -220,19 +228,33 @@ def test_watching(spark, tree):
     assert second.tick() == [] and second.stopped
 
 
+HOLD = "import sys, time; from lodestone.sources.workspace import Workspace; from lodestone.streaming import watcher; print(watcher.acquire(Workspace.open(sys.argv[1])), flush=True); time.sleep(60)"
+
+
 def test_one_watcher_at_a_time(tmp_path, monkeypatch):
     w = Workspace.init(tmp_path, "dev")
-    sleeper = subprocess.Popen(["sleep", "60"])
+    monkeypatch.setenv("PYTHONPATH", os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    assert watcher.holder(w) is None and watcher.acquire(w) and watcher.acquire(w) and watcher.holder(w) == os.getpid()
+    watcher.release(w)
+    other = subprocess.Popen([sys.executable, "-c", HOLD, str(tmp_path)], stdout=subprocess.PIPE)
+    stranger = subprocess.Popen(["sleep", "60"])
     try:
-        assert watcher.acquire(w) and watcher.holder(w) == os.getpid()
-        (w.folder / "watch.lock").write_text(str(sleeper.pid))
+        assert other.stdout.readline() == b"True\n" and watcher.holder(w) == other.pid
         assert not watcher.acquire(w) and "running" in watcher.status(w)[0]
         started = []
         monkeypatch.setattr(watcher, "spawn", lambda w, fresh: started.append(fresh) or 1)
         assert "already" in watcher.start(w) and watcher.supervise(w) is None
+        record = (w.folder / "watch.lock").read_text()
+        (w.folder / "watch.lock").write_text(json.dumps({"pid": stranger.pid, "started": 1}))  # a number that went to another process
+        assert "has not ended" in watcher.stop(w, 0.3) and stranger.poll() is None
+        (w.folder / "watch.lock").write_text(record)
+        assert watcher.stop(w) == "stopped" and other.wait(10) != 0
     finally:
-        sleeper.kill()
-        sleeper.wait()
+        other.kill()
+        stranger.kill()
+        other.wait()
+        stranger.wait()
+    watcher.set_enabled(w, True)
     assert watcher.holder(w) is None and "again" in watcher.supervise(w) and started == [False]
     assert watcher.stop(w) == "not watching" and not watcher.enabled(w) and watcher.supervise(w) is None
     assert "process" in watcher.start(w) and started == [False, True]
@@ -240,6 +262,15 @@ def test_one_watcher_at_a_time(tmp_path, monkeypatch):
         watcher.start(Workspace.init(tmp_path / "x", "lab")) if (tmp_path / "x").mkdir() is None else None
 
 
+def test_aliases_and_temporary_names(tmp_path):
+    (tmp_path / "real").mkdir()
+    (tmp_path / "real" / "a.md").write_text("a")
+    (tmp_path / "alias").symlink_to(tmp_path / "real")
+    (tmp_path / "real" / "loop").symlink_to(tmp_path)
+    assert [p for p, _, _ in files.listing(tmp_path)] == ["alias/a.md", "real/a.md"]
+    assert [n for n in ("README.md~", ".#x.md", "a.txt.swp", "#b.md#", "notes.tmp", "4913", "README.md", "part.md") if files.is_temporary(n)] == ["README.md~", ".#x.md", "a.txt.swp", "#b.md#", "notes.tmp", "4913"]
+
+
 def test_settling_as_a_stream(spark, tmp_path):
     rows = [("p", 0), ("p", 400), ("p", 5000), ("q", 100), ("p", 5200), ("q", 9000)]
     for n, batch in enumerate((rows[:3], rows[3:5], rows[5:], [("z", 60_000)])):
@@ -259,18 +290,42 @@ def test_vector_index_states(spark, tmp_path):
     assert v.state(pool).status == "disabled" and v.stored().count() == 0 and v.refresh(pool) == 0
     v.setup(pool.where("entity_id <> 'c'"))
     said = v.state(pool)
-    assert (said.status, said.missing, said.describe()) == ("stale", 1, "stale (1 of 3 not indexed; refreshed automatically on next preflight)") and "DEGRADED: 1" in said.retrieval_mode()
-    assert v.refresh(pool) == 1 and v.refresh(pool) == 0 and v.state(pool, 1).retrieval_mode() == "semantic + lexical (refreshed 1)"
+    assert (said.status, said.missing, said.described) == ("stale", 1, "stale (1 of 3 not indexed; refreshed automatically on next preflight)") and "DEGRADED: 1" in said.retrieval
+    assert v.refresh(pool) == 1 and v.refresh(pool) == 0 and v.state(pool, 1).retrieval == "semantic + lexical (refreshed 1)"
     assert {r.entity_id: list(np.round(r.v, 3)) for r in v.stored().collect()} == {"a": [1, 0, 0], "b": [0, 1, 0], "c": [0, 0, 1]}
     other = encoder.VectorIndex(spark, str(tmp_path / "v"), encoder.concepts(("x",)))
-    assert other.state(pool).retrieval_mode().startswith("lexical only -- semantic retrieval is unavailable: the index was built with a different model")
-    v._note(**{**v.meta(), "ready": False})
+    assert other.state(pool).retrieval.startswith("lexical only -- semantic retrieval is unavailable: the index was built with a different model")
+    assert v._publish(v._last(), **{**v.meta(), "ready": False})
     assert v.state(pool).detail == encoder.INCOMPLETE and v.stored().count() == 0
     bad = encoder.Encoder("bad", 2, lambda: lambda texts: np.zeros((len(texts), 3)))
     with pytest.raises(Exception, match="of 2 numbers"):
         bad.vectors(pool).collect()
 
 
+def test_vector_index_faults_never_end_a_search(spark, tmp_path):
+    pool = spark.createDataFrame([("memory", "a", "pool"), ("memory", "b", "auth")], "entity_type string, entity_id string, text string")
+
+    def failing():
+        raise OSError("no model")
+
+    v = encoder.VectorIndex(spark, str(tmp_path / "v"), encoder.concepts(("pool", "auth"))).setup(pool.where("entity_id = 'a'"))
+    offline = encoder.VectorIndex(spark, str(tmp_path / "v"), encoder.Encoder(v.encoder.name, v.encoder.size, failing))
+    assert offline.refresh(pool) == 0 and offline.stored().count() == 1
+    assert offline.state(pool).retrieval == "semantic + lexical -- DEGRADED: 1 record(s) not indexed (the automatic refresh could not run; run: lodestone semantic-setup)"
+    late = encoder.VectorIndex(spark, str(tmp_path / "v"), v.encoder)
+    meta = late.meta()
+    assert v.refresh(pool) == 1 and not late._publish(late._last() - 1, **meta)  # of two that refresh one generation, one is published
+    [part] = meta["parts"]
+    for f in (tmp_path / "v" / part).glob("part-*"):
+        f.write_bytes(b"broken")
+    for f in (tmp_path / "v" / part).glob(".*.crc"):
+        f.unlink()
+    broken = encoder.VectorIndex(spark, str(tmp_path / "v"), v.encoder)
+    assert broken.refresh(pool) == 0 and broken.stored().count() == 0
+    assert broken.state(pool).retrieval == "lexical only -- semantic retrieval is unavailable: the index is unreadable (delete the index, then run: lodestone semantic-setup)"
+    assert broken.setup(pool).state(pool).described == "ready (2 indexed)"
+
+
 @pytest.fixture
 def told(tmp_path, spark):
     def tell(*argv):
@@ -314,7 +369,7 @@ def test_commands_tell_an_auth_refresh_story(told, tmp_path):
     assert "Memories: 6" in said and "Invariants: 1" in said
     assert told("watch", "status") == ["Watcher: off"] and told("watch", "stop") == ["not watching"]
     with pytest.raises(ValueError, match="qualifying"):
-        told("learn", "x", "--verified", "--supporting", ids(told("evidence-add", "doc", "--kind", "document"))[0])
+        told("learn", "x", "--verified", "--supporting", ids(told("evidence-add", "doc", "--kind", "document_observation"))[0])
 
 
 def test_guard_needs_skill_evidence_and_words(spark, tmp_path, told):
