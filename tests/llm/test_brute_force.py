@@ -23,15 +23,35 @@ COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_queries_equal_their_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "conversations"):
         c.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
+    _equal(spark, c, name, SF)
+
+
+def test_vector_sql_on_a_table_with_links(spark, tmp_path):
+    """The driver's small tables have no links; here copies, chains and stars do, within labels and across them."""
+    rng, rows = np.random.default_rng(12), []
+    for base in rng.standard_normal((25, 64)):
+        for k in range(6):
+            v = base + rng.standard_normal(64) * (0, 0, 0.05, 0.05, 0.08, 0.4)[k]
+            rows.append((len(rows), v.astype(np.float32).tolist(), int(len(rows) % 7 > 0)))
+    rows += [(1000, rows[0][1], 0), (1001, None, 0), (1002, [0.0] * 64, 0), (1003, rows[3][1], None), (1004, [float("nan")] * 64, 1)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view embeddings as select * from read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    assert _equal(spark, c, "op6_embedding_near_dedup", str(tmp_path)) > 100
+
+
+def _equal(spark, c, name, sf):
     r = c.execute(registry.oracle_sql()[name])
     names = sorted(d[0] for d in r.description)
     want = r.fetchall()
-    df = registry.queries()[name](spark, SF)
+    df = registry.queries()[name](spark, sf)
     assert sorted(df.columns) == names
     order = [[d[0] for d in r.description].index(n) for n in names]
-    assert sorted(tuple(x[n] for n in names) for x in df.collect()) == sorted(tuple(x[i] for i in order) for x in want)
+    got = sorted(tuple(x[n] for n in names) for x in df.collect())
+    assert got == sorted(tuple(x[i] for i in order) for x in want)
+    return sum(r[names.index("n_links")] for r in got) if "n_links" in names else len(got)
 
 
 def served_by_rounds(totals, credits, quantum):
