@@ -129,7 +129,7 @@ def placed(scored: DataFrame) -> DataFrame:
     if ordinary(scored, "q"):
         return scored.withColumn("pos", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), F.desc("similarity"), "source", "d", "i")))
     rows = scored.withColumns({"__score": -F.col("score"), "__similarity": -F.col("similarity")})
-    ranges = Ranges(rows, ["q", "__score", "__similarity", "source", "d", "i"]).previous(["q"], "__before").running(F.lit(1), "sum", "__row")
-    first = F.col("__before").isNull() | (F.col("__before.q") != F.col("q"))
+    ranges = Ranges(rows, ["q", "__score", "__similarity", "source", "d", "i"]).previous(["q"], "__prior").running(F.lit(1), "sum", "__row")
+    first = F.col("__prior").isNull() | (F.col("__prior.q") != F.col("q"))
     out = ranges.running(F.when(first, F.col("__row")), "max", "__start").table()
     return out.withColumn("pos", (F.col("__row") - F.col("__start") + 1).cast("int")).select(*scored.columns, "pos")
