@@ -442,4 +442,4 @@ def test_pipeline_against_its_stages(spark):
 
 
 def test_registered_queries():
-    assert sorted(int(k[2:].split("_")[0]) for k in registry.queries()) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in registry.queries()) == list(range(1, 14))
