@@ -217,11 +217,16 @@ def _open(weights: DataFrame, index: Index, least: DataFrame) -> DataFrame:
     return bounds.withColumn("shut", F.coalesce(shut, F.lit(0.0))).where("not is_shut").select("q", "token", "band", "idf", "avgdl", "shut", "least")
 
 
+def _few(weights: DataFrame) -> bool:
+    """Whether all pairs of postings and query tokens are few enough to join."""
+    return (weights.agg(F.sum("df")).first()[0] or 0) <= DIRECT_PAIRS
+
+
 def ranked(queries: DataFrame, index: Index, cap: int = FTS_CAP) -> DataFrame:
     """(q, id, qn, dn, score, shared, rank): the best records of every query by BM25, ties by id; the same rows as all of ``scored`` give."""
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))
     weights = scratch.keep(_weights(queries, index), "weights")
-    if (weights.agg(F.sum("df")).first()[0] or 0) <= DIRECT_PAIRS:
+    if _few(weights):
         return _all(weights, index).withColumn("rank", rank).where(F.col("rank") <= cap)
     least = scratch.keep(_threshold(weights, index, cap), "least")
     found = index.table("postings").select("token", "band", "id", "tf", "dl").join(_open(weights, index, least), ["token", "band"])
@@ -230,12 +235,23 @@ def ranked(queries: DataFrame, index: Index, cap: int = FTS_CAP) -> DataFrame:
     return _whole(found, weights, index).withColumn("rank", rank).where(F.col("rank") <= cap)
 
 
+def reached(best: DataFrame) -> DataFrame:
+    """(q, id, shared): of the best pairs, those that reach the symmetric threshold."""
+    return best.where(F.col("shared") >= T.symmetric_threshold(F.col("qn"), F.col("dn"))).select("q", "id", "shared")
+
+
 def full_text(queries: DataFrame, index: Index) -> DataFrame:
     """(q, id, shared): of the FTS_CAP best, those that reach the symmetric threshold."""
-    best = ranked(queries, index)
-    return best.where(F.col("shared") >= T.symmetric_threshold(F.col("qn"), F.col("dn"))).select("q", "id", "shared")
+    return reached(ranked(queries, index))
 
 
 def words_and_full_text(queries: DataFrame, index: Index) -> tuple[DataFrame, DataFrame]:
-    """(q, id) of the words channel, from the rarest tokens of each query, and of the full-text channel."""
-    return lexical(queries, index).select("q", "id"), full_text(queries, index).select("q", "id")
+    """(q, id) of the words channel and of the full-text channel: from one pass over all pairs where they are few, else the words
+    from the rarest tokens of each query and the full text by bounds."""
+    weights = scratch.keep(_weights(queries, index), "weights")
+    if not _few(weights):
+        return lexical(queries, index).select("q", "id"), full_text(queries, index).select("q", "id")
+    pairs = _all(weights, index)
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))
+    words = pairs.where((F.col("shared") >= T.majority(F.col("qn"))) & F.col("score").isNotNull() & (F.col("dn") > 0))
+    return words.select("q", "id"), reached(pairs.withColumn("rank", rank).where(F.col("rank") <= FTS_CAP)).select("q", "id")
