@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.operators import index
 from lodestone.operators.encoder import VectorIndex
 from lodestone.operators.index import Index, query_tokens
 from lodestone.sources import scratch
@@ -62,8 +63,8 @@ class Records:
         if self._chunks is None:
             cut = self.store.sources().select(F.col("evidence_id").alias("d"), F.col("path").alias("source"), T.chunks(F.col("content")).alias("chunks"))
             rows = cut.select("d", "source", F.size("chunks").alias("n"), F.posexplode("chunks").alias("i", "chunk"))
-            rows = rows.select("d", "source", "i", "n", T.chunk_id(F.col("d"), F.col("i")).alias("c"), F.length(T.terminal_safe(F.col("chunk"))).alias("size"), T.tokens(F.col("chunk")).alias("tokens"), "chunk")
-            self._chunks = scratch.keep(rows, "chunks")
+            rows = rows.select("d", "source", "i", "n", T.chunk_id(F.col("d"), F.col("i")).alias("c"), "chunk")
+            self._chunks = scratch.keep(index.measured(rows), "chunks")
         return self._chunks
 
     def index(self, kind: str) -> Index:
