@@ -3,19 +3,21 @@
 Word unigrams and bigrams are hashed to a fixed number of buckets. Two smoothed multinomials over the buckets, of the
 trusted target (labelled good) and of the raw corpus (all documents), give each bucket a log-likelihood ratio. A
 document's score is the mean ratio of its n-grams, so length does not count. The threshold follows from trusted
-documents that were kept out of the target, at most LABELLED of them, and every document is held against it.
+documents that were kept out of the target, and every document is held against it. All labelled rows count.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.scratch import Scratch
 
 BUCKETS, SMOOTH = 1 << 18, 1.0
-#: At most about so many labelled rows fit the target and the threshold; the corpus side counts all documents.
-LABELLED = 200_000
+#: Bitmaps of 32,768 ids each that go to all tasks, some 64 MB; more, as of ids far apart, are joined.
+BITMAPS = 1 << 14
 #: Share of the held-back trusted documents that may fall under the threshold, and a margin below it.
 MISSED, MARGIN = 0.001, 0.25
 RUN = 8
@@ -55,15 +57,33 @@ def repeat_words(h: Column) -> Column:
 
 
 def _trusted(labels: DataFrame) -> DataFrame:
-    """(label_id, fits): labelled good rows, half to fit the target, half to set the threshold; a bounded number."""
+    """(label_id, fits): all labelled good rows, half to fit the target, half to set the threshold."""
     good = labels.groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.min("quality").alias("quality")).where("quality = 1 and label_id is not null")
-    n = good.count()
-    part = F.pmod(F.xxhash64("label_id", F.lit(7)), F.lit(1_000_000))
-    if n > LABELLED:
-        good = good.where(part < int(1_000_000 * LABELLED / n))
     return good.select("label_id", (F.pmod(F.xxhash64("label_id", F.lit(11)), F.lit(2)) == 0).alias("fits"))
 
 
+def _flagged(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` (id, ...) with fits, whether the id is among ``ids`` (id); these go to the tasks as bitmaps, so that no text is shuffled."""
+    bits = ids.groupBy(F.bitmap_bucket_number("id").alias("bucket_")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("id")).alias("bits"))
+    if bits.limit(BITMAPS + 1).count() <= BITMAPS:
+        bits = F.broadcast(bits)
+    at = F.bitmap_bit_position("id")
+    byte = F.conv(F.hex(F.substring("bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = F.coalesce(byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (at % 8).cast("int"))) != 0, F.lit(False))
+    return docs.withColumn("bucket_", F.bitmap_bucket_number("id")).join(bits, "bucket_", "left").withColumn("fits", found).drop("bucket_", "bits")
+
+
+def _least(scores: DataFrame) -> float | None:
+    """The MISSED percentile of ``scores`` (llr), None where there are none: only the lowest come together, not all in one task."""
+    n = scores.count()
+    if not n:
+        return None
+    at = (n - 1) * MISSED
+    lower, upper = math.floor(at), math.ceil(at)
+    top = [r.llr for r in scores.orderBy("llr").limit(upper + 1).orderBy(F.desc("llr")).limit(2).collect()]
+    return top[0] if lower == upper else (upper - at) * top[1] + (at - lower) * top[0]
+
+
 def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr and kept.
 
@@ -73,12 +93,12 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "quality")
-    trusted = F.broadcast(_trusted(labels))
+    trusted = scratch.keep(_trusted(labels), "trusted")
     key = F.col("doc_id").cast("long")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     hashes = F.transform(words(text), lambda w: F.xxhash64(w))
-    flagged = docs.select(key.alias("id"), text.alias("text")).join(trusted, F.col("id") == F.col("label_id"), "left")
-    each = flagged.select(F.coalesce(F.col("fits"), F.lit(False)).cast("long").alias("fits"), F.explode(let(hashes, grams)).alias("bucket"))
+    flagged = _flagged(docs.select(key.alias("id"), text.alias("text")), trusted.where("fits").select(F.col("label_id").alias("id")))
+    each = flagged.select(F.col("fits").cast("long").alias("fits"), F.explode(let(hashes, grams)).alias("bucket"))
     counts = scratch.keep(each.groupBy("bucket").agg(F.sum("fits").alias("target"), F.count("*").alias("raw")), "counts")
     t, r = counts.agg(F.coalesce(F.sum("target"), F.lit(0)), F.coalesce(F.sum("raw"), F.lit(0))).first()
     ratio = F.log((F.coalesce("target", F.lit(0)) + SMOOTH) / (t + SMOOTH * BUCKETS)) - F.log((F.coalesce("raw", F.lit(0)) + SMOOTH) / (r + SMOOTH * BUCKETS))
@@ -108,7 +128,7 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     some = some.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
     scored = scratch.keep(some, "scored")
     held_back = scored.select("id", "llr", "base_failed").join(trusted.where("not fits"), F.col("id") == F.col("label_id"), "left_semi").where("not base_failed")
-    least = held_back.agg(F.percentile("llr", MISSED)).first()[0]
+    least = _least(held_back.select("llr"))
     floor = least - MARGIN if least is not None else float("-inf")
     return scored.select("row.*", *names[:5], "base_failed", "llr", (~F.col("base_failed") & (F.col("llr") >= F.lit(floor))).alias("kept"))
 
