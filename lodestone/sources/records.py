@@ -70,6 +70,20 @@ class Records:
     def index(self, kind: str) -> Index:
         return self.store.index(kind)
 
+    search = index
+
+    def chunk_texts(self, wanted: DataFrame) -> DataFrame:
+        """(c, chunk) of the chunks ``wanted`` (c), or more."""
+        return self.chunks().select("c", "chunk")
+
+    def attempt_sizes(self) -> DataFrame:
+        """(attempt_id, content_size): lengths of the safe contents of attempts, a row for each of theirs."""
+        return self.attempts().select("attempt_id", F.length(T.terminal_safe(F.concat_ws(" -- ", "task", "approach"))).alias("content_size"))
+
+    def evidence_sizes(self) -> DataFrame:
+        """(evidence_id, kind, content_size): lengths of the safe contents of evidence."""
+        return self.evidence().select("evidence_id", "kind", F.length(T.terminal_safe(F.col("content"))).alias("content_size"))
+
     def pool(self, kind: str) -> DataFrame:
         if kind == "task":
             if self.vectors is None or self.vectors.stored().isEmpty():
