@@ -78,11 +78,11 @@ class Records:
 
     def attempt_sizes(self) -> DataFrame:
         """(attempt_id, content_size): lengths of the safe contents of attempts, a row for each of theirs."""
-        return self.attempts().select("attempt_id", F.length(T.terminal_safe(F.concat_ws(" -- ", "task", "approach"))).alias("content_size"))
+        return self.attempts().select("attempt_id", T.safe_size(F.concat_ws(" -- ", "task", "approach")).alias("content_size"))
 
     def evidence_sizes(self) -> DataFrame:
         """(evidence_id, kind, content_size): lengths of the safe contents of evidence."""
-        return self.evidence().select("evidence_id", "kind", F.length(T.terminal_safe(F.col("content"))).alias("content_size"))
+        return self.evidence().select("evidence_id", "kind", T.safe_size(F.col("content")).alias("content_size"))
 
     def pool(self, kind: str) -> DataFrame:
         if kind == "task":
